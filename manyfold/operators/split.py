@@ -8,9 +8,9 @@ training, and every row is then compared with the hash of its group where it lie
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from manyfold.functions.draws import order_hash
 from manyfold.functions.features import check_columns, check_numeric, filled
@@ -20,6 +20,7 @@ from manyfold.sources.settled import settle
 
 ORDER = "_h"
 HELD = "_held"  # true on validation rows
+BUCKET = "_bucket"  # many whole groups that one task works on together
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,7 @@ class SplitRows:
     hot: DataFrame | None
     code: KeyCode
     sizes: Sizes
+    buckets: int = 0  # when set, cold rows carry their bucket and are partitioned by it
 
     def parts(self) -> list[tuple[DataFrame, bool]]:
         return [(self.cold, False)] + ([(self.hot, True)] if self.hot is not None else [])
@@ -67,8 +69,19 @@ def held_count(n: Column, fraction: float) -> Column:
     return F.ceil(F.lit(float(fraction)) * n)
 
 
-def _by_window(rows: DataFrame, code: KeyCode, order: list[str], fraction: float) -> DataFrame:
-    ranked = Window.partitionBy(*code.names).orderBy(*order)
+def bucket_by_key(rows: DataFrame, names: list[str], buckets: int) -> DataFrame:
+    """Deal whole groups into ``buckets`` tasks; windows and grouped maps below it need no other shuffle."""
+    number = F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int")
+    return rows.withColumn(BUCKET, number).repartition(buckets, BUCKET)
+
+
+def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int) -> int:
+    """Enough buckets to keep all cores busy, and more when the rows would not fit them."""
+    return max(4 * spark.sparkContext.defaultParallelism, -(-rows // rows_per_bucket))
+
+
+def _by_window(rows: DataFrame, group: list[str], order: list[str], fraction: float) -> DataFrame:
+    ranked = Window.partitionBy(*group).orderBy(*order)
     whole = ranked.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         rows.withColumn("_rank", F.row_number().over(ranked))
@@ -144,16 +157,20 @@ def split_rows(
     fraction: float = 0.2,
     fill: float | None = 0.0,
     rows_per_task: int = 1_000_000,
+    bucketed: bool = False,
 ) -> SplitRows:
     rows, code = observations(df, keys, target, features, row_key, seed, fill)
     sizes = measure(df, code, rows_per_task)
     order = [ORDER, *feature_slots(features), "y"]
-    if sizes.hot is None:
-        return SplitRows(_by_window(rows, code, order, fraction), None, code, sizes)
-    hot = settle(sizes.hot, "hot")
-    sizes = Sizes(sizes.rows, sizes.groups, sizes.limit, hot)
-    cold = _by_window(without(rows, hot, code.names), code, order, fraction)
-    return SplitRows(cold, _by_threshold(rows, hot, code, order, fraction), code, sizes)
+    cold, hot, group, buckets = rows, None, code.names, 0
+    if sizes.hot is not None:
+        sizes = replace(sizes, hot=settle(sizes.hot, "hot"))
+        cold = without(rows, sizes.hot, code.names)
+        hot = _by_threshold(rows, sizes.hot, code, order, fraction)
+    if bucketed:
+        buckets = bucket_count(df.sparkSession, sizes.rows, rows_per_task)
+        cold, group = bucket_by_key(cold, code.names, buckets), [BUCKET, *code.names]
+    return SplitRows(_by_window(cold, group, order, fraction), hot, code, sizes, buckets)
 
 
 def holdout_split(

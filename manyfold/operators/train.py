@@ -46,7 +46,7 @@ def train(
 
         settings = ForestSettings(n_estimators, max_depth, min_samples_split, min_samples_leaf)
         size = rows_per_task or 50_000
-        split = split_rows(df, keys, target, features, row_key, seed, fraction, fill, size)
+        split = split_rows(df, keys, target, features, row_key, seed, fraction, fill, size, bucketed=True)
         fitted = train_forest(split, features, settings, min_rows, seed, max_bins)
         return conform(fitted, schema)
     split = split_rows(df, keys, target, features, row_key, seed, fraction, fill, rows_per_task or 1_000_000)
