@@ -16,15 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from manyfold.functions import trees
-from manyfold.operators.forest_score import BODY, PAYLOAD, replicated, route, salted
+from manyfold.operators.forest_score import PAYLOAD, replicated, route, salted
 from manyfold.operators.linear import data_faults, fault_status
 from manyfold.operators.running import running_total
 from manyfold.operators.split import HELD, ORDER, SplitRows, bucket_count
 from manyfold.schema import ERROR, HYPERPARAMETERS, SUCCESS
 from manyfold.sources.settled import settle
 
-__all__ = ["fit_wide", "BODY"]
-
 
 def group_facts(rows: DataFrame, names: list[str], p: int, min_rows: int) -> DataFrame:
     """Per group: why it cannot be fitted, if so, and the grid of its target."""

@@ -31,13 +31,19 @@ class SplitRows:
     hot: DataFrame | None
     code: KeyCode
     sizes: Sizes
+    groups: DataFrame  # coded keys, one row per group
     buckets: int = 0  # when set, cold rows carry their bucket and are partitioned by it
 
     def parts(self) -> list[tuple[DataFrame, bool]]:
         return [(self.cold, False)] + ([(self.hot, True)] if self.hot is not None else [])
 
     def rows(self) -> DataFrame:
-        return self.cold if self.hot is None else self.cold.unionByName(self.hot)
+        return self.cold if self.hot is None else self.cold.unionByName(self.hot, allowMissingColumns=True)
+
+    def settled(self) -> SplitRows:
+        """The same split, written once; for searches that read it in every round."""
+        hot = None if self.hot is None else settle(self.hot, "split")
+        return replace(self, cold=settle(self.cold, "split"), hot=hot)
 
 
 def feature_slots(features: list[str]) -> list[str]:
@@ -170,7 +176,8 @@ def split_rows(
     if bucketed:
         buckets = bucket_count(df.sparkSession, sizes.rows, rows_per_task)
         cold, group = bucket_by_key(cold, code.names, buckets), [BUCKET, *code.names]
-    return SplitRows(_by_window(cold, group, order, fraction), hot, code, sizes, buckets)
+    groups = df.select(*code.coded()).distinct()
+    return SplitRows(_by_window(cold, group, order, fraction), hot, code, sizes, groups, buckets)
 
 
 def holdout_split(
