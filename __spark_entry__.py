@@ -288,7 +288,7 @@ def forest_listing(models: DataFrame, keys: list[str]) -> DataFrame:
         *keys,
         "num_rows",
         "status",
-        *[places(F.col(c), n).alias(c) for c, n in (("rmse", 2), ("mse", 0), ("mae", 2))],
+        *[places(F.col(c), n).alias(c) for c, n in (("rmse", 2), ("mse", 0), ("mae", MAE_PLACES))],
     )
 
 
@@ -550,7 +550,7 @@ FROM lineitem GROUP BY 1""",
         "tune_forest": f"""{trial_errors},
 best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY sqrt(mse), trial) = 1)
 SELECT k0 AS l_partkey, n AS num_rows, 'success' AS status, {r('sqrt(mse)', 2)} AS rmse, {r('mse', 0)} AS mse,
-  {r('mae', 2)} AS mae FROM best JOIN sizes USING (k0)""",
+  {r('mae', MAE_PLACES)} AS mae FROM best JOIN sizes USING (k0)""",
         "score_stream": f"""{o.linear_ctes(EVENTS_SQL, ['event_type'], 'value', ['user_id'], ['event_id'], ['event_id', 'event_type'])}
 SELECT event_id, event_type, {r('m.b + m.w0 * o.x0', 4)} AS prediction FROM obs o JOIN models m ON m.k0 = o.k0""",
         "bundle_scores": customer_scores,

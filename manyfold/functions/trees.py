@@ -89,41 +89,45 @@ def midpoint(below: np.ndarray, above: np.ndarray) -> np.ndarray:
     return np.where(middle >= above, below, middle)
 
 
-def grow(weights, group, bins, lows, highs, grid, max_depth, min_split, min_leaf):
-    """Grow all trees of all groups level by level.
+def tree_pairs(weights, group, bins, groups):
+    """The (tree, row) pairs with a weight, their unit ``tree * groups + group``, and their order per feature.
 
-    ``weights`` has a row per tree; ``bins``, ``lows`` and ``highs`` an array per feature; ``max_depth``
-    and ``min_split`` a limit per group. The order of the rows by bin is kept per feature and only split
-    in two at every node, so nothing is sorted again after the root. Children lie side by side.
+    ``weights`` has a row per tree. The orders are by unit and bin; they come from one sort of the rows.
     """
-    trees, n = weights.shape
-    groups = len(max_depth)
     present = weights > 0
     place = (np.cumsum(present.ravel()) - 1).reshape(present.shape)
     tree, row = np.nonzero(present)
-    w = weights[present].astype(np.int64)
-    value = grid[row]
-    s = w * value
-    unit = tree * groups + group[row]
     orders = []
     for b in bins:
         by = np.lexsort((b, group))
         orders.append(place[:, by][present[:, by]])
-    start = _first_of_runs(unit[orders[0]]) if len(row) else np.zeros(0, np.int64)
-    owner = unit[orders[0][start]] if len(row) else np.zeros(0, np.int64)
-    roots = np.full(trees * groups, -1, np.int64)
-    roots[owner] = np.arange(len(owner))
-    goes_left = np.zeros(len(row), bool)
+    return tree * groups + group[row], row, weights[present].astype(np.int64), orders
+
+
+def grow(unit, row, bins, orders, w, s, least, most, count, max_depth, min_split, min_leaf):
+    """Grow the trees of all units level by level.
+
+    A pair is a row, or a cell of rows that share all bins: ``w`` and ``s`` are its weight and weighted
+    target, ``least`` and ``most`` bound its targets, ``count`` says how many rows it stands for. ``bins``
+    holds an array per feature, indexed by ``row``; ``max_depth`` and ``min_split`` a limit per unit. The
+    order of the pairs by bin is kept per feature and only split in two at every node, so nothing is
+    sorted again after the root. Children lie side by side. A split is told by the rows on either side of
+    it, ``below`` and ``above``.
+    """
+    start = _first_of_runs(unit[orders[0]])
+    owner = unit[orders[0][start]]
+    goes_left = np.zeros(len(unit), bool)
     levels, base, depth = [], 0, 0
     while len(start):
         m = len(start)
         o = orders[0]
         sizes = np.diff(np.append(start, len(o)))
         total_w, total_s = np.add.reduceat(w[o], start), np.add.reduceat(s[o], start)
-        mixed = np.minimum.reduceat(value[o], start) < np.maximum.reduceat(value[o], start)
-        g = owner % groups
-        splits = mixed & (depth < max_depth[g]) & (sizes >= min_split[g]) & (sizes >= 2 * min_leaf)
-        feature, threshold, left = np.full(m, -1, np.int16), np.zeros(m), np.full(m, -1, np.int64)
+        total_c = np.add.reduceat(count[o], start)
+        mixed = np.minimum.reduceat(least[o], start) < np.maximum.reduceat(most[o], start)
+        splits = mixed & (depth < max_depth[owner]) & (total_c >= min_split[owner]) & (total_c >= 2 * min_leaf)
+        feature, left = np.full(m, -1, np.int16), np.full(m, -1, np.int64)
+        below, above = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
 
         live = np.flatnonzero(splits)
         keep = np.repeat(splits, sizes)
@@ -132,21 +136,25 @@ def grow(weights, group, bins, lows, highs, grid, max_depth, min_split, min_leaf
         begin = np.cumsum(sizes) - sizes
         seg = np.repeat(np.arange(len(live)), sizes)
         here = np.arange(len(seg))
-        on_left = here - begin[seg] + 1
-        roomy = (on_left >= min_leaf) & (sizes[seg] - on_left >= min_leaf)
         best, best_f = np.full(len(live), -np.inf), np.full(len(live), -1, np.int16)
         best_at = np.zeros(len(live), np.int64)
         for f, o in enumerate(orders):
             b = bins[f][row[o]]
-            at = np.flatnonzero(roomy[:-1] & (b[:-1] != b[1:]))
+            edge = (seg[:-1] == seg[1:]) & (b[:-1] != b[1:])
+            if min_leaf > 1:
+                cum_c = np.cumsum(count[o])
+                on_left = cum_c - (cum_c[begin] - count[o[begin]])[seg]
+                edge &= ((on_left >= min_leaf) & (total_c[live][seg] - on_left >= min_leaf))[:-1]
+            at = np.flatnonzero(edge)
             if not len(at):
                 continue
             sg = seg[at]
             cum_w, cum_s = np.cumsum(w[o]), np.cumsum(s[o])
             left_w = cum_w[at] - (cum_w[begin] - w[o[begin]])[sg]
-            left_s = (cum_s[at] - (cum_s[begin] - s[o[begin]])[sg]).astype(float)
+            left_s = cum_s[at] - (cum_s[begin] - s[o[begin]])[sg]
             right_w = total_w[live][sg] - left_w
-            right_s = (total_s[live][sg] - (cum_s[at] - (cum_s[begin] - s[o[begin]])[sg])).astype(float)
+            right_s = (total_s[live][sg] - left_s).astype(float)
+            left_s = left_s.astype(float)
             gain = left_s * left_s / left_w + right_s * right_s / right_w
             first = _first_of_runs(sg)
             top = np.maximum.reduceat(gain, first)
@@ -164,35 +172,34 @@ def grow(weights, group, bins, lows, highs, grid, max_depth, min_split, min_leaf
                 inside = mine[seg]
                 goes_left[o[inside]] = here[inside] <= best_at[seg[inside]]
                 at = best_at[mine]
-                threshold[live[mine]] = midpoint(highs[f][row[o[at]]], lows[f][row[o[at + 1]]])
+                below[live[mine]], above[live[mine]] = row[o[at]], row[o[at + 1]]
         feature[live] = best_f
         left[live[found]] = base + m + 2 * rank[found]
-        levels.append((owner, feature, threshold, left, total_w, total_s, np.diff(np.append(start, len(keep))),
-                       np.full(m, depth, np.int32)))
+        levels.append((owner, feature, below, above, left, total_w, total_s, total_c, np.full(m, depth, np.int32)))
 
         keep = found[seg]
         seg, sizes = rank[seg[keep]], sizes[found]
         begin = np.cumsum(sizes) - sizes
         within = np.arange(len(seg)) - begin[seg]
         lefts = np.zeros(len(sizes), np.int64)
-        for i, o in enumerate(orders):
-            o = o[keep]
-            side = goes_left[o]
-            cum = np.cumsum(side)
-            lefts = np.add.reduceat(side.astype(np.int64), begin) if len(begin) else lefts
-            so_far = cum - (cum[begin] - side[begin])[seg] if len(begin) else cum
-            target = begin[seg] + np.where(side, so_far - 1, lefts[seg] + within - so_far)
-            moved = np.empty_like(o)
-            moved[target] = o
-            orders[i] = moved
+        if len(begin):
+            for i, o in enumerate(orders):
+                o = o[keep]
+                side = goes_left[o]
+                cum = np.cumsum(side)
+                lefts = np.add.reduceat(side.astype(np.int64), begin)
+                so_far = cum - (cum[begin] - side[begin])[seg]
+                moved = np.empty_like(o)
+                moved[begin[seg] + np.where(side, so_far - 1, lefts[seg] + within - so_far)] = o
+                orders[i] = moved
         owner = np.repeat(owner[live[found]], 2)
         start = np.column_stack([begin, begin + lefts]).ravel()
         base += m
         depth += 1
-    names = ("owner", "feature", "threshold", "left", "weight", "total", "count", "depth")
+    names = ("owner", "feature", "below", "above", "left", "weight", "total", "count", "depth")
     if not levels:
-        return {k: np.zeros(0, np.int64) for k in names}, roots
-    return {k: np.concatenate(parts) for k, parts in zip(names, zip(*levels))}, roots
+        return {k: np.zeros(0, np.int64) for k in names}
+    return {k: np.concatenate(parts) for k, parts in zip(names, zip(*levels))}
 
 
 def walk(feature, threshold, left, node, row, columns, may_split=None):

@@ -83,6 +83,23 @@ class BucketFit:
         self.bins, self.lows, self.highs = zip(*cut)
         self.held_group, self.held_x, self.held_y = group[held], x[:, held], y[held]
 
+    def grow(self, weights, max_depth, min_split, min_leaf):
+        """The nodes of the trees drawn by ``weights`` (a row per tree), and the root of every tree and group."""
+        unit, row, w, orders = trees.tree_pairs(weights, self.group, self.bins, self.groups)
+        q, repeats = self.grid[row], len(weights)
+        limits = np.tile(max_depth, repeats), np.tile(min_split, repeats)
+        nodes = trees.grow(unit, row, self.bins, orders, w, w * q, q, q, np.ones_like(w), *limits, min_leaf)
+        inner = np.flatnonzero(nodes["feature"] >= 0)
+        f = nodes["feature"][inner]
+        nodes["threshold"] = np.zeros(len(nodes["owner"]))
+        nodes["threshold"][inner] = trees.midpoint(
+            np.array(self.highs)[f, nodes["below"][inner]], np.array(self.lows)[f, nodes["above"][inner]]
+        )
+        roots = np.full(repeats * self.groups, -1, np.int64)
+        top = np.flatnonzero(nodes["depth"] == 0)
+        roots[nodes["owner"][top]] = top
+        return nodes, roots
+
     def node_values(self, nodes):
         g = nodes["owner"] % self.groups
         return trees.off_grid(nodes["total"], nodes["weight"], self.low[g], self.high[g], self.bits[g])
@@ -120,9 +137,7 @@ class BucketFit:
                 last = min(first + step, int(most.max()))
                 weights = trees.row_weights(self.hash, self.seed, first, last)
                 weights[np.arange(first, last)[:, None] >= most[self.group][None, :]] = 0
-                nodes, roots = trees.grow(
-                    weights, self.group, self.bins, self.lows, self.highs, self.grid, deepest, smallest, int(leaf)
-                )
+                nodes, roots = self.grow(weights, deepest, smallest, int(leaf))
                 value = self.node_values(nodes)
                 self._vote(nodes, value, roots, (first, last), case, row, owner, sizes, depth, split, total, votes)
                 if keep_models:

@@ -1,9 +1,9 @@
 """Forests of groups that are too large for one task.
 
-The rows of such a group are first summed into cells, one per tree and combination of bins. From then on
-every level of all trees is one aggregate over the cells: sums per node, feature and bin, the best cut per
-node, and the cells passed on to the children. No task ever sees a group; the driver sees only how many
-nodes were split.
+The rows of such a group are first summed into cells, one per tree and combination of bins. Trees with few
+cells, however many rows these stand for, are then grown by one task each. For the other trees every level
+is one aggregate over the cells: sums per node, feature and bin, the best cut per node, and the cells
+passed on to the children. No task ever sees a group; the driver sees only whether nodes were split.
 """
 
 from __future__ import annotations
@@ -23,6 +23,9 @@ from manyfold.operators.split import HELD, ORDER, SplitRows, bucket_count
 from manyfold.schema import ERROR, HYPERPARAMETERS, SUCCESS
 from manyfold.sources.settled import settle
 
+# A tree with at most this many cells is grown by one task.
+CELLS_PER_TASK = 200_000
+
 
 def group_facts(rows: DataFrame, names: list[str], p: int, min_rows: int) -> DataFrame:
     """Per group: why it cannot be fitted, if so, and the grid of its target."""
@@ -188,6 +191,66 @@ def grow_wide(cells: DataFrame, plan: DataFrame, names: list[str], p: int) -> li
         depth += 1
 
 
+def grow_small(cells: DataFrame, plan: DataFrame, names: list[str], p: int) -> DataFrame:
+    """The nodes of trees whose cells fit a task, one tree per call; the same nodes :func:`grow_wide` finds."""
+    unit = [*names, "trial", "tree"]
+    limits = ["max_depth", "min_samples_split", "min_samples_leaf"]
+    planned = cells.join(plan.select(*names, "trial", "n_estimators", *limits), names)
+    planned = planned.filter(F.col("tree") < F.col("n_estimators")).drop("n_estimators")
+    schema = node_schema(planned, unit)
+    arrow_schema = to_arrow_schema(schema)
+
+    def grow(table: pa.Table) -> pa.Table:
+        c = {k: table.column(k).to_numpy() for k in ("c", "w", "s", "least", "most")}
+        bins = [table.column(f"b{i}").to_numpy() for i in range(p)]
+        depth, split, leaf = (table.column(x)[0].as_py() for x in limits)
+        n = len(table)
+        nodes = trees.grow(
+            np.zeros(n, np.int64),
+            np.arange(n),
+            bins,
+            [np.argsort(b, kind="stable") for b in bins],
+            *(c[k] for k in ("w", "s", "least", "most", "c")),
+            np.array([trees.NO_LIMIT if depth is None else depth]),
+            np.array([split]),
+            leaf,
+        )
+        level, feature = nodes["depth"], nodes["feature"]
+        begin = np.searchsorted(level, np.arange(int(level.max()) + 2))
+        inner = feature >= 0
+        at = {k: np.array(bins)[np.maximum(feature, 0), np.maximum(nodes[k], 0)] for k in ("below", "above")}
+        cut = pa.StructArray.from_arrays(
+            [pa.array(feature, pa.int32()), pa.array(at["below"], pa.int32()), pa.array(at["above"], pa.int32())],
+            ["f", "bin", "next"],
+            mask=pa.array(~inner),
+        )
+        own = {
+            "node": np.arange(len(level)) - begin[level],
+            "weight": nodes["weight"],
+            "total": nodes["total"],
+            "cut": cut,
+            "left": pa.array(nodes["left"] - begin[level + 1], mask=~inner),
+            "level": level,
+        }
+        key = {k: table.column(k).take(pa.array(np.zeros(len(level), np.int64))) for k in unit}
+        columns = {**key, **own}
+        arrays = [columns[f.name] for f in arrow_schema]
+        return pa.table([a if isinstance(a, pa.ChunkedArray) else pa.array(a) for a in arrays], arrow_schema.names).cast(
+            arrow_schema
+        )
+
+    return planned.groupBy(*unit).applyInArrow(grow, schema)
+
+
+def node_schema(planned: DataFrame, unit: list[str]) -> T.StructType:
+    cut = T.StructType([T.StructField(n, T.IntegerType()) for n in ("f", "bin", "next")])
+    return T.StructType(
+        [planned.schema[u] for u in unit]
+        + [T.StructField(n, T.LongType()) for n in ("node", "weight", "total")]
+        + [T.StructField("cut", cut), T.StructField("left", T.LongType()), T.StructField("level", T.IntegerType())]
+    )
+
+
 def packed_models(nodes: DataFrame, names: list[str]) -> DataFrame:
     """Gather the nodes of each model into its bytes. A model is one row, so its nodes fit one task."""
     schema = T.StructType(
@@ -254,10 +317,14 @@ def fit_wide(split: SplitRows, p, settings, plan, min_rows, seed, max_bins, keep
     count = plan.agg(F.max("n_estimators")).first()[0]
     cells = settle(tree_cells(fit_rows.join(known, names), names, p, max_bins, seed, count), "cells")
 
-    levels = grow_wide(cells, plan, names, p)
-    nodes = levels[0]
-    for level in levels[1:]:
-        nodes = nodes.unionByName(level)
+    per_tree = cells.groupBy(*names, "tree").agg(F.count(F.lit(1)).alias("cells"))
+    many = settle(per_tree.filter(F.col("cells") > CELLS_PER_TASK).select(*names, "tree"), "many")
+    if many.limit(1).count() == 0:
+        nodes = grow_small(cells, plan, names, p)
+    else:
+        nodes = grow_small(cells.join(many, [*names, "tree"], "left_anti"), plan, names, p)
+        for level in grow_wide(cells.join(many, [*names, "tree"], "left_semi"), plan, names, p):
+            nodes = nodes.unionByName(level)
     scale = sound.join(edges, names).select(*names, "low", "high", "bits", "lows", "highs")
     mean = F.col("total").cast("double") / F.col("weight").cast("double") / F.pow(F.lit(2.0), F.col("bits"))
     mean = mean * (F.col("high") - F.col("low")) + F.col("low")
