@@ -9,6 +9,7 @@ passed on to the children. No task ever sees a group; the driver sees only wheth
 from __future__ import annotations
 
 import math
+from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from manyfold.functions import trees
 from manyfold.operators.forest_score import PAYLOAD, replicated, route, salted
 from manyfold.operators.linear import data_faults, fault_status
-from manyfold.operators.running import running_total
+from manyfold.operators.running import running_totals
 from manyfold.operators.split import HELD, ORDER, SplitRows, bucket_count
 from manyfold.schema import ERROR, HYPERPARAMETERS, SUCCESS
 from manyfold.sources.settled import settle
@@ -44,14 +45,12 @@ def group_facts(rows: DataFrame, names: list[str], p: int, min_rows: int) -> Dat
 
 def bin_edges(fit_rows: DataFrame, names: list[str], p: int, max_bins: int) -> DataFrame:
     """Per group the least and largest value of every bin of every feature, as arrays of arrays."""
-    long = fit_rows.select(
-        *names, F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("x")) for i in range(p)])).alias("v")
-    )
+    each = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("x")) for i in range(p)])
+    long = fit_rows.select(*names, F.explode(each).alias("v"))
     values = long.groupBy(*names, F.col("v.f").alias("f"), F.col("v.x").alias("x")).agg(F.count(F.lit(1)).alias("c"))
     values = values.withColumn("one", F.lit(1).cast("long"))
     group = [*names, "f"]
-    ranked = running_total(running_total(values, group, "x", "c", "below"), group, "x", "one", "rank")
-    ranked = settle(ranked, "bins")
+    ranked = settle(running_totals(values, group, "x", {"below": "c", "rank": "one"}), "bins")
     totals = ranked.groupBy(*group).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct"))
     number = F.when(F.col("distinct") <= max_bins, F.col("rank")).otherwise(
         F.floor(F.col("below") * F.lit(max_bins) / F.col("n"))
@@ -304,8 +303,7 @@ def fit_wide(split: SplitRows, p, settings, plan, min_rows, seed, max_bins, keep
     spark = rows.sparkSession
     facts = settle(group_facts(rows, names, p, min_rows), "facts").join(F.broadcast(hot.select(*names, "parts")), names)
     if plan is None:
-        chosen = {"trial": 0, "n_estimators": settings.n_estimators, "max_depth": settings.max_depth,
-                  "min_samples_split": settings.min_samples_split, "min_samples_leaf": settings.min_samples_leaf}
+        chosen = {"trial": 0, **asdict(settings)}
         plan = facts.select(*names, *[F.lit(v).cast("long").alias(k) for k, v in chosen.items()])
     else:
         plan = plan.join(F.broadcast(hot.select(*names)), names, "left_semi")

@@ -1,7 +1,7 @@
 """Running totals within groups of any size.
 
 A window would pull a whole group into one task. Here the rows are range-partitioned by group and order;
-each piece is summed by itself and shifted by the total of the pieces before it.
+each piece is summed by itself and shifted by the totals of the pieces before it.
 """
 
 from __future__ import annotations
@@ -11,14 +11,20 @@ from pyspark.sql import DataFrame, Window, functions as F
 from manyfold.sources.settled import settle
 
 
-def running_total(df: DataFrame, group: list[str], order: str, value: str, out: str) -> DataFrame:
-    """``out`` is the sum of ``value`` over the rows before this one; ``order`` has no equals in a group."""
+def running_totals(df: DataFrame, group: list[str], order: str, totals: dict[str, str]) -> DataFrame:
+    """For each ``out: value`` the sum of ``value`` over the rows before this one in its group.
+
+    ``order`` has no equals within a group.
+    """
     pieces = settle(df.repartitionByRange(*group, order).withColumn("_piece", F.spark_partition_id()), "running")
-    totals = pieces.groupBy(*group, "_piece").agg(F.sum(value).alias("_sum"))
+    sums = pieces.groupBy(*group, "_piece").agg(*[F.sum(v).alias(f"_sum_{out}") for out, v in totals.items()])
     earlier = Window.partitionBy(*group).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shift = F.coalesce(F.sum("_sum").over(earlier), F.lit(0))
-    offsets = settle(totals.select(*group, "_piece", shift.alias("_shift")), "running")
+    offsets = sums.select(
+        *group, "_piece", *[F.coalesce(F.sum(f"_sum_{out}").over(earlier), F.lit(0)).alias(f"_{out}") for out in totals]
+    )
     inside = Window.partitionBy(*group, "_piece").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    summed = pieces.withColumn("_inner", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = summed.join(offsets, [*group, "_piece"])
-    return joined.withColumn(out, F.col("_inner") + F.col("_shift")).drop("_inner", "_shift", "_piece")
+    summed = pieces.withColumns({out: F.coalesce(F.sum(v).over(inside), F.lit(0)) for out, v in totals.items()})
+    joined = summed.join(settle(offsets, "running"), [*group, "_piece"])
+    return joined.withColumns({out: F.col(out) + F.col(f"_{out}") for out in totals}).drop(
+        "_piece", *[f"_{out}" for out in totals]
+    )
