@@ -14,7 +14,7 @@ from manyfold.sources.tables import Namespace, bundle, read_models, write_metric
 
 
 def publish(
-    space: Namespace,
+    namespace: Namespace,
     name: str,
     models: DataFrame,
     keys: list[str],
@@ -25,30 +25,30 @@ def publish(
 ) -> LoadedModels:
     """Store the models, bundle the successful ones, record one run and register a version of it."""
     spark = models.sparkSession
-    table = space.table(name)
+    table = namespace.table(name)
     write_models(models, table)
     stored = read_models(spark, table)
     stamp = uuid4().hex
-    bundle_path, metrics_path = space.artifact(f"{name}/{stamp}/bundle"), space.artifact(f"{name}/{stamp}/metrics")
+    bundle_path, metrics_path = namespace.artifact(f"{name}/{stamp}/bundle"), namespace.artifact(f"{name}/{stamp}/metrics")
     bundle(stored, keys, bundle_path)
     write_metrics(stored, keys, metrics_path)
     run_id = log_run(
-        space, f"{name}_bundled", stored, keys, estimator, bundle_path, metrics_path, example, trials_per_key, fill
+        namespace, f"{name}_bundled", stored, keys, estimator, bundle_path, metrics_path, example, trials_per_key, fill
     )
-    return load_version(spark, space, name, register(spark, space, name, run_id))
+    return load_version(spark, namespace, name, register(spark, namespace, name, run_id))
 
 
 def train_and_publish(
-    space: Namespace, name: str, df: DataFrame, keys: list[str], target: str, row_key: list[str], **settings
+    namespace: Namespace, name: str, df: DataFrame, keys: list[str], target: str, row_key: list[str], **settings
 ) -> LoadedModels:
     models = train(df, keys, target, row_key=row_key, **settings)
     example = input_example(df, target, row_key)
     estimator, fill = settings.get("estimator", "forest"), settings.get("fill", 0.0)
-    return publish(space, name, models, keys, estimator, example, fill=fill)
+    return publish(namespace, name, models, keys, estimator, example, fill=fill)
 
 
 def tune_and_publish(
-    space: Namespace,
+    namespace: Namespace,
     name: str,
     df: DataFrame,
     keys: list[str],
@@ -60,4 +60,4 @@ def tune_and_publish(
     models = tune(df, keys, target, num_trials=num_trials, row_key=row_key, **settings)
     example = input_example(df, target, row_key)
     estimator, fill = settings.get("estimator", "forest"), settings.get("fill", 0.0)
-    return publish(space, name, models, keys, estimator, example, num_trials, fill)
+    return publish(namespace, name, models, keys, estimator, example, num_trials, fill)

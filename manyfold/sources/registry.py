@@ -46,7 +46,7 @@ def _append(spark: SparkSession, rows: list[tuple], schema: T.StructType, table:
 
 
 def log_run(
-    space: Namespace,
+    namespace: Namespace,
     run_name: str,
     models: DataFrame,
     keys: list[str],
@@ -63,43 +63,43 @@ def log_run(
     rows = [] if example is None else [r.j for r in example.limit(100).select(F.to_json(F.struct("*")).alias("j")).collect()]
     run_id = uuid.uuid4().hex
     entry = (run_id, run_name, estimator, list(keys), fill, bundle_path, metrics_path, averages, rows)
-    _append(spark, [entry], RUN_SCHEMA, space.table(RUNS))
+    _append(spark, [entry], RUN_SCHEMA, namespace.table(RUNS))
     return run_id
 
 
-def _table(spark: SparkSession, space: Namespace, name: str, schema: T.StructType) -> DataFrame:
-    if not spark.catalog.tableExists(space.table(name)):
+def _table(spark: SparkSession, namespace: Namespace, name: str, schema: T.StructType) -> DataFrame:
+    if not spark.catalog.tableExists(namespace.table(name)):
         return spark.createDataFrame([], schema)
-    return spark.read.table(space.table(name))
+    return spark.read.table(namespace.table(name))
 
 
-def runs(spark: SparkSession, space: Namespace) -> DataFrame:
-    return _table(spark, space, RUNS, RUN_SCHEMA)
+def runs(spark: SparkSession, namespace: Namespace) -> DataFrame:
+    return _table(spark, namespace, RUNS, RUN_SCHEMA)
 
 
-def versions(spark: SparkSession, space: Namespace) -> DataFrame:
-    return _table(spark, space, VERSIONS, VERSION_SCHEMA)
+def versions(spark: SparkSession, namespace: Namespace) -> DataFrame:
+    return _table(spark, namespace, VERSIONS, VERSION_SCHEMA)
 
 
-def find_run(spark: SparkSession, space: Namespace, run_id: str) -> Row:
-    found = runs(spark, space).filter(F.col("run_id") == run_id).first()
+def find_run(spark: SparkSession, namespace: Namespace, run_id: str) -> Row:
+    found = runs(spark, namespace).filter(F.col("run_id") == run_id).first()
     if found is None:
         raise KeyError(f"no run {run_id}")
     return found
 
 
-def register(spark: SparkSession, space: Namespace, name: str, run_id: str) -> int:
+def register(spark: SparkSession, namespace: Namespace, name: str, run_id: str) -> int:
     """Give the run the next version number of this model name. One writer at a time is assumed."""
-    find_run(spark, space, run_id)
-    last = versions(spark, space).filter(F.col("name") == name).agg(F.max("version")).first()[0]
+    find_run(spark, namespace, run_id)
+    last = versions(spark, namespace).filter(F.col("name") == name).agg(F.max("version")).first()[0]
     version = (last or 0) + 1
-    _append(spark, [(name, version, run_id)], VERSION_SCHEMA, space.table(VERSIONS))
+    _append(spark, [(name, version, run_id)], VERSION_SCHEMA, namespace.table(VERSIONS))
     return version
 
 
-def latest_versions(spark: SparkSession, space: Namespace) -> DataFrame:
+def latest_versions(spark: SparkSession, namespace: Namespace) -> DataFrame:
     """The newest version of every model name."""
-    table = versions(spark, space)
+    table = versions(spark, namespace)
     return table.groupBy("name").agg(F.max("version").alias("version"), F.max_by("run_id", "version").alias("run_id"))
 
 
@@ -119,14 +119,14 @@ class LoadedModels:
         return score(rows, self.models, self.keys, self.estimator, fill=self.fill, **options)
 
 
-def load_version(spark: SparkSession, space: Namespace, name: str, version: int | None = None) -> LoadedModels:
+def load_version(spark: SparkSession, namespace: Namespace, name: str, version: int | None = None) -> LoadedModels:
     """A named model by version, by default the newest."""
-    mine = versions(spark, space).filter(F.col("name") == name)
+    mine = versions(spark, namespace).filter(F.col("name") == name)
     if version is not None:
         mine = mine.filter(F.col("version") == version)
     chosen = mine.orderBy(F.desc("version")).first()
     if chosen is None:
         raise KeyError(f"no version {version or ''} of {name}")
-    run = find_run(spark, space, chosen.run_id)
+    run = find_run(spark, namespace, chosen.run_id)
     models = load_bundle(spark, run.bundle_path)
     return LoadedModels(name, chosen.version, run.run_id, models, list(run["keys"]), run.estimator, run.fill)
