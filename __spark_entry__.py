@@ -246,6 +246,19 @@ def tune_ridge(spark, folder):
     return listing(models, ["l_suppkey"], LINE_FEATURES).join(models.select("l_suppkey", "alpha"), "l_suppkey")
 
 
+def train_ridge(spark, folder):
+    return listing(line_models(spark, folder, estimator="ridge", alpha=2.5), ["l_partkey"], LINE_FEATURES)
+
+
+def tune_ridge_hot(spark, folder):
+    models = mf.tune(
+        events(spark, folder), ["event_type"], "value", ["user_id", "k", "event_id"],
+        {"alpha": mf.Choice(1e3, 1e5, 1e7)}, 4, "ridge", row_key=["event_id"], rows_per_task=400,
+    )
+    shown = listing(models, ["event_type"], ["user_id", "k", "event_id"])
+    return shown.join(models.select("event_type", "alpha"), "event_type")
+
+
 def input_example(spark, folder):
     return mf.input_example(table(spark, folder, "lineitem").drop("l_shipdate"), PRICE, LINE_KEY, 5)
 
@@ -327,6 +340,15 @@ def score_forest(spark, folder):
     return scored.select(*LINE_KEY, "l_partkey", *LINE_FEATURES, places(F.col("prediction"), 2).alias("prediction"))
 
 
+def score_forest_hot(spark, folder):
+    """Every group is above the size of one task: its rows are dealt to several, each with the model."""
+    rows = events(spark, folder).select("event_id", "event_type", "user_id", "k", "value")
+    features = ["user_id", "k"]
+    models = mf.train(rows, ["event_type"], "value", features, "forest", ["event_id"], n_estimators=5, max_depth=6)
+    scored = mf.score(rows.drop("value"), models, ["event_type"], features=features, rows_per_task=400)
+    return scored.select("event_id", "event_type", places(F.col("prediction"), 4).alias("prediction"))
+
+
 def forest_trials(spark, folder):
     lines = table(spark, folder, "lineitem")
     trials = mf.evaluate_trials(
@@ -393,8 +415,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         train_linear_1f, train_linear_3f, train_small_groups, train_composite_key, train_null_key,
         train_missing_target, train_linear_hot, status_summary, run_metrics, review_models, successful_models,
         score_linear, evaluate_scores, score_unknown_null, unknown_keys, score_small_batch, trial_plan, ridge_trials,
-        best_trial, tune_ridge, input_example, preview, key_label, conform, synth_rows, train_synth, train_forest,
-        train_forest_small_groups, train_forest_hot, score_forest, forest_trials, tune_forest, tune_forest_guided,
+        best_trial, tune_ridge, train_ridge, tune_ridge_hot, input_example, preview, key_label, conform, synth_rows, train_synth, train_forest,
+        train_forest_small_groups, train_forest_hot, score_forest, score_forest_hot, forest_trials, tune_forest, tune_forest_guided,
         score_stream, bundle_scores, metrics_file,
     ]
     return {q.__name__: q for q in registered}
@@ -427,6 +449,17 @@ FROM {ORDERS_SQL} r LEFT JOIN models m ON m.k0 = r.o_custkey AND m.status = 'suc
     split_listing = "SELECT k0 AS {}, {}, y AS {}, held AS is_validation FROM obs"
     example = f"""SELECT * FROM lineitem ORDER BY {o.text_hash(LINE_KEY, 15)}, l_orderkey, l_linenumber, l_suppkey LIMIT 5"""
     tried = o.ridge_trials(*supply, ALPHAS, 10)
+    hot_tried = o.ridge_trials(
+        EVENTS_SQL, ["event_type"], "value", ["user_id", "k", "event_id"], ["event_id"], [1e3, 1e5, 1e7], 4
+    )
+
+    def tuned_ridge(trials, key):
+        return f"""{trials},
+best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY sqrt(mse), trial) = 1)
+SELECT k0 AS {key}, n AS num_rows, 'success' AS status, {r('sqrt(mse)', 2)} AS rmse, {r('mse', 0)} AS mse,
+  {r('mae', MAE_PLACES)} AS mae, {r('b', 2)} AS intercept, {r('w0', 4)} AS w0, {r('w1', 4)} AS w1, {r('w2', 4)} AS w2, alpha
+FROM best"""
+
     unit = "p_partkey, row_id"
     synth = f"""WITH numbered AS (SELECT p_partkey, unnest(range({{n}})) AS row_id FROM part),
 drawn AS (SELECT {unit}, 10.0::DOUBLE + 90.0::DOUBLE * {o.uniform('p_partkey', 'row_id', "'feat_1'")} AS feat_1,
@@ -508,10 +541,9 @@ FROM ({example}) e JOIN models m ON m.k0 = e.l_partkey""",
         "best_trial": f"""{tried}, rounded AS (SELECT *, {r('sqrt(mse)', 2)} AS rmse FROM tried)
 SELECT k0 AS l_suppkey, trial, alpha, rmse FROM rounded
 QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY rmse, trial) = 1""",
-        "tune_ridge": f"""{tried},
-best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY sqrt(mse), trial) = 1)
-SELECT k0 AS l_suppkey, n AS num_rows, 'success' AS status, {r('sqrt(mse)', 2)} AS rmse, {r('mse', 0)} AS mse,
-  {r('mae', MAE_PLACES)} AS mae, {r('b', 2)} AS intercept, {r('w0', 4)} AS w0, {r('w1', 4)} AS w1, {r('w2', 4)} AS w2, alpha FROM best""",
+        "tune_ridge": tuned_ridge(tried, "l_suppkey"),
+        "train_ridge": o.train_ridge(*line, 2.5),
+        "tune_ridge_hot": tuned_ridge(hot_tried, "event_type"),
         "input_example": f"SELECT * EXCLUDE (l_extendedprice, l_shipdate) FROM ({example})",
         "preview": """SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice FROM lineitem
 ORDER BY l_partkey, l_orderkey, l_linenumber, l_suppkey, l_extendedprice LIMIT 10""",
@@ -544,6 +576,18 @@ FROM lineitem GROUP BY 1""",
             key=["l_partkey"], trees=20, score_all=True, carry=[*LINE_KEY, "l_partkey", *LINE_FEATURES], **line_forest
         )
         + f" SELECT {rows_sql}, {r('prediction', 2)} AS prediction FROM votes JOIN scored USING (k0, rid)",
+        "score_forest_hot": o.forest(
+            key=["event_type"],
+            source=EVENTS_SQL,
+            target="value",
+            features=["user_id", "k"],
+            row_key=["event_id"],
+            trees=5,
+            score_all=True,
+            carry=["event_id", "event_type"],
+            space=[("n_estimators", [5]), ("max_depth", [6]), ("min_samples_split", [2]), ("min_samples_leaf", [1])],
+        )
+        + f" SELECT event_id, event_type, {r('prediction', 4)} AS prediction FROM votes JOIN scored USING (k0, rid)",
         "forest_trials": f"""{trial_errors} SELECT k0 AS l_partkey, trial, n_estimators,
   coalesce(max_depth::VARCHAR, 'unlimited') AS max_depth, min_samples_split,
   min_samples_leaf, {r('sqrt(mse)', 2)} AS rmse FROM tried JOIN plan USING (k0, trial)""",

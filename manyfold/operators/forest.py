@@ -23,7 +23,7 @@ from manyfold.operators.split import BUCKET, HELD, ORDER, SplitRows, bucket_by_k
 from manyfold.schema import ERROR, HYPERPARAMETERS, SUCCESS, TOO_SMALL
 
 # Pairs of a row and a tree that are grown together in one task; bounds the memory of a bucket job.
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -287,7 +287,7 @@ def fit_buckets(split: SplitRows, p, settings, plan, min_rows, seed, max_bins, k
     rows = split.cold.groupBy(BUCKET)
     if plan is None:
         return rows.applyInArrow(alone, schema)
-    trials = bucket_by_key(plan, names, split.buckets).groupBy(BUCKET)
+    trials = bucket_by_key(plan, names, split.buckets, split.tasks).groupBy(BUCKET)
     return rows.cogroup(trials).applyInArrow(planned, schema)
 
 

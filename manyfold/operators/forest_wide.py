@@ -20,7 +20,8 @@ from manyfold.functions import trees
 from manyfold.operators.forest_score import PAYLOAD, replicated, route, salted
 from manyfold.operators.linear import data_faults, fault_status
 from manyfold.operators.running import running_totals
-from manyfold.operators.split import HELD, ORDER, SplitRows, bucket_count
+from manyfold.operators.skew import task_count
+from manyfold.operators.split import HELD, ORDER, SplitRows
 from manyfold.schema import ERROR, HYPERPARAMETERS, SUCCESS
 from manyfold.sources.settled import settle
 
@@ -345,7 +346,7 @@ def fit_wide(split: SplitRows, p, settings, plan, min_rows, seed, max_bins, keep
     held = rows.filter(HELD).join(sound.select(*names), names, "left_semi")
     trials = plan.join(parts, names).select(*names, "trial", "parts")
     metrics = held_metrics(
-        held.join(trials, names), models.join(parts, names), names, p, bucket_count(spark, split.sizes.rows, 1_000_000)
+        held.join(trials, names), models.join(parts, names), names, p, task_count(spark, split.sizes.rows, 1_000_000)
     )
     full = plan.join(facts, names).join(models, [*names, "trial"], "left").join(metrics, [*names, "trial"], "left")
     grown = F.when(F.col("mse").isNull(), F.lit(ERROR + "no tree could be grown")).otherwise(F.lit(SUCCESS))

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from manyfold.functions.keys import KeyCode
 
 # At most this many groups can reach 1/MAX_HOT of all rows, which bounds every broadcast of hot keys.
-MAX_HOT = 100_000
+MAX_HOT = 250_000
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,14 @@ class Sizes:
     limit: int
     hot: DataFrame | None  # coded keys, n, parts; never more than MAX_HOT rows
 
+# More tasks than this cost the scheduler more than they give.
+MAX_TASKS = 100_000
+
+
+def task_count(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Enough tasks to keep all cores busy, and more when the rows would not fit them."""
+    return min(MAX_TASKS, max(4 * spark.sparkContext.defaultParallelism, -(-rows // rows_per_task)))
+
 
 def group_sizes(df: DataFrame, code: KeyCode) -> DataFrame:
     return df.select(*code.coded()).groupBy(*code.names).agg(F.count(F.lit(1)).alias("n"))

@@ -10,12 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from manyfold.functions.draws import order_hash
 from manyfold.functions.features import check_columns, check_numeric, filled
 from manyfold.functions.keys import KeyCode
-from manyfold.operators.skew import Sizes, measure, only, spread_copies, without
+from manyfold.operators.skew import Sizes, measure, only, spread_copies, task_count, without
 from manyfold.sources.settled import settle
 
 ORDER = "_h"
@@ -33,6 +33,7 @@ class SplitRows:
     sizes: Sizes
     groups: DataFrame  # coded keys, one row per group
     buckets: int = 0  # when set, cold rows carry their bucket and are partitioned by it
+    tasks: int = 0
 
     def parts(self) -> list[tuple[DataFrame, bool]]:
         return [(self.cold, False)] + ([(self.hot, True)] if self.hot is not None else [])
@@ -75,15 +76,14 @@ def held_count(n: Column, fraction: float) -> Column:
     return F.ceil(F.lit(float(fraction)) * n)
 
 
-def bucket_by_key(rows: DataFrame, names: list[str], buckets: int) -> DataFrame:
-    """Deal whole groups into ``buckets`` tasks; windows and grouped maps below it need no other shuffle."""
-    number = F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int")
-    return rows.withColumn(BUCKET, number).repartition(buckets, BUCKET)
+# Rows that a bucket job holds at a time, unless a single group has more.
+ROWS_PER_BUCKET = 50_000
 
 
-def bucket_count(spark: SparkSession, rows: int, rows_per_bucket: int) -> int:
-    """Enough buckets to keep all cores busy, and more when the rows would not fit them."""
-    return max(4 * spark.sparkContext.defaultParallelism, -(-rows // rows_per_bucket))
+def bucket_by_key(rows: DataFrame, names: list[str], buckets: int, tasks: int | None = None) -> DataFrame:
+    """Deal whole groups into buckets, and these to tasks; windows and grouped maps need no other shuffle."""
+    number = F.pmod(F.xxhash64(*names), F.lit(buckets)).cast("int")
+    return rows.withColumn(BUCKET, number).repartition(min(buckets, tasks or buckets), BUCKET)
 
 
 def _by_window(rows: DataFrame, group: list[str], order: list[str], fraction: float) -> DataFrame:
@@ -168,16 +168,17 @@ def split_rows(
     rows, code = observations(df, keys, target, features, row_key, seed, fill)
     sizes = measure(df, code, rows_per_task)
     order = [ORDER, *feature_slots(features), "y"]
-    cold, hot, group, buckets = rows, None, code.names, 0
+    cold, hot, group, buckets, tasks = rows, None, code.names, 0, 0
     if sizes.hot is not None:
         sizes = replace(sizes, hot=settle(sizes.hot, "hot"))
         cold = without(rows, sizes.hot, code.names)
         hot = _by_threshold(rows, sizes.hot, code, order, fraction)
     if bucketed:
-        buckets = bucket_count(df.sparkSession, sizes.rows, rows_per_task)
-        cold, group = bucket_by_key(cold, code.names, buckets), [BUCKET, *code.names]
+        tasks = task_count(df.sparkSession, sizes.rows, 20 * ROWS_PER_BUCKET)
+        buckets = max(tasks, -(-sizes.rows // ROWS_PER_BUCKET))
+        cold, group = bucket_by_key(cold, code.names, buckets, tasks), [BUCKET, *code.names]
     groups = df.select(*code.coded()).distinct()
-    return SplitRows(_by_window(cold, group, order, fraction), hot, code, sizes, groups, buckets)
+    return SplitRows(_by_window(cold, group, order, fraction), hot, code, sizes, groups, buckets, tasks)
 
 
 def holdout_split(

@@ -28,7 +28,7 @@ def train(
     max_depth: int | None = None,
     min_samples_split: int = 2,
     min_samples_leaf: int = 1,
-    max_bins: int = 64,
+    max_bins: int = 256,
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Train one model per key. A group that is too small or cannot be fitted gives a row with a status.
@@ -45,7 +45,7 @@ def train(
         from manyfold.operators.forest import ForestSettings, train_forest
 
         settings = ForestSettings(n_estimators, max_depth, min_samples_split, min_samples_leaf)
-        size = rows_per_task or 50_000
+        size = rows_per_task or 1_000_000
         split = split_rows(df, keys, target, features, row_key, seed, fraction, fill, size, bucketed=True)
         fitted = train_forest(split, features, settings, min_rows, seed, max_bins)
         return conform(fitted, schema)

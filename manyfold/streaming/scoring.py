@@ -39,8 +39,10 @@ def write_scores(
     else:
 
         def write(batch: DataFrame, number: int) -> None:
+            batch.persist()  # scoring looks at the keys before it scores, and a source may be read only once
             answers = score(batch, models, keys, "forest", on_unknown, **options)
             answers.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+            batch.unpersist()
 
         writer = stream.writeStream.foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)

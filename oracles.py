@@ -44,7 +44,7 @@ obs AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order})
   <= ceil(0.2::DOUBLE * count(*) OVER (PARTITION BY {group})) AS held FROM raw)"""
 
 
-def linear_fit(p, m, min_rows=10, alpha=None, per_trial=False):
+def linear_fit(p, m, min_rows=10, alpha=None):
     """Coefficients w0.. and intercept b per key, by Cramer's rule on centred moments of the training rows."""
     fit = "FILTER (WHERE NOT held)"
     group = listed(m, "k{i}")
@@ -81,9 +81,11 @@ def linear_fit(p, m, min_rows=10, alpha=None, per_trial=False):
     return stats, f"{solved},\n{fits}"
 
 
-def linear_models(p, m, min_rows=10):
+def linear_models(p, m, min_rows=10, alpha=None):
     """One row per key: n, status, rmse, mse, mae, b and w0..; null where there is no model."""
-    stats, fits = linear_fit(p, m, min_rows)
+    stats, fits = linear_fit(p, m, min_rows, alpha)
+    if alpha is not None:
+        stats += f",\nplanned AS (SELECT *, {alpha}::DOUBLE AS alpha FROM stats)"
     group = listed(m, "k{i}")
     on = listed(m, "f.k{i} IS NOT DISTINCT FROM o.k{i}", " AND ")
     predicted = "f.b + " + listed(p, "f.w{i} * o.x{i}", " + ")
@@ -211,6 +213,11 @@ votes AS (SELECT {listed(m, 'a.k{i}')}, a.trial, a.rid, avg(a.mean / 4294967296.
   FROM (SELECT * FROM ends JOIN leaves USING ({unit}, node)) a JOIN sizes z ON {on_key} GROUP BY {listed(m, 'a.k{i}')}, a.trial, a.rid)"""
 
 
+def train_ridge(source, key, target, features, row_key, alpha):
+    models, _ = linear_models(len(features), len(key), alpha=alpha)
+    return f"WITH {observations(source, key, target, features, row_key)},\n{models}\n{model_listing(key, features)}"
+
+
 def forest_models(key, **arguments):
     """One row per key with the hold-out error of its forest."""
     m = len(key)
@@ -228,7 +235,7 @@ FROM sizes z LEFT JOIN errors e ON {on}"""
 def ridge_trials(source, key, target, features, row_key, alphas, trials):
     """CTEs up to ``tried``: the validation error of every (key, trial), measured row by row."""
     p, m = len(features), len(key)
-    stats, fits = linear_fit(p, m, alpha="alpha")
+    stats, fits = linear_fit(p, m, alpha=True)
     plan = trial_draws([("alpha", alphas)], "k0", "stats", trials)
     on = listed(m, "f.k{i} = o.k{i}", " AND ")
     err = "(o.y - (f.b + " + listed(p, "f.w{i} * o.x{i}", " + ") + "))"
