@@ -14,11 +14,15 @@ from pyspark.sql.functions import pandas_udf
 
 from manyfold.functions.metrics import error_metrics
 from manyfold.operators.split import HELD, SplitRows
+from manyfold.operators.wide_moments import streamed_moments
 from manyfold.schema import ERROR, SUCCESS, TOO_SMALL
 
 # A feature counts as constant, and a system as singular, below this share of its scale.
 TOLERANCE = 1e-12
 
+# Above this, one aggregate expression per pair of features is slower than streaming the rows.
+MANY_FEATURES = 12
+
 # The text form of a linear model inside model_bytes; Catalyst writes and reads it without Python.
 MODEL_JSON = "struct<intercept:double,coefficients:array<double>>"
 
@@ -104,6 +108,22 @@ def _solve(n: pd.Series, cxx: pd.Series, cxy: pd.Series, mean: pd.Series, alpha:
     return pd.Series([None if np.isnan(row).any() else row for row in w])
 
 
+@pandas_udf(T.DoubleType())
+def held_error_batch(
+    coef: pd.Series, intercept: pd.Series, mean: pd.Series, ymean: pd.Series, cxx: pd.Series, cxy: pd.Series, cyy: pd.Series
+) -> pd.Series:
+    """The mean squared error of each fit on rows known by their centred sums."""
+
+    def one(w, b, m, my, full, cross, var):
+        if w is None:
+            return np.nan
+        i, j = np.triu_indices(len(w))
+        bend = (np.where(i == j, 1.0, 2.0) * w[i] * w[j] * full).sum()
+        return max(0.0, var - 2.0 * w @ cross + bend + (my - b - w @ m) ** 2)
+
+    return pd.Series([one(*row) for row in zip(coef, intercept, mean, ymean, cxx, cxy, cyy)], dtype=float)
+
+
 def coefficients(p: int, alpha: Column) -> Column:
     """The fitted slopes as an array, null for a singular system."""
     if p > 1:
@@ -125,7 +145,10 @@ def with_intercept(stats: DataFrame, p: int) -> DataFrame:
     return stats.withColumn("intercept", F.col("fit_ymean") - dot(slopes, p, lambda i: F.col("fit_mean")[i]))
 
 
-def group_moments(rows: DataFrame, names: list[str], p: int, held_too: bool = False) -> DataFrame:
+def group_moments(rows: DataFrame, names: list[str], p: int, hot: bool, held_too: bool = False) -> DataFrame:
+    if p > MANY_FEATURES:
+        faults = rows.groupBy(*names).agg(*data_faults(p))
+        return faults.join(streamed_moments(rows, names, p, hot), names)
     held = moments(F.col(HELD), p, "held") if held_too else []
     return rows.groupBy(*names).agg(*data_faults(p), *moments(~F.col(HELD), p, "fit"), *held)
 
@@ -149,7 +172,7 @@ def linear_rows(split: SplitRows, features: list[str], alpha: Column, min_rows:
     names = split.code.names
     result = None
     for rows, hot in split.parts():
-        stats = group_moments(rows, names, p).withColumn("fault", fault_status(min_rows))
+        stats = group_moments(rows, names, p, hot).withColumn("fault", fault_status(min_rows))
         part = fit_from_moments(stats, p, alpha, names)
         part = fit_metrics(rows, part, names, p, hot)
         result = part if result is None else result.unionByName(part)

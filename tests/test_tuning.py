@@ -123,3 +123,28 @@ def test_guided_proposals_follow_the_good_trials(spark):
     assert plan.count() == 40 and plan.columns == [*code.names, "trial", *space]
     assert plan.agg(F.min("n_estimators"), F.max("n_estimators")).first()[0] >= 1
     assert plan.agg(F.avg("n_estimators")).first()[0] < 0.5 * history.agg(F.avg("n_estimators")).first()[0]
+
+
+@pytest.mark.parametrize("rows_per_task", [1000, 30])
+def test_many_features(spark, synth, monkeypatch, rows_per_task):
+    """Streamed sums give the models that one aggregate per pair of features gives."""
+    from manyfold.operators import linear
+
+    def results():
+        arguments = dict(row_key=ROW_KEY, rows_per_task=rows_per_task)
+        plain = mf.train(synth, ["sku_id"], "sales", FEATURES, "linear", **arguments)
+        tuned = mf.tune(synth, ["sku_id"], "sales", FEATURES, estimator="ridge", **arguments)
+        return [
+            [(r.sku_id, r.status, r.num_rows, round(r.rmse, 8), round(r.mae, 8)) for r in m.orderBy("sku_id").collect()]
+            for m in (plain, tuned)
+        ]
+
+    pairs = results()
+    monkeypatch.setattr(linear, "MANY_FEATURES", 2)
+    monkeypatch.setattr("manyfold.operators.tune.MANY_FEATURES", 2)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        assert results() == pairs
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
