@@ -13,6 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import manyfold as mf  # noqa: E402
 import oracles as o  # noqa: E402
+from manyfold.functions.keys import KeyCode  # noqa: E402
+from manyfold.operators.forest_tune import guided_plan  # noqa: E402
 from manyfold.operators.linear import MODEL_JSON  # noqa: E402
 from manyfold.sources.settled import shared_folder  # noqa: E402
 
@@ -370,6 +372,20 @@ def tune_forest_guided(spark, folder):
     ).drop("model_bytes")
 
 
+def guided_proposals(spark, folder):
+    """What the guided search tries next, after ten trials of every customer."""
+    trials = mf.evaluate_trials(
+        orders(spark, folder), ["o_custkey"], "o_totalprice", ["order_day", "priority"], SMALL_FOREST, 10, "forest",
+        row_key=["o_orderkey"],
+    )
+    code = KeyCode(trials.schema, ["o_custkey"])
+    history = trials.filter(F.col("rmse").isNotNull()).select(
+        *code.coded(), "trial", *SMALL_FOREST, places(F.col("rmse"), 2).alias("rmse")
+    )
+    plan = guided_plan(history, code, SMALL_FOREST, 10, 42)
+    return depth_label(plan.select(*code.restored(), "trial", *SMALL_FOREST))
+
+
 def score_stream(spark, folder):
     """The events as a stream, each scored by the model of its type."""
     keys, features = ["event_type"], ["user_id", "k"]
@@ -416,7 +432,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         train_missing_target, train_linear_hot, status_summary, run_metrics, review_models, successful_models,
         score_linear, evaluate_scores, score_unknown_null, unknown_keys, score_small_batch, trial_plan, ridge_trials,
         best_trial, tune_ridge, train_ridge, tune_ridge_hot, input_example, preview, key_label, conform, synth_rows, train_synth, train_forest,
-        train_forest_small_groups, train_forest_hot, score_forest, score_forest_hot, forest_trials, tune_forest, tune_forest_guided,
+        train_forest_small_groups, train_forest_hot, score_forest, score_forest_hot, forest_trials, tune_forest, guided_proposals,
+        tune_forest_guided,
         score_stream, bundle_scores, metrics_file,
     ]
     return {q.__name__: q for q in registered}
@@ -595,6 +612,21 @@ FROM lineitem GROUP BY 1""",
 best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY sqrt(mse), trial) = 1)
 SELECT k0 AS l_partkey, n AS num_rows, 'success' AS status, {r('sqrt(mse)', 2)} AS rmse, {r('mse', 0)} AS mse,
   {r('mae', MAE_PLACES)} AS mae FROM best JOIN sizes USING (k0)""",
+        "guided_proposals": o.guided_proposals(
+            o.forest(
+                key=["o_custkey"],
+                source=ORDERS_SQL,
+                target="o_totalprice",
+                features=["order_day", "priority"],
+                row_key=["o_orderkey"],
+                trees=12,
+                space=small_space,
+                trials=10,
+            ),
+            "o_custkey",
+            small_space,
+            10,
+        ),
         "score_stream": f"""{o.linear_ctes(EVENTS_SQL, ['event_type'], 'value', ['user_id'], ['event_id'], ['event_id', 'event_type'])}
 SELECT event_id, event_type, {r('m.b + m.w0 * o.x0', 4)} AS prediction FROM obs o JOIN models m ON m.k0 = o.k0""",
         "bundle_scores": customer_scores,

@@ -38,10 +38,12 @@ def candidate(param, good: Column, seed: int, *parts) -> Column:
     centre = F.get(good, pick)
     if isinstance(param, Choice):
         # A good choice is taken as it is; any other choice comes from the uniform share.
-        return F.coalesce(centre, F.floor(anywhere * F.lit(_width(param))))
+        return F.when(centre.isNotNull(), centre).otherwise(F.floor(anywhere * F.lit(_width(param))))
     near = F.round(centre + _bandwidth(param, good) * normal(seed, *parts, F.lit("step")))
     inside = F.greatest(F.lit(float(param.low)), F.least(F.lit(float(param.high)), near))
-    return F.coalesce(inside, F.lit(float(param.low)) + F.floor(anywhere * F.lit(_width(param))))
+    return F.when(centre.isNotNull(), inside).otherwise(
+        F.lit(float(param.low)) + F.floor(anywhere * F.lit(_width(param)))
+    )
 
 
 def density(param, value: Column, seen: Column) -> Column:

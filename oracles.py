@@ -247,3 +247,56 @@ planned AS ({plan}),
 tried AS (SELECT {group}, f.trial, any_value(f.alpha) AS alpha, any_value(f.n) AS n, any_value(f.b) AS b,
   {listed(p, 'any_value(f.w{i}) AS w{i}')}, avg({err} * {err}) AS mse, avg(abs{err}) AS mae
   FROM fits f JOIN obs o ON {on} AND o.held GROUP BY {group}, f.trial)"""
+
+
+def guided_proposals(forest_ctes, key, space, trial):
+    """The next trial of each key from its trials so far, the one best of them being the good share."""
+    codes, sides, tries, scores, chosen = [], [], [], [], []
+    for name, *rest in space:
+        whole = len(rest) == 2
+        low, high = (rest[0], rest[1]) if whole else (0, len(rest[0]) - 1)
+        width = f"{high - low + 1}.0::DOUBLE"
+        if whole:
+            code = f"{name}::DOUBLE"
+        else:
+            options = " ".join(f"WHEN {name} IS NOT DISTINCT FROM {'NULL' if v is None else v} THEN {i}" for i, v in enumerate(rest[0]))
+            code = f"(CASE {options} END)::DOUBLE"
+        codes.append(f"{code} AS c_{name}")
+        for side, condition in (("g", "good"), ("r", "NOT good")):
+            sides.append(f"list(c_{name} ORDER BY c_{name}) FILTER (WHERE {condition}) AS {side}_{name}")
+        draw = ["k0", str(trial), f"'{name}'", "i"]
+        centre = f"g_{name}[floor({uniform(*draw, chr(39) + 'pick' + chr(39))} * (len(g_{name}) + 1.0))::INTEGER + 1]"
+        anywhere = f"{low}.0::DOUBLE + floor({uniform(*draw, chr(39) + 'any' + chr(39))} * {width})"
+        near = centre
+        if whole:
+            step = [*draw, "'step'"]
+            radius, angle = uniform(*step, "'r'"), uniform(*step, "'a'")
+            z = f"(sqrt(-2.0 * ln(1.0 - {radius})) * cos(6.283185307179586 * {angle}))"
+            near = f"greatest({low}.0, least({high}.0, round({centre} + {width} / least(100.0, len(g_{name}) + 1.0) * {z})))"
+        tries.append(f"CASE WHEN {centre} IS NOT NULL THEN {near} ELSE {anywhere} END AS v_{name}")
+
+        def density(side):
+            seen = f"{side}_{name}"
+            if whole:
+                h = f"({width} / least(100.0, len({seen}) + 1.0))"
+                bumps = f"list_sum([exp(-(v_{name} - s) * (v_{name} - s) / (2.0 * {h} * {h})) / ({h} * 2.5066282746310002) for s in {seen}])"
+                return f"((1.0 / {width} + {bumps}) / (len({seen}) + 1.0))"
+            return f"((len([s for s in {seen} if s = v_{name}]) + 1.0 / {width}) / (len({seen}) + 1.0))"
+
+        scores.append(f"{density('g')} / {density('r')} AS q_{name}")
+        best = f"first(v_{name} ORDER BY q_{name} DESC, i)"
+        if whole:
+            chosen.append(f"{best}::BIGINT AS {name}")
+        else:
+            text = any(v is None for v in rest[0])
+            values = ", ".join("'unlimited'" if v is None else f"'{v}'" if text else str(v) for v in rest[0])
+            chosen.append(f"([{values}])[{best}::INTEGER + 1]{'' if text else '::BIGINT'} AS {name}")
+    return f"""{forest_ctes},
+errors AS (SELECT k0, trial, {rounded('sqrt(avg((y - prediction) * (y - prediction)))', 2)} AS rmse
+  FROM votes JOIN scored USING (k0, rid) GROUP BY k0, trial),
+ranked AS (SELECT k0, {', '.join(codes)}, row_number() OVER (PARTITION BY k0 ORDER BY rmse, trial) = 1 AS good
+  FROM errors JOIN plan USING (k0, trial)),
+sides AS (SELECT k0, {', '.join(sides)} FROM ranked GROUP BY k0),
+tries AS (SELECT *, {', '.join(tries)} FROM (SELECT *, unnest(range(24)) AS i FROM sides)),
+judged AS (SELECT *, {', '.join(scores)} FROM tries)
+SELECT k0 AS {key}, {trial}::BIGINT AS trial, {', '.join(chosen)} FROM judged GROUP BY k0"""
