@@ -85,17 +85,22 @@ def binned(rows: DataFrame, p: int, max_bins: int) -> DataFrame:
     return result
 
 
-def drawn_weight(seed: int, count: int) -> Column:
-    """The bootstrap weight of a row in tree ``tree``, the same linear hash as in the bucket jobs."""
+def drawn_point(seed: int, count: int) -> Column:
+    """Where a row falls for tree ``tree``, by the same linear hash as in the bucket jobs."""
     numbers = [trees.tree_numbers(seed, t) for t in range(count)]
     at = F.col("tree") + 1
     a = F.element_at(F.array(*[F.lit(n[0]).cast("long") for n in numbers]), at)
     b = F.element_at(F.array(*[F.lit(n[1]).cast("long") for n in numbers]), at)
-    point = (a * (F.col(ORDER) % F.lit(trees.PRIME)) + b) % F.lit(trees.PRIME)
-    weight = F.lit(0)
-    for k, cut in enumerate(trees.POISSON_CUTS):
-        weight = F.when(point >= F.lit(cut), F.lit(k + 1)).otherwise(weight)
-    return weight
+    return (a * (F.col(ORDER) % F.lit(trees.PRIME)) + b) % F.lit(trees.PRIME)
+
+
+def drawn_weight(point: Column) -> Column:
+    """The bootstrap weight at a point that is not below the first cut; small weights are found first."""
+    cuts = trees.POISSON_CUTS
+    weight = F.when(point < F.lit(cuts[1]), F.lit(1))
+    for k, cut in enumerate(cuts[2:], start=2):
+        weight = weight.when(point < F.lit(cut), F.lit(k))
+    return weight.otherwise(F.lit(len(cuts))).cast("long")
 
 
 def tree_cells(fit_rows: DataFrame, names: list[str], p: int, max_bins: int, seed: int, count: int) -> DataFrame:
@@ -106,8 +111,9 @@ def tree_cells(fit_rows: DataFrame, names: list[str], p: int, max_bins: int, see
         binned(fit_rows, p, max_bins)
         .select(*names, *slots, ORDER, grid.alias("q"))
         .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
-        .withColumn("w", drawn_weight(seed, count).cast("long"))
-        .filter(F.col("w") > 0)
+        .withColumn("_point", drawn_point(seed, count))
+        .filter(F.col("_point") >= F.lit(trees.POISSON_CUTS[0]))
+        .withColumn("w", drawn_weight(F.col("_point")))
     )
     return pairs.groupBy(*names, "tree", *slots).agg(
         F.count(F.lit(1)).alias("c"),
