@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from manyfold.functions.draws import order_hash
 from manyfold.functions.features import check_columns, check_numeric, filled
 from manyfold.functions.keys import KeyCode
+from manyfold.operators.running import running_totals
 from manyfold.operators.skew import Sizes, measure, only, spread_copies, task_count, without
 from manyfold.sources.settled import settle
 
@@ -137,10 +138,9 @@ def _by_threshold(rows: DataFrame, hot: DataFrame, code: KeyCode, order: list[st
     # Rows with one row key straddle the cut: count their copies, share the quota, write the copies out again.
     tied = placed.filter((F.col(ORDER) == F.col("_cut")) & ~whole_ties)
     copies = tied.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("c"), F.first("_take").alias("_take"))
-    running = Window.partitionBy(*names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("c").over(running), F.lit(0))
+    placed_copies = running_totals(copies.withColumn("_order", F.struct(*order)), names, "_order", {"_before": "c"})
     held = F.greatest(F.lit(0), F.least(F.col("c"), F.col("_take") - F.col("_before")))
-    shared = copies.withColumn("_before", before).withColumn("_in", held)
+    shared = placed_copies.withColumn("_in", held)
     shares = shared.select(
         *rows.columns,
         F.explode(

@@ -16,11 +16,19 @@ RANGES = {"feat_1": (10.0, 100.0), "feat_2": (5.0, 50.0), "feat_3": (1.0, 20.0)}
 WEIGHTS = {"feat_1": 2.5, "feat_2": 1.8, "feat_3": 3.2}
 NOISE = 20.0
 
+PIECE = 100_000
+
 
 def synth_rows(groups: DataFrame, keys: list[str], rows: int = 100, seed: int = 42) -> DataFrame:
-    """``rows`` observations for every key of ``groups``, with their number as ``row_id``."""
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"))
-    numbered = groups.select(*keys, F.explode(numbers).alias("row_id"))
+    """``rows`` observations for every key of ``groups``, with their number as ``row_id``.
+
+    Keys and pieces of ``PIECE`` rows are dealt to all tasks first, so a short list of keys is no bottleneck.
+    """
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = F.sequence(F.lit(0).cast("long"), F.lit(rows - 1).cast("long"), F.lit(PIECE).cast("long"))
+    pieces = groups.select(*keys, F.explode(firsts).alias("_first")).repartition(tasks, *keys, "_first")
+    last = F.least(F.col("_first") + F.lit(PIECE - 1), F.lit(rows - 1).cast("long"))
+    numbered = pieces.select(*keys, F.explode(F.sequence(F.col("_first"), last)).alias("row_id"))
     label, row = key_label(keys), F.col("row_id")
     features = numbered.withColumns(
         {

@@ -216,3 +216,15 @@ def test_faults_of_hot_groups(spark):
 def test_bucket_holds_whole_groups(spark, synth):
     split = split_rows(synth, ["sku_id"], "sales", FEATURES, ROW_KEY, rows_per_task=50_000, bucketed=True)
     assert split.cold.groupBy("_k0").agg(F.countDistinct("_bucket").alias("n")).filter("n > 1").count() == 0
+
+
+def test_split_with_a_row_key_that_tells_nothing_apart(spark, synth):
+    """All rows of a hot group share one hash; their order is then that of their values."""
+    one = synth.withColumn("nothing", F.lit(1))
+
+    def split(rows_per_task):
+        return mf.holdout_split(one, ["sku_id"], "sales", FEATURES, ["nothing"], rows_per_task=rows_per_task)
+
+    whole, parted = split(1000), split(20)
+    assert whole.exceptAll(parted).count() == 0 and parted.exceptAll(whole).count() == 0
+    assert parted.filter("is_validation").count() == 6 * 16
