@@ -67,7 +67,7 @@ def places(column, n: int):
     return F.round(column, n) + F.lit(0.0)
 
 
-def listing(models: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
+def listing(models: DataFrame, keys: list[str], features: list[str], chosen: list[str] = ()) -> DataFrame:
     """A linear model table in readable numbers."""
     body = F.from_json(F.decode("model_bytes", "UTF-8"), MODEL_JSON)
     parsed = models.withColumn("m", body)
@@ -80,6 +80,7 @@ def listing(models: DataFrame, keys: list[str], features: list[str]) -> DataFram
         places(F.col("mae"), MAE_PLACES).alias("mae"),
         places(F.col("m.intercept"), 2).alias("intercept"),
         *[places(F.col("m.coefficients")[i], 4).alias(f"w{i}") for i in range(len(features))],
+        *chosen,
     )
 
 
@@ -245,7 +246,7 @@ def tune_ridge(spark, folder):
     lines = table(spark, folder, "lineitem")
     row_key = [*LINE_KEY, "l_partkey"]
     models = mf.tune(lines, ["l_suppkey"], PRICE, LINE_FEATURES, estimator="ridge", row_key=row_key)
-    return listing(models, ["l_suppkey"], LINE_FEATURES).join(models.select("l_suppkey", "alpha"), "l_suppkey")
+    return listing(models, ["l_suppkey"], LINE_FEATURES, ["alpha"])
 
 
 def train_ridge(spark, folder):
@@ -257,8 +258,7 @@ def tune_ridge_hot(spark, folder):
         events(spark, folder), ["event_type"], "value", ["user_id", "k", "event_id"],
         {"alpha": mf.Choice(1e3, 1e5, 1e7)}, 4, "ridge", row_key=["event_id"], rows_per_task=400,
     )
-    shown = listing(models, ["event_type"], ["user_id", "k", "event_id"])
-    return shown.join(models.select("event_type", "alpha"), "event_type")
+    return listing(models, ["event_type"], ["user_id", "k", "event_id"], ["alpha"])
 
 
 def input_example(spark, folder):

@@ -156,11 +156,12 @@ def group_moments(rows: DataFrame, names: list[str], p: int, hot: bool, held_too
 def fit_metrics(rows: DataFrame, fits: DataFrame, names: list[str], p: int, hot: bool) -> DataFrame:
     """Model rows with their hold-out error. Every group has a validation row, so no key is lost.
 
-    Cold rows are already partitioned by key; the fits of hot keys are few enough to be broadcast.
+    Cold rows are already partitioned and sorted by key, so a merge join moves only the fits; the fits of
+    hot keys are few enough to be broadcast.
     """
     carried = [c for c in fits.columns if c not in names]
     held = rows.filter(HELD).select(*names, *[f"x{i}" for i in range(p)], "y")
-    joined = held.join(F.broadcast(fits) if hot else fits, names)
+    joined = held.join(fits.hint("broadcast" if hot else "merge"), names)
     predicted = F.col("intercept") + dot(F.col("coef"), p, lambda i: F.col(f"x{i}"))
     measured = [m for m in error_metrics(F.col("y"), predicted)]
     return joined.groupBy(*names).agg(*measured, *[F.first(c).alias(c) for c in carried])
