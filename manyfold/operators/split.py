@@ -53,24 +53,12 @@ def feature_slots(features: list[str]) -> list[str]:
 
 
 def observations(
-    df: DataFrame,
-    keys: list[str],
-    target: str,
-    features: list[str],
-    row_key: list[str] | None = None,
-    seed: int = 42,
-    fill: float | None = 0.0,
-) -> tuple[DataFrame, KeyCode]:
-    """Only the columns a training needs, so that nothing else is read or shuffled."""
-    row_key = list(row_key or df.columns)
-    check_columns(df, [*keys, target, *features, *row_key])
-    check_numeric(df, [target, *features])
-    if not features:
-        raise ValueError("no feature columns")
-    code = KeyCode(df.schema, keys)
+    keyed: DataFrame, names: list[str], target: str, features: list[str], row_key: list[str], seed: int, fill: float | None
+) -> DataFrame:
+    """Only the columns a training needs, so that nothing else is shuffled: keys, x0.., y and the order hash."""
     slots = [filled(F.col(c), fill).alias(x) for c, x in zip(features, feature_slots(features))]
     hashed = order_hash(seed, *[F.col(c) for c in row_key]).alias(ORDER)
-    return df.select(*code.coded(), *slots, F.col(target).cast("double").alias("y"), hashed), code
+    return keyed.select(*names, *slots, F.col(target).cast("double").alias("y"), hashed)
 
 
 def held_count(n: Column, fraction: float) -> Column:
@@ -165,14 +153,26 @@ def split_rows(
     rows_per_task: int = 1_000_000,
     bucketed: bool = False,
 ) -> SplitRows:
-    rows, code = observations(df, keys, target, features, row_key, seed, fill)
+    row_key = list(row_key or df.columns)
+    check_columns(df, [*keys, target, *features, *row_key])
+    check_numeric(df, [target, *features])
+    if not features:
+        raise ValueError("no feature columns")
+    code = KeyCode(df.schema, keys)
     sizes = measure(df, code, rows_per_task)
     order = [ORDER, *feature_slots(features), "y"]
-    cold, hot, group, buckets, tasks = rows, None, code.names, 0, 0
+    keyed = df.select(*code.coded(), *dict.fromkeys([*features, target, *row_key]))
+
+    def observed(part: DataFrame) -> DataFrame:
+        return observations(part, code.names, target, features, row_key, seed, fill)
+
+    cold, hot, group, buckets, tasks = observed(keyed), None, code.names, 0, 0
     if sizes.hot is not None:
+        # The parts are told apart by key before anything is computed from a row.
         sizes = replace(sizes, hot=settle(sizes.hot, "hot"))
-        cold = without(rows, sizes.hot, code.names)
-        hot = _by_threshold(rows, sizes.hot, code, order, fraction)
+        cold = observed(without(keyed, sizes.hot, code.names))
+        hot_rows = observed(only(keyed, sizes.hot.select(*code.names), code.names))
+        hot = _by_threshold(hot_rows, sizes.hot, code, order, fraction)
     if bucketed:
         tasks = task_count(df.sparkSession, sizes.rows, 20 * ROWS_PER_BUCKET)
         buckets = max(tasks, -(-sizes.rows // ROWS_PER_BUCKET))
