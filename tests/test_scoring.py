@@ -139,3 +139,17 @@ def test_evaluate_skips_rows_without_truth(spark):
     rows = [("a", 1.0, 2.0), ("a", None, 2.0), ("a", 3.0, None)]
     errors = mf.evaluate(spark.createDataFrame(rows, "k string, y double, prediction double"), ["k"], "y").first()
     assert errors.num_scored == 1 and errors.mse == 1.0
+
+
+def test_any_column_passes_through_a_hot_key(spark, synth, models):
+    rows = synth.withColumns(
+        {
+            "tags": F.create_map(F.lit("a"), F.col("row_id")),
+            "list": F.array("feat_1"),
+            "when": F.lit("2024-01-01").cast("timestamp"),
+            "a name": F.lit(1),
+        }
+    )
+    scored = mf.score(rows, models["forest"], ["sku_id"], rows_per_task=30)
+    assert [f.dataType for f in scored.schema.fields[:-1]] == [f.dataType for f in rows.schema.fields]
+    assert scored.count() == rows.count() and scored.filter("tags['a'] <> row_id").count() == 0
