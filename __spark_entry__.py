@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import sys
 import uuid
@@ -17,6 +18,16 @@ from manyfold.functions.keys import KeyCode  # noqa: E402
 from manyfold.operators.forest_tune import guided_plan  # noqa: E402
 from manyfold.operators.linear import MODEL_JSON  # noqa: E402
 from manyfold.sources.settled import shared_folder  # noqa: E402
+from manyfold.sources.shipping import ship  # noqa: E402
+
+try:
+    import corpus_pipeline
+    from manyfold.llm import queries as text_queries
+except ImportError as missing:
+    # Only the absence of the subpackage itself is passed over.
+    if not (missing.name or "").startswith(("manyfold.llm", "corpus_pipeline")):
+        raise
+    text_queries = None
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_suppkey"]
 LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -436,10 +447,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         tune_forest_guided,
         score_stream, bundle_scores, metrics_file,
     ]
-    return {q.__name__: q for q in registered}
+    named = {q.__name__: q for q in registered}
+    if text_queries:
+        named |= {**text_queries.QUERIES, "pipeline": corpus_pipeline.run}
+    return {name: shipped(query) for name, query in named.items()}
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query, run after the package was given to the executors, wherever they and the driver were started."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return query(spark, folder)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
+    return table_sql() | (text_queries.SQL if text_queries else {})
+
+
+def table_sql() -> dict[str, str]:
     line = ("lineitem", ["l_partkey"], PRICE, LINE_FEATURES, LINE_KEY)
     supply = ("lineitem", ["l_suppkey"], PRICE, LINE_FEATURES, [*LINE_KEY, "l_partkey"])
     customers = (ORDERS_SQL, ["o_custkey"], "o_totalprice", ["order_day"], ["o_orderkey"])
