@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -11,7 +12,7 @@ import sentencepiece
 SPACE_MARK = "▁"
 SEPARATOR = "\n"
 #: Cached words per Python worker; the cache is emptied when it is full.
-CACHE = 300_000
+CACHE = 500_000
 #: Texts are worked on in groups of about so many characters, so memory does not grow with a batch.
 GROUP_CHARS = 1 << 20
 
@@ -44,7 +45,7 @@ class Lattice:
         self.base = np.concatenate([[0], np.cumsum(sizes + 1)])[:-1]
         self.last = self.base + sizes
         self.size = int(self.last[-1]) + 1 if words else 0
-        flat = np.fromiter((x for match in finder.iter(joined) for x in match), np.int64).reshape(-1, 2)
+        flat = np.fromiter(chain.from_iterable(finder.iter(joined)), np.int64).reshape(-1, 2)
         # A match that ends with character e of the joined text ends at position e + 1.
         self.end, self.piece = flat[:, 0] + 1, flat[:, 1]
         self.length = lengths[self.piece]

@@ -7,8 +7,9 @@ front; paths ending at one place are tried from the earliest start on, and a lat
 strictly higher; a character that is no piece by itself costs ten below the least score and counts a byte piece for
 each of its bytes. Scores in the file are whole numbers, so sums are exact and ties are real.
 
-No piece has the mark after another character, and none has a line feed, so a text falls apart there without any
-change of result; parts that come again are looked up.
+No piece has the mark after another character, none has a line feed, and none goes on after a letter with anything but
+letters (all looked up in the vocabulary), so a text falls apart there without any change of result; parts that come
+again are looked up.
 
 Null and empty texts have no tokens. Every row is counted, repeated ones too.
 """
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +27,17 @@ from pyspark.sql import DataFrame, functions as F
 from manyfold.llm.pieces import CACHE, SPACE_MARK, Lattice, groups, vocabulary
 
 PENALTY = 10.0
-PART = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}\n]+|{SPACE_MARK}+")
+LETTERS = "a-zA-ZÀ-ÖØ-öø-ɏͰ-ϿЀ-ӿ"
+#: Parts of a text between which no piece reaches: before spaces, and between a letter and what is none.
+FINE = re.compile(rf" *[^{LETTERS} \n]*[{LETTERS}]+| *[^{LETTERS} \n]+| +")
+COARSE = re.compile(r" *[^ \n]+| +")
 #: Longer parts are done one character after another instead of many parts side by side.
 LONG = 256
 
 
 def best_counts(path: str, parts: list[str]) -> np.ndarray:
-    """Pieces on the best path of every part."""
+    """Pieces on the best path of every part, in which spaces are spaces."""
+    parts = [p.replace(" ", SPACE_MARK) for p in parts]
     _, scores = vocabulary(path)
     lattice = Lattice(path, parts)
     characters = "\n".join(parts) + "\n"
@@ -69,27 +75,38 @@ def best_counts(path: str, parts: list[str]) -> np.ndarray:
     return count[lattice.last]
 
 
+@lru_cache(maxsize=4)
+def part_pattern(path: str) -> re.Pattern:
+    """How a text may be cut without any change of result, by a look at all pieces of the vocabulary."""
+    pieces, _ = vocabulary(path)
+    if any("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces):
+        raise ValueError("a piece has a line feed, or a space mark after another character")
+    inside = re.compile(f"[{LETTERS}][^{LETTERS}{SPACE_MARK}]")
+    return COARSE if any(inside.search(p) for p in pieces) else FINE
+
+
 def count_tokens(docs: DataFrame, vocabulary_path: str, text: str = "text") -> DataFrame:
     """doc_id and n_tokens of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
+        pattern = part_pattern(vocabulary_path)
         for batch in batches:
             texts, counts = batch.column(1).to_pylist(), []
             for first, last in groups(texts):
-                marked = [SPACE_MARK + t.replace(" ", SPACE_MARK) if t else "" for t in texts[first:last]]
-                parts = [PART.findall(t) for t in marked]
+                some = [" " + t if t else "" for t in texts[first:last]]
+                parts = list(map(pattern.findall, some))
                 new = list(set().union(*parts).difference(known))
                 if len(known) + len(new) > CACHE:
                     known.clear()
                     new = list(set().union(*parts))
                 short = [p for p in new if len(p) <= LONG]
                 for at in range(0, len(short), 20_000):
-                    some = short[at : at + 20_000]
-                    known.update(zip(some, best_counts(vocabulary_path, some).tolist()))
+                    slice_ = short[at : at + 20_000]
+                    known.update(zip(slice_, best_counts(vocabulary_path, slice_).tolist()))
                 long = {p: int(best_counts(vocabulary_path, [p])[0]) for p in new if len(p) > LONG}
                 known.update(long)
-                counts.extend(sum(map(known.__getitem__, p)) + t.count("\n") for t, p in zip(marked, parts))
+                counts.extend(sum(map(known.__getitem__, p)) + t.count("\n") for t, p in zip(some, parts))
                 for p in long:  # few come again, and they are large
                     del known[p]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
