@@ -39,9 +39,9 @@ REPEATS = "doc_id long, text_digest long, units array<struct<unit:long,place:int
 SPANS = "doc_id long, text_digest long, removed array<struct<from:int,to:int>>, kept array<struct<from:int,to:int>>, words int"
 
 
-def units_of(texts: list[bytes]):
+def units_of(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
     """For every text its units: hashes, numbers of words, and first and last character."""
-    out = [([], [], [], []) for _ in texts]
+    found = [[np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4]]
     for numbers, group, starts in pieces(texts, 0):
         words = Words(group)
         n = len(words.start)
@@ -56,22 +56,15 @@ def units_of(texts: list[bytes]):
         first = np.concatenate([[0], last[:-1] + 1])
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(FACTOR, n)[:-1])])
         unit = mixed((sums[last + 1] - sums[first]) * powers(FACTOR_INVERSE, n)[first])
-        # Characters before a byte, within the piece.
+        # Characters before a byte, within the piece; and those of a text before its part in the piece.
         before = np.concatenate([[0], np.cumsum((words.bytes & 0xC0) != 0x80)])
-        begin, end = before[words.start[first]], before[words.end[last]]
+        ahead = np.array([len(texts[k][:at].decode()) if at else 0 for k, at in zip(numbers.tolist(), starts.tolist())])
         owner = words.text[first]
-        bounds = np.searchsorted(owner, np.arange(len(group) + 1))
-        for k, number in enumerate(numbers):
-            own = slice(bounds[k], bounds[k + 1])
-            shift = len(texts[number][: starts[k]].decode()) if starts[k] else 0
-            shift -= before[words.offsets[k]]
-            parts = out[number]
-            parts[0].append(unit[own])
-            parts[1].append((last - first + 1)[own])
-            parts[2].append(begin[own] + shift)
-            parts[3].append(end[own] + shift)
-    none = np.empty(0, np.int64)
-    return [tuple(np.concatenate(p) if p else none for p in parts) for parts in out]
+        shift = ahead[owner] - before[words.offsets[owner]]
+        found.append([unit, numbers[owner], last - first + 1, before[words.start[first]] + shift, before[words.end[last]] + shift])
+    unit, number, *rest = (np.concatenate(x) for x in zip(*found))
+    bounds = np.searchsorted(number, np.arange(len(texts) + 1))
+    return [(unit[a:b], *(x[a:b] for x in rest)) for a, b in zip(bounds[:-1], bounds[1:])]
 
 
 def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
