@@ -26,7 +26,7 @@ from manyfold.sources.settled import settle
 MIN_WORDS = 30
 #: One word in so many ends a unit by its hash.
 CUT = 32
-BITS = 27
+BITS = 25
 LAST = (1 << 63) - 1
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?"]] = True
