@@ -93,12 +93,18 @@ def learn(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, max_langua
     """The languages in code point order and p[piece, language], from columns doc_id, text and lang."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    languages = sorted(r.lang for r in sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect())
+    counted = {r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    languages = sorted(counted)
     n_pieces = len(vocabulary(path)[0])
     if not languages:
         return [], np.zeros((n_pieces, 0))
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id", F.xxhash64("text"))
-    ids = rows.select("lang", "doc_id", "text").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
+    # A hash first leaves about twice the sample of every language, however many rows it has; then the exact limit.
+    hash_ = F.xxhash64(F.col("doc_id").cast("string"))
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 2.0 * sample_docs / counted[lang]))])
+    below = F.pmod(hash_, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
+    order = W.partitionBy("lang").orderBy(hash_, "doc_id", F.xxhash64("text"))
+    some = rows.filter(F.col("lang").isin(languages) & below)
+    ids = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +119,7 @@ def learn(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, max_langua
             )
 
     counts = ids.select("lang", "text").mapInArrow(tally, "lang string, word string, n long")
-    counts = settle(counts.filter(F.col("lang").isin(languages)).groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    counts = settle(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     place = {lang: k for k, lang in enumerate(languages)}
     p = np.full((n_pieces, len(languages)), 1.0 / n_pieces)
     spark = docs.sparkSession
