@@ -17,8 +17,9 @@ MAGIC = b"MFT1"
 NO_LIMIT = 1 << 30
 
 # How often a row enters a tree: Poisson(1), as whole-number cuts of the range 0..PRIME.
+# The last cut is the largest number below PRIME: the tail is kept to the resolution of the hash.
 POISSON_CUTS = [
-    math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(11)
+    math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(13)
 ]
 
 

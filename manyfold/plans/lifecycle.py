@@ -33,7 +33,7 @@ def publish(
     bundle(stored, keys, bundle_path)
     write_metrics(stored, keys, metrics_path)
     run_id = log_run(
-        namespace, f"{name}_bundled", stored, keys, estimator, bundle_path, metrics_path, example, trials_per_key, fill
+        namespace, f"{name}_published", stored, keys, estimator, bundle_path, metrics_path, example, trials_per_key, fill
     )
     return load_version(spark, namespace, name, register(spark, namespace, name, run_id))
 

@@ -41,6 +41,10 @@ VERSION_SCHEMA = T.StructType(
 )
 
 
+# A run's example is a few rows to look at. A larger frame is refused, not cut.
+EXAMPLE_ROWS = 100
+
+
 def _append(spark: SparkSession, rows: list[tuple], schema: T.StructType, table: str) -> None:
     spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").format("parquet").saveAsTable(table)
 
@@ -60,7 +64,9 @@ def log_run(
     """Record a training as one run and return its id. Only the averages and the example rows are collected."""
     spark = models.sparkSession
     averages = {k: v for k, v in run_metrics(models, trials_per_key).first().asDict().items() if v is not None}
-    rows = [] if example is None else [r.j for r in example.limit(100).select(F.to_json(F.struct("*")).alias("j")).collect()]
+    rows = [] if example is None else [r.j for r in example.limit(EXAMPLE_ROWS + 1).select(F.to_json(F.struct("*")).alias("j")).collect()]
+    if len(rows) > EXAMPLE_ROWS:
+        raise ValueError(f"an example has at most {EXAMPLE_ROWS} rows; pass a smaller frame")
     run_id = uuid.uuid4().hex
     entry = (run_id, run_name, estimator, list(keys), fill, bundle_path, metrics_path, averages, rows)
     _append(spark, [entry], RUN_SCHEMA, namespace.table(RUNS))

@@ -25,10 +25,16 @@ class Namespace:
         return f"{self.folder.rstrip('/')}/artifacts/{name}"
 
 
+def quoted(text: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def init_namespace(spark: SparkSession, name: str, folder: str) -> Namespace:
     """Create the database, unless it is there, with its tables below ``folder``, and make it current."""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}` LOCATION '{folder.rstrip('/')}/tables'")
-    spark.sql(f"USE `{name}`")
+    place = f"{folder.rstrip('/')}/tables"
+    spark.sql("CREATE DATABASE IF NOT EXISTS IDENTIFIER(:name) LOCATION " + quoted(place), args={"name": f"`{name.replace('`', '``')}`"})
+    spark.catalog.setCurrentDatabase(name)
     return Namespace(name, folder)
 
 

@@ -144,7 +144,7 @@ def forest(source, key, target, features, row_key, trees, max_bins=256, score_al
     p, m = len(features), len(key)
     ks, rk = listed(m, "k{i}"), listed(m, "r.k{i}")
     xs, bs = listed(p, "x{i}"), listed(p, "b{i}")
-    cuts = [math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(11)]
+    cuts = [math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(13)]
     weight = " + ".join(f"(u >= {c})::BIGINT" for c in cuts)
     ranks = ", ".join(
         f"rank() OVER (PARTITION BY {ks} ORDER BY x{i}) - 1 AS r{i}, dense_rank() OVER (PARTITION BY {ks} ORDER BY x{i}) - 1 AS d{i}"

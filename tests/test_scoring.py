@@ -54,7 +54,7 @@ def test_columns_and_counts(spark, synth, models, estimator):
 @pytest.mark.parametrize("estimator", ["linear", "forest"])
 def test_unknown_keys(spark, synth, models, estimator):
     rows = synth.withColumn("sku_id", F.when(F.col("row_id") == 3, F.lit(None)).when(F.col("row_id") == 4, "new").otherwise(F.col("sku_id")))
-    with pytest.raises(Exception, match="No model found"):
+    with pytest.raises(Exception, match="no successful model"):
         mf.score(rows, models[estimator], ["sku_id"], estimator).collect()
     scored = mf.score(rows, models[estimator], ["sku_id"], estimator, "null")
     assert scored.count() == rows.count()
@@ -153,3 +153,18 @@ def test_any_column_passes_through_a_hot_key(spark, synth, models):
     scored = mf.score(rows, models["forest"], ["sku_id"], rows_per_task=30)
     assert [f.dataType for f in scored.schema.fields[:-1]] == [f.dataType for f in rows.schema.fields]
     assert scored.count() == rows.count() and scored.filter("tags['a'] <> row_id").count() == 0
+
+
+@pytest.mark.parametrize("estimator", ["linear", "forest"])
+def test_contracts_hold_without_a_look_at_the_prediction(spark, synth, models, estimator):
+    """They hold when features are named, and when nothing but a count is asked for."""
+    made = models[estimator]
+    with pytest.raises(Exception, match="feat_3"):
+        mf.score(synth, made, ["sku_id"], estimator, features=FEATURES[:2]).count()
+    with pytest.raises(Exception, match="no successful model"):
+        mf.score(synth.withColumn("sku_id", F.lit("new")), made, ["sku_id"], estimator, features=FEATURES).count()
+    with pytest.raises(Exception, match="more than one model"):
+        mf.score(synth, made.union(made), ["sku_id"], estimator, features=FEATURES).count()
+    gap = synth.withColumn("feat_1", F.when(F.col("row_id") > 2, F.col("feat_1")))
+    empty = mf.score(gap, made, ["sku_id"], estimator, fill=None).filter("prediction is null")
+    assert empty.count() == gap.filter("feat_1 is null").count() > 0
