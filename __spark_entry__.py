@@ -17,7 +17,9 @@ import oracles as o  # noqa: E402
 from manyfold.functions.keys import KeyCode  # noqa: E402
 from manyfold.operators.forest_tune import guided_plan  # noqa: E402
 from manyfold.operators.linear import MODEL_JSON  # noqa: E402
-from manyfold.sources.settled import shared_folder  # noqa: E402
+from manyfold.functions.features import infer_features  # noqa: E402
+from manyfold.sources.registry import latest_versions, runs  # noqa: E402
+from manyfold.sources.settled import settle, shared_folder  # noqa: E402
 from manyfold.sources.shipping import ship  # noqa: E402
 
 try:
@@ -431,6 +433,69 @@ def metrics_file(spark, folder):
     return back.withColumns({c: places(F.col(c), n) for c, n in rounded.items()})
 
 
+def score_checked(spark, folder):
+    """Strict scoring that looks up in the models which features it needs."""
+    lines = table(spark, folder, "lineitem")
+    scored = mf.score(lines.drop(PRICE), settle(line_models(spark, folder), "models"), ["l_partkey"], "linear")
+    return scored.select(*LINE_KEY, "l_partkey", *LINE_FEATURES, places(F.col("prediction"), 2).alias("prediction"))
+
+
+def train_inferred(spark, folder):
+    """Features are the columns that are left when keys and target are taken away."""
+    lines = table(spark, folder, "lineitem").select("l_partkey", *LINE_KEY, *LINE_FEATURES, PRICE)
+    features = infer_features(lines, ["l_partkey"], PRICE, exclude=LINE_KEY)
+    models = mf.train(lines, ["l_partkey"], PRICE, features, "linear", LINE_KEY)
+    return listing(models, ["l_partkey"], LINE_FEATURES)
+
+
+def score_forest_stream(spark, folder):
+    """The events as a stream, each scored by the forest of its type."""
+    keys, features = ["event_type"], ["user_id", "k"]
+    past = events(spark, folder).select("event_id", *keys, *features, "value")
+    models = mf.train(past, keys, "value", features, "forest", ["event_id"], n_estimators=5, max_depth=6)
+    schema = table(spark, folder, "events").schema
+    stream = with_props(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder))
+    out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = stream.select("event_id", *keys, *features)
+    mf.write_scores(rows, models, keys, f"{out}/rows", f"{out}/state", "forest", once=True).awaitTermination()
+    scored = spark.read.parquet(f"{out}/rows")
+    return scored.select("event_id", "event_type", places(F.col("prediction"), 4).alias("prediction"))
+
+
+def published(spark, folder):
+    """Customer models, trained, stored, bundled, recorded and registered in a namespace of their own."""
+    name, before = f"published_{uuid.uuid4().hex}", spark.catalog.currentDatabase()
+    space = mf.init_namespace(spark, name, f"{shared_folder(spark)}/{name}")
+    spark.catalog.setCurrentDatabase(before)
+    known = orders(spark, folder).select("o_orderkey", "o_custkey", "order_day", "o_totalprice")
+    settings = {"features": ["order_day"], "estimator": "linear"}
+    mf.train_and_publish(space, "customers", known, ["o_custkey"], "o_totalprice", ["o_orderkey"], **settings)
+    return space
+
+
+def published_scores(spark, folder):
+    """The newest version of a registered model, loaded and used."""
+    space = published(spark, folder)
+    rows = orders(spark, folder).select("o_orderkey", "o_custkey", "order_day")
+    scored = mf.load_version(spark, space, "customers").score(rows, on_unknown="null")
+    return scored.withColumn("prediction", places(F.col("prediction"), 2))
+
+
+def recorded_run(spark, folder):
+    """What the run of the newest version recorded."""
+    space = published(spark, folder)
+    newest = latest_versions(spark, space).join(runs(spark, space), "run_id")
+    metrics = {"avg_rmse": 2, "avg_mse": 0, "avg_mae": 2, "num_keys": 0, "num_failed": 0}
+    return newest.select("name", "version", *[places(F.col("metrics")[m], n).alias(m) for m, n in metrics.items()])
+
+
+def bundle_size(spark, folder):
+    """Number of models in a bundle, and whether their sizes were kept."""
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    stats = mf.bundle_stats(mf.bundle(customer_models(spark, folder), ["o_custkey"], path))
+    return stats.select("num_models", (F.col("size_bytes") > F.col("num_models")).alias("has_sizes"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """One linear model per part, with its hold-out error."""
     return train_linear_1f(spark, "/root/testdata/sf0.001")
@@ -445,7 +510,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         best_trial, tune_ridge, train_ridge, tune_ridge_hot, input_example, preview, key_label, conform, synth_rows, train_synth, train_forest,
         train_forest_small_groups, train_forest_hot, score_forest, score_forest_hot, forest_trials, tune_forest, guided_proposals,
         tune_forest_guided,
-        score_stream, bundle_scores, metrics_file,
+        score_stream, bundle_scores, metrics_file, score_checked, train_inferred, score_forest_stream, published_scores,
+        recorded_run, bundle_size,
     ]
     named = {q.__name__: q for q in registered}
     if text_queries:
@@ -525,7 +591,12 @@ synth AS (SELECT {unit}, feat_1, feat_2, feat_3,
 tried AS (SELECT k0, trial, avg((y - prediction) * (y - prediction)) AS mse, avg(abs(y - prediction)) AS mae
   FROM votes JOIN scored USING (k0, rid) GROUP BY k0, trial)"""
     metric_columns = f"{r('rmse', 2)} AS rmse, {r('mse', 0)} AS mse, {r('mae', MAE_PLACES)} AS mae"
-    return {
+    checked = {
+        "train_inferred": o.train_linear(*line),
+        "published_scores": customer_scores,
+        "bundle_size": f"{customer_models_sql} SELECT count(*) AS num_models, true AS has_sizes FROM models WHERE status = 'success'",
+    }
+    tables = {
         "group_profile": """SELECT sum(n)::BIGINT AS num_rows, count(*) AS num_groups, min(n) AS min_rows,
   median(n) AS median_rows, max(n) AS max_rows FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey)""",
         "group_profile_small": """SELECT sum(n)::BIGINT AS num_rows, count(*) AS num_groups, min(n) AS min_rows,
@@ -662,3 +733,7 @@ SELECT event_id, event_type, {r('m.b + m.w0 * o.x0', 4)} AS prediction FROM obs
         "metrics_file": f"""{customer_models_sql}
 SELECT k0 AS o_custkey, {metric_columns}, n AS num_rows FROM models WHERE status = 'success'""",
     }
+    checked["score_checked"] = tables["score_linear"]
+    checked["score_forest_stream"] = tables["score_forest_hot"]
+    checked["recorded_run"] = "SELECT 'customers' AS name, 1 AS version, * FROM (" + tables["run_metrics"] + ")"
+    return tables | checked

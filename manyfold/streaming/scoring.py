@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from manyfold.operators.score import score
+from manyfold.sources.settled import settle
 
 
 def score_stream(stream: DataFrame, models: DataFrame, keys: list[str], on_unknown: str = "null", **options) -> DataFrame:
@@ -37,12 +38,15 @@ def write_scores(
         scored = score_stream(stream, models, keys, on_unknown, **options)
         writer = scored.writeStream.format("parquet").option("path", path).outputMode("append")
     else:
+        stored = settle(models, "stream-models")  # models that are not a table yet are trained once, not with every batch
 
         def write(batch: DataFrame, number: int) -> None:
             batch.persist()  # scoring looks at the keys before it scores, and a source may be read only once
-            answers = score(batch, models, keys, "forest", on_unknown, **options)
-            answers.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
-            batch.unpersist()
+            try:
+                answers = score(batch, stored, keys, "forest", on_unknown, **options)
+                answers.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
+            finally:
+                batch.unpersist()
 
         writer = stream.writeStream.foreachBatch(write)
     writer = writer.option("checkpointLocation", checkpoint)
