@@ -1,0 +1,200 @@
+"""One document of each group of near copies: SimHash candidates, candidates of shared least shingles, exact similarity.
+
+Two texts are near copies if the sets of their five-word shingles have a Jaccard similarity of 0.8 or more. Fingerprints
+of such texts often differ in three to twelve bits, which no index over 64 bits can look for without meeting most pairs.
+So the pairs within the limit of the Gray-order index are joined by those that share a band: the least hashes of the
+shingles under four functions, sixteen times. Two texts of similarity 0.8 share none of them once in 5,000 pairs. All
+candidates are verified by their whole shingle sets.
+
+Nobody emits all pairs of a band: its texts are compared with one of them first. Only if they have not all become one
+component, growing shares of them are compared with the rest, across components alone, until every pair was tested or
+is connected.
+
+Words are runs of bytes other than white space, A-Z in lower case. A text of fewer than five words has one shingle, all
+of it. Texts with the same words are one node, named by 64 bits of a hash; so are null, empty and blank texts. Rows
+without a doc_id cannot be told apart and stay. Of rows with one doc_id the one with the least text stays.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from manyfold.llm.common import fresh, hot_keys, lookup, spread_join
+from manyfold.llm.simhash_dedup import SEED, components, fingerprint, links
+from manyfold.llm.textgrams import Words, as_bytes, mixed, pieces
+from manyfold.sources.settled import settle
+
+SHINGLE, SIMILARITY = 5, 0.8
+BANDS, ROWS = 16, 4
+OVERLAP = 1 << 16
+# After the first text of a band, so many of its texts are compared with the others, and in every round more of them.
+LEADERS, GROWTH = 4, 8
+
+MARKS = "doc_id long, node long, fp long, bands array<long>"
+SETS = "node long, shingles array<long>"
+
+
+def plain_words(text: bytes) -> bytes:
+    return b" ".join(text.lower().split())
+
+
+def node_of(plain: bytes) -> int:
+    return xxhash.xxh64_intdigest(plain, SEED)
+
+
+def shingle_hashes(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the hash of every shingle of a group of texts."""
+    count = np.bincount(words.text, minlength=texts)
+    begin = np.cumsum(count) - count
+    runs = np.maximum(count - SHINGLE + 1, np.minimum(count, 1))
+    owner = np.repeat(np.arange(texts), runs)
+    first = begin[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
+    last = np.minimum(first + SHINGLE, (begin + count)[owner]) - 1
+    return owner, words.run_hashes(first, last)
+
+
+def band_keys(texts: list[bytes]) -> list[np.ndarray | None]:
+    """The keys of the bands of every text; None if it has no word."""
+    drawn = np.random.default_rng(SEED)
+    twist = drawn.integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
+    least = np.full((len(texts), BANDS * ROWS), ~np.uint64(0))
+    seen = np.zeros(len(texts), bool)
+    for numbers, group, _ in pieces(texts, OVERLAP):
+        owner, hashes = shingle_hashes(Words(group), len(group))
+        if not len(owner):
+            continue
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        at = numbers[owner[first]]
+        seen[at] = True
+        for k in range(BANDS * ROWS):
+            values = (hashes ^ twist[0, k]) * (twist[1, k] | np.uint64(1))
+            np.minimum.at(least[:, k], at, np.minimum.reduceat(values, first))
+    keys = np.zeros((len(texts), BANDS), np.uint64)
+    keys += np.arange(BANDS, dtype=np.uint64)
+    for row in range(ROWS):
+        keys = mixed(keys ^ least[:, row::ROWS])
+    return [k.view(np.int64) if s else None for k, s in zip(keys, seen)]
+
+
+def mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [plain_words(t) for t in as_bytes(batch.column(1))]
+        nodes = np.array([node_of(t) for t in texts], np.uint64).view(np.int64)
+        prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        bands = pa.array(band_keys(texts), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(prints), bands], ["doc_id", "node", "fp", "bands"])
+
+
+def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The different shingles of every text, as hashes."""
+    for batch in batches:
+        texts = [plain_words(t) for t in as_bytes(batch.column(0))]
+        found: list[list[np.ndarray]] = [[np.empty(0, np.uint64)] for _ in texts]
+        for numbers, group, _ in pieces(texts, OVERLAP):
+            owner, hashes = shingle_hashes(Words(group), len(group))
+            bounds = np.searchsorted(owner, np.arange(len(group) + 1))
+            for k, number in enumerate(numbers.tolist()):
+                found[number].append(hashes[bounds[k] : bounds[k + 1]])
+        sets = [np.unique(np.concatenate(x)).view(np.int64) for x in found]
+        nodes = np.array([node_of(t) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def pair_of(a: str, b: str) -> list:
+    return [F.least(a, b).alias("u"), F.greatest(a, b).alias("v")]
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets are similar enough."""
+    pairs = settle(pairs.distinct(), "pairs")
+    for end in ("u", "v"):
+        own = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
+        hot = hot_keys(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n_")), [end], "n_")
+        other = "v" if end == "u" else "u"
+        pairs = spread_join(pairs, own, [end], other, hot)
+    both = F.size(F.array_intersect("u_set", "v_set"))
+    either = F.size("u_set") + F.size("v_set") - both
+    return settle(pairs.filter(both >= similarity * either).select("u", "v"), "near-links")
+
+
+def band_entries(classes: DataFrame) -> DataFrame:
+    """key, node, m and leader: the nodes of the bands that have several, their number, and one of them."""
+    entries = classes.select("node", F.explode("bands").alias("key"))
+    chosen = F.min(F.struct(F.xxhash64("node").alias("place"), "node"))["node"]
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("m"), chosen.alias("leader")).filter(F.col("m") > 1)
+    held = lookup(entries, settle(sizes, "bands"), ["key"], ["m", "leader"], "m", "node")
+    return settle(held.filter(F.col("m").isNotNull()).select("key", "node", "m", "leader"), "band-entries")
+
+
+def across(entries: DataFrame, labels: DataFrame, tested: int, share: int) -> tuple[DataFrame, DataFrame]:
+    """The entries of bands that are not settled yet, with their roots, and the pairs to test next.
+
+    Of a band of m nodes, those whose place is below share / m are compared with all nodes of other components; those
+    below tested / m were in the rounds before.
+    """
+    roots = labels.select("node", F.col("root").alias("known_"))
+    rooted = entries.join(roots, "node", "left").withColumn("root", F.coalesce("known_", "node")).drop("known_")
+    rooted = settle(rooted.filter(F.col("m") > tested), "rooted")
+    ends = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n_"))
+    open_ = settle(ends.filter(F.col("a") != F.col("b")).select("key", "a", "n_"), "open")
+    left = lookup(rooted, open_, ["key"], ["a"], "n_", "node").filter(F.col("a").isNotNull()).drop("a")
+    left = settle(left, "unsettled")
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << 40)) / float(1 << 40) * F.col("m")
+    leads = (place < share) & ((place >= tested) if tested > 2 else F.lit(True))
+    leaders = left.filter(leads).select("key", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
+    met = spread_join(left, leaders, ["key"], "node", hot_keys(open_, ["key"], "n_"))
+    return left.drop("root"), met.filter(F.col("root") != F.col("lead_root")).select(*pair_of("node", "lead"))
+
+
+def near_copy_roots(docs: DataFrame, marks: DataFrame, text: str, limit: int, similarity: float) -> DataFrame:
+    """node, least (its smallest doc_id) and root, equal for the nodes of one component, for every node of the marks."""
+    classes = marks.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("bands").alias("bands"))
+    classes = settle(classes, "texts")
+    entries = band_entries(classes)
+    pairs = entries.filter(F.col("node") != F.col("leader")).select(*pair_of("node", "leader"))
+
+    # One node stands for a fingerprint; nodes with the same one are compared with it.
+    prints = settle(classes.groupBy("fp").agg(F.min("node").alias("stand"), F.count(F.lit(1)).alias("n_")), "prints")
+    own = lookup(classes.select("node", "fp"), prints, ["fp"], ["stand"], "n_", "node").filter(F.col("node") != F.col("stand"))
+    found = links(prints.select("fp"), limit)
+    stand = lambda end, name: prints.select(F.col("fp").alias(end), F.col("stand").alias(name))
+    between = found.join(stand("u", "x"), "u").join(stand("v", "y"), "v").select(*pair_of("x", "y"))
+    pairs = settle(pairs.union(own.select(*pair_of("node", "stand"))).union(between), "candidates")
+
+    nodes = entries.select("node").union(pairs.select("u")).union(pairs.select("v")).distinct()
+    wanted = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("wanted_")).distinct()
+    chosen = docs.join(wanted, docs["doc_id"].cast("long") == wanted["wanted_"], "left_semi").select(text)
+    sets = settle(chosen.mapInArrow(set_rows, SETS).dropDuplicates(["node"]), "shingle-sets")
+
+    edges = verified(pairs, sets, similarity)
+    labels = components(edges)
+    tested, share = 2, LEADERS
+    while True:
+        entries, pairs = across(entries, labels, tested, share)
+        if entries.isEmpty():
+            break
+        edges = settle(edges.union(verified(pairs, sets, similarity)), "near-links")
+        labels = components(edges)
+        tested, share = share, share * GROWTH
+    rooted = classes.join(labels, "node", "left")
+    return rooted.select("node", "least", F.coalesce("root", "node").alias("root"))
+
+
+def drop_near_copies(docs: DataFrame, text: str = "text", limit: int = 2, similarity: float = SIMILARITY) -> DataFrame:
+    """The document with the smallest doc_id of each group of near copies, once, with all its columns."""
+    columns = docs.columns
+    known = docs.filter(F.col("doc_id").isNotNull())
+    marks = settle(known.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(mark_rows, MARKS), "marks")
+    roots = near_copy_roots(known, marks, text, limit, similarity)
+    keep = settle(roots.groupBy("root").agg(F.min("least").alias("keep_")).select("keep_").distinct(), "kept")
+    kept = known.join(keep, known["doc_id"].cast("long") == keep["keep_"], "left_semi")
+    # Rows of one doc_id are few: as many as the id is repeated.
+    struct = fresh(docs, "row")
+    packed = kept.select(F.struct(*columns).alias(struct), F.col("doc_id").alias("key_"), F.col(text).alias("text_"))
+    chosen = packed.groupBy("key_").agg(F.min_by(struct, F.struct(F.col("text_").isNull(), "text_")).alias(struct))
+    return chosen.select(f"{struct}.*").unionByName(docs.filter(F.col("doc_id").isNull()))

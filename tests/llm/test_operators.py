@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from manyfold.llm import decontaminate, html_text, language_id, line_dedup, mixing, neighbours, queries, simhash_dedup, substring_dedup, token_counts, url_filter
+from manyfold.llm import decontaminate, html_text, language_id, line_dedup, mixing, near_copies, neighbours, queries, simhash_dedup, substring_dedup, token_counts, url_filter
 from manyfold.llm.pieces import vocabulary
 from tests.conftest import SMALL
 
@@ -96,10 +96,52 @@ def test_long_chain_is_one_component(spark):
 def test_one_document_of_each_group_stays(spark):
     text = "some words that are many enough to make shingles of three words each"
     rows = [(3, text, "a"), (1, text, "b"), (2, text.upper(), "c"), (5, "quite another text with other words in it", "d"), (5, "quite another text with other words in it", "d"), (None, text, "e")]
-    kept = simhash_dedup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()
     assert sorted((r.doc_id or 0, r.row) for r in kept) == [(0, "e"), (1, "b"), (5, "d")]
 
 
+def word_runs(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def plain_survivors(rows, similarity=0.8):
+    """The smallest ids of the components of texts whose five-word shingles are similar enough, by all pairs."""
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [word_runs(t) for _, t in rows]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for k, (doc, _) in enumerate(rows):
+        least[find(k)] = min(least.get(find(k), doc), doc)
+    return set(least.values())
+
+
+def test_near_copies_equal_all_pairs(spark):
+    """Groups of edited copies, some of which are near copies of others only through a third."""
+    rng = np.random.default_rng(5)
+    rows = [(r.doc_id, r.text) for r in documents(spark).select("doc_id", "text").collect()]
+    rows += [(8000, None), (8001, ""), (8002, " "), (8003, "one two"), (8004, "ONE\ttwo"), (8005, "one two three")]
+    for group, size in enumerate((2, 5, 60)):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+        for copy in range(size):
+            own = list(words)
+            for at in rng.integers(0, len(own), rng.integers(0, 6)):
+                own[at] = f"e{rng.integers(0, 10**9)}"
+            rows.append((9000 + 100 * group + copy, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [r.doc_id for r in near_copies.drop_near_copies(df).collect()]
+    assert sorted(got) == sorted(plain_survivors(rows))
+
+
 # Decontamination
 
 
@@ -419,8 +461,7 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         before = before or truth
         assert set(now) <= set(before)
         if name == "near-duplicates":
-            marks = plain_components([(d, plain_fingerprint(t)) for d, t in before.items()])
-            assert set(now) == {d for d, _, c in marks if d == c}
+            assert set(now) == plain_survivors(list(before.items()))
         if name == "benchmark":
             items = [shingles(r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
             leaked = {d for d, t in before.items() if any(i and len(i & shingles(t)) / len(i) >= 0.8 for i in items)}
