@@ -4,7 +4,7 @@ Two texts are near copies if the sets of their five-word shingles have a Jaccard
 of such texts often differ in three to twelve bits, which no index over 64 bits can look for without meeting most pairs.
 So the pairs within the limit of the Gray-order index are joined by those that share a band: the least hashes of the
 shingles under four functions, sixteen times. Two texts of similarity 0.8 share none of them once in 5,000 pairs. All
-candidates are verified by their whole shingle sets.
+candidates are verified by their whole shingle sets, which are kept as 32 bits of a hash per shingle.
 
 Nobody emits all pairs of a band: its texts are compared with one of them first. Only if they have not all become one
 component, growing shares of them are compared with the rest, across components alone, until every pair was tested or
@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from manyfold.llm.common import fresh, hot_keys, lookup, spread_join
+from manyfold.llm.common import bit_set, fresh, hot_keys, in_bit_set, lookup, spread_join
 from manyfold.llm.simhash_dedup import SEED, components, fingerprint, links
 from manyfold.llm.textgrams import Words, as_bytes, mixed, pieces
 from manyfold.sources.settled import settle
@@ -32,11 +32,12 @@ from manyfold.sources.settled import settle
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 OVERLAP = 1 << 16
+BITS = 25
 # After the first text of a band, so many of its texts are compared with the others, and in every round more of them.
 LEADERS, GROWTH = 4, 8
 
 MARKS = "doc_id long, node long, fp long, bands array<long>"
-SETS = "node long, shingles array<long>"
+SETS = "node long, shingles array<int>"
 
 
 def plain_words(text: bytes) -> bytes:
@@ -90,19 +91,24 @@ def mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(prints), bands], ["doc_id", "node", "fp", "bands"])
 
 
-def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different shingles of every text, as hashes."""
-    for batch in batches:
-        texts = [plain_words(t) for t in as_bytes(batch.column(0))]
-        found: list[list[np.ndarray]] = [[np.empty(0, np.uint64)] for _ in texts]
-        for numbers, group, _ in pieces(texts, OVERLAP):
-            owner, hashes = shingle_hashes(Words(group), len(group))
-            bounds = np.searchsorted(owner, np.arange(len(group) + 1))
-            for k, number in enumerate(numbers.tolist()):
-                found[number].append(hashes[bounds[k] : bounds[k + 1]])
-        sets = [np.unique(np.concatenate(x)).view(np.int64) for x in found]
-        nodes = np.array([node_of(t) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+def set_rows(wanted):
+    """The different shingles of every wanted text, as hashes; a few others come along."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.flatnonzero(in_bit_set(wanted.value, batch.column(0).to_numpy().view(np.uint64)))
+            texts = [plain_words(t) for t in as_bytes(batch.column(1).take(pa.array(own)))]
+            found: list[list[np.ndarray]] = [[np.empty(0, np.uint64)] for _ in texts]
+            for numbers, group, _ in pieces(texts, OVERLAP):
+                owner, hashes = shingle_hashes(Words(group), len(group))
+                bounds = np.searchsorted(owner, np.arange(len(group) + 1))
+                for k, number in enumerate(numbers.tolist()):
+                    found[number].append(hashes[bounds[k] : bounds[k + 1]])
+            sets = [np.unique(np.concatenate(x).astype(np.uint32)).view(np.int32) for x in found]
+            nodes = np.array([node_of(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(sets, pa.list_(pa.int32()))], ["node", "shingles"])
+
+    return rows
 
 
 def pair_of(a: str, b: str) -> list:
@@ -111,7 +117,6 @@ def pair_of(a: str, b: str) -> list:
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets are similar enough."""
-    pairs = settle(pairs.distinct(), "pairs")
     for end in ("u", "v"):
         own = sets.select(F.col("node").alias(end), F.col("shingles").alias(f"{end}_set"))
         hot = hot_keys(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n_")), [end], "n_")
@@ -167,18 +172,23 @@ def near_copy_roots(docs: DataFrame, marks: DataFrame, text: str, limit: int, si
     pairs = settle(pairs.union(own.select(*pair_of("node", "stand"))).union(between), "candidates")
 
     nodes = entries.select("node").union(pairs.select("u")).union(pairs.select("v")).distinct()
-    wanted = classes.join(nodes, "node", "left_semi").select(F.col("least").alias("wanted_")).distinct()
-    chosen = docs.join(wanted, docs["doc_id"].cast("long") == wanted["wanted_"], "left_semi").select(text)
-    sets = settle(chosen.mapInArrow(set_rows, SETS).dropDuplicates(["node"]), "shingle-sets")
-
-    edges = verified(pairs, sets, similarity)
+    wanted = classes.join(nodes, "node", "left_semi").select(F.xxhash64("least").alias("wanted"))
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_set(wanted, "wanted", BITS))
+    texts = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("place"), text)
+    found = texts.mapInArrow(set_rows(wanted), SETS).dropDuplicates(["node"])
+    sets = settle(found.join(nodes, "node", "left_semi"), "shingle-sets")
+
+    done = settle(pairs.distinct(), "pairs")
+    edges = verified(done, sets, similarity)
     labels = components(edges)
     tested, share = 2, LEADERS
     while True:
         entries, pairs = across(entries, labels, tested, share)
         if entries.isEmpty():
             break
-        edges = settle(edges.union(verified(pairs, sets, similarity)), "near-links")
+        new = settle(pairs.distinct().join(done, ["u", "v"], "left_anti"), "pairs")
+        done = done.union(new)
+        edges = edges.union(verified(new, sets, similarity))
         labels = components(edges)
         tested, share = share, share * GROWTH
     rooted = classes.join(labels, "node", "left")
