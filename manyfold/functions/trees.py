@@ -39,6 +39,15 @@ def row_weights(order_hash: np.ndarray, seed: int, first: int, last: int) -> np.
     return weights
 
 
+def without_empty_trees(weights: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The weights, with those of a tree that drew no row of a group set to one in that group."""
+    drawn = np.zeros((len(weights), groups), bool)
+    tree, row = np.nonzero(weights)
+    drawn[tree, group[row]] = True
+    weights[~drawn[:, group]] = 1
+    return weights
+
+
 def grid_bits(n: np.ndarray) -> np.ndarray:
     """Bits of the target grid: as fine as sums over ``n`` rows in 64 bits allow."""
     lengths = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1

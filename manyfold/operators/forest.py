@@ -136,6 +136,7 @@ class BucketFit:
             for first in range(0, int(most.max(initial=0)), step):
                 last = min(first + step, int(most.max()))
                 weights = trees.row_weights(self.hash, self.seed, first, last)
+                weights = trees.without_empty_trees(weights, self.group, self.groups)
                 weights[np.arange(first, last)[:, None] >= most[self.group][None, :]] = 0
                 nodes, roots = self.grow(weights, deepest, smallest, int(leaf))
                 value = self.node_values(nodes)

@@ -107,15 +107,24 @@ def tree_cells(fit_rows: DataFrame, names: list[str], p: int, max_bins: int, see
     span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
     grid = F.floor((F.col("y") - F.col("low")) / span * F.pow(F.lit(2.0), F.col("bits")) + F.lit(0.5))
     slots = [f"b{i}" for i in range(p)]
+    every_tree = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("tree")
+    rows = binned(fit_rows, p, max_bins).select(*names, *slots, ORDER, grid.alias("q"))
     pairs = (
-        binned(fit_rows, p, max_bins)
-        .select(*names, *slots, ORDER, grid.alias("q"))
-        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+        rows.select("*", every_tree)
         .withColumn("_point", drawn_point(seed, count))
         .filter(F.col("_point") >= F.lit(trees.POISSON_CUTS[0]))
         .withColumn("w", drawn_weight(F.col("_point")))
     )
-    return pairs.groupBy(*names, "tree", *slots).agg(
+    cells = settle(cell_sums(pairs, [*names, "tree", *slots]), "cells")
+    # A tree that drew no row takes all of them once; among many rows there is hardly ever one.
+    drawn = cells.select(*names, "tree").distinct()
+    empty = fit_rows.select(*names).distinct().select(*names, every_tree).join(drawn, [*names, "tree"], "left_anti")
+    whole = rows.join(settle(empty, "empty"), names).withColumn("w", F.lit(1).cast("long"))
+    return cells.unionByName(cell_sums(whole, [*names, "tree", *slots]))
+
+
+def cell_sums(pairs: DataFrame, by: list[str]) -> DataFrame:
+    return pairs.groupBy(*by).agg(
         F.count(F.lit(1)).alias("c"),
         F.sum("w").alias("w"),
         F.sum(F.col("w") * F.col("q")).alias("s"),

@@ -182,7 +182,8 @@ edges AS MATERIALIZED ({edges}),
 trees AS (SELECT t, 1 + ('0x' || substr({digest}, 1, 8))::BIGINT % {PRIME - 1} AS ta, ('0x' || substr({digest}, 9, 8))::BIGINT % {PRIME} AS tb
   FROM (SELECT unnest(range({trees})) AS t)),
 plan AS MATERIALIZED ({plan}),
-drawn AS (SELECT *, {weight} AS w FROM (SELECT {ks}, t, {xs}, {bs}, q, (ta * (h % {PRIME}) + tb) % {PRIME} AS u FROM binned CROSS JOIN trees)),
+drawn AS (SELECT * REPLACE (CASE WHEN max(w) OVER (PARTITION BY {ks}, t) = 0 THEN 1::BIGINT ELSE w END AS w) FROM (
+  SELECT *, {weight} AS w FROM (SELECT {ks}, t, {xs}, {bs}, q, (ta * (h % {PRIME}) + tb) % {PRIME} AS u FROM binned CROSS JOIN trees))),
 scored AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM {scored}),
 walk AS (
   SELECT 0 AS lev, {ks}, trial, t, 0::BIGINT AS node, 0::BIGINT AS rid, w, q, {xs}, {bs},

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import manyfold as mf
+from manyfold.functions import trees
 from manyfold.operators.linear import MODEL_JSON
 from manyfold.operators.split import split_rows
 from tests.conftest import FEATURES, ROW_KEY
@@ -228,3 +229,14 @@ def test_split_with_a_row_key_that_tells_nothing_apart(spark, synth):
     whole, parted = split(1000), split(20)
     assert whole.exceptAll(parted).count() == 0 and parted.exceptAll(whole).count() == 0
     assert parted.filter("is_validation").count() == 6 * 16
+
+
+def test_every_forest_has_all_its_trees(spark):
+    """Groups of one to three training rows, of which a bootstrap often draws none."""
+    rows = [(k, i, float(7 * k + i * i), float(i)) for k in range(6) for i in range(2 + k % 3)]
+    df = spark.createDataFrame(rows, "k long, i long, y double, x double")
+    settings = dict(n_estimators=12, min_rows=2)
+    cold = by_key(mf.train(df, ["k"], "y", ["x"], "forest", ["i"], **settings))
+    hot = by_key(mf.train(df, ["k"], "y", ["x"], "forest", ["i"], rows_per_task=1, **settings))
+    assert {len(trees.unpack(m.model_bytes)[3]) for m in cold.values()} == {12}
+    assert {k: bytes(m.model_bytes) for k, m in cold.items()} == {k: bytes(m.model_bytes) for k, m in hot.items()}
