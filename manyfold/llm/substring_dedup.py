@@ -1,14 +1,18 @@
-"""Substring dedup by hashes of units, with original offsets.
+"""Substring dedup by hashes of all runs of ``min_words`` words, with original offsets.
 
-Lines alone miss a passage that was put into the middle of another line, so a line is cut further into units where the
-text itself says so: after a word that ends a sentence, and, for text without sentences, after words whose hash says
-so. The cuts depend on the words next to them only, so a passage is cut alike wherever it stands. A unit is normalised
-to its words in lower case (A-Z) and hashed. Globally, the least doc_id that has a unit keeps it, at its first place;
-every other occurrence repeats it. Runs of repeated units with at least ``min_words`` words are removed, so short
-phrases that come again by chance stay. Each removed unit has a copy left.
+Words are normalised to lower case (A-Z); white space and line ends between them do not count. Globally, the least
+doc_id that has a run of ``min_words`` words keeps it, at its first place; every other occurrence repeats it, in the same
+text from ``min_words`` words after the first. Every word that a repeated run covers is removed, so a passage that
+another document has goes from its first to its last word wherever it stands, and shorter phrases that come again by
+chance stay. Each removed word has a copy left: the same word of the keeper, or of the keeper of a run that covers it
+there.
 
-Hashes have 64 bits. Null and empty texts have no units. Rows with the same doc_id count as one document, and take
-nothing from each other. A null doc_id ranks last. Extra columns pass through.
+All runs are one per word. So that only those of repeated passages are compared, a run is named by the least hash of
+the half as long runs in it, which is the same wherever it stands, and texts share the names first, about one in
+``min_words`` / 4 words. A run that two texts have has a name that two texts have, so none is lost.
+
+Hashes have 64 bits. Texts of fewer than ``min_words`` words, null and empty ones have no runs. Rows with the same doc_id
+count as one document, and take nothing from each other. A null doc_id ranks last. Extra columns pass through.
 """
 
 from __future__ import annotations
@@ -16,151 +20,178 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from manyfold.llm.common import bit_set, in_bit_set, lookup, null_safe, with_digest
+from manyfold.llm.common import bit_set, hot_keys, in_bit_set, lookup, null_safe, with_digest
 from manyfold.llm.textgrams import INVERSE, Words, as_bytes, mixed, pieces, powers
 from manyfold.sources.settled import settle
 
 MIN_WORDS = 30
-#: One word in so many ends a unit by its hash.
-CUT = 32
 BITS = 25
 LAST = (1 << 63) - 1
-STOP = np.zeros(256, bool)
-STOP[[ord(c) for c in ".!?"]] = True
-# Not the base of the hashes of words, so that units of one word do not hash like them.
+# Not the base of the hashes of words, so that runs of one word do not hash like them.
 FACTOR = 0xD6E8FEB86659FD93
 FACTOR_INVERSE = pow(FACTOR, -1, 1 << 64)
 
-UNITS = "doc_id long, units array<long>"
-REPEATS = "doc_id long, text_digest long, units array<struct<unit:long,place:int,words:int,from:int,to:int,again:boolean>>"
-SPANS = "doc_id long, text_digest long, removed array<struct<from:int,to:int>>, kept array<struct<from:int,to:int>>, words int"
+NAMES = "doc_id long, names array<long>"
+RUNS = "doc_id long, text_digest long, runs array<struct<run:long,place:int,again:boolean,hot:boolean>>"
+SPANS = "doc_id long, text_digest long, bounds array<int>, words int"
 
 
-def units_of(texts: list[bytes]) -> list[tuple[np.ndarray, ...]]:
-    """For every text its units: hashes, numbers of words, and first and last character."""
-    found = [[np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 4]]
+def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For every text, in order, its words: hashes, and first and last character."""
+    parts, current = [], 0
     for numbers, group, starts in pieces(texts, 0):
         words = Words(group)
-        n = len(words.start)
-        if not n:
-            continue
-        hashes = words.run_hashes(np.arange(n), np.arange(n), lower=True)
-        feeds = np.concatenate([[0], np.cumsum(words.bytes == 10)])
-        ends = STOP[words.bytes[words.end - 1]] | (hashes % np.uint64(CUT) == 0)
-        ends[:-1] |= feeds[words.start[1:]] > feeds[words.end[:-1]]
-        ends[-1] = True
-        last = np.flatnonzero(ends)
-        first = np.concatenate([[0], last[:-1] + 1])
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(FACTOR, n)[:-1])])
-        unit = mixed((sums[last + 1] - sums[first]) * powers(FACTOR_INVERSE, n)[first])
+        each = np.arange(len(words.start))
+        hashes = words.run_hashes(each, each, lower=True) if len(each) else np.empty(0, np.uint64)
         # Characters before a byte, within the piece; and those of a text before its part in the piece.
         before = np.concatenate([[0], np.cumsum((words.bytes & 0xC0) != 0x80)])
         ahead = np.array([len(texts[k][:at].decode()) if at else 0 for k, at in zip(numbers.tolist(), starts.tolist())])
-        owner = words.text[first]
-        shift = ahead[owner] - before[words.offsets[owner]]
-        found.append([unit, numbers[owner], last - first + 1, before[words.start[first]] + shift, before[words.end[last]] + shift])
-    unit, number, *rest = (np.concatenate(x) for x in zip(*found))
-    bounds = np.searchsorted(number, np.arange(len(texts) + 1))
-    return [(unit[a:b], *(x[a:b] for x in rest)) for a, b in zip(bounds[:-1], bounds[1:])]
+        shift = (ahead - before[words.offsets[:-1]])[words.text]
+        begin, end = before[words.start] + shift, before[words.end] + shift
+        bounds = np.searchsorted(words.text, np.arange(len(group) + 1))
+        for k, a, b in zip(numbers.tolist(), bounds[:-1], bounds[1:]):
+            if k != current:
+                yield tuple(np.concatenate(x) for x in zip(*parts))
+                parts, current = [], k
+            parts.append((hashes[a:b], begin[a:b], end[a:b]))
+    if parts:
+        yield tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def runs_of(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of so many words, and their names: the least hash of the half as long runs in each."""
+    n = len(hashes)
+    if n < min_words:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(FACTOR, n)[:-1])])
+    inverse = powers(FACTOR_INVERSE, n)
+    half = (min_words + 1) // 2
+    long, least = (mixed((sums[k:] - sums[:-k]) * inverse[: n - k + 1]) for k in (min_words, half))
+    wide, size = min_words - half + 1, 1
+    while size < wide:
+        step = min(size, wide - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    return long, least
+
+
+def name_rows(min_words: int):
+    """The different names of the runs of every text."""
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [np.unique(runs_of(h, min_words)[1]).view(np.int64) for h, _, _ in words_of(as_bytes(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "names"])
 
-def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The different units of every text."""
-    for batch in batches:
-        lists = [np.unique(u).astype(np.uint64).view(np.int64) for u, _, _, _ in units_of(as_bytes(batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "units"])
+    return rows
 
 
-def repeat_rows(shared):
-    """Of every text the units that others may have too, and those that it has had before."""
+def run_rows(shared, hot: np.ndarray, min_words: int):
+    """Of every text the runs that others may have too, and those that it has had before; ``hot`` are names in many texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("unit", pa.int64()), ("place", pa.int32()), ("words", pa.int32()), ("from", pa.int32()), ("to", pa.int32()), ("again", pa.bool_())]))
+        kind = pa.struct([("run", pa.int64()), ("place", pa.int32()), ("again", pa.bool_()), ("hot", pa.bool_())])
         for batch in batches:
-            hit, lists = [], []
-            for k, (unit, size, begin, end) in enumerate(units_of(as_bytes(batch.column(2)))):
-                if not len(unit):
+            hit, found = [], []
+            for k, (hashes, _, _) in enumerate(words_of(as_bytes(batch.column(2)))):
+                runs, names = runs_of(hashes, min_words)
+                if not len(runs):
                     continue
-                again = np.ones(len(unit), bool)
-                again[np.unique(unit, return_index=True)[1]] = False
-                at = np.flatnonzero(again | in_bit_set(shared.value, unit))
+                _, first, same = np.unique(runs, return_index=True, return_inverse=True)
+                before = np.arange(len(runs)) - first[same]
+                at = np.flatnonzero((before >= min_words) | in_bit_set(shared.value, names))
                 if len(at):
                     hit.append(k)
-                    columns = (unit.view(np.int64)[at], at, size[at], begin[at], end[at], again[at])
-                    names = ("unit", "place", "words", "from", "to", "again")
-                    lists.append([dict(zip(names, x)) for x in zip(*(c.tolist() for c in columns))])
+                    found.append((runs.view(np.int64)[at], at, before[at] >= min_words, np.isin(names[at].view(np.int64), hot)))
             take = pa.array(hit, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(lists, kind)], ["doc_id", "text_digest", "units"]
-            )
+            columns = [np.concatenate(x) for x in zip(*found)] or [*[np.empty(0, np.int64)] * 2, *[np.empty(0, bool)] * 2]
+            flat = pa.StructArray.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind)], fields=list(kind))
+            ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists], ["doc_id", "text_digest", "runs"])
 
     return rows
 
 
 def span_rows(min_words: int):
-    """Runs of repeated units that are long enough: what goes, what stays, and the number of words that go."""
+    """The words that repeated runs cover: first and next after last of each span, one after another, and their number."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
         for batch in batches:
-            hit, gone, left, words = [], [], [], []
-            for k, units in enumerate(batch.column(2).to_pylist()):
-                runs, before = [], None
-                for u in sorted(units, key=lambda u: u["place"]):
-                    if before is not None and u["place"] == before + 1:
-                        runs[-1][1] = u["to"]
-                        runs[-1][2] += u["words"]
-                    else:
-                        runs.append([u["from"], u["to"], u["words"]])
-                    before = u["place"]
-                runs = [r for r in runs if r[2] >= min_words]
-                if runs:
-                    hit.append(k)
-                    gone.append([{"from": a, "to": b} for a, b, _ in runs])
-                    cuts = [0, *(x for a, b, _ in runs for x in (a, b)), (1 << 31) - 1]
-                    left.append([{"from": a, "to": b} for a, b in zip(cuts[::2], cuts[1::2])])
-                    words.append(sum(r[2] for r in runs))
-            take = pa.array(hit, pa.int64())
+            bounds, words = [], []
+            for places in batch.column(2):
+                place = np.unique(places.values.to_numpy())
+                # A span goes on while the next run begins no later than after its last word.
+                breaks = np.flatnonzero(np.diff(place) > min_words) + 1
+                first, last = place[np.append(0, breaks)], place[np.append(breaks, len(place)) - 1] + min_words
+                bounds.append(np.stack([first, last], 1).ravel())
+                words.append(int((last - first).sum()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(gone, span), pa.array(left, span), pa.array(words, pa.int32())],
-                ["doc_id", "text_digest", "removed", "kept", "words"],
+                [batch.column(0), batch.column(1), pa.array(bounds, pa.list_(pa.int32())), pa.array(words, pa.int32())],
+                ["doc_id", "text_digest", "bounds", "words"],
             )
 
     return rows
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def characters(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """First and next after last characters of spans of words, from a text and the bounds of the spans."""
+    for texts, bounds in batches:
+        out = [None] * len(texts)
+        hit = [k for k, x in enumerate(bounds) if x is not None]
+        for k, (_, begin, end) in zip(hit, words_of([texts[k].encode() for k in hit])):
+            first, last = np.asarray(bounds[k]).reshape(-1, 2).T
+            out[k] = np.stack([begin[first], end[last - 1]], 1).ravel()
+        yield pd.Series(out, dtype=object)
+
+
 def find_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_digest, removed and kept spans of characters, and words removed, of the texts with any."""
+    """doc_id, text_digest, the bounds of the spans of words to remove, and their number, of the texts with any."""
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id")
     keyed, digest = with_digest(docs, text)
     thin = keyed.select(rank, F.col(digest).alias("text_digest"), F.col(text).alias("text"))
-    each = thin.select("doc_id", "text").mapInArrow(unit_rows, UNITS).select("doc_id", F.explode("units").alias("unit"))
-    keepers = each.groupBy("unit").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_"))
-    keepers = settle(keepers.filter(F.col("n_") > 1), "keepers")
-    shared = docs.sparkSession.sparkContext.broadcast(bit_set(keepers, "unit", BITS))
-    name = ["doc_id", "text_digest"]
-    maybe = thin.select(*name, "text").mapInArrow(repeat_rows(shared), REPEATS)
-    maybe = maybe.select(*name, F.explode("units").alias("u")).select(*name, "u", "u.unit")
-    known = lookup(maybe, keepers, ["unit"], ["keeper"], "n_", "text_digest")
-    repeated = known.filter(F.col("u.again") | (F.col("keeper") != F.col("doc_id")))
-    runs = repeated.groupBy(*name).agg(F.collect_set("u").alias("units"))
+    each = thin.select("doc_id", "text").mapInArrow(name_rows(min_words), NAMES).select(F.explode("names").alias("name"))
+    names = settle(each.groupBy("name").agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > 1), "names")
+    hot = np.array([r["name"] for r in hot_keys(names, ["name"], "n_").collect()], np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(names, "name", BITS))
+    key = ["doc_id", "text_digest"]
+    maybe = settle(thin.select(*key, "text").mapInArrow(run_rows(shared, hot, min_words), RUNS), "runs")
+    each = maybe.select(*key, F.explode("runs").alias("u")).select(*key, "u.*")
+    # Runs whose name few texts have meet in one shuffle; the others are counted first.
+    keeper = F.min("doc_id").over(W.partitionBy("run")).alias("keeper")
+    known = each.filter(~F.col("hot")).select(*key, "run", "place", "again").select(*key, "place", "again", keeper)
+    if len(hot):
+        many = each.filter("hot")
+        keepers = settle(many.groupBy("run").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_")), "keepers")
+        known = known.union(lookup(many, keepers, ["run"], ["keeper"], "n_", "text_digest").select(known.columns))
+    repeated = known.filter(F.col("again") | (F.col("keeper") != F.col("doc_id")))
+    runs = repeated.groupBy(*key).agg(F.collect_list("place").alias("places"))
     return runs.mapInArrow(span_rows(min_words), SPANS)
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every document under one column ``row``, its text without repeats, the removed spans, and words removed."""
     keyed, digest = with_digest(docs, text)
-    spans = find_repeats(docs, text, min_words).select(F.col("doc_id").alias("id_"), F.col("text_digest").alias("digest_"), "removed", "kept", "words")
+    spans = find_repeats(docs, text, min_words).select(F.col("doc_id").alias("id_"), F.col("text_digest").alias("digest_"), "bounds", "words")
     packed = keyed.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col(digest).alias("digest"))
     both = packed.join(spans, null_safe(packed, spans, [("key", "id_"), ("digest", "digest_")]), "left")
-    left = F.transform("kept", lambda s: F.substring(F.col("text"), s["from"] + 1, s["to"] - s["from"]))
+    own = F.when(F.col("bounds").isNotNull(), F.col("text"))
+    both = both.select("row", "text", "words", characters(own, "bounds").alias("at"))
+    pairs = lambda ends: F.transform(
+        F.sequence(F.lit(0), F.size(ends) - 2, F.lit(2)), lambda k: F.struct(F.get(ends, k).alias("from"), F.get(ends, k + 1).alias("to"))
+    )
+    kept = pairs(F.concat(F.array(F.lit(0)), "at", F.array(F.lit((1 << 31) - 1))))
+    left = F.transform(kept, lambda s: F.substring(F.col("text"), s["from"] + 1, s["to"] - s["from"]))
     none = F.array().cast("array<struct<from:int,to:int>>")
     return both.select(
         "row",
-        F.when(F.col("kept").isNull(), F.col("text")).otherwise(F.array_join(left, "")).alias("text"),
-        F.coalesce("removed", none).alias("removed"),
+        F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(left, "")).alias("text"),
+        F.when(F.col("at").isNull(), none).otherwise(pairs(F.col("at"))).alias("removed"),
         F.coalesce("words", F.lit(0)).alias("words_removed"),
     )

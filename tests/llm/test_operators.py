@@ -221,6 +221,60 @@ def test_long_text_is_cut_into_pieces(spark):
     assert got[1] == text and len(got[2]) < 400
 
 
+def plain_repeats(texts, n=substring_dedup.MIN_WORDS):
+    """The places of the words that go: covered by a run of n words that an earlier document, or this one n words before, has."""
+    first, gone = {}, {}
+    for doc, text in sorted(texts.items()):
+        words = text.lower().split()
+        gone[doc] = set()
+        for k in range(len(words) - n + 1):
+            owner, place = first.setdefault(tuple(words[k : k + n]), (doc, k))
+            if owner != doc or k - place >= n:
+                gone[doc].update(range(k, k + n))
+    return gone
+
+
+@pytest.mark.parametrize("stops", [True, False])
+def test_whole_passages_of_30_to_150_words_go(spark, stops):
+    """The same passage at random places of two documents, with sentences of usual length or none; nothing else goes."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: [f"{x:x}" + "." * (stops and rng.random() < 0.08) for x in rng.integers(1 << 28, 1 << 32, n).tolist()]
+    texts, left = {}, {}
+    for trial, size in enumerate([29, 30, 51, 60, 75, 100, 150] * 20):
+        passage = prose(size)
+        for doc in (2 * trial, 2 * trial + 1):
+            before, after = prose(rng.integers(0, 80)), prose(rng.integers(0, 80))
+            texts[doc] = " ".join([*before, *passage, *after])
+            left[doc] = [*before, *after] if doc % 2 and size >= 30 else [*before, *passage, *after]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.row.doc_id: r for r in substring_dedup.drop_repeats(df).collect()}
+    assert {k: got[k].text.split() for k in texts} == left
+    assert all(got[k].words_removed == len(texts[k].split()) - len(left[k]) for k in texts)
+
+
+def test_repeats_equal_brute_force(spark):
+    """Passages of several documents that share parts of each other, repeats within a text, periods, and real texts."""
+    rng = np.random.default_rng(6)
+    source = [f"s{k}" for k in range(400)]
+    texts = {}
+    for doc in range(60):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            a, size = rng.integers(0, 400), rng.integers(5, 90)
+            parts += source[a : a + size] + [f"x{x}" for x in rng.integers(0, 10**9, rng.integers(0, 3))]
+        texts[doc] = "\n".join(parts) if doc % 2 else " ".join(parts).upper()
+    texts[100], texts[101] = "a " * 200, "b c d " * 50
+    texts |= {200 + k: f"y{k} " + " ".join(source[100:140]) + f" z{k}" for k in range(80)}
+    texts |= {1000 + r.doc_id: r.text or "" for r in documents(spark).select("doc_id", "text").collect()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    gone = plain_repeats(texts)
+    got = {r.row.doc_id: r for r in substring_dedup.drop_repeats(df).collect()}
+    assert {k: got[k].words_removed for k in texts} == {k: len(v) for k, v in gone.items()}
+    for k, text in texts.items():
+        words = text.split()
+        assert " ".join(got[k].text.split()) == " ".join(w for at, w in enumerate(words) if at not in gone[k])
+
+
 # Language
 
 
