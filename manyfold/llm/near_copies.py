@@ -12,7 +12,8 @@ is connected.
 
 Words are runs of bytes other than white space, A-Z in lower case. A text of fewer than five words has one shingle, all
 of it. Texts with the same words are one node, named by 64 bits of a hash; so are null, empty and blank texts. Rows
-without a doc_id cannot be told apart and stay. Of rows with one doc_id the one with the least text stays.
+without a doc_id cannot be told apart and stay. Rows of one doc_id with different words are different nodes, and documents
+of their own; of those with the same words the one with the least text stays.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -196,15 +198,22 @@ def near_copy_roots(docs: DataFrame, marks: DataFrame, text: str, limit: int, si
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text", limit: int = 2, similarity: float = SIMILARITY) -> DataFrame:
-    """The document with the smallest doc_id of each group of near copies, once, with all its columns."""
+    """The document with the smallest doc_id, then node, of each group of near copies, once, with all its columns."""
+
+    @F.pandas_udf("long")
+    def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series(np.array([node_of(plain_words((t or "").encode())) for t in batch], np.uint64).view(np.int64))
+
     columns = docs.columns
     known = docs.filter(F.col("doc_id").isNotNull())
     marks = settle(known.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(mark_rows, MARKS), "marks")
     roots = near_copy_roots(known, marks, text, limit, similarity)
-    keep = settle(roots.groupBy("root").agg(F.min("least").alias("keep_")).select("keep_").distinct(), "kept")
-    kept = known.join(keep, known["doc_id"].cast("long") == keep["keep_"], "left_semi")
-    # Rows of one doc_id are few: as many as the id is repeated.
+    least = roots.groupBy("root").agg(F.min(F.struct("least", "node")).alias("least"))
+    keep = settle(least.select(F.col("least.least").alias("key_"), F.col("least.node").alias("node_")), "kept")
     struct = fresh(docs, "row")
-    packed = kept.select(F.struct(*columns).alias(struct), F.col("doc_id").alias("key_"), F.col(text).alias("text_"))
-    chosen = packed.groupBy("key_").agg(F.min_by(struct, F.struct(F.col("text_").isNull(), "text_")).alias(struct))
+    packed = known.select(F.struct(*columns).alias(struct), F.col("doc_id").cast("long").alias("key_"), F.col(text).alias("text_"), node(text).alias("node_"))
+    kept = packed.join(keep, ["key_", "node_"], "left_semi")
+    # Rows of one doc_id and node are few: as many as a document is repeated.
+    chosen = kept.groupBy("key_", "node_").agg(F.min_by(struct, F.struct(F.col("text_").isNull(), "text_")).alias(struct))
     return chosen.select(f"{struct}.*").unionByName(docs.filter(F.col("doc_id").isNull()))

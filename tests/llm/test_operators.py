@@ -142,6 +142,19 @@ def test_near_copies_equal_all_pairs(spark):
     assert sorted(got) == sorted(plain_survivors(rows))
 
 
+def test_rows_of_one_id_are_compared_by_their_texts(spark):
+    words = [[f"{letter}{k}" for k in range(60)] for letter in "abcdef"]
+    clean, near, other = (" ".join(w) for w in words[:3])
+    copy = near + " more"
+    rows = [(7, other, "clean of 7"), (7, copy, "copy of 3"), (3, near, "3"), (9, clean, "first of 9"), (9, clean.upper(), "same words"), (9, " ".join(words[3]), "second of 9")]
+    rows += [(9, None, "null of 9"), (10, clean + " more", "copy of 9"), (8, " ".join(words[4]), "8"), (8, " ".join(words[4]) + " more", "copy of itself")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()
+    assert len(kept) == 6
+    assert {"clean of 7", "3", "second of 9", "null of 9"} < {r.row for r in kept}
+    assert sorted(r.doc_id for r in kept) == [3, 7, 8, 9, 9, 9]
+    assert not {"copy of 3", "copy of 9"} & {r.row for r in kept}
+
+
 # Decontamination
 
 
