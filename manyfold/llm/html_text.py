@@ -4,8 +4,13 @@ The parser turns a page into lines, one for each block. A line has its text, the
 link text, and the sectioning elements around it. Parts that are something else by their element, role or class (menus,
 page headers, footers, sidebars, adverts, notices, forms, comments, scripts and styles) have no text. The ratio of
 characters to tags per line is smoothed by a Gaussian and split in two clusters; lines in the upper one, that are not
-mostly links, are the seeds of the content. The content region is the smallest element that holds most of the seeds'
-text, and its lines make up the result, the short ones between long paragraphs too.
+mostly links, are the seeds of the content. The content region is the article or main around the smallest element that
+holds most of the seeds' text; without one, that element, or the one around it as long as that has text of its own or
+seeds beside it. So it is around an article if the element that holds it has seeds of its own; else the articles next to
+that one belong to it. The region's lines make up the result, the short ones between long paragraphs too.
+
+A class or an id drops no element that holds the page's only articles or main, or most of the seeds where the page has
+neither: such names say what a wrapper has (``has-sidebar``), not what it is.
 
 White space in a line becomes one space; lines are joined by line feeds in page order; nothing is cut. Null and empty
 html give an empty text. Broken markup is read as far as it goes: block elements end an open paragraph, and end tags
@@ -43,16 +48,23 @@ HINT = re.compile(
     re.IGNORECASE,
 )
 KEPT = frozenset("html body main article".split())
+# What may stand in a head; anything else ends it, with or without its end tag.
+HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
 # An open paragraph ends where one of these begins or ends.
 SIGMA, LINKED, MOST = 1.0, 0.6, 0.8
 
 
 class Lines(HTMLParser):
-    """Collects lines: [text, tags, link characters, section]. ``sections`` holds the parent of each section."""
+    """Collects lines: [text, tags, link characters, section, hint]. ``sections`` holds the parent of each section.
+
+    A hint is an element that its class or id tells to drop, and is settled only when the page is known: ``hints`` holds
+    of each the hint around it and whether an article or main begins in it. Hint 0 is the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[list] = []  # [tag, is dropped, section]
+        self.open: list[list] = []  # [tag, is dropped, section, hint]
+        self.hints: list[list] = [[-1, False]]
         self.dropped = 0
         self.links = 0
         self.sections = [-1]
@@ -65,7 +77,8 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append([text, max(1, self.tags), self.linked, self.open[-1][2] if self.open else 0])
+            section, hint = self.open[-1][2:] if self.open else (0, 0)
+            self.lines.append([text, self.tags, self.linked, section, hint])
             self.tags, self.linked = 0, 0
         self.parts = []
 
@@ -73,18 +86,25 @@ class Lines(HTMLParser):
         if tag in NEVER:
             return True
         if tag == "header":
-            return not any(t in ("article", "main") for t, _, _ in self.open)
+            return not any(x[0] in ("article", "main") for x in self.open)
         if tag in KEPT:
             return False
         for name, value in attrs:
             value = value or ""
-            if name in ("class", "id") and HINT.search(value) or name == "role" and value.strip().lower() in ROLES:
+            if name == "role" and value.strip().lower() in ROLES:
                 return True
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "").lower():
                 return True
         return False
 
+    def hinted(self, tag: str, attrs: list) -> bool:
+        return tag not in KEPT and tag != "header" and any(name in ("class", "id") and HINT.search(value or "") for name, value in attrs)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag == "body":
+            self.close_head()
+        elif tag not in HEAD and self.open and self.open[-1][0] == "head":
+            self.pop_to(len(self.open) - 1)
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
@@ -98,7 +118,14 @@ class Lines(HTMLParser):
             if tag in ("li", "dt", "dd", "td", "th", "tr"):
                 self.close_until(tag, {"ul", "ol", "dl", "table"} | SECTIONS)
         drop = self.unwanted(tag, attrs)
-        section = self.open[-1][2] if self.open else 0
+        section, hint = self.open[-1][2:] if self.open else (0, 0)
+        hints = not drop and not self.dropped and self.hinted(tag, attrs)
+        if tag in ("article", "main") and not drop and not self.dropped:
+            self.hints[hint][1] = True
+        if hints:
+            self.flush()
+            self.hints.append([hint, False])
+            hint = len(self.hints) - 1
         if tag in SECTIONS:
             self.sections.append(section)
             self.names.append(tag)
@@ -107,13 +134,19 @@ class Lines(HTMLParser):
             self.flush()
         self.dropped += drop
         self.links += tag == "a"
-        self.open.append([tag, drop, section])
+        self.open.append([tag, drop, section, hint])
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
         if tag in ("svg", "math") and tag not in VOID:
             self.handle_endtag(tag)
 
+    def close_head(self) -> None:
+        for k, x in enumerate(self.open):
+            if x[0] == "head":
+                self.pop_to(k)
+                return
+
     def close_until(self, tag: str, walls) -> None:
         """Ends the innermost open ``tag``, if no element of ``walls`` is open within it."""
         for k in range(len(self.open) - 1, -1, -1):
@@ -125,8 +158,8 @@ class Lines(HTMLParser):
 
     def pop_to(self, k: int) -> None:
         while len(self.open) > k:
-            tag, drop, _ = self.open[-1]
-            if tag in BLOCKS or drop:
+            tag, drop, _, hint = self.open[-1]
+            if tag in BLOCKS or drop or hint != (self.open[-2][3] if len(self.open) > 1 else 0):
                 self.flush()
             self.open.pop()
             self.dropped -= drop
@@ -144,6 +177,8 @@ class Lines(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self.pop_to(len(self.open) - 1)
         if not self.dropped:
             self.parts.append(data)
             if self.links:
@@ -171,6 +206,48 @@ def two_clusters(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def seeds_of(lines: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of every line, whether it is not mostly links, and whether it is a seed."""
+    sizes = np.array([len(x[0]) for x in lines], float)
+    ratios = smoothed(sizes / np.array([max(1, x[1]) for x in lines]), SIGMA)
+    prose = np.array([x[2] for x in lines]) < LINKED * sizes
+    seeds = (ratios >= two_clusters(ratios)) & prose
+    return sizes, prose, seeds if seeds.any() else prose
+
+
+def below(parents: list[int], values: np.ndarray) -> np.ndarray:
+    """Sums over each element and all that it holds. Parents come before children."""
+    for k in range(len(values) - 1, 0, -1):
+        values[parents[k]] += values[k]
+    return values
+
+
+def settled_lines(page: Lines) -> list[list]:
+    """The lines outside of the elements that a hint drops. Their tags count for the next line that stays."""
+    if len(page.hints) == 1 or not page.lines:
+        return page.lines
+    around = [x[0] for x in page.hints]
+    articles = below(around, np.array([x[1] for x in page.hints], float))
+    sizes, _, seeds = seeds_of(page.lines)
+    mass = below(around, np.bincount([x[4] for x in page.lines], sizes * seeds, len(around)))
+    dropped = np.zeros(len(around), bool)
+    # An article or main outside of hints is the content, whatever the others hold (comments are articles too).
+    outside = page.hints[0][1]
+    for k in range(1, len(around)):
+        whole = articles[k] > 0 if articles[0] else mass[k] >= MOST * mass[0] > 0
+        dropped[k] = dropped[around[k]] or outside or not whole
+        if not dropped[k] and page.hints[k][1]:
+            # So is one that stands in this element itself, for the hints within it.
+            outside = True
+    lines, tags = [], 0
+    for text, n, *rest in page.lines:
+        tags += n
+        if not dropped[rest[2]]:
+            lines.append([text, tags, *rest])
+            tags = 0
+    return lines
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -178,31 +255,36 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    lines = page.lines
+    lines = settled_lines(page)
     if not lines:
         return ""
-    sizes = np.array([len(x[0]) for x in lines], float)
-    ratios = smoothed(sizes / np.array([x[1] for x in lines]), SIGMA)
-    prose = np.array([x[2] for x in lines]) < LINKED * sizes
-    seeds = (ratios >= two_clusters(ratios)) & prose
-    if not seeds.any():
-        seeds = prose
-    mass = np.zeros(len(page.sections))
-    for line, seed, n in zip(lines, seeds, sizes):
-        if seed:
-            mass[line[3]] += n
-    for k in range(len(mass) - 1, 0, -1):  # parents come before children
-        mass[page.sections[k]] += mass[k]
+    sizes, prose, seeds = seeds_of(lines)
+    own = np.bincount([x[3] for x in lines], sizes * seeds, len(page.sections))
+    text = np.bincount([x[3] for x in lines], sizes * prose, len(page.sections))
+    mass = below(page.sections, own.copy())
     if not mass[0]:
         return ""
     region = max(k for k in range(len(mass)) if mass[k] >= MOST * mass[0])
+    above = [region]
+    while above[-1] > 0:
+        above.append(page.sections[above[-1]])
+    region = next((k for k in above if page.names[k] in ("article", "main")), region)
     # A paragraph's own box is not the region: its neighbours belong to it too, up to the article.
-    while region and page.names[region] not in KEPT and any(page.sections[k] == page.sections[region] and mass[k] for k in range(len(mass)) if k != region):
-        region = page.sections[region]
+    while region and page.names[region] not in ("html", "body", "main"):
+        around = page.sections[region]
+        beside = [k for k in range(len(mass)) if page.sections[k] == around and k != region and mass[k]]
+        if page.names[region] == "article":
+            if not own[around]:
+                break
+        elif not text[around] and not beside:
+            break
+        region = around
     inside = np.zeros(len(mass), bool)
     inside[region] = True
-    for k in range(region + 1, len(mass)):
-        inside[k] = inside[page.sections[k]]
+    if page.names[region] == "article":
+        inside |= [n == "article" and k == page.sections[region] for n, k in zip(page.names, page.sections)]
+    for k in range(1, len(mass)):
+        inside[k] |= inside[page.sections[k]]
     closed = page.names[region] in ("article", "main")
     return "\n".join(x[0] for x, p in zip(lines, prose) if inside[x[3]] and (p or closed))
 

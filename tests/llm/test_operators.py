@@ -380,6 +380,29 @@ def test_main_text(html, want):
     assert html_text.main_text(html) == want
 
 
+SENTENCE = "This is a sentence of the article that goes on for quite some time, as they do."
+ENTRY = "".join(f"<p>{k}. {SENTENCE} {SENTENCE}</p>" for k in range(12))
+WANTED = "\n".join(f"{k}. {SENTENCE} {SENTENCE}" for k in range(12))
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        (f"<body><article><h1>Title</h1><p>A short lead.</p><div class=entry>{ENTRY}</div></article></body>", f"Title\nA short lead.\n{WANTED}"),
+        (f"<body><div><h1>Title</h1><p>A short lead.</p><div class=entry>{ENTRY}</div></div><footer>x</footer></body>", f"Title\nA short lead.\n{WANTED}"),
+        (f"<article><p>A short lead.</p><blockquote>{ENTRY}</blockquote><p>And an end.</p></article>", f"A short lead.\n{WANTED}\nAnd an end."),
+        (f"<body><article>{ENTRY}</article><article><p>{SENTENCE} {SENTENCE}</p></article></body>", f"{WANTED}\n{SENTENCE} {SENTENCE}"),
+        (f"<html><head><title>t</title><meta charset=utf-8><body><article>{ENTRY}</article></body></html>", WANTED),
+        (f"<html><head><title>t</title><script>var x = 1;</script><div>{ENTRY}</div></html>", WANTED),
+        *((f"<body><div class='{c}'><article>{ENTRY}</article><div class=sidebar><p>{SENTENCE}</p></div></div></body>", WANTED) for c in ("wrap has-sidebar", "with-sidebar", "no-sidebar")),
+        (f"<body><div class=has-sidebar><div>{ENTRY}</div><div class=sidebar><p>Popular posts</p></div></div></body>", WANTED),
+        (f"<body><article><p>{SENTENCE} {SENTENCE}</p></article><div id=comments><article>{ENTRY}</article></div></body>", f"{SENTENCE} {SENTENCE}"),
+    ],
+)
+def test_the_whole_article_stays(html, want):
+    assert html_text.main_text(html) == want
+
+
 def test_pages_keep_their_article(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
