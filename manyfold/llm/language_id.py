@@ -12,6 +12,10 @@ at most max_languages x pieces numbers, which is what is broadcast.
 The prediction is the likeliest language, the first in code point order of equals; the score is its posterior
 probability with equal priors. Texts that are null or have no letter get ``und`` and 0. Rows with a null id or label
 teach nothing. Every row gets a prediction, repeated ones too.
+
+A posterior says which language is likeliest, not that a text is in any of them: it is near 1 for every longer text. So
+documents are kept by their fit too: the log probability per letter under the winner, against that of the sample's texts.
+Deviations shrink with the root of the letters, up to ``LETTERS`` of them; beyond, texts differ by their content.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ STRETCH = 32
 UNKNOWN = 1e-8
 SMOOTHING = 0.05
 SAMPLE_DOCS, MAX_LANGUAGES, ROUNDS = 400, 128, 3
+#: A text fits if it lies at most so many deviations below its language's mean.
+DEVIATIONS, LETTERS = 10.0, 500
+#: A deviation is at least so large, and every language's is drawn to that of all by so many texts.
+LEAST_DEVIATION, DRAWN = 2.0, 20
 
 
 def words_of(text: str | None) -> list[str]:
@@ -89,15 +97,14 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def learn(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """The languages in code point order and p[piece, language], from columns doc_id, text and lang."""
+def sampled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], DataFrame | None]:
+    """The languages in code point order, and lang and text of the sample; None without languages."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     counted = {r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     languages = sorted(counted)
-    n_pieces = len(vocabulary(path)[0])
     if not languages:
-        return [], np.zeros((n_pieces, 0))
+        return [], None
     # A hash first leaves about twice the sample of every language, however many rows it has; then the exact limit.
     hash_ = F.xxhash64(F.col("doc_id").cast("string"))
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 2.0 * sample_docs / counted[lang]))])
@@ -105,6 +112,14 @@ def learn(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, max_langua
     order = W.partitionBy("lang").orderBy(hash_, "doc_id", F.xxhash64("text"))
     some = rows.filter(F.col("lang").isin(languages) & below)
     ids = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
+    return languages, ids.select("lang", "text")
+
+
+def learn(languages: list[str], ids: DataFrame | None, path: str, rounds: int = ROUNDS) -> np.ndarray:
+    """p[piece, language] from columns lang and text of the sample."""
+    n_pieces = len(vocabulary(path)[0])
+    if not languages:
+        return np.zeros((n_pieces, 0))
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,7 +137,7 @@ def learn(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, max_langua
     counts = settle(counts.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     place = {lang: k for k, lang in enumerate(languages)}
     p = np.full((n_pieces, len(languages)), 1.0 / n_pieces)
-    spark = docs.sparkSession
+    spark = ids.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(p)
 
@@ -147,20 +162,20 @@ def learn(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, max_langua
         p = np.full((n_pieces, len(languages)), SMOOTHING)
         p[found["piece"].to_numpy(np.int64), found["lang"].to_numpy(np.int64)] += found["uses"].to_numpy(float)
         p /= p.sum(axis=0)
-    return languages, p
+    return p
 
 
 def predictor(spark: SparkSession, languages: list[str], p: np.ndarray, path: str):
-    """A function of a text column that gives a struct of lang_pred and score."""
+    """A function of a text column that gives a struct of lang_pred, score, fit (null for ``und``) and letters."""
     model = spark.sparkContext.broadcast(p)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fit double, letters long")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         logs = np.empty((CACHE, len(languages)))
         for batch in batches:
             texts = batch.tolist()
-            best, sure = [], []
+            best, sure, fit, letters = [], [], [], []
             for first, last in groups(texts):
                 words = [words_of(t) if languages else [] for t in texts[first:last]]
                 new = list(set().union(*words).difference(known))
@@ -174,30 +189,55 @@ def predictor(spark: SparkSession, languages: list[str], p: np.ndarray, path: st
                     logs[len(known) : len(known) + len(some)] = Sums(path, some, model.value).logs()
                     known.update(zip(some, range(len(known), len(known) + len(some))))
                 for own in words:
+                    letters.append(sum(map(len, own)))
                     if not own:
+                        fit.append(np.nan)
                         best.append("und")
                         sure.append(0.0)
                         continue
                     total = logs[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
                     top = int(np.argmax(total))
                     best.append(languages[top])
+                    fit.append(float(total[top]) / letters[-1])
                     sure.append(float(1.0 / np.exp(total - total[top]).sum()))
-            yield pd.DataFrame({"lang_pred": best, "score": sure})
+            yield pd.DataFrame({"lang_pred": best, "score": sure, "fit": fit, "letters": letters})
 
     return predicted
 
 
-def identify(docs: DataFrame, path: str, **settings) -> DataFrame:
+def identify(docs: DataFrame, path: str, rounds: int = ROUNDS, **settings) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learned from those not held out."""
-    languages, p = learn(docs.filter(~held_out()), path, **settings)
+    languages, ids = sampled(docs.filter(~held_out()), **settings)
+    p = learn(languages, ids, path, rounds)
     judged = docs.select("doc_id", held_out().alias("held_out"), predictor(docs.sparkSession, languages, p, path)("text").alias("p"))
     return judged.select("doc_id", "held_out", "p.lang_pred", "p.score")
 
 
-def keep_known_languages(docs: DataFrame, path: str, least: float = 0.5, **settings) -> DataFrame:
-    """The documents, with all their columns, whose language is known with a posterior of at least ``least``."""
-    languages, p = learn(docs.filter(~held_out()), path, **settings)
+def usual_fits(texts: DataFrame) -> dict[str, tuple[float, float]]:
+    """Mean and deviation of the fit of every language, from columns lang and p of the sample's texts, predicted."""
+    known = texts.filter(F.col("lang") == F.col("p.lang_pred")).select("lang", "p.fit", F.least("p.letters", F.lit(LETTERS)).alias("n"))
+    sums = [F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.sum(F.col("fit") * F.col("n")).alias("x"), F.sum(F.col("fit") ** 2 * F.col("n")).alias("xx")]
+    rows = known.groupBy("lang").agg(*sums).collect()
+    # The sum of squares of deviations times the root of the letters.
+    squares = {r.lang: max(0.0, r.xx - r.x * r.x / r.n) for r in rows}
+    overall = max(LEAST_DEVIATION**2, sum(squares.values()) / max(1, sum(r.texts for r in rows)))
+    return {r.lang: (r.x / r.n, max(LEAST_DEVIATION, ((squares[r.lang] + DRAWN * overall) / (r.texts + DRAWN)) ** 0.5)) for r in rows}
+
+
+def keep_known_languages(docs: DataFrame, path: str, least: float = 0.5, rounds: int = ROUNDS, **settings) -> DataFrame:
+    """The documents, with all their columns, that fit a language, and that one with a posterior of at least ``least``."""
+    languages, ids = sampled(docs.filter(~held_out()), **settings)
+    if not languages:
+        return docs.limit(0)
+    ids = settle(ids, "sample")
+    p = learn(languages, ids, path, rounds)
+    judge = predictor(docs.sparkSession, languages, p, path)
+    usual = usual_fits(ids.select("lang", judge("text").alias("p")))
     name = fresh(docs, "language")
-    judged = docs.withColumn(name, predictor(docs.sparkSession, languages, p, path)("text"))
-    known = (F.col(f"{name}.lang_pred") != "und") & (F.col(f"{name}.score") >= least)
-    return judged.filter(known).drop(name)
+    judged = docs.withColumn(name, judge("text"))
+    own = F.col(name)
+    fits = F.lit(True)
+    for lang, (mean, deviation) in usual.items():
+        away = (F.lit(mean) - own["fit"]) * F.sqrt(F.least(own["letters"], F.lit(LETTERS)))
+        fits = F.when(own["lang_pred"] == lang, away <= DEVIATIONS * deviation).otherwise(fits)
+    return judged.filter((own["lang_pred"] != "und") & (own["score"] >= least) & fits).drop(name)

@@ -332,6 +332,18 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert {r.lang_pred for r in language_id.identify(docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang")), VOCABULARY).collect()} == {"und"}
 
 
+def test_texts_in_no_learned_language_are_rejected(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    rng = np.random.default_rng(8)
+    noise = [(70000 + k, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(100)), None) for k in range(10)]
+    foreign = "Kolme miestä käveli hiljaa metsän läpi, eikä kukaan heistä tiennyt, mihin polku lopulta johtaisi ennen yön tuloa. " * 4
+    odd = spark.createDataFrame([*noise, (70100, foreign, None), (70101, None, "en"), (70102, "12 !", "en")], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in language_id.keep_known_languages(docs.union(odd), VOCABULARY).select("doc_id").collect()}
+    assert not {k for k in kept if k >= 70000}
+    # Of the documents, junk apart, nearly all stay.
+    assert len(kept) >= 0.95 * docs.count()
+
+
 # Tokens
 
 
