@@ -8,12 +8,15 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from manyfold.llm import (
+    conversation_repair,
     decontaminate,
     html_text,
     language_id,
     line_dedup,
     mixing,
     neighbours,
+    packing,
+    prefix_trie,
     simhash_dedup,
     substring_dedup,
     token_counts,
@@ -24,11 +27,19 @@ from manyfold.sources.settled import settle
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
 
+def public_file(name: str) -> str:
+    found = importlib.util.find_spec("public_tokenizers")
+    return os.path.join(os.path.dirname(found.origin) if found and found.origin else "/opt/tokenizers", name)
+
+
 def vocabulary_path() -> str:
     """The public piece vocabulary; PIECE_VOCABULARY names another file."""
-    found = importlib.util.find_spec("public_tokenizers")
-    folder = os.path.dirname(found.origin) if found and found.origin else "/opt/tokenizers"
-    return os.environ.get("PIECE_VOCABULARY", os.path.join(folder, "piece_bpe_32k.model"))
+    return os.environ.get("PIECE_VOCABULARY", public_file("piece_bpe_32k.model"))
+
+
+def tokenizer_path() -> str:
+    """The public tokenizer for packing; WORD_TOKENIZER names another file."""
+    return os.environ.get("WORD_TOKENIZER", public_file("word_bpe_49k.json"))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -85,6 +96,25 @@ def op10_decontaminate(spark, folder):
     return leaks.select("doc_id", "item_id", "containment")
 
 
+def op11_pack(spark, folder):
+    pieces = packing.token_pieces(table(spark, folder, "documents"), tokenizer_path())
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op12_repair(spark, folder):
+    given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.summaries(conversation_repair.repair(conversation_repair.damage(given)))
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    every = given.select("conv_id").distinct().withColumn("key", name("conv_id")).join(found, "key", "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    texts = [F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")]
+    return every.select("conv_id", *counts, *texts)
+
+
+def op13_prefix_trie(spark, folder):
+    return prefix_trie.trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -98,6 +128,9 @@ QUERIES = {
         op8_token_counts,
         op9_simhash,
         op10_decontaminate,
+        op11_pack,
+        op12_repair,
+        op13_prefix_trie,
     )
 }
 
