@@ -8,7 +8,8 @@ lower bound for all pairs below, and a pair of nodes whose bound passes the limi
 Leaves that remain are compared in full; links are then joined to components by least labels with pointer jumping.
 
 Words are runs of bytes other than white space, A-Z in lower case. Null, empty and blank texts have the fingerprint
-zero and link like any other. A null doc_id links but is never the id of a component.
+zero and link like any other. A null doc_id links but is never the id of a component. An empty table gives no row; other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from manyfold.llm.common import lookup
+from manyfold.llm.common import fresh, lookup
 from manyfold.llm.textgrams import as_bytes
 from manyfold.sources.settled import settle
 
@@ -48,15 +49,18 @@ def fingerprint(text: bytes, size: int = 3) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", size: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, also: str | None = None) -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long, of every row; and the long column ``also`` as place."""
+    more = [F.col(also).alias("place")] if also else []
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.array([fingerprint(t, size) for t in as_bytes(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+            columns = [batch.column(0), pa.array(marks.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "place"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(rows, "doc_id long, fp long")
+    schema = "doc_id long, fp long" + (", place long" if also else "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, *more).mapInArrow(rows, schema)
 
 
 def gray_rank(code: Column) -> Column:
@@ -190,14 +194,38 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", limit: int = 2) -> DataFrame:
-    """doc_id, fp and component_id, the smallest doc_id reachable over links of ``limit`` bits, for every row."""
-    marks = settle(fingerprints(docs, text), "fingerprints")
+def rooted_prints(marks: DataFrame, limit: int) -> DataFrame:
+    """fp, least (its smallest doc_id), n_ (its rows) and root, equal for all fingerprints of a component."""
     classes = marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_"))
     classes = settle(classes, "classes")
     roots = components(links(classes.select("fp"), limit))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left")
-    rooted = settle(rooted.select("fp", "least", "n_", F.coalesce("root", "fp").alias("root")), "rooted")
+    return settle(rooted.select("fp", "least", "n_", F.coalesce("root", "fp").alias("root")), "rooted")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", limit: int = 2) -> DataFrame:
+    """doc_id, fp and component_id, the smallest doc_id reachable over links of ``limit`` bits, for every row."""
+    marks = settle(fingerprints(docs, text), "fingerprints")
+    rooted = rooted_prints(marks, limit)
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m_"))
     named = lookup(rooted, groups, ["root"], ["component_id"], "m_", "fp").select("fp", "component_id", "n_")
     return lookup(marks, named, ["fp"], ["component_id"], "n_", "doc_id").select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, text: str = "text", limit: int = 2) -> DataFrame:
+    """One row of each component, with all its columns: the one with the smallest doc_id, those without one last.
+
+    Rows are told apart by doc_id and text, so rows of one doc_id with different texts are documents of their own; of
+    rows with the same doc_id and text any one stays, as they differ in nothing that was compared.
+    """
+    place = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    doc_id = F.col("doc_id").cast("long")
+    marks = settle(fingerprints(docs.withColumn(fresh(docs, "place"), place), text, also=fresh(docs, "place")), "fingerprints")
+    rooted = rooted_prints(marks, limit)
+    named = lookup(marks, rooted.select("fp", "root", "n_"), ["fp"], ["root"], "n_", "place")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "place")).alias("first")
+    keep = named.groupBy("root").agg(first).select(F.col("first.bare").alias("bare_"), F.coalesce("first.doc_id", F.lit(0)).alias("key_"), F.col("first.place").alias("place_"))
+    row = fresh(docs, "row")
+    packed = docs.select(F.struct(*docs.columns).alias(row), doc_id.isNull().alias("bare_"), F.coalesce(doc_id, F.lit(0)).alias("key_"), place.alias("place_"))
+    kept = packed.join(settle(keep, "kept"), ["bare_", "key_", "place_"], "left_semi")
+    return kept.groupBy("bare_", "key_", "place_").agg(F.first(row).alias(row)).select(f"{row}.*")
