@@ -14,6 +14,7 @@ unless it has no space. Strings of special tokens get the ids that the tokenizer
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -33,46 +34,72 @@ END = 1
 #: Pieces that a task packs.
 BUCKET = 1 << 16
 #: Known words per Python worker; the cache is emptied when it is full.
-CACHE = 300_000
+CACHE = 1_000_000
+#: Letters below this code point are lower-cased one by one and have no other composed form, but for the dotted capital I.
+LETTERS, DOTTED = 0x180, "\u0130"
 #: Characters tokenised at a time, and pieces in an output batch.
 PART_CHARS, BATCH = 1 << 20, 1 << 10
 STOPS = ".,;:!?"
 
 
 class Words:
-    """Ids of words between spaces. White space parts tokens, so the ids of a text are those of its words in order."""
+    """Ids of words between spaces or line ends, as bytes. White space parts tokens, so the ids of a text are those of its words in order."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.bare: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        # How the tokenizer writes the bytes of letters; a word of plain letters is one piece of text to its model.
+        self.letters = {ord(c): self.written(c) for c in map(chr, range(LETTERS)) if c.isalpha() and c.lower() == c}
 
-    def encode(self, words: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(e.ids) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def written(self, letter: str) -> str:
+        return "".join(text for text, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letter))
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        tokenize, letters, out, rest = self.tokenizer.model.tokenize, self.letters, [], []
+        for word in words:
+            if not word.isalpha() or word != word.lower():
+                rest.append(len(out))
+                out.append(b"")
+            elif word.isascii():
+                out.append(array("I", [t.id for t in tokenize(word)]).tobytes())
+            elif max(word) < chr(LETTERS):
+                out.append(array("I", [t.id for t in tokenize(word.translate(letters))]).tobytes())
+            else:
+                rest.append(len(out))
+                out.append(b"")
+        for at, encoding in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
+            out[at] = array("I", encoding.ids).tobytes()
+        return out
+
+    @staticmethod
+    def parted(word: str) -> tuple[str, str]:
+        """A lower-case word of plain letters and the stops after it, or the whole word as it is."""
+        stem = word.rstrip(STOPS)
+        if stem.isalpha() and (stem.isascii() or max(stem) < chr(LETTERS) and DOTTED not in stem):
+            return stem.lower(), word[len(stem) :]
+        return word, ""
 
     def learn(self, words: list[str]) -> None:
-        if len(self.known) + len(self.bare) > CACHE:
+        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        if len(self.known) + len(new) > CACHE:
             self.known.clear()
             self.bare.clear()
-        # ASCII words are taken apart into a lower-case word that ends with a letter and the stops after it.
-        parts: list[tuple[str, str]] = []
-        for word in words:
-            stem = word.rstrip(STOPS)
-            if word.isascii() and "|" not in word:
-                parts.append((stem.lower(), word[len(stem) :]) if stem[-1:].isalpha() else (word.lower(), ""))
-            else:
-                parts.append((word, ""))
-        new = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in self.bare]
-        self.bare.update(zip(new, self.encode(new)))
-        for word, (stem, stops) in zip(words, parts):
+            new = list(dict.fromkeys(words))
+        parts = list(map(self.parted, new))
+        bare = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in self.bare]
+        self.bare.update(zip(bare, self.encode(bare)))
+        for word, (stem, stops) in zip(new, parts):
             self.known[word] = self.bare[stem] + self.bare[stops]
 
     def ids(self, text: str) -> np.ndarray:
-        words = text.split(" ")
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
-        if new:
-            self.learn(new)
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), "<u4")
+        words = text.replace("\n", " ").split(" ")
+        try:
+            found = b"".join(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            found = b"".join(map(self.known.__getitem__, words))
+        return np.frombuffer(found, "<u4")
 
 
 @lru_cache(maxsize=2)

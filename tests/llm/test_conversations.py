@@ -68,6 +68,7 @@ def check_sequences(rows, capacity):
 
 
 ODD_TEXTS = [None, "", " ", "  a  b ", "A.b, c!? D...", "Don't we'll I'VE", "naïve Ῥόδος ΣΑΣ.", "á ́b ̣́ c", "x<|endoftext|>y <|ENDOFTEXT|>. <|startoftext|>", "1234 5,6 ٣", "日本語 テキスト。", "  \x1c\x1d tab\tend\r\n", "é." * 50, "한글 ..", "w." * 9000, "long " * 9000]
+ODD_TEXTS += ["İstanbul. ISTANBUL ıı ŉa ſo Straße. ÉCOLE, œuvre ª º µ× Ÿ.", "été… été. l'été Ünïcödé!? ǅ Ǆ", "ÀÉ" * 40]
 
 
 def test_pieces_have_the_tokenizers_ids(spark, tmp_path, monkeypatch):
@@ -90,6 +91,16 @@ def test_texts_are_tokenised_in_parts(monkeypatch):
     assert np.concatenate(pieces).tolist() == whole and {len(p) for p in pieces[:-1]} == {100}
 
 
+def test_a_full_cache_is_emptied(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 10)
+    words = packing.Words(queries.tokenizer_path())
+    for text in [*filter(None, ODD_TEXTS), "one two. three", "ONE two three. four five six seven eight nine ten eleven", "one two"]:
+        assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    everything = "".join(map(chr, range(1, 0x250)))
+    for text in [everything, " ".join(everything), " ".join(c + "a." for c in everything), " ".join("b" + c for c in everything)]:
+        assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("sizes", ["mixed", "halves", "equal", "large"])
 def test_packing_in_many_buckets(spark, sizes):
     draw = np.random.default_rng(3)
