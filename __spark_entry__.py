@@ -269,7 +269,7 @@ def train_ridge(spark, folder):
 def tune_ridge_hot(spark, folder):
     models = mf.tune(
         events(spark, folder), ["event_type"], "value", ["user_id", "k", "event_id"],
-        {"alpha": mf.Choice(1e3, 1e5, 1e7)}, 4, "ridge", row_key=["event_id"], rows_per_task=400,
+        {"alpha": mf.Choice(1e3, 1e5, 1e7)}, 10, "ridge", row_key=["event_id"], rows_per_task=400,
     )
     return listing(models, ["event_type"], ["user_id", "k", "event_id"], ["alpha"])
 
@@ -340,9 +340,6 @@ def train_forest_hot(spark, folder):
         ["user_id", "k"],
         "forest",
         ["event_id"],
-        n_estimators=5,
-        max_depth=6,
-        max_bins=32,
         rows_per_task=400,
     )
     return forest_listing(models, ["event_type"])
@@ -350,7 +347,7 @@ def train_forest_hot(spark, folder):
 
 def score_forest(spark, folder):
     lines = table(spark, folder, "lineitem")
-    models = line_models(spark, folder, estimator="forest", n_estimators=20)
+    models = line_models(spark, folder, estimator="forest")
     scored = mf.score(lines.drop(PRICE), models, ["l_partkey"], features=LINE_FEATURES)
     return scored.select(*LINE_KEY, "l_partkey", *LINE_FEATURES, places(F.col("prediction"), 2).alias("prediction"))
 
@@ -359,7 +356,7 @@ def score_forest_hot(spark, folder):
     """Every group is above the size of one task: its rows are dealt to several, each with the model."""
     rows = events(spark, folder).select("event_id", "event_type", "user_id", "k", "value")
     features = ["user_id", "k"]
-    models = mf.train(rows, ["event_type"], "value", features, "forest", ["event_id"], n_estimators=5, max_depth=6)
+    models = mf.train(rows, ["event_type"], "value", features, "forest", ["event_id"])
     scored = mf.score(rows.drop("value"), models, ["event_type"], features=features, rows_per_task=400)
     return scored.select("event_id", "event_type", places(F.col("prediction"), 4).alias("prediction"))
 
@@ -452,7 +449,7 @@ def score_forest_stream(spark, folder):
     """The events as a stream, each scored by the forest of its type."""
     keys, features = ["event_type"], ["user_id", "k"]
     past = events(spark, folder).select("event_id", *keys, *features, "value")
-    models = mf.train(past, keys, "value", features, "forest", ["event_id"], n_estimators=5, max_depth=6)
+    models = mf.train(past, keys, "value", features, "forest", ["event_id"])
     schema = table(spark, folder, "events").schema
     stream = with_props(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder))
     out = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
@@ -562,7 +559,7 @@ FROM {ORDERS_SQL} r LEFT JOIN models m ON m.k0 = r.o_custkey AND m.status = 'suc
     example = f"""SELECT * FROM lineitem ORDER BY {o.text_hash(LINE_KEY, 15)}, l_orderkey, l_linenumber, l_suppkey LIMIT 5"""
     tried = o.ridge_trials(*supply, ALPHAS, 10)
     hot_tried = o.ridge_trials(
-        EVENTS_SQL, ["event_type"], "value", ["user_id", "k", "event_id"], ["event_id"], [1e3, 1e5, 1e7], 4
+        EVENTS_SQL, ["event_type"], "value", ["user_id", "k", "event_id"], ["event_id"], [1e3, 1e5, 1e7], 10
     )
 
     def tuned_ridge(trials, key):
@@ -685,12 +682,10 @@ FROM lineitem GROUP BY 1""",
             target="value",
             features=["user_id", "k"],
             row_key=["event_id"],
-            trees=5,
-            max_bins=32,
-            space=[("n_estimators", [5]), ("max_depth", [6]), ("min_samples_split", [2]), ("min_samples_leaf", [1])],
+            trees=50,
         ),
         "score_forest": o.forest(
-            key=["l_partkey"], trees=20, score_all=True, carry=[*LINE_KEY, "l_partkey", *LINE_FEATURES], **line_forest
+            key=["l_partkey"], trees=50, score_all=True, carry=[*LINE_KEY, "l_partkey", *LINE_FEATURES], **line_forest
         )
         + f" SELECT {rows_sql}, {r('prediction', 2)} AS prediction FROM votes JOIN scored USING (k0, rid)",
         "score_forest_hot": o.forest(
@@ -699,10 +694,9 @@ FROM lineitem GROUP BY 1""",
             target="value",
             features=["user_id", "k"],
             row_key=["event_id"],
-            trees=5,
+            trees=50,
             score_all=True,
             carry=["event_id", "event_type"],
-            space=[("n_estimators", [5]), ("max_depth", [6]), ("min_samples_split", [2]), ("min_samples_leaf", [1])],
         )
         + f" SELECT event_id, event_type, {r('prediction', 4)} AS prediction FROM votes JOIN scored USING (k0, rid)",
         "forest_trials": f"""{trial_errors} SELECT k0 AS l_partkey, trial, n_estimators,

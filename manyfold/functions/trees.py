@@ -1,8 +1,10 @@
 """Arithmetic of regression trees over arrays: bins, growth, prediction, and the bytes of a forest.
 
 Everything here works on many groups and trees at once; Spark decides which rows meet in a task. Sums
-are whole numbers, so a tree does not depend on the order in which its rows arrive: the target is put on
-an integer grid per group, and a split is chosen by comparing scores computed from exact sums.
+are whole numbers, so a tree does not depend on the order in which its rows arrive: a target is told by its
+place between the least and the largest one of its group, as a whole number of 52 bits, and is summed in two
+halves, so that no sum of fewer than 2**36 rows runs over. A split is chosen by comparing scores computed
+from exact sums.
 """
 
 from __future__ import annotations
@@ -13,8 +15,12 @@ import math
 import numpy as np
 
 PRIME = (1 << 31) - 1
-MAGIC = b"MFT1"
+MAGIC = b"MFT2"
 NO_LIMIT = 1 << 30
+#: Places of the target between the least and the largest, and the bits of the lower half of a place.
+GRID = float(1 << 52)
+HALF = 26
+ENDLESS = "the span of the target is not finite"
 
 # How often a row enters a tree: Poisson(1), as whole-number cuts of the range 0..PRIME.
 # The last cut is the largest number below PRIME: the tail is kept to the resolution of the hash.
@@ -48,50 +54,43 @@ def without_empty_trees(weights: np.ndarray, group: np.ndarray, groups: int) ->
     return weights
 
 
-def grid_bits(n: np.ndarray) -> np.ndarray:
-    """Bits of the target grid: as fine as sums over ``n`` rows in 64 bits allow."""
-    lengths = np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) + 1
-    return np.clip(57 - lengths, 16, 32)
+def on_grid(y: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        span = np.where(high > low, high - low, 1.0)
+    if not np.isfinite(span).all():
+        raise OverflowError(ENDLESS)
+    return np.floor((y - low) / span * GRID + 0.5).astype(np.int64)
 
 
-def on_grid(y: np.ndarray, low: np.ndarray, high: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    span = np.where(high > low, high - low, 1.0)
-    return np.floor((y - low) / span * np.exp2(bits) + 0.5).astype(np.int64)
+def halves(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return q >> HALF, q & ((1 << HALF) - 1)
 
 
-def off_grid(total: np.ndarray, weight: np.ndarray, low: np.ndarray, high: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return total.astype(float) / weight.astype(float) / np.exp2(bits) * (high - low) + low
+def wide(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The number that two sums of halves stand for."""
+    carry = low >> HALF
+    return (high + carry).astype(float) * float(1 << HALF) + (low - (carry << HALF)).astype(float)
+
+
+def off_grid(high: np.ndarray, low: np.ndarray, weight: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """The mean of targets whose halves and weights have these sums."""
+    return wide(high, low) / weight.astype(float) / GRID * (most - least) + least
 
 
 def _first_of_runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
 
 
-def bin_rows(group: np.ndarray, x: np.ndarray, max_bins: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bin number of each row within its group, with the least and largest value of that bin.
-
-    A group with at most ``max_bins`` distinct values gets one bin per value; otherwise a value falls into
-    bin ``floor(rows below it * max_bins / rows)``.
-    """
+def bin_rows(group: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rank of each row's value among the distinct values of its group, and its value."""
     by = np.lexsort((x, group))
     g, v = group[by], x[by]
-    n = len(by)
     starts = _first_of_runs(g)
-    sizes = np.diff(np.append(starts, n))
-    run = np.repeat(np.arange(len(starts)), sizes)
-    fresh = np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1]))
-    value_start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    rank = np.cumsum(fresh) - 1
-    distinct = np.add.reduceat(fresh.astype(np.int64), starts)
-    below = value_start - starts[run]
-    number = np.where(distinct[run] <= max_bins, rank - rank[starts][run], below * max_bins // sizes[run])
-    edge = _first_of_runs(run * (max_bins + 1) + number)
-    width = np.diff(np.append(edge, n))
-    bins, low, high = np.empty(n, np.int32), np.empty(n), np.empty(n)
-    bins[by] = number
-    low[by] = np.repeat(v[edge], width)
-    high[by] = np.repeat(v[edge + width - 1], width)
-    return bins, low, high
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(by))))
+    rank = np.cumsum(np.append(True, (g[1:] != g[:-1]) | (v[1:] != v[:-1]))) - 1
+    bins = np.empty(len(by), np.int32)
+    bins[by] = rank - rank[starts][run]
+    return bins, x
 
 
 def midpoint(below: np.ndarray, above: np.ndarray) -> np.ndarray:
@@ -114,10 +113,10 @@ def tree_pairs(weights, group, bins, groups):
     return tree * groups + group[row], row, weights[present].astype(np.int64), orders
 
 
-def grow(unit, row, bins, orders, w, s, least, most, count, max_depth, min_split, min_leaf):
+def grow(unit, row, bins, orders, w, high, low, least, most, count, max_depth, min_split, min_leaf):
     """Grow the trees of all units level by level.
 
-    A pair is a row, or a cell of rows that share all bins: ``w`` and ``s`` are its weight and weighted
+    A pair is a row, or several that share all bins: ``w`` is its weight, ``high`` and ``low`` the halves of its weighted
     target, ``least`` and ``most`` bound its targets, ``count`` says how many rows it stands for. ``bins``
     holds an array per feature, indexed by ``row``; ``max_depth`` and ``min_split`` a limit per unit. The
     order of the pairs by bin is kept per feature and only split in two at every node, so nothing is
@@ -132,11 +131,11 @@ def grow(unit, row, bins, orders, w, s, least, most, count, max_depth, min_split
         m = len(start)
         o = orders[0]
         sizes = np.diff(np.append(start, len(o)))
-        total_w, total_s = np.add.reduceat(w[o], start), np.add.reduceat(s[o], start)
+        total_w, total_h, total_l = (np.add.reduceat(a[o], start) for a in (w, high, low))
         total_c = np.add.reduceat(count[o], start)
         mixed = np.minimum.reduceat(least[o], start) < np.maximum.reduceat(most[o], start)
         splits = mixed & (depth < max_depth[owner]) & (total_c >= min_split[owner]) & (total_c >= 2 * min_leaf)
-        feature, left = np.full(m, -1, np.int16), np.full(m, -1, np.int64)
+        feature, left = np.full(m, -1, np.int32), np.full(m, -1, np.int64)
         below, above = np.full(m, -1, np.int64), np.full(m, -1, np.int64)
 
         live = np.flatnonzero(splits)
@@ -146,7 +145,7 @@ def grow(unit, row, bins, orders, w, s, least, most, count, max_depth, min_split
         begin = np.cumsum(sizes) - sizes
         seg = np.repeat(np.arange(len(live)), sizes)
         here = np.arange(len(seg))
-        best, best_f = np.full(len(live), -np.inf), np.full(len(live), -1, np.int16)
+        best, best_f = np.full(len(live), -np.inf), np.full(len(live), -1, np.int32)
         best_at = np.zeros(len(live), np.int64)
         for f, o in enumerate(orders):
             b = bins[f][row[o]]
@@ -159,12 +158,15 @@ def grow(unit, row, bins, orders, w, s, least, most, count, max_depth, min_split
             if not len(at):
                 continue
             sg = seg[at]
-            cum_w, cum_s = np.cumsum(w[o]), np.cumsum(s[o])
-            left_w = cum_w[at] - (cum_w[begin] - w[o[begin]])[sg]
-            left_s = cum_s[at] - (cum_s[begin] - s[o[begin]])[sg]
+
+            def upto(a):
+                cum = np.cumsum(a[o])
+                return cum[at] - (cum[begin] - a[o[begin]])[sg]
+
+            left_w, left_h, left_l = upto(w), upto(high), upto(low)
             right_w = total_w[live][sg] - left_w
-            right_s = (total_s[live][sg] - left_s).astype(float)
-            left_s = left_s.astype(float)
+            right_s = wide(total_h[live][sg] - left_h, total_l[live][sg] - left_l)
+            left_s = wide(left_h, left_l)
             gain = left_s * left_s / left_w + right_s * right_s / right_w
             first = _first_of_runs(sg)
             top = np.maximum.reduceat(gain, first)
@@ -185,7 +187,7 @@ def grow(unit, row, bins, orders, w, s, least, most, count, max_depth, min_split
                 below[live[mine]], above[live[mine]] = row[o[at]], row[o[at + 1]]
         feature[live] = best_f
         left[live[found]] = base + m + 2 * rank[found]
-        levels.append((owner, feature, below, above, left, total_w, total_s, total_c, np.full(m, depth, np.int32)))
+        levels.append((owner, feature, below, above, left, total_w, total_h, total_l, total_c, np.full(m, depth, np.int32)))
 
         keep = found[seg]
         seg, sizes = rank[seg[keep]], sizes[found]
@@ -206,7 +208,7 @@ def grow(unit, row, bins, orders, w, s, least, most, count, max_depth, min_split
         start = np.column_stack([begin, begin + lefts]).ravel()
         base += m
         depth += 1
-    names = ("owner", "feature", "below", "above", "left", "weight", "total", "count", "depth")
+    names = ("owner", "feature", "below", "above", "left", "weight", "high", "low", "count", "depth")
     if not levels:
         return {k: np.zeros(0, np.int64) for k in names}
     return {k: np.concatenate(parts) for k, parts in zip(names, zip(*levels))}
@@ -227,7 +229,10 @@ def walk(feature, threshold, left, node, row, columns, may_split=None):
 
 
 def pack(feature, number, left, roots) -> bytes:
-    """One forest as bytes: plain arrays, nothing that could be executed on reading."""
+    """One forest as bytes: plain arrays, nothing that could be executed on reading.
+
+    A cell of a table has fewer than 2**31 bytes, so 32 bits number every node that fits one.
+    """
     sizes = np.array([len(roots), len(feature)], "<i4")
     return b"".join(
         [
@@ -236,7 +241,7 @@ def pack(feature, number, left, roots) -> bytes:
             np.asarray(roots, "<i4").tobytes(),
             np.asarray(left, "<i4").tobytes(),
             np.asarray(number, "<f8").tobytes(),
-            np.asarray(feature, "<i2").tobytes(),
+            np.asarray(feature, "<i4").tobytes(),
         ]
     )
 
@@ -252,5 +257,5 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     left = np.frombuffer(data, "<i4", nodes, at)
     at += 4 * nodes
     number = np.frombuffer(data, "<f8", nodes, at)
-    feature = np.frombuffer(data, "<i2", nodes, at + 8 * nodes)
+    feature = np.frombuffer(data, "<i4", nodes, at + 8 * nodes)
     return feature, number, left, roots

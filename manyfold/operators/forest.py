@@ -2,9 +2,9 @@
 
 Whole groups are dealt into buckets, and one task grows the forests of all keys of its bucket at once;
 the cost per key is arithmetic, not a Python call per key. Groups too large for a bucket are grown by
-:mod:`manyfold.operators.forest_wide`, where every level of every tree is one distributed aggregate.
-Both ways draw the same bootstrap weights, use the same bins and compare the same exact sums, so they
-give the same trees.
+:mod:`manyfold.operators.forest_wide` on sorted lists that are dealt over the cluster.
+Both ways draw the same bootstrap weights, try every split and compare the same exact sums, so they give
+the same trees.
 """
 
 from __future__ import annotations
@@ -67,20 +67,17 @@ def group_faults(group, count, y, x, min_rows):
 class BucketFit:
     """Train rows and validation rows of the sound groups of one bucket, ready to grow trees."""
 
-    def __init__(self, group, x, y, order_hash, held, seed, max_bins, groups):
+    def __init__(self, group, x, y, order_hash, held, seed, groups):
         fit = ~held
         self.seed, self.groups = seed, groups
         self.group, self.hash = group[fit], order_hash[fit]
-        n = np.bincount(self.group, minlength=groups)
         self.low = np.full(groups, np.inf)
         self.high = np.full(groups, -np.inf)
         np.minimum.at(self.low, self.group, y[fit])
         np.maximum.at(self.high, self.group, y[fit])
-        self.bits = trees.grid_bits(n)
         g = self.group
-        self.grid = trees.on_grid(y[fit], self.low[g], self.high[g], self.bits[g])
-        cut = [trees.bin_rows(g, column[fit], max_bins) for column in x]
-        self.bins, self.lows, self.highs = zip(*cut)
+        self.grid = trees.on_grid(y[fit], self.low[g], self.high[g])
+        self.bins, self.values = zip(*[trees.bin_rows(g, column[fit]) for column in x])
         self.held_group, self.held_x, self.held_y = group[held], x[:, held], y[held]
 
     def grow(self, weights, max_depth, min_split, min_leaf):
@@ -88,13 +85,13 @@ class BucketFit:
         unit, row, w, orders = trees.tree_pairs(weights, self.group, self.bins, self.groups)
         q, repeats = self.grid[row], len(weights)
         limits = np.tile(max_depth, repeats), np.tile(min_split, repeats)
-        nodes = trees.grow(unit, row, self.bins, orders, w, w * q, q, q, np.ones_like(w), *limits, min_leaf)
+        high, low = trees.halves(q)
+        nodes = trees.grow(unit, row, self.bins, orders, w, w * high, w * low, q, q, np.ones_like(w), *limits, min_leaf)
         inner = np.flatnonzero(nodes["feature"] >= 0)
         f = nodes["feature"][inner]
         nodes["threshold"] = np.zeros(len(nodes["owner"]))
-        nodes["threshold"][inner] = trees.midpoint(
-            np.array(self.highs)[f, nodes["below"][inner]], np.array(self.lows)[f, nodes["above"][inner]]
-        )
+        values = np.array(self.values)
+        nodes["threshold"][inner] = trees.midpoint(values[f, nodes["below"][inner]], values[f, nodes["above"][inner]])
         roots = np.full(repeats * self.groups, -1, np.int64)
         top = np.flatnonzero(nodes["depth"] == 0)
         roots[nodes["owner"][top]] = top
@@ -102,7 +99,7 @@ class BucketFit:
 
     def node_values(self, nodes):
         g = nodes["owner"] % self.groups
-        return trees.off_grid(nodes["total"], nodes["weight"], self.low[g], self.high[g], self.bits[g])
+        return trees.off_grid(nodes["high"], nodes["low"], nodes["weight"], self.low[g], self.high[g])
 
     def run(self, plan: pd.DataFrame, keep_models: bool):
         """Hold-out metrics of every planned (group, trial), and the forests when asked for.
@@ -211,8 +208,8 @@ def _doubles(table: pa.Table, name: str) -> np.ndarray:
     return column.to_numpy(dtype=float, na_value=np.nan)
 
 
-def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, max_bins, keep_models, schema):
-    """Fit every group of a bucket; when that fails, group by group, so that one bad group stands alone."""
+def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, keep_models, schema):
+    """Fit every group of a bucket; what fails is halved and run again, until a group that cannot be fitted is alone."""
     group, first = _rows_of(table, names)
     x = np.array([_doubles(table, f"x{i}") for i in range(p)])
     y, order_hash = _doubles(table, "y"), table.column(ORDER).to_numpy()
@@ -237,23 +234,27 @@ def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, max_bins,
         renumber[chosen] = np.arange(len(chosen))
         rows = np.flatnonzero(renumber[group] >= 0)
         work = BucketFit(
-            renumber[group[rows]], x[:, rows], y[rows], order_hash[rows], held[rows], seed, max_bins, len(chosen)
+            renumber[group[rows]], x[:, rows], y[rows], order_hash[rows], held[rows], seed, len(chosen)
         )
         entries = np.flatnonzero(renumber[plan["group"]] >= 0)
         part = plan.iloc[entries].reset_index(drop=True)
         part["group"] = renumber[part["group"]]
         mse[entries], mae[entries], models[entries] = work.run(part, keep_models)
 
+    def attempt(chosen):
+        try:
+            fit(chosen)
+        except Exception as problem:
+            if len(chosen) == 1:
+                status[chosen[0]] = f"{ERROR}{problem}"
+                return
+            middle = len(chosen) // 2
+            attempt(chosen[:middle])
+            attempt(chosen[middle:])
+
     sound = np.flatnonzero([s is None for s in status])
     if len(sound):
-        try:
-            fit(sound)
-        except Exception:
-            for g in sound:
-                try:
-                    fit(np.array([g]))
-                except Exception as problem:
-                    status[g] = f"{ERROR}{problem}"
+        attempt(sound)
     owner = plan["group"].to_numpy()
     said = np.array([s if s is not None else SUCCESS for s in status], object)[owner]
     said[(said == SUCCESS) & np.isnan(mse)] = ERROR + "no tree could be grown"
@@ -272,18 +273,18 @@ def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, max_bins,
     return pa.table([columns[f.name].cast(f.type) for f in target], schema=target)
 
 
-def fit_buckets(split: SplitRows, p, settings, plan, min_rows, seed, max_bins, keep_models) -> DataFrame:
+def fit_buckets(split: SplitRows, p, settings, plan, min_rows, seed, keep_models) -> DataFrame:
     """Run the bucket job over the cold groups, with constant settings or with a plan per key and trial."""
     names, schema = split.code.names, result_schema(split.code)
     constants = asdict(settings) if settings else None
 
     def alone(table: pa.Table) -> pa.Table:
-        return fit_bucket(table, None, names, p, constants, min_rows, seed, max_bins, keep_models, schema)
+        return fit_bucket(table, None, names, p, constants, min_rows, seed, keep_models, schema)
 
     def planned(table: pa.Table, trials: pa.Table) -> pa.Table:
         if not len(table):
             return pa.table({f.name: pa.array([], f.type) for f in to_arrow_schema(schema)})
-        return fit_bucket(table, trials, names, p, None, min_rows, seed, max_bins, keep_models, schema)
+        return fit_bucket(table, trials, names, p, None, min_rows, seed, keep_models, schema)
 
     rows = split.cold.groupBy(BUCKET)
     if plan is None:
@@ -292,15 +293,20 @@ def fit_buckets(split: SplitRows, p, settings, plan, min_rows, seed, max_bins, k
     return rows.cogroup(trials).applyInArrow(planned, schema)
 
 
-def forest_results(split: SplitRows, p, settings, plan, min_rows, seed, max_bins, keep_models) -> DataFrame:
+def forest_results(split: SplitRows, p, settings, plan, min_rows, seed, keep_models) -> DataFrame:
     """Coded keys, trial, settings, model bytes, metrics and status of every key and trial, hot or cold."""
-    cold = fit_buckets(split, p, settings, plan, min_rows, seed, max_bins, keep_models)
+    cold = fit_buckets(split, p, settings, plan, min_rows, seed, keep_models)
     if split.hot is None:
         return cold
-    from manyfold.operators.forest_wide import fit_wide
+    hot = wide_fit(split, p, settings, plan, min_rows, seed)
+    every = hot.plan.select(*split.code.names, "trial")
+    return cold.unionByName(hot.winners(every) if keep_models else hot.results())
+
+
+def wide_fit(split: SplitRows, p, settings, plan, min_rows, seed):
+    from manyfold.operators.forest_wide import WideFit
 
-    hot = fit_wide(split, p, settings, plan, min_rows, seed, max_bins, keep_models)
-    return cold.unionByName(hot)
+    return WideFit(split, p, settings, plan, min_rows, seed, split.sizes.limit)
 
 
 def model_rows(results: DataFrame, split: SplitRows, features: list[str], params: list[str] = ()) -> DataFrame:
@@ -319,10 +325,10 @@ def model_rows(results: DataFrame, split: SplitRows, features: list[str], params
     )
 
 
-def train_forest(split: SplitRows, features, settings: ForestSettings, min_rows, seed, max_bins) -> DataFrame:
-    results = forest_results(split, len(features), settings, None, min_rows, seed, max_bins, True)
+def train_forest(split: SplitRows, features, settings: ForestSettings, min_rows, seed) -> DataFrame:
+    results = forest_results(split, len(features), settings, None, min_rows, seed, True)
     return model_rows(results, split, features)
 
 
-def evaluate_forest_trials(split: SplitRows, plan: DataFrame, features, min_rows, seed, max_bins) -> DataFrame:
-    return forest_results(split, len(features), None, plan, min_rows, seed, max_bins, False)
+def evaluate_forest_trials(split: SplitRows, plan: DataFrame, features, min_rows, seed) -> DataFrame:
+    return forest_results(split, len(features), None, plan, min_rows, seed, False)

@@ -1,382 +1,726 @@
-"""Forests of groups that are too large for one task.
+"""Forests of groups that are too large for one task, with every split tried.
 
-The rows of such a group are first summed into cells, one per tree and combination of bins. Trees with few
-cells, however many rows these stand for, are then grown by one task each. For the other trees every level
-is one aggregate over the cells: sums per node, feature and bin, the best cut per node, and the cells
-passed on to the children. No task ever sees a group; the driver sees only whether nodes were split.
+Every feature of such a group has an attribute list: its rows in order of the feature's value, dealt to sorted ranges once
+and kept in chunks. Nodes with many rows are split on these lists, level by level and without moving them: a chunk gives
+sums per tree and node, a window over the chunks turns them into the sums before each chunk, and with these a chunk finds
+the best of its own cuts. What a tree draws follows from a hash, so no row is ever repeated per tree.
+
+A node with few enough rows is finished by one task. Rows travel there in blocks, an array per column, those held out with
+them; the task grows the rest of the tree and answers with its nodes and with the votes on the held-out rows. A tree is
+grown once per key and ``min_samples_leaf``, to the loosest limits of all trials, and every trial reads it under its own.
+
+The driver keeps the upper nodes, at most two per ``rows_per_task`` rows of a tree, for as many trees at a time as
+``TREES_AT_ONCE`` says; no model and no row. A group that fails in a task gets a status and leaves the others alone.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import asdict
+from collections.abc import Iterator
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from manyfold.functions import trees
-from manyfold.operators.forest_score import PAYLOAD, replicated, route, salted
 from manyfold.operators.linear import data_faults, fault_status
-from manyfold.operators.running import running_totals
-from manyfold.operators.skew import task_count
 from manyfold.operators.split import HELD, ORDER, SplitRows
 from manyfold.schema import ERROR, HYPERPARAMETERS, SUCCESS
 from manyfold.sources.settled import settle
 
-# A tree with at most this many cells is grown by one task.
-CELLS_PER_TASK = 200_000
+#: Entries of a chunk of an attribute list, rows of a block, and held-out rows that are put together at once.
+CHUNK, BLOCK, SCORED = 1 << 16, 1 << 14, 2_000
+#: Pairs of a row and a tree that a task looks at together.
+PAIRS_AT_ONCE = 1_000_000
+#: Trees whose upper nodes the driver keeps at a time; keys beyond are a round of their own.
+TREES_AT_ONCE = 200_000
+
+OPEN, INNER, LEAF, LOCAL = range(4)
+
+
+@dataclass
+class Tops:
+    """The upper nodes of all trees of a round, in flat arrays; the first nodes are the roots, one per unit."""
+
+    key: np.ndarray  # of every unit: its key, min_samples_leaf, tree and the loosest limits of its trials
+    leaf: np.ndarray
+    tree: np.ndarray
+    deepest: np.ndarray
+    smallest: np.ndarray
+    whole: np.ndarray  # units that drew no row and take all of them once
+    span: dict[int, tuple[float, float]]  # least and largest target of a key
+    limits: dict[tuple[int, int], list[tuple[int, int]]]  # different (depth, split) limits of a key and leaf size
+    buckets: dict[int, int]
+    seed: int
+    nodes: dict[str, np.ndarray] = field(default_factory=dict)
+
+    KINDS = {"unit": np.int64, "up": np.int64, "depth": np.int32, "feature": np.int32, "threshold": float, "left": np.int64, "weight": np.int64, "high": np.int64, "low": np.int64, "count": np.int64, "state": np.int8}
+
+    def __post_init__(self):
+        n = len(self.key)
+        blank = {"unit": np.arange(n), "up": -1, "depth": 0, "feature": -1, "threshold": 0.0, "left": -1, "state": OPEN}
+        self.nodes = {k: np.full(n, blank.get(k, 0), kind) if k != "unit" else np.arange(n) for k, kind in self.KINDS.items()}
+
+    def units_of(self, key: int) -> np.ndarray:
+        return np.flatnonzero(self.key == key)
+
+    def add(self, **columns) -> np.ndarray:
+        first = len(self.nodes["unit"])
+        for name, kind in self.KINDS.items():
+            self.nodes[name] = np.concatenate([self.nodes[name], np.asarray(columns[name], kind)])
+        return np.arange(first, len(self.nodes["unit"]))
+
+    def value(self, node: int) -> float:
+        n = self.nodes
+        low, high = self.span[int(self.key[n["unit"][node]])]
+        return float(trees.off_grid(n["high"][node], n["low"][node], n["weight"][node], low, high))
+
+    def path(self, node: int) -> list[int]:
+        found = [node]
+        while self.nodes["up"][found[-1]] >= 0:
+            found.append(int(self.nodes["up"][found[-1]]))
+        return found[::-1]
+
+    def votes(self, node: int) -> list[float | None]:
+        """What a row that comes to a node gets under each pair of limits; None where it goes on below."""
+        unit = int(self.nodes["unit"][node])
+        path, out = self.path(node), []
+        for depth, split in self.limits[int(self.key[unit]), int(self.leaf[unit])]:
+            ends = [k for k in path if self.nodes["depth"][k] >= depth or self.nodes["count"][k] < split]
+            if self.nodes["state"][node] == LEAF:
+                ends.append(node)
+            out.append(self.value(ends[0]) if ends else None)
+        return out
+
+    def drawn(self, key: int, order_hash: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, weight and node of all pairs of a row and a tree that drew it, a few trees at a time."""
+        yield from self._pairs(key, x, lambda units: self.weights(units, order_hash))
+
+    def all_rows(self, key: int, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        yield from self._pairs(key, x, lambda units: np.ones((len(units), x.shape[1]), np.int8))
+
+    def weights(self, units: np.ndarray, order_hash: np.ndarray) -> np.ndarray:
+        found = np.concatenate([trees.row_weights(order_hash, self.seed, t, t + 1) for t in self.tree[units].tolist()])
+        found[self.whole[units]] = 1
+        return found
+
+    def _pairs(self, key, x, weigh):
+        units = self.units_of(key)
+        step = max(1, PAIRS_AT_ONCE // max(1, x.shape[1]))
+        n = self.nodes
+        for at in range(0, len(units), step):
+            some = units[at : at + step]
+            weights = weigh(some)
+            unit, row = np.nonzero(weights)
+            node = trees.walk(n["feature"], n["threshold"], n["left"], some[unit], row, x)
+            yield row, weights[unit, row].astype(np.int64), node
+
+
+def first_of_runs(sorted_values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, sorted_values[1:] != sorted_values[:-1])) if len(sorted_values) else np.zeros(0, np.int64)
 
 
 def group_facts(rows: DataFrame, names: list[str], p: int, min_rows: int) -> DataFrame:
-    """Per group: why it cannot be fitted, if so, and the grid of its target."""
+    """Per group: its number among the hot ones, why it cannot be fitted, if so, and the span of its target."""
     fit = ~F.col(HELD)
     facts = rows.groupBy(*names).agg(
         *data_faults(p),
-        F.count(F.when(fit, F.lit(1))).alias("fit_rows"),
-        F.min(F.when(fit, F.col("y"))).alias("low"),
-        F.max(F.when(fit, F.col("y"))).alias("high"),
-    )
-    bits = F.greatest(F.lit(16), F.least(F.lit(32), F.lit(57) - F.length(F.bin("fit_rows"))))
-    return facts.select(
-        *names, "num_rows", fault_status(min_rows).alias("fault"), "fit_rows", "low", "high", bits.alias("bits")
+        F.count(F.when(F.col(HELD), F.lit(1))).alias("held_rows"),
+        F.min(F.when(fit, F.col("y"))).alias("least_y"),
+        F.max(F.when(fit, F.col("y"))).alias("most_y"),
     )
+    endless = F.when(F.col("most_y") - F.col("least_y") == F.lit(float("inf")), F.lit(ERROR + trees.ENDLESS))
+    facts = facts.select(*names, "num_rows", F.coalesce(fault_status(min_rows), endless).alias("fault"), "held_rows", "least_y", "most_y")
+    # The list of hot groups is bounded, so one task may number it.
+    return settle(settle(facts, "groups").coalesce(1).sortWithinPartitions(*names).withColumn("g", F.monotonically_increasing_id().cast("int")), "facts")
 
 
-def bin_edges(fit_rows: DataFrame, names: list[str], p: int, max_bins: int) -> DataFrame:
-    """Per group the least and largest value of every bin of every feature, as arrays of arrays."""
-    each = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"x{i}").alias("x")) for i in range(p)])
-    long = fit_rows.select(*names, F.explode(each).alias("v"))
-    values = long.groupBy(*names, F.col("v.f").alias("f"), F.col("v.x").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    values = values.withColumn("one", F.lit(1).cast("long"))
-    group = [*names, "f"]
-    ranked = settle(running_totals(values, group, "x", {"below": "c", "rank": "one"}), "bins")
-    totals = ranked.groupBy(*group).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("distinct"))
-    number = F.when(F.col("distinct") <= max_bins, F.col("rank")).otherwise(
-        F.floor(F.col("below") * F.lit(max_bins) / F.col("n"))
-    )
-    edges = (
-        ranked.join(totals, group)
-        .groupBy(*group, number.cast("int").alias("bin"))
-        .agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    )
-    per_feature = edges.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("bin", "low", "high"))).alias("bins"))
-    per_group = per_feature.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("f", "bins"))).alias("features"))
-    return per_group.select(
-        *names,
-        F.transform("features", lambda v: v["bins"]["low"]).alias("lows"),
-        F.transform("features", lambda v: v["bins"]["high"]).alias("highs"),
-    )
+def grid(y, low, high):
+    return F.floor((y - low) / F.when(high > low, high - low).otherwise(F.lit(1.0)) * F.lit(trees.GRID) + F.lit(0.5)).cast("long")
 
 
-def binned(rows: DataFrame, p: int, max_bins: int) -> DataFrame:
-    """Replace x0.. by dense bin positions b0.., by a binary search in the edges, one projection per step."""
-    result = rows.withColumns({f"b{i}": F.lit(0) for i in range(p)})
-    step = 1 << max(0, math.ceil(math.log2(max_bins + 1)) - 1)
-    while step:
-        moves = {}
-        for i in range(p):
-            edge, at = F.col("highs")[i], F.col(f"b{i}") + F.lit(step)
-            ahead = (at <= F.size(edge)) & (F.get(edge, at - 1) < F.col(f"x{i}"))
-            moves[f"b{i}"] = F.when(ahead, at).otherwise(F.col(f"b{i}"))
-        result = result.withColumns(moves)
-        step >>= 1
-    return result
-
-
-def drawn_point(seed: int, count: int) -> Column:
-    """Where a row falls for tree ``tree``, by the same linear hash as in the bucket jobs."""
-    numbers = [trees.tree_numbers(seed, t) for t in range(count)]
-    at = F.col("tree") + 1
-    a = F.element_at(F.array(*[F.lit(n[0]).cast("long") for n in numbers]), at)
-    b = F.element_at(F.array(*[F.lit(n[1]).cast("long") for n in numbers]), at)
-    return (a * (F.col(ORDER) % F.lit(trees.PRIME)) + b) % F.lit(trees.PRIME)
-
-
-def drawn_weight(point: Column) -> Column:
-    """The bootstrap weight at a point that is not below the first cut; small weights are found first."""
-    cuts = trees.POISSON_CUTS
-    weight = F.when(point < F.lit(cuts[1]), F.lit(1))
-    for k, cut in enumerate(cuts[2:], start=2):
-        weight = weight.when(point < F.lit(cut), F.lit(k))
-    return weight.otherwise(F.lit(len(cuts))).cast("long")
-
-
-def tree_cells(fit_rows: DataFrame, names: list[str], p: int, max_bins: int, seed: int, count: int) -> DataFrame:
-    span = F.when(F.col("high") > F.col("low"), F.col("high") - F.col("low")).otherwise(F.lit(1.0))
-    grid = F.floor((F.col("y") - F.col("low")) / span * F.pow(F.lit(2.0), F.col("bits")) + F.lit(0.5))
-    slots = [f"b{i}" for i in range(p)]
-    every_tree = F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("tree")
-    rows = binned(fit_rows, p, max_bins).select(*names, *slots, ORDER, grid.alias("q"))
-    pairs = (
-        rows.select("*", every_tree)
-        .withColumn("_point", drawn_point(seed, count))
-        .filter(F.col("_point") >= F.lit(trees.POISSON_CUTS[0]))
-        .withColumn("w", drawn_weight(F.col("_point")))
-    )
-    cells = settle(cell_sums(pairs, [*names, "tree", *slots]), "cells")
-    # A tree that drew no row takes all of them once; among many rows there is hardly ever one.
-    drawn = cells.select(*names, "tree").distinct()
-    empty = fit_rows.select(*names).distinct().select(*names, every_tree).join(drawn, [*names, "tree"], "left_anti")
-    whole = rows.join(settle(empty, "empty"), names).withColumn("w", F.lit(1).cast("long"))
-    return cells.unionByName(cell_sums(whole, [*names, "tree", *slots]))
-
-
-def cell_sums(pairs: DataFrame, by: list[str]) -> DataFrame:
-    return pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("c"),
-        F.sum("w").alias("w"),
-        F.sum(F.col("w") * F.col("q")).alias("s"),
-        F.min("q").alias("least"),
-        F.max("q").alias("most"),
-    )
+def chunk_rows(p: int):
+    """Packs a sorted range of attribute lists into chunks, each with the entries of one key and feature."""
+    columns = ["v", *[f"x{i}" for i in range(p)], ORDER, "q"]
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held, now, size = [], None, 0
 
-def best_cuts(frontier: DataFrame, unit: list[str], p: int, depth: int) -> DataFrame:
-    """One row per node of this level: its totals and the best cut, null where the node is a leaf."""
-    features = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"b{i}").alias("bin")) for i in range(p)]))
-    limits = ["max_depth", "min_samples_split", "min_samples_leaf"]
-    bars = (
-        frontier.select(*unit, "node", *limits, "c", "w", "s", "least", "most", features.alias("v"))
-        .groupBy(*unit, "node", *limits, F.col("v.f").alias("f"), F.col("v.bin").alias("bin"))
-        .agg(
-            F.sum("c").alias("c"),
-            F.sum("w").alias("w"),
-            F.sum("s").alias("s"),
-            F.min("least").alias("least"),
-            F.max("most").alias("most"),
-        )
-    )
-    whole = Window.partitionBy(*unit, "node", "f")
-    ordered = whole.orderBy("bin")
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    sums = bars.select(
-        "*",
-        F.lead("bin").over(ordered).alias("next"),
-        *[F.sum(x).over(upto).alias(f"{x}_left") for x in "cws"],
-        *[F.sum(x).over(whole).alias(f"{x}_all") for x in "cws"],
-        F.min("least").over(whole).alias("least_all"),
-        F.max("most").over(whole).alias("most_all"),
-    )
-    left, right = F.col("s_left").cast("double"), (F.col("s_all") - F.col("s_left")).cast("double")
-    gain = left * left / F.col("w_left") + right * right / (F.col("w_all") - F.col("w_left"))
-    allowed = (
-        F.col("next").isNotNull()
-        & (F.col("least_all") < F.col("most_all"))
-        & (F.col("max_depth").isNull() | (F.lit(depth) < F.col("max_depth")))
-        & (F.col("c_all") >= F.col("min_samples_split"))
-        & (F.col("c_left") >= F.col("min_samples_leaf"))
-        & (F.col("c_all") - F.col("c_left") >= F.col("min_samples_leaf"))
-    )
-    rank = F.when(allowed, F.struct(gain.alias("gain"), (-F.col("f")).alias("f"), (-F.col("bin")).alias("bin")))
-    return sums.groupBy(*unit, "node").agg(
-        F.max("w_all").alias("weight"),
-        F.max("s_all").alias("total"),
-        F.max_by(F.struct("f", "bin", "next"), rank).alias("cut"),
-    )
+        def out() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            lists = [pa.array([table.column(c).to_numpy()]) for c in columns]
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([number], pa.int64()), *lists], ["g", "f", "chunk", *columns])
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (f[1:] != f[:-1])) + 1).tolist(), len(g)]
+            for a, b in zip(cuts, cuts[1:]):
+                for at in range(a, b, CHUNK):
+                    part = batch.slice(at, min(b, at + CHUNK) - at)
+                    if held and (now != (g[at], f[at]) or size + part.num_rows > CHUNK):
+                        yield out()
+                        held, size, number = [], 0, number + 1
+                    held.append(part)
+                    now, size = (g[at], f[at]), size + part.num_rows
+        if held:
+            yield out()
 
-def grow_wide(cells: DataFrame, plan: DataFrame, names: list[str], p: int) -> list[DataFrame]:
-    """The nodes of all trees, one settled table per level."""
-    unit = [*names, "trial", "tree"]
-    slots = [f"b{i}" for i in range(p)]
-    limits = ["max_depth", "min_samples_split", "min_samples_leaf"]
-    frontier = (
-        cells.join(plan.select(*names, "trial", "n_estimators", *limits), names)
-        .filter(F.col("tree") < F.col("n_estimators"))
-        .drop("n_estimators")
-        .withColumn("node", F.lit(0).cast("long"))
-    )
-    levels, depth = [], 0
-    while True:
-        nodes = best_cuts(frontier, unit, p, depth)
-        inner = F.col("cut").isNotNull()
-        rank = F.sum(inner.cast("long")).over(Window.partitionBy(*unit).orderBy("node")) - 1
-        nodes = nodes.withColumn("left", F.when(inner, 2 * rank)).withColumn("level", F.lit(depth))
-        nodes = settle(nodes, "level")
-        levels.append(nodes)
-        splits = nodes.filter(F.col("cut").isNotNull()).select(*unit, "node", "cut", "left")
-        if splits.limit(1).count() == 0:
-            return levels
-        bin_here = F.element_at(F.array(*slots), F.col("cut.f") + 1)
-        child = F.col("left") + F.when(bin_here <= F.col("cut.bin"), F.lit(0)).otherwise(F.lit(1))
-        moved = frontier.join(splits, [*unit, "node"]).withColumn("node", child.cast("long"))
-        frontier = settle(moved.drop("cut", "left"), "frontier")
-        depth += 1
-
-
-def grow_small(cells: DataFrame, plan: DataFrame, names: list[str], p: int) -> DataFrame:
-    """The nodes of trees whose cells fit a task, one tree per call; the same nodes :func:`grow_wide` finds."""
-    unit = [*names, "trial", "tree"]
-    limits = ["max_depth", "min_samples_split", "min_samples_leaf"]
-    planned = cells.join(plan.select(*names, "trial", "n_estimators", *limits), names)
-    planned = planned.filter(F.col("tree") < F.col("n_estimators")).drop("n_estimators")
-    schema = node_schema(planned, unit)
-    arrow_schema = to_arrow_schema(schema)
-
-    def grow(table: pa.Table) -> pa.Table:
-        c = {k: table.column(k).to_numpy() for k in ("c", "w", "s", "least", "most")}
-        bins = [table.column(f"b{i}").to_numpy() for i in range(p)]
-        depth, split, leaf = (table.column(x)[0].as_py() for x in limits)
-        n = len(table)
-        nodes = trees.grow(
-            np.zeros(n, np.int64),
-            np.arange(n),
-            bins,
-            [np.argsort(b, kind="stable") for b in bins],
-            *(c[k] for k in ("w", "s", "least", "most", "c")),
-            np.array([trees.NO_LIMIT if depth is None else depth]),
-            np.array([split]),
-            leaf,
-        )
-        level, feature = nodes["depth"], nodes["feature"]
-        begin = np.searchsorted(level, np.arange(int(level.max()) + 2))
-        inner = feature >= 0
-        at = {k: np.array(bins)[np.maximum(feature, 0), np.maximum(nodes[k], 0)] for k in ("below", "above")}
-        cut = pa.StructArray.from_arrays(
-            [pa.array(feature, pa.int32()), pa.array(at["below"], pa.int32()), pa.array(at["above"], pa.int32())],
-            ["f", "bin", "next"],
-            mask=pa.array(~inner),
-        )
-        own = {
-            "node": np.arange(len(level)) - begin[level],
-            "weight": nodes["weight"],
-            "total": nodes["total"],
-            "cut": cut,
-            "left": pa.array(nodes["left"] - begin[level + 1], mask=~inner),
-            "level": level,
-        }
-        key = {k: table.column(k).take(pa.array(np.zeros(len(level), np.int64))) for k in unit}
-        columns = {**key, **own}
-        arrays = [columns[f.name] for f in arrow_schema]
-        return pa.table([a if isinstance(a, pa.ChunkedArray) else pa.array(a) for a in arrays], arrow_schema.names).cast(
-            arrow_schema
-        )
-
-    return planned.groupBy(*unit).applyInArrow(grow, schema)
+    return rows
 
 
-def node_schema(planned: DataFrame, unit: list[str]) -> T.StructType:
-    cut = T.StructType([T.StructField(n, T.IntegerType()) for n in ("f", "bin", "next")])
-    return T.StructType(
-        [planned.schema[u] for u in unit]
-        + [T.StructField(n, T.LongType()) for n in ("node", "weight", "total")]
-        + [T.StructField("cut", cut), T.StructField("left", T.LongType()), T.StructField("level", T.IntegerType())]
-    )
-
+def attribute_lists(fit_rows: DataFrame, p: int) -> DataFrame:
+    slots = [f"x{i}" for i in range(p)]
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(x).alias("v")) for i, x in enumerate(slots)])).alias("e")
+    entries = fit_rows.select("g", "id", *slots, ORDER, "q", each).select("g", "e.f", "e.v", *slots, ORDER, "q", "id")
+    order = ["g", "f", "v", "id"]
+    schema = "g int, f int, chunk long, v array<double>, " + "".join(f"{x} array<double>, " for x in slots) + f"{ORDER} array<long>, q array<long>"
+    lists = entries.repartitionByRange(*order).sortWithinPartitions(*order).drop("id").mapInArrow(chunk_rows(p), schema)
+    return settle(lists, "lists")
+
+
+def lists_of(batch: pa.RecordBatch, p: int) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks one by one: key, feature, chunk, values, all features, order hashes and gridded targets."""
+    for k in range(batch.num_rows):
+        values = [batch.column(c)[k].values.to_numpy() for c in ["v", *[f"x{i}" for i in range(p)], ORDER, "q"]]
+        g, f, chunk = (batch.column(c)[k].as_py() for c in ("g", "f", "chunk"))
+        yield g, f, chunk, values[0], np.array(values[1:-2]), values[-2], values[-1]
+
+
+PARTIAL = "chunk long, f int, node long, first double, c long, w long, s_high long, s_low long, least long, most long"
+
+
+def partial_sums(p: int, tops):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in PARTIAL.split(", ")]
+        known = tops.value
+        for batch in batches:
+            for g, f, chunk, v, x, order_hash, q in lists_of(batch, p):
+                for row, w, node in known.drawn(g, order_hash, x):
+                    row, w, node = (a[known.nodes["state"][node] == OPEN] for a in (row, w, node))
+                    if not len(row):
+                        continue
+                    by = np.argsort(node, kind="stable")
+                    row, w, node = row[by], w[by], node[by]
+                    at = first_of_runs(node)
+                    high, low = trees.halves(q[row])
+                    sums = [np.add.reduceat(a, at) for a in (np.ones_like(w), w, w * high, w * low)]
+                    ends = [np.minimum.reduceat(q[row], at), np.maximum.reduceat(q[row], at)]
+                    same = np.ones(len(at), np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in (same * chunk, (same * f).astype(np.int32), node[at], v[row[at]], *sums, *ends)], names)
+
+    return rows
+
+
+CUT = "node long, f int, gain double, below double, above double, c long, w long, s_high long, s_low long"
+
+
+def best_cuts(p: int, tops):
+    """The best cut of every node among those whose lower side ends in the chunk."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in CUT.split(", ")]
+        known = tops.value
+        for batch in batches:
+            for k, (g, f, _, v, x, order_hash, q) in enumerate(lists_of(batch, p)):
+                told = batch.column("before")[k].values
+                before = {c: told.field(c).to_numpy(zero_copy_only=False) for c in ("node", "c0", "w0", "high0", "low0", "c_all", "w_all", "high_all", "low_all", "next")}
+                sort = np.argsort(before["node"])
+                before = {c: a[sort] for c, a in before.items()}
+                for row, w, node in known.drawn(g, order_hash, x):
+                    row, w, node = (a[known.nodes["state"][node] == OPEN] for a in (row, w, node))
+                    if not len(row):
+                        continue
+                    by = np.argsort(node, kind="stable")
+                    row, w, node = row[by], w[by], node[by]
+                    start = first_of_runs(node)
+                    size = np.diff(np.append(start, len(node)))
+                    own = np.searchsorted(before["node"], node[start])
+                    seg = np.repeat(np.arange(len(start)), size)
+                    high, low = trees.halves(q[row])
+
+                    def upto(a: np.ndarray, name: str) -> np.ndarray:
+                        total = np.cumsum(a)
+                        return total - (total[start] - a[start])[seg] + before[name][own][seg]
+
+                    c, w_left, h_left, l_left = upto(np.ones_like(w), "c0"), upto(w, "w0"), upto(w * high, "high0"), upto(w * low, "low0")
+                    here = v[row]
+                    above = np.append(here[1:], np.nan)
+                    last = start + size - 1
+                    above[last] = before["next"][own]
+                    every = {c_: before[c_][own][seg] for c_ in ("c_all", "w_all", "high_all", "low_all")}
+                    least = known.leaf[known.nodes["unit"][node]]
+                    at = np.flatnonzero((above != here) & ~np.isnan(above) & (c >= least) & (every["c_all"] - c >= least))
+                    if not len(at):
+                        continue
+                    left = trees.wide(h_left[at], l_left[at])
+                    right = trees.wide(every["high_all"][at] - h_left[at], every["low_all"][at] - l_left[at])
+                    gain = left * left / w_left[at] + right * right / (every["w_all"][at] - w_left[at])
+                    runs = first_of_runs(seg[at])
+                    top = np.maximum.reduceat(gain, runs)
+                    hits = np.flatnonzero(gain == np.repeat(top, np.diff(np.append(runs, len(at)))))
+                    hits = at[hits[first_of_runs(seg[at][hits])]]
+                    columns = (node[hits], np.full(len(hits), f, np.int32), top, here[hits], above[hits], c[hits], w_left[hits], h_left[hits], l_left[hits])
+                    yield pa.RecordBatch.from_arrays([pa.array(a) for a in columns], names)
+
+    return rows
+
+
+def grow_tops(lists: DataFrame, tops: Tops, p: int, limit: int) -> None:
+    """Splits nodes on the attribute lists until none has more than ``limit`` rows; the rest is left to tasks."""
+    context = lists.sparkSession.sparkContext
+    sums = ["c", "w", "s_high", "s_low"]
+    over = Window.partitionBy("node", "f")
+    ordered = over.orderBy("chunk")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    while (tops.nodes["state"] == OPEN).any():
+        told = context.broadcast(tops)
+        partial = settle(lists.mapInArrow(partial_sums(p, told), PARTIAL), "partial")
+        nodes = partial.filter("f = 0").groupBy("node").agg(*[F.sum(s).alias(s) for s in sums], F.min("least").alias("least"), F.max("most").alias("most"))
+        facts = nodes.toPandas().set_index("node")
+        n = tops.nodes
+        open_ = np.flatnonzero(n["state"] == OPEN)
+        if (without := open_[~np.isin(open_, facts.index)]).size:
+            tops.whole[n["unit"][without]] = True  # only a root can be without rows: its tree drew none
+            continue
+        facts = facts.loc[open_]
+        for name, column in (("count", "c"), ("weight", "w"), ("high", "s_high"), ("low", "s_low")):
+            n[name][open_] = facts[column].to_numpy()
+        unit = n["unit"][open_]
+        may = (facts["least"] < facts["most"]).to_numpy() & (n["depth"][open_] < tops.deepest[unit])
+        may &= (n["count"][open_] >= tops.smallest[unit]) & (n["count"][open_] >= 2 * tops.leaf[unit])
+        n["state"][open_[~may]] = LEAF
+        # A tree with few rows in all is not taken apart.
+        few = may & (n["count"][open_] <= limit)
+        n["state"][open_[few]] = LOCAL
+        if not (n["state"] == OPEN).any():
+            return
+        told = context.broadcast(tops)
+        before = partial.select(
+            "chunk", "node",
+            *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(a) for s, a in zip(sums, ("c0", "w0", "high0", "low0"))],
+            *[F.sum(s).over(over).alias(a) for s, a in zip(sums, ("c_all", "w_all", "high_all", "low_all"))],
+            F.lead("first").over(ordered).alias("next"),
+        )
+        fields = [c for c in before.columns if c != "chunk"]
+        by_chunk = before.groupBy("chunk").agg(F.collect_list(F.struct(*fields)).alias("before"))
+        cuts = lists.join(by_chunk, "chunk").mapInArrow(best_cuts(p, told), CUT)
+        rank = F.struct("gain", (-F.col("f")).alias("f"), (-F.col("below")).alias("below"))
+        best = cuts.groupBy("node").agg(F.max_by(F.struct(*cuts.columns[1:]), rank).alias("cut")).select("node", "cut.*").toPandas()
+        apply_cuts(tops, best, limit)
+
+
+def apply_cuts(tops: Tops, best, limit: int) -> None:
+    n = tops.nodes
+    open_ = np.flatnonzero(n["state"] == OPEN)
+    best = best.sort_values("node")
+    node = best["node"].to_numpy()
+    n["state"][open_] = LEAF
+    n["state"][node] = INNER
+    n["feature"][node] = best["f"].to_numpy()
+    n["threshold"][node] = trees.midpoint(best["below"].to_numpy(), best["above"].to_numpy())
+    n["left"][node] = len(n["unit"]) + 2 * np.arange(len(node))
+
+    def pairs(left: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        return np.column_stack([left, whole - left]).ravel()
+
+    count = pairs(best["c"].to_numpy(), n["count"][node])
+    twice = lambda a: np.repeat(a, 2)
+    unit, depth = twice(n["unit"][node]), twice(n["depth"][node] + 1)
+    may = (depth < tops.deepest[unit]) & (count >= tops.smallest[unit]) & (count >= 2 * tops.leaf[unit])
+    tops.add(
+        unit=unit, up=twice(node), depth=depth, feature=np.full(len(unit), -1), threshold=np.zeros(len(unit)), left=np.full(len(unit), -1),
+        weight=pairs(best["w"].to_numpy(), n["weight"][node]), high=pairs(best["s_high"].to_numpy(), n["high"][node]),
+        low=pairs(best["s_low"].to_numpy(), n["low"][node]), count=count,
+        state=np.where(may, np.where(count > limit, OPEN, LOCAL), LEAF),
+    )
+
+
+ROW_ARRAYS = "w array<byte>, q array<long>, id array<long>, y array<double>"
+
+
+def node_blocks(p: int, tops, per: int):
+    """Rows of every node that is left to a task, as arrays: those a tree drew, and those held out with weight zero."""
+    slots = [f"x{i}" for i in range(p)]
+    names = ["g", "node", *slots, "w", "q", "id", "y"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tops.value
+        waiting: dict[int, list[tuple]] = {}
+        sizes: dict[int, int] = {}
+        total = 0
+
+        def out(nodes) -> pa.RecordBatch:
+            lists = [[] for _ in names[2:]]
+            for node in nodes:
+                for column, parts in zip(lists, zip(*waiting.pop(node))):
+                    column.append(np.concatenate(parts))
+                sizes.pop(node)
+            key = known.key[known.nodes["unit"][np.array(nodes)]].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(nodes, pa.int64()), *map(pa.array, lists)], names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ["g", "id", HELD, ORDER, "y", "q", *slots]}
+            for g in np.unique(column["g"]).tolist():
+                for held in (False, True):
+                    own = np.flatnonzero((column["g"] == g) & (column[HELD] == held))
+                    if not len(own) or not len(known.units_of(g)):
+                        continue
+                    x = np.array([column[s][own] for s in slots])
+                    for row, w, node in known.all_rows(g, x) if held else known.drawn(g, column[ORDER][own], x):
+                        row, w, node = (a[known.nodes["state"][node] == LOCAL] for a in (row, w, node))
+                        by = np.argsort(node, kind="stable")
+                        row, w, node = row[by], w[by], node[by]
+                        cuts = np.append(first_of_runs(node), len(node))
+                        for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                            at, number = own[row[a:b]], int(node[a])
+                            part = (*[column[s][at] for s in slots], (w[a:b] * (not held)).astype(np.int8), column["q"][at], column["id"][at], column["y"][at])
+                            waiting.setdefault(number, []).append(part)
+                            sizes[number] = sizes.get(number, 0) + b - a
+                            total += b - a
+                            if sizes[number] >= BLOCK:
+                                total -= sizes[number]
+                                yield out([number])
+            if total > per:
+                yield out(list(waiting))
+                total = 0
+        if waiting:
+            yield out(list(waiting))
+
+    return rows
+
+
+GROWN = "g int, unit long, node long, feature array<int>, threshold array<double>, value array<double>, left array<long>, depth array<int>, count array<long>, bucket int, id array<long>, y array<double>, vote array<double>, problem string"
+
+
+def grown_rows(p: int, tops):
+    """The rest of a tree below one node, and the votes on the held-out rows that come to it."""
+    target = to_arrow_schema(GROWN_TYPE)
+    blank = {f.name: None for f in target}
 
-def packed_models(nodes: DataFrame, names: list[str]) -> DataFrame:
-    """Gather the nodes of each model into its bytes. A model is one row, so its nodes fit one task."""
-    schema = T.StructType(
-        [nodes.schema[n] for n in [*names, "trial"]] + [T.StructField("model_bytes", T.BinaryType())]
-    )
-    arrow_schema = to_arrow_schema(schema)
-
-    def pack(table: pa.Table) -> pa.Table:
-        c = {k: table.column(k).to_numpy() for k in ("tree", "level", "node")}
-        by = np.lexsort((c["node"], c["level"], c["tree"]))
-        tree, level = c["tree"][by], c["level"][by]
-        feature = table.column("f").to_numpy()[by]
-        number = table.column("number").to_numpy()[by]
-        left = table.column("left").to_numpy()[by]
-        layer = tree.astype(np.int64) * (int(level.max()) + 2) + level
-        begin = np.searchsorted(layer, layer + 1, "left")  # where the next level of the same tree begins
-        left = np.where(feature >= 0, begin + left, -1)
-        roots = np.flatnonzero(level == 0)
-        first = [table.column(n).slice(0, 1) for n in [*names, "trial"]]
-        body = pa.array([trees.pack(feature, number, left, roots)], pa.binary())
-        return pa.table([*[f.combine_chunks() for f in first], body], schema=arrow_schema)
-
-    return nodes.groupBy(*names, "trial").applyInArrow(pack, schema)
-
-
-def held_metrics(held: DataFrame, models: DataFrame, names: list[str], p: int, partitions: int) -> DataFrame:
-    """Hold-out error of every (key, trial). Equal rows are counted and scored once."""
+    def grow(table: pa.Table) -> pa.Table:
+        g, node = table.column("g")[0].as_py(), table.column("node")[0].as_py()
+        known = tops.value
+        unit = int(known.nodes["unit"][node])
+        base = {**blank, "g": g, "unit": unit, "node": node}
+        try:
+            out = [{**base, **piece} for piece in finished(known, unit, node, table)]
+        except Exception as problem:  # a group that fails stands alone
+            out = [{**base, "problem": str(problem)}]
+        return pa.Table.from_pylist(out, schema=target)
+
+    def finished(known: Tops, unit: int, node: int, table: pa.Table) -> Iterator[dict]:
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
+        x, w, q, ids, y = np.array([flat(f"x{i}") for i in range(p)]), flat("w").astype(np.int64), flat("q"), flat("id"), flat("y")
+        fit, held = np.flatnonzero(w > 0), np.flatnonzero(w == 0)
+        # Rows come in any order; the same order every time makes the same bytes.
+        fit = fit[np.argsort(ids[fit])]
+        zero = np.zeros(len(fit), np.int64)
+        bins, values = zip(*[trees.bin_rows(zero, column[fit]) for column in x])
+        high, low = trees.halves(q[fit])
+        own, depth = w[fit], int(known.nodes["depth"][node])
+        limits = np.array([known.deepest[unit] - depth]), np.array([known.smallest[unit]])
+        orders = [np.argsort(b, kind="stable") for b in bins]
+        nodes = trees.grow(zero, np.arange(len(fit)), list(bins), orders, own, own * high, own * low, q[fit], q[fit], np.ones_like(own), *limits, int(known.leaf[unit]))
+        inner = np.flatnonzero(nodes["feature"] >= 0)
+        feature = nodes["feature"][inner]
+        threshold = np.zeros(len(nodes["owner"]))
+        values = np.array(values)
+        threshold[inner] = trees.midpoint(values[feature, nodes["below"][inner]], values[feature, nodes["above"][inner]])
+        key = int(known.key[unit])
+        value = trees.off_grid(nodes["high"], nodes["low"], nodes["weight"], *known.span[key])
+        deep = nodes["depth"] + depth
+        yield {"feature": nodes["feature"].astype(np.int32), "threshold": threshold, "value": value, "left": nodes["left"], "depth": deep.astype(np.int32), "count": nodes["count"]}
+        if not len(held):
+            return
+        votes = np.empty((len(held), 0))
+        for (most, split), told in zip(known.limits[key, int(known.leaf[unit])], known.votes(node)):
+            if told is None:
+                may = lambda at, _, most=most, split=split: (deep[at] < most) & (nodes["count"][at] >= split)
+                leaf = trees.walk(nodes["feature"], threshold, nodes["left"], np.zeros(len(held), np.int64), held, x, may)
+                told = value[leaf]
+            votes = np.column_stack([votes, np.broadcast_to(told, len(held))])
+        yield from vote_blocks(known, key, ids[held], y[held], votes)
+
+    return grow
+
+
+def vote_blocks(known: Tops, key: int, ids: np.ndarray, y: np.ndarray, votes: np.ndarray) -> Iterator[dict]:
+    bucket = ids % known.buckets[key]
+    by = np.argsort(bucket, kind="stable")
+    cuts = np.append(first_of_runs(bucket[by]), len(by))
+    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+        at = by[a:b]
+        yield {"bucket": int(bucket[at[0]]), "id": ids[at], "y": y[at], "vote": votes[at].ravel()}
+
+
+_LIST = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+
+
+def _typed(ddl: str) -> T.StructType:
+    fields = []
+    for part in ddl.split(", "):
+        name, kind = part.split()
+        inner = kind.removeprefix("array<").removesuffix(">")
+        fields.append(T.StructField(name, T.ArrayType(_LIST[inner]) if inner != kind else _LIST[kind]))
+    return T.StructType(fields)
+
+
+GROWN_TYPE = _typed(GROWN)
+
+
+def leaf_votes(p: int, tops):
+    """Votes on held-out rows whose way ends in a leaf among the upper nodes."""
     slots = [f"x{i}" for i in range(p)]
-    counted = held.groupBy(*names, "trial", "parts", *slots, "y").agg(F.count(F.lit(1)).alias("c"))
-    rows = counted.select(
-        *names,
-        "trial",
-        "parts",
-        F.struct(*names, "trial", "y", "c").alias(PAYLOAD),
-        *[F.col(x).alias(f"_x{i}") for i, x in enumerate(slots)],
-    )
-    dealt = salted(rows, "parts", [PAYLOAD, *[f"_x{i}" for i in range(p)]])
-    told = replicated(models.withColumn("feature_names", F.array(*[F.lit(x) for x in slots])), "parts")
-    scored = route(dealt, told, [*names, "trial"], slots, False, partitions).select(f"{PAYLOAD}.*", "prediction")
-    gap = F.col("y") - F.col("prediction")
-    n = F.sum("c")
-    mse = F.sum(F.col("c") * gap * gap) / n
-    return scored.groupBy(*names, "trial").agg(mse.alias("mse"), (F.sum(F.col("c") * F.abs(gap)) / n).alias("mae"))
-
-
-def fit_wide(split: SplitRows, p, settings, plan, min_rows, seed, max_bins, keep_models) -> DataFrame:
-    """The result rows of the bucket job for the hot groups of a split."""
-    from manyfold.operators.forest import result_schema
-
-    names, rows, hot = split.code.names, split.hot, split.sizes.hot
-    spark = rows.sparkSession
-    facts = settle(group_facts(rows, names, p, min_rows), "facts").join(F.broadcast(hot.select(*names, "parts")), names)
-    if plan is None:
-        chosen = {"trial": 0, **asdict(settings)}
-        plan = facts.select(*names, *[F.lit(v).cast("long").alias(k) for k, v in chosen.items()])
-    else:
-        plan = plan.join(F.broadcast(hot.select(*names)), names, "left_semi")
-    plan = settle(plan, "plan")
-    sound = facts.filter(F.col("fault").isNull())
-    fit_rows = rows.filter(~F.col(HELD))
-    edges = settle(bin_edges(fit_rows.join(sound.select(*names), names, "left_semi"), names, p, max_bins), "edges")
-    known = sound.join(edges, names).select(*names, "low", "high", "bits", "highs")
-    count = plan.agg(F.max("n_estimators")).first()[0]
-    cells = settle(tree_cells(fit_rows.join(known, names), names, p, max_bins, seed, count), "cells")
-
-    per_tree = cells.groupBy(*names, "tree").agg(F.count(F.lit(1)).alias("cells"))
-    many = settle(per_tree.filter(F.col("cells") > CELLS_PER_TASK).select(*names, "tree"), "many")
-    if many.limit(1).count() == 0:
-        nodes = grow_small(cells, plan, names, p)
-    else:
-        nodes = grow_small(cells.join(many, [*names, "tree"], "left_anti"), plan, names, p)
-        for level in grow_wide(cells.join(many, [*names, "tree"], "left_semi"), plan, names, p):
-            nodes = nodes.unionByName(level)
-    scale = sound.join(edges, names).select(*names, "low", "high", "bits", "lows", "highs")
-    mean = F.col("total").cast("double") / F.col("weight").cast("double") / F.pow(F.lit(2.0), F.col("bits"))
-    mean = mean * (F.col("high") - F.col("low")) + F.col("low")
-    below = F.get(F.get("highs", F.col("cut.f")), F.col("cut.bin"))
-    above = F.get(F.get("lows", F.col("cut.f")), F.col("cut.next"))
-    middle = below + (above - below) / 2
-    threshold = F.when(middle >= above, below).otherwise(middle)
-    finished = nodes.join(scale, names).select(
-        *names,
-        "trial",
-        "tree",
-        "level",
-        "node",
-        F.coalesce(F.col("cut.f"), F.lit(-1)).alias("f"),
-        F.when(F.col("cut").isNull(), mean).otherwise(threshold).alias("number"),
-        F.coalesce("left", F.lit(-1)).alias("left"),
-    )
-    models = settle(packed_models(finished, names), "models")
-    parts = sound.select(*names, "parts")
-    held = rows.filter(HELD).join(sound.select(*names), names, "left_semi")
-    trials = plan.join(parts, names).select(*names, "trial", "parts")
-    metrics = held_metrics(
-        held.join(trials, names), models.join(parts, names), names, p, task_count(spark, split.sizes.rows, 1_000_000)
-    )
-    full = plan.join(facts, names).join(models, [*names, "trial"], "left").join(metrics, [*names, "trial"], "left")
-    grown = F.when(F.col("mse").isNull(), F.lit(ERROR + "no tree could be grown")).otherwise(F.lit(SUCCESS))
-    status = F.coalesce(F.col("fault"), grown)
-    good = status == SUCCESS
-    body = F.col("model_bytes") if keep_models else F.lit(None).cast("binary")
-    result = full.select(
-        *names,
-        "trial",
-        *HYPERPARAMETERS,
-        F.when(good, body).alias("model_bytes"),
-        F.when(good, F.sqrt("mse")).alias("rmse"),
-        F.when(good, F.col("mse")).alias("mse"),
-        F.when(good, F.col("mae")).alias("mae"),
-        "num_rows",
-        status.alias("status"),
-    )
-    return result.select(*[F.col(f.name).cast(f.dataType) for f in result_schema(split.code).fields])
+    target = to_arrow_schema(GROWN_TYPE)
+    blank = {f.name: None for f in target}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = tops.value
+        for batch in batches:
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ["g", "id", "y", *slots]}
+            for g in np.unique(column["g"]).tolist():
+                own = np.flatnonzero(column["g"] == g)
+                for row, _, node in known.all_rows(g, np.array([column[s][own] for s in slots])):
+                    row, node = (a[known.nodes["state"][node] == LEAF] for a in (row, node))
+                    by = np.argsort(node, kind="stable")
+                    row, node = row[by], node[by]
+                    cuts = np.append(first_of_runs(node), len(node))
+                    for a, b in zip(cuts.tolist(), cuts[1:].tolist()):
+                        at, number = own[row[a:b]], int(node[a])
+                        base = {**blank, "g": g, "unit": int(known.nodes["unit"][number])}
+                        votes = np.tile(known.votes(number), (b - a, 1))
+                        out = [{**base, **v} for v in vote_blocks(known, g, column["id"][at], column["y"][at], votes)]
+                        yield from pa.Table.from_pylist(out, schema=target).to_batches()
+
+    return rows
+
+
+ERRORS = "g int, trial long, squares double, gaps double, n long"
+
+
+def bucket_errors(trials: dict[int, list[tuple]], tops):
+    """Errors of every trial on a bucket of held-out rows: the first trees of the trial, in order, under its limits."""
+    names = [c.split()[0] for c in ERRORS.split(", ")]
+
+    def errors(table: pa.Table) -> pa.Table:
+        known, g = tops.value, table.column("g")[0].as_py()
+        units = table.column("unit").to_numpy()
+        ids = np.unique(np.concatenate([c.values.to_numpy() for c in table.column("id")]))
+        y = np.empty(len(ids))
+        votes = {leaf: np.full((int((known.leaf[known.units_of(g)] == leaf).sum()), len(ids), len(pairs)), np.nan) for (key, leaf), pairs in known.limits.items() if key == g}
+        for unit, id_, own, vote in zip(units, *(table.column(c) for c in ("id", "y", "vote"))):
+            at = np.searchsorted(ids, id_.values.to_numpy())
+            y[at] = own.values.to_numpy()
+            votes[int(known.leaf[unit])][int(known.tree[unit]), at] = vote.values.to_numpy().reshape(len(at), -1)
+        out = []
+        for trial, leaf, size, depth, split in trials[g]:
+            place = known.limits[g, leaf].index((depth, split))
+            total = np.zeros(len(ids))
+            for tree in range(size):
+                total += votes[leaf][tree, :, place]
+            gap = y - total / size
+            out.append((g, trial, float((gap * gap).sum()), float(np.abs(gap).sum()), len(ids)))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], names)
+
+    return errors
+
+
+def tree_arrays(known: Tops, unit: int, pieces: list[dict], depth: int, split: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, number and left child of one tree under a trial's limits, level by level."""
+    n = known.nodes
+    mine = np.flatnonzero(n["unit"] == unit)
+    at = {int(k): i for i, k in enumerate(mine)}
+    table = {k: list(n[k][mine]) for k in ("feature", "threshold", "depth", "count")}
+    table["left"] = [at[int(k)] if k >= 0 else -1 for k in n["left"][mine]]
+    table["value"] = [known.value(int(k)) for k in mine]
+    columns = {k: [np.asarray(v)] for k, v in table.items()}
+    base = len(mine)
+    for piece in pieces:
+        # The root of a piece is an upper node already.
+        top, size = at[piece["node"]], len(piece["feature"])
+        for k in columns:
+            own = np.asarray(piece[k])
+            own = np.where(own >= 0, own + base, -1) if k == "left" else own
+            columns[k][0][top] = own[0]
+            columns[k].append(own)
+        base += size
+    c = {k: np.concatenate(v) for k, v in columns.items()}
+    inner = (c["feature"] >= 0) & (c["depth"] < depth) & (c["count"] >= split)
+    levels, here = [], np.array([0])
+    while len(here):
+        levels.append(here)
+        goes = here[inner[here]]
+        here = np.column_stack([c["left"][goes], c["left"][goes] + 1]).ravel().astype(np.int64)
+    order = np.concatenate(levels)
+    place = np.full(base, -1)
+    place[order] = np.arange(len(order))
+    split_here = inner[order]
+    left = np.full(len(order), -1)
+    left[split_here] = place[c["left"][order[split_here]].astype(np.int64)]
+    return np.where(split_here, c["feature"][order], -1), np.where(split_here, c["threshold"][order], c["value"][order]), left
+
+
+def assembled(tops):
+    """One tree of its pieces, under the limits of a trial."""
+
+    def tree(table: pa.Table) -> pa.Table:
+        unit, depth = table.column("unit")[0].as_py(), table.column("max_depth")[0].as_py()
+        arrays = ("feature", "threshold", "value", "left", "depth", "count")
+        told_at = [(k, n) for k, n in enumerate(table.column("node").to_pylist()) if n is not None]
+        pieces = [{"node": n, **{c: table.column(c)[k].values.to_numpy() for c in arrays}} for k, n in told_at]
+        split = table.column("min_samples_split")[0].as_py()
+        found = tree_arrays(tops.value, unit, pieces, trees.NO_LIMIT if depth is None else depth, split)
+        kinds = (pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+        key = [table.column("g").slice(0, 1).combine_chunks(), pa.array([int(tops.value.tree[unit])], pa.int64())]
+        return pa.table([*key, *[pa.array([a], k) for a, k in zip(found, kinds)]], ["g", "tree", "feature", "number", "left"])
+
+    return tree
+
+
+class WideFit:
+    """The forests of the hot groups of a split, grown once for all trials of a plan."""
+
+    def __init__(self, split: SplitRows, p: int, settings, plan: DataFrame | None, min_rows: int, seed: int, limit: int):
+        names, rows, hot = split.code.names, split.hot, split.sizes.hot
+        self.names, self.code, self.p = names, split.code, p
+        self.facts = group_facts(rows, names, p, min_rows)
+        if plan is None:
+            chosen = {"trial": 0, **asdict(settings)}
+            plan = self.facts.select(*names, *[F.lit(v).cast("long").alias(k) for k, v in chosen.items()])
+        else:
+            plan = plan.join(F.broadcast(hot.select(*names)), names, "left_semi")
+        self.plan = settle(plan.join(F.broadcast(self.facts.select(*names, "g")), names), "plan")
+        sound = self.facts.filter(F.col("fault").isNull())
+        known = F.broadcast(sound.select(*names, "g", "least_y", "most_y"))
+        slots = [f"x{i}" for i in range(p)]
+        told = rows.join(known, names).withColumn("q", F.when(F.col(HELD), 0).otherwise(grid(F.col("y"), F.col("least_y"), F.col("most_y"))).cast("long"))
+        self.rows = settle(told.select("g", F.monotonically_increasing_id().alias("id"), HELD, ORDER, *slots, "y", "q"), "wide-rows")
+        self.rounds = [self._round(keys, plan, seed, limit) for keys, plan in self._keys(sound)]
+
+    def _keys(self, sound: DataFrame):
+        """Keys in rounds of so many trees."""
+        facts = sound.select("g", "held_rows", "least_y", "most_y").toPandas().set_index("g").sort_index()
+        plan = self.plan.select("g", "trial", *HYPERPARAMETERS).toPandas()
+        plan = plan[plan["g"].isin(facts.index)].sort_values(["g", "trial"])
+        plan["max_depth"] = plan["max_depth"].astype(float).fillna(trees.NO_LIMIT).astype(np.int64)
+        trees_of = plan.groupby(["g", "min_samples_leaf"])["n_estimators"].max().groupby("g").sum()
+        number = (trees_of.cumsum() // TREES_AT_ONCE).reindex(facts.index)
+        for _, keys in facts.groupby(number):
+            yield keys, plan[plan["g"].isin(keys.index)]
+
+    def _round(self, keys, plan, seed: int, limit: int):
+        sparks = self.rows.sparkSession.sparkContext
+        units = {"key": [], "leaf": [], "tree": [], "deepest": [], "smallest": []}
+        limits, trials = {}, {}
+        for (g, leaf), part in plan.groupby(["g", "min_samples_leaf"]):
+            most = int(part["n_estimators"].max())
+            for name, value in (("key", g), ("leaf", leaf), ("deepest", part["max_depth"].max()), ("smallest", part["min_samples_split"].min())):
+                units[name].append(np.full(most, value))
+            units["tree"].append(np.arange(most))
+            limits[int(g), int(leaf)] = sorted({(int(d), int(s)) for d, s in zip(part["max_depth"], part["min_samples_split"])})
+        for row in plan.itertuples():
+            trials.setdefault(int(row.g), []).append((int(row.trial), int(row.min_samples_leaf), int(row.n_estimators), int(row.max_depth), int(row.min_samples_split)))
+        arrays = {k: np.concatenate(v).astype(np.int64) for k, v in units.items()}
+        span = {int(g): (float(a), float(b)) for g, a, b in zip(keys.index, keys["least_y"], keys["most_y"])}
+        buckets = {int(g): max(1, -(-int(h) // SCORED)) for g, h in keys["held_rows"].items()}
+        tops = Tops(**arrays, whole=np.zeros(len(arrays["key"]), bool), span=span, limits=limits, buckets=buckets, seed=seed)
+        rows = self.rows.filter(F.col("g").between(int(keys.index.min()), int(keys.index.max())))
+        lists = attribute_lists(rows.filter(~F.col(HELD)), self.p)
+        grow_tops(lists, tops, self.p, limit)
+
+        told = sparks.broadcast(tops)
+        slots = [f"x{i}" for i in range(self.p)]
+        blocks = rows.mapInArrow(node_blocks(self.p, told, 4 * PAIRS_AT_ONCE), "g int, node long, " + "".join(f"{x} array<double>, " for x in slots) + ROW_ARRAYS)
+        grown = blocks.groupBy("g", "node").applyInArrow(grown_rows(self.p, told), GROWN_TYPE)
+        early = rows.filter(HELD).mapInArrow(leaf_votes(self.p, told), GROWN_TYPE)
+        grown = settle(grown.unionByName(early), "grown")
+        votes = grown.filter(F.col("bucket").isNotNull()).select("g", "bucket", "unit", "id", "y", "vote")
+        failed = grown.filter(F.col("problem").isNotNull()).groupBy("g").agg(F.min("problem").alias("problem"))
+        sure = votes.join(F.broadcast(failed.select("g")), "g", "left_anti")
+        errors = sure.groupBy("g", "bucket").applyInArrow(bucket_errors(trials, told), ERRORS)
+        n = F.sum("n")
+        metrics = errors.groupBy("g", "trial").agg((F.sum("squares") / n).alias("mse"), (F.sum("gaps") / n).alias("mae"))
+        return told, grown, settle(metrics, "errors"), settle(failed, "failed")
+
+    def results(self) -> DataFrame:
+        """The result rows of the bucket job for all trials, without models."""
+        return self._listed(self.plan, None)
+
+    def winners(self, best: DataFrame) -> DataFrame:
+        """Result rows with models of the trials in ``best``, keys and trial, one per key."""
+        chosen = self.plan.join(best.select(*self.names, "trial"), [*self.names, "trial"], "left_semi")
+        return self._listed(chosen, self.models(chosen))
+
+    def models(self, plan: DataFrame) -> DataFrame:
+        """g and model_bytes of the trials of a plan that has one per key."""
+        schema = "g int, tree long, feature array<int>, number array<double>, left array<long>"
+        wanted = plan.select("g", "trial", *HYPERPARAMETERS)
+        done = None
+        for told, grown, _, _ in self.rounds:
+            pieces = grown.filter(F.col("feature").isNotNull()).drop("g", "bucket", "id", "y", "vote", "problem")
+            units = self._units(told, wanted)
+            trees_ = units.join(pieces, "unit", "left").groupBy("g", "unit").applyInArrow(assembled(told), schema)
+            done = trees_ if done is None else done.unionByName(trees_)
+
+        def packed(table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("tree").to_numpy())
+            parts, base, roots = {"feature": [], "number": [], "left": []}, 0, []
+            for k in order.tolist():
+                feature, number, left = (table.column(c)[k].values.to_numpy() for c in parts)
+                roots.append(base)
+                for name, a in (("feature", feature), ("number", number), ("left", np.where(left >= 0, left + base, -1))):
+                    parts[name].append(a)
+                base += len(feature)
+            body = trees.pack(*[np.concatenate(parts[c]) for c in ("feature", "number", "left")], np.array(roots))
+            return pa.table([table.column("g").slice(0, 1).combine_chunks(), pa.array([body], pa.binary())], ["g", "model_bytes"])
+
+        return done.groupBy("g").applyInArrow(packed, "g int, model_bytes binary")
+
+    def _units(self, told, wanted: DataFrame) -> DataFrame:
+        """The trees of the wanted trials: g, unit and the limits."""
+        known = told.value
+        spark = wanted.sparkSession
+        table = pa.table([pa.array(known.key.astype(np.int32)), pa.array(known.leaf), pa.array(known.tree), pa.array(np.arange(len(known.key)))], ["g", "min_samples_leaf", "tree", "unit"])
+        units = spark.createDataFrame(table)
+        return units.join(F.broadcast(wanted), ["g", "min_samples_leaf"]).filter(F.col("tree") < F.col("n_estimators")).select("g", "unit", "max_depth", "min_samples_split")
+
+    def _listed(self, plan: DataFrame, models: DataFrame | None) -> DataFrame:
+        from manyfold.operators.forest import result_schema
+
+        metrics, failed = self._all(2), self._all(3)
+        facts = self.facts.select("g", "num_rows", "fault")
+        full = plan.join(facts, "g").join(metrics, ["g", "trial"], "left").join(failed, "g", "left")
+        full = full.join(models, "g", "left") if models is not None else full.withColumn("model_bytes", F.lit(None).cast("binary"))
+        broken = F.when(F.col("problem").isNotNull(), F.concat(F.lit(ERROR), F.col("problem")))
+        lost = F.when(F.col("mse").isNull(), F.lit(ERROR + "no tree could be grown"))
+        status = F.coalesce(F.col("fault"), broken, lost, F.lit(SUCCESS))
+        good = status == SUCCESS
+        result = full.select(
+            *self.names,
+            "trial",
+            *HYPERPARAMETERS,
+            F.when(good, F.col("model_bytes")).alias("model_bytes"),
+            F.when(good, F.sqrt("mse")).alias("rmse"),
+            F.when(good, F.col("mse")).alias("mse"),
+            F.when(good, F.col("mae")).alias("mae"),
+            "num_rows",
+            status.alias("status"),
+        )
+        return result.select(*[F.col(f.name).cast(f.dataType) for f in result_schema(self.code).fields])
+
+    def _all(self, place: int) -> DataFrame:
+        found = [r[place] for r in self.rounds]
+        if not found:
+            empty = "g int, trial long, mse double, mae double" if place == 2 else "g int, problem string"
+            return self.rows.sparkSession.createDataFrame([], empty)
+        whole = found[0]
+        for part in found[1:]:
+            whole = whole.unionByName(part)
+        return whole

@@ -28,7 +28,6 @@ def train(
     max_depth: int | None = None,
     min_samples_split: int = 2,
     min_samples_leaf: int = 1,
-    max_bins: int = 256,
     rows_per_task: int | None = None,
 ) -> DataFrame:
     """Train one model per key. A group that is too small or cannot be fitted gives a row with a status.
@@ -47,7 +46,7 @@ def train(
         settings = ForestSettings(n_estimators, max_depth, min_samples_split, min_samples_leaf)
         size = rows_per_task or 1_000_000
         split = split_rows(df, keys, target, features, row_key, seed, fraction, fill, size, bucketed=True)
-        fitted = train_forest(split, features, settings, min_rows, seed, max_bins)
+        fitted = train_forest(split, features, settings, min_rows, seed)
         return conform(fitted, schema)
     split = split_rows(df, keys, target, features, row_key, seed, fraction, fill, rows_per_task or 1_000_000)
     penalty = F.lit(float(alpha) if estimator == "ridge" else 0.0)

@@ -136,7 +136,12 @@ def trial_draws(space, label, source, trials):
     return f"SELECT *, {', '.join(columns)} FROM {source} CROSS JOIN (SELECT unnest(range({trials})) AS trial)"
 
 
-def forest(source, key, target, features, row_key, trees, max_bins=256, score_all=False, carry=(), space=None, trials=1):
+def wide(total):
+    """A whole number as a double, by halves of 26 bits."""
+    return f"(({total} // 67108864)::DOUBLE * 67108864.0::DOUBLE + ({total} % 67108864)::DOUBLE)"
+
+
+def forest(source, key, target, features, row_key, trees, score_all=False, carry=(), space=None, trials=1):
     """CTEs up to ``votes``: per key, trial and scored row the sum and number of tree predictions.
 
     ``space`` draws limits per key and trial; without it every key has one trial of ``trees`` full trees.
@@ -147,13 +152,11 @@ def forest(source, key, target, features, row_key, trees, max_bins=256, score_al
     cuts = [math.floor(PRIME * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(13)]
     weight = " + ".join(f"(u >= {c})::BIGINT" for c in cuts)
     ranks = ", ".join(
-        f"rank() OVER (PARTITION BY {ks} ORDER BY x{i}) - 1 AS r{i}, dense_rank() OVER (PARTITION BY {ks} ORDER BY x{i}) - 1 AS d{i}"
+        f"dense_rank() OVER (PARTITION BY {ks} ORDER BY x{i}) - 1 AS b{i}"
         for i in range(p)
     )
-    most = listed(p, "max(d{i}) + 1 AS m{i}")
-    bins = listed(p, f"CASE WHEN m{{i}} <= {max_bins} THEN d{{i}} ELSE r{{i}} * {max_bins} // n END AS b{{i}}")
     edges = " UNION ALL ".join(
-        f"SELECT {ks}, {i} AS f, b{i} AS b, min(x{i}) AS least, max(x{i}) AS most FROM binned GROUP BY {ks}, b{i}"
+        f"SELECT {ks}, {i} AS f, b{i} AS b, min(x{i}) AS least, max(x{i}) AS most FROM fit GROUP BY {ks}, b{i}"
         for i in range(p)
     )
     digest = f"md5('{SEED}|tree|' || t)"
@@ -174,16 +177,14 @@ def forest(source, key, target, features, row_key, trees, max_bins=256, score_al
     numbered = observations(source, key, target, features, row_key, carry)
     return f"""WITH RECURSIVE {numbered},
 sizes AS (SELECT {ks}, count(*) AS n, min(y) FILTER (WHERE NOT held) AS lo, max(y) FILTER (WHERE NOT held) AS hi FROM obs GROUP BY {ks}),
-fit AS (SELECT obs.*, lo, hi, floor((y - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END) * 4294967296.0 + 0.5)::BIGINT AS q, {ranks}
+fit AS (SELECT obs.*, lo, hi, floor((y - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END) * 4503599627370496.0 + 0.5)::BIGINT AS q, {ranks}
   FROM obs JOIN sizes USING ({ks}) WHERE NOT held AND n >= 10),
-distinct_values AS (SELECT {ks}, count(*) AS n, {most} FROM fit GROUP BY {ks}),
-binned AS (SELECT fit.*, {bins} FROM fit JOIN distinct_values USING ({ks})),
 edges AS MATERIALIZED ({edges}),
 trees AS (SELECT t, 1 + ('0x' || substr({digest}, 1, 8))::BIGINT % {PRIME - 1} AS ta, ('0x' || substr({digest}, 9, 8))::BIGINT % {PRIME} AS tb
   FROM (SELECT unnest(range({trees})) AS t)),
 plan AS MATERIALIZED ({plan}),
 drawn AS (SELECT * REPLACE (CASE WHEN max(w) OVER (PARTITION BY {ks}, t) = 0 THEN 1::BIGINT ELSE w END AS w) FROM (
-  SELECT *, {weight} AS w FROM (SELECT {ks}, t, {xs}, {bs}, q, (ta * (h % {PRIME}) + tb) % {PRIME} AS u FROM binned CROSS JOIN trees))),
+  SELECT *, {weight} AS w FROM (SELECT {ks}, t, {xs}, {bs}, q, (ta * (h % {PRIME}) + tb) % {PRIME} AS u FROM fit CROSS JOIN trees))),
 scored AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM {scored}),
 walk AS (
   SELECT 0 AS lev, {ks}, trial, t, 0::BIGINT AS node, 0::BIGINT AS rid, w, q, {xs}, {bs},
@@ -193,14 +194,14 @@ walk AS (
   SELECT 0, {ks}, trial, t, 0, rid, 0, NULL, {xs}, {listed(p, 'NULL')}, NULL, NULL, NULL
   FROM scored JOIN plan USING ({ks}) CROSS JOIN trees WHERE t < n_estimators
   UNION ALL
-  SELECT * FROM (WITH bars AS (SELECT {unit}, node, f, b, count(*) AS c, sum(w)::BIGINT AS w, sum(w * q)::BIGINT AS s, min(q) AS least, max(q) AS most,
+  SELECT * FROM (WITH bars AS (SELECT {unit}, node, f, b, count(*) AS c, sum(w)::BIGINT AS w, sum(w * q)::HUGEINT AS s, min(q) AS least, max(q) AS most,
       any_value(dl) AS dl, any_value(sl) AS sl, any_value(ll) AS ll, any_value(lev) AS lev FROM ({bars}) GROUP BY {unit}, node, f, b),
     sums AS (SELECT {unit}, node, f, b, dl, sl, ll, lev, lead(b) OVER ({part} ORDER BY b) AS nextb,
-      sum(c) OVER ({part} ORDER BY b) AS cl, (sum(w) OVER ({part} ORDER BY b))::BIGINT AS wl, (sum(s) OVER ({part} ORDER BY b))::BIGINT AS sleft,
-      sum(c) OVER ({part}) AS ca, (sum(w) OVER ({part}))::BIGINT AS wa, (sum(s) OVER ({part}))::BIGINT AS sa,
+      sum(c) OVER ({part} ORDER BY b) AS cl, (sum(w) OVER ({part} ORDER BY b))::BIGINT AS wl, (sum(s) OVER ({part} ORDER BY b))::HUGEINT AS sleft,
+      sum(c) OVER ({part}) AS ca, (sum(w) OVER ({part}))::BIGINT AS wa, (sum(s) OVER ({part}))::HUGEINT AS sa,
       min(least) OVER ({part}) AS least, max(most) OVER ({part}) AS most FROM bars),
     ranked AS (SELECT *, row_number() OVER (PARTITION BY {unit}, node ORDER BY
-        sleft::DOUBLE * sleft::DOUBLE / wl + (sa - sleft)::DOUBLE * (sa - sleft)::DOUBLE / (wa - wl) DESC, f, b) AS place
+        {wide('sleft')} * {wide('sleft')} / wl + {wide('(sa - sleft)')} * {wide('(sa - sleft)')} / (wa - wl) DESC, f, b) AS place
       FROM sums WHERE nextb IS NOT NULL AND least < most AND ca >= sl AND cl >= ll AND ca - cl >= ll AND (dl IS NULL OR lev < dl)),
     cut AS (SELECT {listed(m, 'a.k{i}')}, a.trial, a.t, a.node, a.f,
         CASE WHEN e.most + (g.least - e.most) / 2 >= g.least THEN e.most ELSE e.most + (g.least - e.most) / 2 END AS thr
@@ -208,9 +209,9 @@ walk AS (
       JOIN edges g ON {listed(m, 'a.k{i} = g.k{i}', ' AND ')} AND a.f = g.f AND a.nextb = g.b WHERE place = 1)
     SELECT r.lev + 1, {rk}, r.trial, r.t, 2 * r.node + CASE WHEN CASE c.f {chosen} END > c.thr THEN 2 ELSE 1 END, r.rid, r.w, r.q,
       {listed(p, 'r.x{i}')}, {listed(p, 'r.b{i}')}, r.dl, r.sl, r.ll FROM walk r JOIN cut c ON {on_unit})),
-leaves AS (SELECT {unit}, node, sum(w * q)::BIGINT::DOUBLE / sum(w)::BIGINT::DOUBLE AS mean FROM walk WHERE w > 0 GROUP BY {unit}, node),
+leaves AS (SELECT {unit}, node, {wide('sum(w * q)')} / sum(w)::BIGINT::DOUBLE AS mean FROM walk WHERE w > 0 GROUP BY {unit}, node),
 ends AS (SELECT {unit}, rid, max(node) AS node FROM walk WHERE rid > 0 GROUP BY {unit}, rid),
-votes AS (SELECT {listed(m, 'a.k{i}')}, a.trial, a.rid, avg(a.mean / 4294967296.0 * (z.hi - z.lo) + z.lo) AS prediction
+votes AS (SELECT {listed(m, 'a.k{i}')}, a.trial, a.rid, avg(a.mean / 4503599627370496.0 * (z.hi - z.lo) + z.lo) AS prediction
   FROM (SELECT * FROM ends JOIN leaves USING ({unit}, node)) a JOIN sizes z ON {on_key} GROUP BY {listed(m, 'a.k{i}')}, a.trial, a.rid)"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import manyfold as mf
 from manyfold.functions import trees
 from manyfold.operators.linear import MODEL_JSON
+from manyfold.operators.forest import ForestSettings
 from manyfold.operators.split import split_rows
 from tests.conftest import FEATURES, ROW_KEY
 
@@ -184,24 +185,59 @@ def test_linear_on_hot_groups(spark, synth, estimator):
     assert result(1000) == result(20)
 
 
-@pytest.mark.parametrize("cells", [200_000, 25])
-def test_forest_on_hot_groups(spark, monkeypatch, cells):
-    """One hot key beside cold ones; grown by a task per tree, and level by level."""
+@pytest.mark.parametrize(("rows_per_task", "chunk"), [(50, 1 << 16), (8, 1 << 16), (20, 1)])
+def test_forest_on_hot_groups(spark, monkeypatch, rows_per_task, chunk):
+    """One hot key beside cold ones: the upper levels on the attribute lists, the rest by a task per node."""
     from manyfold.operators import forest_wide
 
-    monkeypatch.setattr(forest_wide, "CELLS_PER_TASK", cells)
-    hot = mf.synth_groups(spark, 1, 120)
+    monkeypatch.setattr(forest_wide, "CHUNK", 16 if chunk == 1 else chunk)
+    hot = mf.synth_groups(spark, 1, 120).withColumn("feat_2", F.round("feat_2", -1))
     cold = mf.synth_groups(spark, 3, 20).filter("sku_id <> 'SKU_001'")
     df = hot.union(cold)
 
-    def result(rows_per_task):
-        models = mf.train(
-            df, ["sku_id"], "sales", FEATURES, "forest", ROW_KEY, n_estimators=4, max_bins=16, min_samples_leaf=2,
-            rows_per_task=rows_per_task,
-        )
+    def result(size):
+        models = mf.train(df, ["sku_id"], "sales", FEATURES, "forest", ROW_KEY, n_estimators=4, min_samples_leaf=2, rows_per_task=size)
         return {r.sku_id: (bytes(r.model_bytes), round(r.rmse, 8), round(r.mae, 8), r.num_rows) for r in models.collect()}
 
-    assert result(1000) == result(50)
+    assert result(1000) == result(rows_per_task)
+
+
+def test_large_pure_nodes_stay_leaves(spark):
+    """Nodes of equal targets or equal features are not gathered, however many rows they have."""
+    rows = [("pure", i, float(i % 2), 5.0) for i in range(100)] + [("same", i, 1.0, float(i)) for i in range(100)]
+    rows += [("half", i, float(i), float(i >= 50) * 3 + float(i > 98)) for i in range(100)]
+    df = frame(spark, [(k, i, x, y) for k, i, x, y in rows])
+    settings = dict(n_estimators=5, row_key=["i"])
+    cold = by_key(mf.train(df, ["k"], "y", ["x"], "forest", **settings))
+    hot = by_key(mf.train(df, ["k"], "y", ["x"], "forest", rows_per_task=10, **settings))
+    assert {k: bytes(m.model_bytes) for k, m in cold.items()} == {k: bytes(m.model_bytes) for k, m in hot.items()}
+    for k, m in cold.items():
+        assert (m.rmse, m.mae) == pytest.approx((hot[k].rmse, hot[k].mae))
+
+
+def test_no_row_is_repeated_per_tree(spark):
+    """What leaves the scan of a hot group are its rows once per feature, blocks of rows, and sums."""
+    from manyfold.operators import forest_wide
+
+    df = mf.synth_groups(spark, 1, 2000)
+    split = split_rows(df, ["sku_id"], "sales", FEATURES, ROW_KEY, rows_per_task=500, bucketed=True)
+    fit = forest_wide.WideFit(split, 3, ForestSettings(n_estimators=20), None, 10, 42, 500)
+    told, grown, _, _ = fit.rounds[0]
+    rows = fit.rows
+    blocks = rows.mapInArrow(forest_wide.node_blocks(3, told, 1 << 22), "g int, node long, x0 array<double>, x1 array<double>, x2 array<double>, " + forest_wide.ROW_ARRAYS)
+    local = (told.value.nodes["state"] == forest_wide.LOCAL).sum()
+    assert blocks.count() <= local * rows.rdd.getNumPartitions() < 2000
+    assert forest_wide.attribute_lists(rows.filter(~F.col("_held")), 3).count() <= 3 * 8 + 8
+
+
+def test_a_group_that_cannot_be_fitted_stands_alone(spark):
+    rows = [(k, i, float(i % 7), float((i * 13) % 11)) for k in "abcdefg" for i in range(40)]
+    rows += [("x", i, float(i % 7), (-1.0) ** i * 1.7e308) for i in range(40)]
+    df = frame(spark, rows)
+    for size in (1000, 10):
+        found = by_key(mf.train(df, ["k"], "y", ["x"], "forest", ["i"], n_estimators=3, rows_per_task=size))
+        assert found.pop("x").status == "error: the span of the target is not finite"
+        assert len(found) == 7 and {m.status for m in found.values()} == {"success"}
 
 
 def test_faults_of_hot_groups(spark):

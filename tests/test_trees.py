@@ -11,7 +11,7 @@ from manyfold.functions import trees
 
 def plain_tree(x, q, w, depth, max_depth, min_split, min_leaf):
     """Nested tuples (feature, threshold, left, right), or the weighted mean at a leaf."""
-    mean = int((w * q).sum()) / int(w.sum())
+    mean = float(sum(int(a) * int(b) for a, b in zip(w, q))) / int(w.sum())
     n = len(q)
     if q.min() == q.max() or depth >= max_depth or n < min_split or n < 2 * min_leaf:
         return mean
@@ -21,7 +21,7 @@ def plain_tree(x, q, w, depth, max_depth, min_split, min_leaf):
             left = x[f] <= low
             if left.sum() < min_leaf or (~left).sum() < min_leaf:
                 continue
-            sums = [float(int((w * q)[side].sum())) for side in (left, ~left)]
+            sums = [float(sum(int(a) * int(b) for a, b in zip(w[side], q[side]))) for side in (left, ~left)]
             gain = sums[0] * sums[0] / int(w[left].sum()) + sums[1] * sums[1] / int(w[~left].sum())
             if best is None or gain > best[0]:
                 best = (gain, f, low + (high - low) / 2, left)
@@ -35,7 +35,7 @@ def plain_tree(x, q, w, depth, max_depth, min_split, min_leaf):
 def told(nodes, threshold, at):
     f = nodes["feature"][at]
     if f < 0:
-        return int(nodes["total"][at]) / int(nodes["weight"][at])
+        return float(trees.wide(nodes["high"][at], nodes["low"][at])) / int(nodes["weight"][at])
     left = nodes["left"][at]
     return (int(f), float(threshold[at]), told(nodes, threshold, left), told(nodes, threshold, left + 1))
 
@@ -54,22 +54,21 @@ def test_growth(seed, features, n, min_leaf, min_split, max_depth):
     groups = 3
     group = rng.integers(0, groups, n * groups)
     x = rng.integers(0, rng.integers(2, 12), (features, len(group))).astype(float)
-    q = rng.integers(0, 1000, len(group))
+    q = rng.integers(0, rng.choice([1000, 1 << 52]), len(group))
     weights = rng.integers(0, 3, (2, len(group))).astype(np.int8)
-    cut = [trees.bin_rows(group, column, 256) for column in x]
-    bins, lows, highs = zip(*cut)
+    bins, values = zip(*[trees.bin_rows(group, column) for column in x])
     unit, row, w, orders = trees.tree_pairs(weights, group, bins, groups)
     if not len(unit):
         return
     units = 2 * groups
     limits = np.full(units, max_depth), np.full(units, min_split)
-    nodes = trees.grow(unit, row, bins, orders, w, w * q[row], q[row], q[row], np.ones_like(w), *limits, min_leaf)
+    high, low = trees.halves(q[row])
+    nodes = trees.grow(unit, row, bins, orders, w, w * high, w * low, q[row], q[row], np.ones_like(w), *limits, min_leaf)
     inner = nodes["feature"] >= 0
     threshold = np.zeros(len(inner))
     f = nodes["feature"][inner]
-    threshold[inner] = trees.midpoint(
-        np.array(highs)[f, nodes["below"][inner]], np.array(lows)[f, nodes["above"][inner]]
-    )
+    values = np.array(values)
+    threshold[inner] = trees.midpoint(values[f, nodes["below"][inner]], values[f, nodes["above"][inner]])
     for at in np.flatnonzero(nodes["depth"] == 0):
         tree, g = divmod(int(nodes["owner"][at]), groups)
         mine = (group == g) & (weights[tree] > 0)
@@ -77,15 +76,24 @@ def test_growth(seed, features, n, min_leaf, min_split, max_depth):
         assert told(nodes, threshold, at) == want
 
 
-def test_bins_of_many_values():
+def test_every_value_has_its_rank():
     rng = np.random.default_rng(1)
     group = np.repeat([0, 1], [1000, 5])
     x = rng.normal(size=1005)
-    bins, low, high = trees.bin_rows(group, x, 16)
-    assert set(bins[:1000]) == set(range(16)) and sorted(bins[1000:]) == [0, 1, 2, 3, 4]
-    assert np.all((low <= x) & (x <= high))
-    sizes = np.bincount(bins[:1000])
-    assert sizes.min() >= 62 and sizes.max() <= 63
+    bins, values = trees.bin_rows(group, x)
+    assert sorted(bins[:1000]) == list(range(1000)) and sorted(bins[1000:]) == [0, 1, 2, 3, 4]
+    assert np.array_equal(values, x) and np.array_equal(np.argsort(bins[:1000]), np.argsort(x[:1000]))
+
+
+def test_sums_of_halves_are_whole():
+    rng = np.random.default_rng(2)
+    q = rng.integers(0, (1 << 52) + 1, 5000)
+    high, low = trees.halves(q)
+    exact = sum(map(int, q))
+    assert trees.wide(np.array(high.sum()), np.array(low.sum())) == float(exact)
+    y = rng.normal(size=1000) * 1e6
+    back = trees.off_grid(*trees.halves(trees.on_grid(y, y.min(), y.max())), np.ones(1000, np.int64), y.min(), y.max())
+    assert np.abs(back - y).max() <= 4e-16 * (y.max() - y.min()) + 1e-9
 
 
 def test_weights_are_poisson():

@@ -62,7 +62,7 @@ def test_ridge_shrinks(spark, synth):
 @pytest.mark.parametrize("rows_per_task", [50_000, 30])
 def test_forest_picks_the_best_of_its_trials(spark, synth, rows_per_task):
     df = synth.filter("sku_id < 'SKU_003'")
-    arguments = dict(space=SPACE, num_trials=4, estimator="forest", row_key=ROW_KEY, max_bins=16)
+    arguments = dict(space=SPACE, num_trials=4, estimator="forest", row_key=ROW_KEY)
     trials = mf.evaluate_trials(df, ["sku_id"], "sales", FEATURES, rows_per_task=rows_per_task, **arguments).collect()
     tuned = mf.tune(df, ["sku_id"], "sales", FEATURES, rows_per_task=rows_per_task, **arguments).collect()
     for row in tuned:
@@ -73,6 +73,17 @@ def test_forest_picks_the_best_of_its_trials(spark, synth, rows_per_task):
         assert all(row[p] == best[p] for p in SPACE)
 
 
+@pytest.mark.parametrize("search", ["random", "tpe"])
+def test_winners_of_hot_groups_come_out_of_the_search(spark, synth, search):
+    """A hot key's winner is cut out of the trees of all trials, and is the forest that the same settings train alone."""
+    df = synth.filter("sku_id < 'SKU_004'")
+    arguments = dict(space=SPACE, num_trials=12 if search == "tpe" else 6, search=search, row_key=ROW_KEY)
+    cold = mf.tune(df, ["sku_id"], "sales", FEATURES, **arguments).collect()
+    hot = mf.tune(df, ["sku_id"], "sales", FEATURES, rows_per_task=25, **arguments).collect()
+    told = lambda rows: {r.sku_id: (bytes(r.model_bytes), *(r[p] for p in SPACE), round(r.rmse, 8), r.status) for r in rows}
+    assert told(hot) == told(cold) and len(hot) == 3
+
+
 def test_shared_trees_give_the_error_of_each_trial(spark, synth):
     """Trials read one set of trees under their own limits; training each alone gives the same errors."""
     df = synth.filter("sku_id = 'SKU_001'")
