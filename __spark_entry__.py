@@ -36,6 +36,8 @@ LINE_FEATURES = ["l_quantity", "l_discount", "l_tax"]
 PRICE = "l_extendedprice"
 # A mean of few absolute errors can end in a five exactly, so it is rounded where that cannot matter.
 MAE_PLACES = 5
+# Errors of forests are such means of whole cents throughout, so they are moved off the fives before they are rounded.
+OFF_FIVES = 3.7e-8
 ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
 SMALL_FOREST = {
     "n_estimators": mf.IntRange(5, 12),
@@ -311,15 +313,21 @@ def train_synth(spark, folder):
     return listing(models, ["p_partkey"], features)
 
 
-def forest_listing(models: DataFrame, keys: list[str]) -> DataFrame:
+def forest_listing(models: DataFrame, keys: list[str], chosen: list[str] = ()) -> DataFrame:
     return models.select(
         *keys,
         "num_rows",
         "status",
-        *[places(F.col(c), n).alias(c) for c, n in (("rmse", 2), ("mse", 0), ("mae", MAE_PLACES))],
+        *forest_errors(),
+        *chosen,
     )
 
 
+def forest_errors() -> list:
+    mae = places(F.col("mae") + F.lit(OFF_FIVES), MAE_PLACES).alias("mae")
+    return [places(F.col("rmse"), 2).alias("rmse"), places(F.col("mse"), 0).alias("mse"), mae]
+
+
 def train_forest(spark, folder):
     return forest_listing(line_models(spark, folder, estimator="forest"), ["l_partkey"])
 
@@ -349,7 +357,7 @@ def score_forest(spark, folder):
     lines = table(spark, folder, "lineitem")
     models = line_models(spark, folder, estimator="forest")
     scored = mf.score(lines.drop(PRICE), models, ["l_partkey"], features=LINE_FEATURES)
-    return scored.select(*LINE_KEY, "l_partkey", *LINE_FEATURES, places(F.col("prediction"), 2).alias("prediction"))
+    return scored.select(*LINE_KEY, "l_partkey", *LINE_FEATURES, places(F.col("prediction"), 6).alias("prediction"))
 
 
 def score_forest_hot(spark, folder):
@@ -358,7 +366,7 @@ def score_forest_hot(spark, folder):
     features = ["user_id", "k"]
     models = mf.train(rows, ["event_type"], "value", features, "forest", ["event_id"])
     scored = mf.score(rows.drop("value"), models, ["event_type"], features=features, rows_per_task=400)
-    return scored.select("event_id", "event_type", places(F.col("prediction"), 4).alias("prediction"))
+    return scored.select("event_id", "event_type", places(F.col("prediction"), 6).alias("prediction"))
 
 
 def forest_trials(spark, folder):
@@ -372,7 +380,60 @@ def forest_trials(spark, folder):
 def tune_forest(spark, folder):
     lines = table(spark, folder, "lineitem")
     models = mf.tune(lines, ["l_partkey"], PRICE, LINE_FEATURES, SMALL_FOREST, 4, "forest", row_key=LINE_KEY)
-    return forest_listing(models, ["l_partkey"])
+    return depth_label(forest_listing(models, ["l_partkey"], mf.FOREST_SPACE))
+
+
+def search_forest(spark, folder):
+    """The whole search space, ten trials of 50 to 300 trees for every part."""
+    models = mf.tune(table(spark, folder, "lineitem"), ["l_partkey"], PRICE, LINE_FEATURES, num_trials=10, row_key=LINE_KEY)
+    return depth_label(forest_listing(models, ["l_partkey"], mf.FOREST_SPACE))
+
+
+def search_forest_hot(spark, folder):
+    """The same search over groups above the size of one task: the trees of a key are grown once for all trials."""
+    models = mf.tune(
+        events(spark, folder), ["event_type"], "value", ["user_id", "k"], num_trials=10, row_key=["event_id"], rows_per_task=400
+    )
+    return depth_label(forest_listing(models, ["event_type"], mf.FOREST_SPACE))
+
+
+def forest_sizes(spark, folder):
+    """The size of every stored forest, and of the bundle they would make."""
+    space = ["event_type"]
+    models = mf.train(events(spark, folder), space, "value", ["user_id", "k"], "forest", ["event_id"], rows_per_task=400)
+    path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
+    stats = mf.bundle_stats(mf.bundle(models, space, path))
+    each = spark.read.parquet(path).select("event_type", "model_size_bytes")
+    whole = stats.select(F.lit("all").alias("event_type"), F.col("size_bytes").alias("model_size_bytes"))
+    return each.unionByName(whole)
+
+
+def train_forest_faults(spark, folder):
+    """One event type has targets whose span is beyond a double; it gets a status and leaves the others alone."""
+    huge = F.col("value") * F.pow(F.lit(10.0), F.lit(306.0)) * F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0)
+    rows = events(spark, folder).withColumn("value", F.when(F.col("event_type") == "click", F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), huge * 1e6))).otherwise(F.col("value")))
+    models = mf.train(rows, ["event_type"], "value", ["user_id", "k"], "forest", ["event_id"], rows_per_task=400)
+    return forest_listing(models, ["event_type"])
+
+
+def catalog_features(spark, folder):
+    """A feature table of the catalog, of which only the named columns are read."""
+    before, name = spark.catalog.currentDatabase(), f"features_{uuid.uuid4().hex}"
+    space = mf.init_namespace(spark, name, f"{shared_folder(spark)}/{name}")
+    spark.catalog.setCurrentDatabase(before)
+    orders(spark, folder).write.format("parquet").saveAsTable(space.table("orders"))
+    rows = mf.read_features(spark, space.table("orders"), ["o_orderkey", "o_custkey", "order_day", "o_totalprice"])
+    return listing(mf.train(rows, ["o_custkey"], "o_totalprice", ["order_day"], "linear", ["o_orderkey"]), ["o_custkey"], ["order_day"])
+
+
+def tuned_metrics_file(spark, folder):
+    """The metrics of a search with its hyperparameters, written as CSV and read back."""
+    path = f"{shared_folder(spark)}/metrics-{uuid.uuid4().hex}"
+    lines = table(spark, folder, "lineitem")
+    mf.write_metrics(mf.tune(lines, ["l_partkey"], PRICE, LINE_FEATURES, SMALL_FOREST, 4, "forest", row_key=LINE_KEY), ["l_partkey"], path)
+    schema = "l_partkey long, rmse double, mse double, mae double, num_rows long, " + ", ".join(f"{c} long" for c in mf.FOREST_SPACE)
+    back = spark.read.csv(path, schema, header=True)
+    return depth_label(back.select("l_partkey", "num_rows", *forest_errors(), *mf.FOREST_SPACE))
 
 
 def tune_forest_guided(spark, folder):
@@ -456,7 +517,7 @@ def score_forest_stream(spark, folder):
     rows = stream.select("event_id", *keys, *features)
     mf.write_scores(rows, models, keys, f"{out}/rows", f"{out}/state", "forest", once=True).awaitTermination()
     scored = spark.read.parquet(f"{out}/rows")
-    return scored.select("event_id", "event_type", places(F.col("prediction"), 4).alias("prediction"))
+    return scored.select("event_id", "event_type", places(F.col("prediction"), 6).alias("prediction"))
 
 
 def published(spark, folder):
@@ -506,6 +567,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         score_linear, evaluate_scores, score_unknown_null, unknown_keys, score_small_batch, trial_plan, ridge_trials,
         best_trial, tune_ridge, train_ridge, tune_ridge_hot, input_example, preview, key_label, conform, synth_rows, train_synth, train_forest,
         train_forest_small_groups, train_forest_hot, score_forest, score_forest_hot, forest_trials, tune_forest, guided_proposals,
+        search_forest, search_forest_hot, forest_sizes, train_forest_faults, catalog_features, tuned_metrics_file,
         tune_forest_guided,
         score_stream, bundle_scores, metrics_file, score_checked, train_inferred, score_forest_stream, published_scores,
         recorded_run, bundle_size,
@@ -587,6 +649,8 @@ synth AS (SELECT {unit}, feat_1, feat_2, feat_3,
     trial_errors = f"""{o.forest(key=['l_partkey'], trees=12, space=small_space, trials=4, **line_forest)},
 tried AS (SELECT k0, trial, avg((y - prediction) * (y - prediction)) AS mse, avg(abs(y - prediction)) AS mae
   FROM votes JOIN scored USING (k0, rid) GROUP BY k0, trial)"""
+    event_forest = dict(key=["event_type"], target="value", features=["user_id", "k"], row_key=["event_id"], trees=50)
+    settings = "n_estimators, coalesce(max_depth::VARCHAR, 'unlimited') AS max_depth, min_samples_split, min_samples_leaf"
     metric_columns = f"{r('rmse', 2)} AS rmse, {r('mse', 0)} AS mse, {r('mae', MAE_PLACES)} AS mae"
     checked = {
         "train_inferred": o.train_linear(*line),
@@ -687,7 +751,7 @@ FROM lineitem GROUP BY 1""",
         "score_forest": o.forest(
             key=["l_partkey"], trees=50, score_all=True, carry=[*LINE_KEY, "l_partkey", *LINE_FEATURES], **line_forest
         )
-        + f" SELECT {rows_sql}, {r('prediction', 2)} AS prediction FROM votes JOIN scored USING (k0, rid)",
+        + f" SELECT {rows_sql}, {r('prediction', 6)} AS prediction FROM votes JOIN scored USING (k0, rid)",
         "score_forest_hot": o.forest(
             key=["event_type"],
             source=EVENTS_SQL,
@@ -698,14 +762,27 @@ FROM lineitem GROUP BY 1""",
             score_all=True,
             carry=["event_id", "event_type"],
         )
-        + f" SELECT event_id, event_type, {r('prediction', 4)} AS prediction FROM votes JOIN scored USING (k0, rid)",
+        + f" SELECT event_id, event_type, {r('prediction', 6)} AS prediction FROM votes JOIN scored USING (k0, rid)",
         "forest_trials": f"""{trial_errors} SELECT k0 AS l_partkey, trial, n_estimators,
   coalesce(max_depth::VARCHAR, 'unlimited') AS max_depth, min_samples_split,
   min_samples_leaf, {r('sqrt(mse)', 2)} AS rmse FROM tried JOIN plan USING (k0, trial)""",
         "tune_forest": f"""{trial_errors},
 best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY sqrt(mse), trial) = 1)
 SELECT k0 AS l_partkey, n AS num_rows, 'success' AS status, {r('sqrt(mse)', 2)} AS rmse, {r('mse', 0)} AS mse,
-  {r('mae', MAE_PLACES)} AS mae FROM best JOIN sizes USING (k0)""",
+  {r(f'mae + {OFF_FIVES}', MAE_PLACES)} AS mae, {settings} FROM best JOIN sizes USING (k0) JOIN plan USING (k0, trial)""",
+        "tuned_metrics_file": f"""{trial_errors},
+best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY sqrt(mse), trial) = 1)
+SELECT k0 AS l_partkey, n AS num_rows, {r('sqrt(mse)', 2)} AS rmse, {r('mse', 0)} AS mse,
+  {r(f'mae + {OFF_FIVES}', MAE_PLACES)} AS mae, {settings} FROM best JOIN sizes USING (k0) JOIN plan USING (k0, trial)""",
+        "catalog_features": o.train_linear(*customers),
+        "forest_sizes": f"""{o.forest(**event_forest, source=EVENTS_SQL)},
+nodes AS (SELECT k0, count(*) AS nodes FROM (SELECT DISTINCT k0, t, node FROM walk WHERE w > 0) GROUP BY k0),
+models AS (SELECT k0 AS event_type, (12 + 4 * 50 + 16 * nodes)::BIGINT AS model_size_bytes FROM nodes)
+SELECT * FROM models UNION ALL SELECT 'all', sum(model_size_bytes)::BIGINT FROM models""",
+        "train_forest_faults": f"""SELECT event_type, num_rows,
+  CASE event_type WHEN 'click' THEN 'error: the span of the target is not finite' ELSE status END AS status,
+  CASE WHEN event_type <> 'click' THEN rmse END AS rmse, CASE WHEN event_type <> 'click' THEN mse END AS mse,
+  CASE WHEN event_type <> 'click' THEN mae END AS mae FROM ({o.forest_models(**event_forest, source=EVENTS_SQL)})""",
         "guided_proposals": o.guided_proposals(
             o.forest(
                 key=["o_custkey"],

@@ -1,19 +1,22 @@
-"""Runs and versions, kept as two small tables.
+"""Runs and versions, kept as small files that Spark reads as tables.
 
 A run records one training: where its bundle and metrics file are, its averaged metrics, a few example
-rows. A version gives a run a number under a model name. Version numbers are ``max + 1`` and assume one
-writer at a time.
+rows. A version gives a run a number under a model name. Every record is a file of its own, made in one step that
+fails if the file is there: whoever makes the file of a number has that number, and the others take the next.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 
 from manyfold.operators.profile import run_metrics
 from manyfold.operators.score import score
+from manyfold.sources.files import create_once, exists
 from manyfold.sources.tables import Namespace, load_bundle
 
 RUNS = "runs"
@@ -45,8 +48,9 @@ VERSION_SCHEMA = T.StructType(
 EXAMPLE_ROWS = 100
 
 
-def _append(spark: SparkSession, rows: list[tuple], schema: T.StructType, table: str) -> None:
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").format("parquet").saveAsTable(table)
+def _record(spark: SparkSession, namespace: Namespace, kind: str, name: str, schema: T.StructType, values: tuple) -> bool:
+    """Writes one record, unless there is one of this name."""
+    return create_once(spark, f"{namespace.registry(kind)}/{name}.json", json.dumps(dict(zip(schema.names, values))))
 
 
 def log_run(
@@ -69,14 +73,15 @@ def log_run(
         raise ValueError(f"an example has at most {EXAMPLE_ROWS} rows; pass a smaller frame")
     run_id = uuid.uuid4().hex
     entry = (run_id, run_name, estimator, list(keys), fill, bundle_path, metrics_path, averages, rows)
-    _append(spark, [entry], RUN_SCHEMA, namespace.table(RUNS))
+    _record(spark, namespace, RUNS, run_id, RUN_SCHEMA, entry)
     return run_id
 
 
-def _table(spark: SparkSession, namespace: Namespace, name: str, schema: T.StructType) -> DataFrame:
-    if not spark.catalog.tableExists(namespace.table(name)):
+def _table(spark: SparkSession, namespace: Namespace, kind: str, schema: T.StructType) -> DataFrame:
+    folder = namespace.registry(kind)
+    if not exists(spark, folder):
         return spark.createDataFrame([], schema)
-    return spark.read.table(namespace.table(name))
+    return spark.read.schema(schema).option("recursiveFileLookup", True).json(folder)
 
 
 def runs(spark: SparkSession, namespace: Namespace) -> DataFrame:
@@ -95,11 +100,12 @@ def find_run(spark: SparkSession, namespace: Namespace, run_id: str) -> Row:
 
 
 def register(spark: SparkSession, namespace: Namespace, name: str, run_id: str) -> int:
-    """Give the run the next version number of this model name. One writer at a time is assumed."""
+    """Give the run the next free version number of this model name, whoever else registers at the same time."""
     find_run(spark, namespace, run_id)
     last = versions(spark, namespace).filter(F.col("name") == name).agg(F.max("version")).first()[0]
     version = (last or 0) + 1
-    _append(spark, [(name, version, run_id)], VERSION_SCHEMA, namespace.table(VERSIONS))
+    while not _record(spark, namespace, VERSIONS, f"{quote(name, safe='')}/{version}", VERSION_SCHEMA, (name, version, run_id)):
+        version += 1
     return version
 
 

@@ -21,6 +21,9 @@ class Namespace:
     def table(self, name: str) -> str:
         return f"{self.name}.{name}"
 
+    def registry(self, kind: str) -> str:
+        return f"{self.folder.rstrip('/')}/registry/{kind}"
+
     def artifact(self, name: str) -> str:
         return f"{self.folder.rstrip('/')}/artifacts/{name}"
 

@@ -34,12 +34,11 @@ def write_scores(
 
     A forest batch overwrites its own folder, so a batch that is repeated after a failure counts once.
     """
+    stored = settle(models, "stream-models")  # models that are not a table yet are trained once, not with every batch
     if estimator != "forest":
-        scored = score_stream(stream, models, keys, on_unknown, **options)
+        scored = score_stream(stream, stored, keys, on_unknown, **options)
         writer = scored.writeStream.format("parquet").option("path", path).outputMode("append")
     else:
-        stored = settle(models, "stream-models")  # models that are not a table yet are trained once, not with every batch
-
         def write(batch: DataFrame, number: int) -> None:
             batch.persist()  # scoring looks at the keys before it scores, and a source may be read only once
             try:

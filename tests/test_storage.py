@@ -147,3 +147,20 @@ def test_stream_equals_batch(spark, synth, tmp_path, estimator):
     assert want.exceptAll(got).count() == 0 and got.filter("prediction is null").count() == 6
     with pytest.raises(ValueError):
         mf.score_stream(rows, models, ["sku_id"])
+
+
+def test_several_writers_get_a_number_each(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from manyfold.sources import registry
+
+    space = mf.init_namespace(spark, "writers", str(tmp_path / "writers"))
+    spark.catalog.setCurrentDatabase("default")
+    models = spark.createDataFrame([("a", 1.0, 1.0, 1.0, "success")], "k string, rmse double, mse double, mae double, status string")
+    run_id = registry.log_run(space, "run", models, ["k"], "linear", "nowhere", "nowhere")
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda _: registry.register(spark, space, "a/b c", run_id), range(8)))
+    assert sorted(numbers) == list(range(1, 9))
+    assert registry.register(spark, space, "other", run_id) == 1
+    newest = {r.name: r.version for r in registry.latest_versions(spark, space).collect()}
+    assert newest == {"a/b c": 8, "other": 1}

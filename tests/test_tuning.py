@@ -159,3 +159,30 @@ def test_many_features(spark, synth, monkeypatch, rows_per_task):
         assert results() == pairs
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+@pytest.mark.parametrize("name", ["search_forest", "search_forest_hot"])
+def test_whole_searches_against_single_trainings(spark, name):
+    """The registered searches over the whole space: what each key won with is in its plan, and trained alone gives the same error."""
+    import __spark_entry__ as registered
+    from tests.conftest import SMALL
+
+    found = registered.queries()[name](spark, SMALL).collect()
+    if name == "search_forest":
+        rows, key, target, features, row_key = spark.read.parquet(f"{SMALL}/lineitem.parquet"), "l_partkey", registered.PRICE, registered.LINE_FEATURES, registered.LINE_KEY
+    else:
+        rows, key, target, features, row_key = registered.events(spark, SMALL), "event_type", "value", ["user_id", "k"], ["event_id"]
+    keys = rows.select(key).distinct()
+    plan = {(r[key], r.n_estimators, str(r.max_depth or "unlimited"), r.min_samples_split, r.min_samples_leaf) for r in mf.trial_plan(keys, [key], mf.FOREST_SPACE, 10).collect()}
+    assert len(found) == keys.count() and {r.status for r in found} == {"success"}
+    assert {(r[key], r.n_estimators, r.max_depth, r.min_samples_split, r.min_samples_leaf) for r in found} <= plan
+    for won in sorted(found, key=lambda r: str(r[key]))[:3]:
+        mine = rows.filter(F.col(key) == F.lit(won[key]))
+        errors = {}
+        for trial in (t for t in plan if t[0] == won[key]):
+            depth = None if trial[2] == "unlimited" else int(trial[2])
+            alone = mf.train(mine, [key], target, features, "forest", row_key, n_estimators=trial[1], max_depth=depth, min_samples_split=trial[3], min_samples_leaf=trial[4])
+            errors[trial] = alone.first().rmse
+        best = min(errors, key=errors.get)
+        assert errors[best] == pytest.approx(won.rmse, abs=0.006)
+        assert errors[won[key], won.n_estimators, won.max_depth, won.min_samples_split, won.min_samples_leaf] == pytest.approx(errors[best], rel=1e-12)
