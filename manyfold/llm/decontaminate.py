@@ -10,7 +10,7 @@ Document signatures are evaluated lazily: only bins whose least hash could be an
 the items' hashes) can produce a candidate, so only those segments are looked at, and only candidates are shuffled.
 
 Words are runs of letters, marks and digits, in lower case. Null and empty texts hold nothing. An item of fewer than
-five words has no shingle and is never found. Equal items are searched once, under the least item_id; items without
+five words is one shingle, all of it, and is looked up among the runs of so many words. Equal items are searched once, under the least item_id; items without
 an item_id take no part. Rows are named by doc_id and text, so repeated or null ids do not mix texts.
 """
 
@@ -40,16 +40,16 @@ def normal(texts: pa.Array) -> list[bytes]:
     return as_bytes(pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.string())), r"[^\pL\pM\pN]+", " "))
 
 
-def shingles_of(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The first word of every five-word run within a text, and the hash of the run."""
+def shingles_of(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The first word of every run of ``size`` words within a text, and the hash of the run."""
     n = len(words.start)
-    first = np.arange(max(0, n - SHINGLE + 1))
-    first = first[words.text[first] == words.text[first + SHINGLE - 1]]
-    return first, words.run_hashes(first, first + SHINGLE - 1)
+    first = np.arange(max(0, n - size + 1))
+    first = first[words.text[first] == words.text[first + size - 1]]
+    return first, words.run_hashes(first, first + size - 1)
 
 
-def shingle_text(words: Words, first: int) -> str:
-    return words.joined[words.start[first] : words.end[first + SHINGLE - 1]].decode()
+def shingle_text(words: Words, first: int, size: int = SHINGLE) -> str:
+    return words.joined[words.start[first] : words.end[first + size - 1]].decode()
 
 
 def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,6 +64,9 @@ def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys = hashes[np.unique(hashes % BINS, return_index=True)[1]]
                 texts = [shingle_text(words, k) for k in first[where]]
                 out.append((item, int(len(hashes)).bit_length() - 1, keys.view(np.int64).tolist(), texts))
+            elif size := len(words.start):
+                # The class of a short item is its number of words, below zero.
+                out.append((item, -size, shingles_of(words, size)[1].view(np.int64).tolist(), [shingle_text(words, 0, size)]))
         columns = list(zip(*out)) or [[], [], [], []]
         types = [pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.string())]
         names = ["item_id", "size_class", "keys", "shingles"]
@@ -88,6 +91,8 @@ def segment_candidates(hashes: np.ndarray, marked: np.ndarray, size_class: int)
 
 def document_rows(key_bits, shingle_bits, classes: list[int]):
     """One row for each text with a candidate: its candidate keys and its shingles that an item may have."""
+    short = [-c for c in classes if c < 0]
+    classes = [c for c in classes if c >= 0]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, some = key_bits.value, shingle_bits.value
@@ -107,6 +112,12 @@ def document_rows(key_bits, shingle_bits, classes: list[int]):
                     for size_class in classes:
                         pairs.update(segment_candidates(hashes[own], marked, size_class))
                     texts.update(shingle_text(words, x) for x in first[own][known[own]])
+                for size in short:
+                    first, hashes = shingles_of(words, size)
+                    for at in np.flatnonzero(in_bit_set(keys, hashes)).tolist():
+                        pairs, texts = found.setdefault(int(numbers[words.text[first[at]]]), (set(), set()))
+                        pairs.add((-size, int(hashes[at].view(np.int64))))
+                        texts.add(shingle_text(words, first[at], size))
             hit = [k for k in found if found[k][0]]
             pairs = [[{"size_class": c, "key": x} for c, x in found[k][0]] for k in hit]
             pair_type = pa.list_(pa.struct([("size_class", pa.int32()), ("key", pa.int64())]))

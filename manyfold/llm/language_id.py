@@ -2,16 +2,17 @@
 
 The pieces are a fixed public vocabulary. A language is a probability for every piece; the probability of a word is
 the sum over all ways to cut it into pieces, by the forward algorithm, and that of a text the product over its words.
-Words are runs of letters in lower case, in stretches of at most 32, with the space mark in front of a run's begin;
+Words are runs of letters (``str.isalpha``) in lower case, in stretches of at most 32, with the space mark in front of a run's begin;
 a letter that is no piece by itself has a fixed small probability in all languages.
 
 Probabilities are learned by expectation maximisation over a bounded sample of labelled rows: ``sample_docs`` per
-language, chosen by a hash of the id. At most ``max_languages`` are told apart, those with most rows. So the model is
-at most max_languages x pieces numbers, which is what is broadcast.
+language, chosen by a hash of the id. Every label is a language, so the model is labels x pieces numbers, which is what
+is broadcast.
 
 The prediction is the likeliest language, the first in code point order of equals; the score is its posterior
 probability with equal priors. Texts that are null or have no letter get ``und`` and 0. Rows with a null id or label
-teach nothing. Every row gets a prediction, repeated ones too.
+teach nothing. Every row gets a prediction, repeated ones too, an empty table an empty one. Without any label every text is
+``und`` with 0, and nothing is rejected: what cannot be judged stays.
 
 A posterior says which language is likeliest, not that a text is in any of them: it is near 1 for every longer text. So
 documents are kept by their fit too: the log probability per letter under the winner, against that of the sample's texts.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -36,16 +38,27 @@ RUN = re.compile(r"[^\W\d_]+")
 STRETCH = 32
 UNKNOWN = 1e-8
 SMOOTHING = 0.05
-SAMPLE_DOCS, MAX_LANGUAGES, ROUNDS = 400, 128, 3
+SAMPLE_DOCS, ROUNDS = 400, 3
+#: Numbers that a worker keeps of known words.
+KNOWN = 8_000_000
 #: A text fits if it lies at most so many deviations below its language's mean.
 DEVIATIONS, LETTERS = 10.0, 500
 #: A deviation is at least so large, and every language's is drawn to that of all by so many texts.
 LEAST_DEVIATION, DRAWN = 2.0, 20
 
 
+def letter_runs(text: str) -> Iterator[str]:
+    """Runs of letters; number signs that count as word characters (fractions, Roman numerals) part them."""
+    for run in RUN.findall(text):
+        if run.isalpha():
+            yield run
+        else:
+            yield from ("".join(part) for is_letter, part in groupby(run, str.isalpha) if is_letter)
+
+
 def words_of(text: str | None) -> list[str]:
     out = []
-    for run in RUN.findall(text.lower()) if text else ():
+    for run in letter_runs(text.lower()) if text else ():
         if len(run) < STRETCH:
             out.append(SPACE_MARK + run)
         else:
@@ -97,11 +110,11 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
 
-def sampled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], DataFrame | None]:
+def sampled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], DataFrame | None]:
     """The languages in code point order, and lang and text of the sample; None without languages."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    counted = {r.lang: r.n for r in sizes.orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    counted = {r.lang: r.n for r in sizes.collect()}
     languages = sorted(counted)
     if not languages:
         return [], None
@@ -110,7 +123,7 @@ def sampled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_languages: int
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, 2.0 * sample_docs / counted[lang]))])
     below = F.pmod(hash_, F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30)
     order = W.partitionBy("lang").orderBy(hash_, "doc_id", F.xxhash64("text"))
-    some = rows.filter(F.col("lang").isin(languages) & below)
+    some = rows.filter(below)
     ids = some.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_docs)
     return languages, ids.select("lang", "text")
 
@@ -172,7 +185,7 @@ def predictor(spark: SparkSession, languages: list[str], p: np.ndarray, path: st
     @F.pandas_udf("lang_pred string, score double, fit double, letters long")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
-        logs = np.empty((CACHE, len(languages)))
+        logs = np.empty((min(CACHE, KNOWN // max(1, len(languages))), len(languages)))
         for batch in batches:
             texts = batch.tolist()
             best, sure, fit, letters = [], [], [], []
@@ -228,7 +241,7 @@ def keep_known_languages(docs: DataFrame, path: str, least: float = 0.5, rounds:
     """The documents, with all their columns, that fit a language, and that one with a posterior of at least ``least``."""
     languages, ids = sampled(docs.filter(~held_out()), **settings)
     if not languages:
-        return docs.limit(0)
+        return docs
     ids = settle(ids, "sample")
     p = learn(languages, ids, path, rounds)
     judge = predictor(docs.sparkSession, languages, p, path)

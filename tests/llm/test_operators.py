@@ -139,9 +139,13 @@ def test_rows_of_one_id_are_compared_by_their_texts(spark):
 # Decontamination
 
 
-def shingles(text):
-    words = "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
-    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+def plain_words(text):
+    return "".join(c if c.isalnum() else " " for c in (text or "").lower()).split()
+
+
+def shingles(text, size=5):
+    words = plain_words(text)
+    return {tuple(words[k : k + size]) for k in range(len(words) - size + 1)}
 
 
 def test_leaks_equal_brute_force(spark):
@@ -158,14 +162,16 @@ def test_leaks_equal_brute_force(spark):
         (5001, "before " * 3000 + items[0][1].upper() + " after" * 3000),
         (5006, "one two three four five"),
     ]
+    items += [(904, docs[3][1].split()[5]), (905, " ".join(docs[4][1].split()[2:6])), (906, "never said"), (907, "...")]
     items += [(900, items[0][1]), (901, None), (902, "four words are few"), (903, "One, two; three - four: five!"), (None, items[1][1] + " z")]
     got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     want = set()
     for item, text in items:
-        own = shingles(text)
+        size = min(5, len(plain_words(text)))
+        own = shingles(text, size) if size else set()
         if own and item not in (None, 900):
             for doc, t in docs:
-                if len(own & shingles(t)) / len(own) >= 0.8:
+                if len(own & shingles(t, size)) / len(own) >= 0.8:
                     want.add((doc, item))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     assert len(want) > 3
@@ -313,6 +319,23 @@ def test_held_out_accuracy_and_odd_texts(spark):
     assert {r.lang_pred for r in language_id.identify(docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang")), VOCABULARY).collect()} == {"und"}
 
 
+def test_number_signs_are_no_letters_and_every_label_is_learned(spark):
+    assert language_id.words_of("½ ² Ⅷ ① 12") == [] and language_id.words_of("a½b") == ["▁a", "▁b"]
+    rows = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 30, f"l{k:03}", "clash") for k in range(300)]
+    df = spark.createDataFrame([*rows, (901, "½ ² Ⅷ", "l000", "x"), (902, "x" * 100_000, None, None), (902, "x" * 100_000, None, None)], "doc_id long, text string, lang string, score string")
+    got = {r.doc_id: r for r in language_id.identify(df, VOCABULARY, rounds=1).collect()}
+    assert got[901].lang_pred == "und" and got[901].score == 0 and 0 < got[902].score <= 1
+    learned = [k for k, r in got.items() if k < 300 and not r.held_out]
+    assert len({got[k].lang_pred for k in learned}) > 200
+    assert language_id.identify(df.limit(0), VOCABULARY, rounds=1).collect() == []
+
+
+def test_without_labels_nothing_is_rejected(spark):
+    df = spark.createDataFrame([(k, "some text", None) for k in range(50)], "doc_id long, text string, lang string")
+    assert language_id.keep_known_languages(df, VOCABULARY).count() == 50
+    assert {r.lang_pred for r in language_id.identify(df, VOCABULARY).collect()} == {"und"}
+
+
 def test_texts_in_no_learned_language_are_rejected(spark):
     docs = documents(spark).select("doc_id", "text", "lang")
     rng = np.random.default_rng(8)
@@ -396,6 +419,35 @@ def test_the_whole_article_stays(html, want):
     assert html_text.main_text(html) == want
 
 
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ("<p>before <button>press</button> after</p>", "before after"),
+        ("<p>a <svg><text>x</text></svg>b <span class=ad>buy</span>c</p>", "a b c"),
+        (f"<article><p>Energy <math><mi>E</mi></math> is {SENTENCE}</p></article>", f"Energy E is {SENTENCE}"),
+        (f"<body><article><h1 class=social>Title</h1><div class=hidden-figure><p>{SENTENCE}</p></div><p class='related work'>{SENTENCE}</p></article></body>", f"Title\n{SENTENCE}\n{SENTENCE}"),
+        (f"<body><article><p>{SENTENCE}</p><p>one <span class=promo>buy now</span> two {SENTENCE}</p><div class='hidden'>gone</div></article></body>", f"{SENTENCE}\none two {SENTENCE}"),
+    ],
+)
+def test_blocks_stay_whole(html, want):
+    assert html_text.main_text(html) == want
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    for n, page in ((100_000, "<b>" * 100_000 + "</div>" * 100_000), (100_000, "<div><p>" * 50_000 + "x" + "</i>" * 100_000), (50_000, "<header>" * 50_000)):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 10, (n, page[:10])
+
+
+def test_pages_with_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "u", f"<p>{SENTENCE}</p>", "t", 3), (1, "u", f"<p>{SENTENCE}</p>", "t", 3), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in html_text.extract(pages).collect()) == [(0, "", 0), *[(1, SENTENCE, len(SENTENCE))] * 2]
+    assert html_text.extract(pages.limit(0)).collect() == []
+
+
 def test_pages_keep_their_article(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages).collect()}
@@ -420,7 +472,7 @@ def test_neighbours_recall_and_order(spark):
     df = rows.union(spark.createDataFrame(copies + odd, rows.schema))
     vectors |= {k: np.array(v) for k, v in copies}
     got = collections.defaultdict(list)
-    for r in neighbours.neighbours(df, F.col("vec_id") % 100 == 0, rounds=2, trees=2).collect():
+    for r in neighbours.neighbours(df, F.col("vec_id") % 100 == 0, trees=2).collect():
         got[r.query_id].append((r["rank"], r.vec_id, r.score))
     assert set(got) == {k for k in vectors if k % 100 == 0}
     ids = np.array(sorted(vectors))
@@ -441,6 +493,40 @@ def test_neighbours_recall_and_order(spark):
     assert neighbours.neighbours(df.filter("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def nearest_found(spark, vectors, every):
+    """Rows of each query, and the share of its true ten nearest among them."""
+    df = spark.createDataFrame([(k, v.tolist(), "clash", 1.0) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, id string, dist double")
+    got = collections.defaultdict(set)
+    for r in neighbours.neighbours(df, F.col("vec_id") % every == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(vectors), every):
+        apart = ((vectors - vectors[q]) ** 2).sum(axis=1)
+        apart[q] = np.inf
+        hits += len(got[q] & set(np.argsort(apart, kind="stable")[:10].tolist()))
+    return got, hits / (10 * len(got))
+
+
+def test_every_query_of_a_small_table_finds_ten(spark):
+    vectors = np.random.default_rng(3).normal(size=(60, 8)).astype(np.float32)
+    spark.conf.set("spark.sql.shuffle.partitions", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got, recall = nearest_found(spark, vectors, 10)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [len(got[q]) for q in range(0, 60, 10)] == [10] * 6 and recall == 1
+
+
+def test_recall_over_many_blocks(spark):
+    """The query's own settings on a table of twenty blocks, in clusters that random projections part."""
+    rng = np.random.default_rng(4)
+    vectors = (rng.normal(size=(60, 32))[rng.integers(0, 60, 5000)] + 0.6 * rng.normal(size=(5000, 32))).astype(np.float32)
+    got, recall = nearest_found(spark, vectors, 100)
+    assert recall >= 0.95 and {len(v) for v in got.values()} == {10}
+
+
 # Mixing
 
 
@@ -515,6 +601,17 @@ def test_distrust_flows_back_along_links(spark):
     assert url_filter.filter_urls(pages.limit(0), rules).count() == 0
 
 
+def test_a_farm_around_a_blocked_host(spark):
+    """Hosts that link to nothing but one blocked host are blocked, however many; a host with many other links is not."""
+    rules = spark.createDataFrame([("bad.test/", "block")], "rule string, verdict string")
+    rows = [(0, "http://bad.test/", "")]
+    rows += [(k, f"http://farm{k}.test/{'x' * 5000 * (k == 7)}", "<a href='http://bad.test/'>x</a>") for k in range(1, 101)]
+    rows += [(200, "http://portal.test/", "".join(f"<a href='//site{k}.test/'>" for k in range(50)) + "<a href=//bad.test/>")]
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, rule string, n_ int")
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got.pop(200) == "allow" and set(got.values()) == {"block"} and len(got) == 101
+
+
 # The pipeline
 
 
