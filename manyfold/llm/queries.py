@@ -179,7 +179,7 @@ def url_sql() -> str:
 s{k + 1} AS MATERIALIZED (SELECT host, sum(t) AS trust, sum(x) AS distrust FROM (
   SELECT host, trust AS t, distrust AS x FROM s0
   UNION ALL SELECT e.dst, 0.85 * s.trust / o.n, 0 FROM e JOIN s{k} s ON e.src = s.host JOIN o ON o.src = e.src
-  UNION ALL SELECT e.src, 0, 0.85 * s.distrust / i.n FROM e JOIN s{k} s ON e.dst = s.host JOIN i ON i.dst = e.dst) GROUP BY host),"""
+  UNION ALL SELECT e.src, 0, 0.85 * s.distrust / o.n FROM e JOIN s{k} s ON e.dst = s.host JOIN o ON o.src = e.src) GROUP BY host),"""
         for k in range(url_filter.ROUNDS)
     )
     return rf"""
@@ -198,7 +198,6 @@ e AS MATERIALIZED (SELECT DISTINCT src, dst FROM (
               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM d
        UNION ALL SELECT src, dst FROM up UNION ALL SELECT dst, src FROM up) WHERE src <> dst AND src <> '' AND dst <> ''),
 o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src),
-i AS MATERIALIZED (SELECT dst, count(*) AS n FROM e GROUP BY dst),
 s0 AS MATERIALIZED (SELECT host, 0.15 * avg(CASE WHEN fit.verdict = 'allow' THEN 1.0 ELSE 0 END) AS trust,
        0.15 * avg(CASE WHEN fit.verdict = 'block' THEN 1.0 ELSE 0 END) AS distrust FROM f GROUP BY host),{rounds}
 last AS (SELECT host, distrust - trust >= 0.075 - 1e-12 AND host <> '' AS bad FROM s{url_filter.ROUNDS})

@@ -2,13 +2,14 @@
 
 A rule names a host with all its subdomains and the begin of a path; the longest that fits decides. Hosts of pages that
 rules allow are trusted, hosts of pages that rules block are distrusted, each by the share of such pages. Trust flows
-along links (personalised PageRank from the trusted hosts), distrust flows against them (to hosts that link to blocked
-ones). A page without a rule is blocked if its host's distrust, less its trust, reaches the threshold: half of what a
-wholly blocked host has before any flow.
+along links (personalised PageRank from the trusted hosts), distrust flows against them, to hosts that link to blocked
+ones: each gets the mean distrust of the hosts that it links to, so it counts what share of its links leads there and not how
+many others link there too. A page without a rule is blocked if its host's distrust, less its trust, reaches the threshold:
+half of what a wholly blocked host has before any flow.
 
 Links are the hosts in href attributes of the pages, and those between a host and the host one label up, if both have
 pages. Hosts that only links name take part. A null or malformed url has an empty host, no rule and is allowed; null
-html has no links. Repeated rows are pages of their own. The number of rounds is fixed, so reruns agree.
+html has no links. Repeated rows are pages of their own, an empty table gives no row, other columns play no part. The number of rounds is fixed, so reruns agree.
 """
 
 from __future__ import annotations
@@ -64,17 +65,18 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     """host, trust, distrust after so many rounds, from seeds (host, trust, distrust)."""
     edges = settle(edges, "host-links")
     out = settle(edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_")), "links-out")
-    into = settle(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n_")), "links-in")
+    into = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n_"))
     hot_out, hot_in = hot_keys(out, ["src"], "n_"), hot_keys(into, ["dst"], "n_")
+    edges = settle(spread_join(edges, out, ["src"], "dst", hot_out), "host-links")
     none = F.lit(0.0)
+    share = F.lit(damping) / F.col("n_")
     given = seeds.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
     given = settle(given, "seeds")
     scores = given
     for _ in range(rounds):
-        trust = scores.join(out, F.col("host") == F.col("src")).select("src", (damping * F.col("trust") / F.col("n_")).alias("sent"))
-        doubt = scores.join(into, F.col("host") == F.col("dst")).select("dst", (damping * F.col("distrust") / F.col("n_")).alias("sent"))
-        forward = spread_join(edges, trust, ["src"], "dst", hot_out).select(F.col("dst").alias("host"), "sent", none)
-        back = spread_join(edges, doubt, ["dst"], "src", hot_in).select(F.col("src").alias("host"), none, "sent")
+        trust, doubt = (scores.select(F.col("host").alias(end), F.col(c).alias("sent")) for end, c in (("src", "trust"), ("dst", "distrust")))
+        forward = spread_join(edges, trust, ["src"], "dst", hot_out).select(F.col("dst").alias("host"), (share * F.col("sent")).alias("sent"), none)
+        back = spread_join(edges, doubt, ["dst"], "src", hot_in).select(F.col("src").alias("host"), none, (share * F.col("sent")).alias("sent"))
         heard = given.union(forward).union(back).groupBy("host")
         scores = settle(heard.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "scores")
     return scores
