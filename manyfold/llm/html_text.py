@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,7 +37,7 @@ BLOCKS = frozenset(
 )
 SECTIONS = frozenset("html body main article section div td table center blockquote".split())
 NEVER = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form frameset head iframe map math menu nav noscript object "
+    "aside audio button canvas datalist dialog embed fieldset footer form frameset head iframe map menu nav noscript object "
     "option script search select style svg template textarea title video".split()
 )
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search status toolbar".split())
@@ -44,9 +45,12 @@ HINT = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|aside|menu|nav|navbar|navigation|breadcrumbs?|"
     r"footer|masthead|site-header|page-header|topbar|cookies?|cookie-\w+|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|"
     r"login|share|sharing|social|related|recommended|recommendations|comments?|comment-\w+|commentlist|disqus\w*|repl(?:y|ies)|respond|widget|toolbar|pagination|"
-    r"pager|copyright|disclaimer|hidden|visually-hidden|sr-only)(?:$|[\s_-])",
+    r"pager|copyright|disclaimer)(?:$|[\s_-])"
+    r"|(?:^|\s)(?:hidden|visually-hidden|sr-only)(?:$|\s)",
     re.IGNORECASE,
 )
+#: Headings and paragraphs are text of what they stand in, whatever their class says.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 KEPT = frozenset("html body main article".split())
 # What may stand in a head; anything else ends it, with or without its end tag.
 HEAD = frozenset("base basefont bgsound head link meta noscript script style template title".split())
@@ -54,8 +58,14 @@ HEAD = frozenset("base basefont bgsound head link meta noscript script style tem
 SIGMA, LINKED, MOST = 1.0, 0.6, 0.8
 
 
+def one_line(parts) -> str:
+    return " ".join("".join(parts).split())
+
+
 class Lines(HTMLParser):
-    """Collects lines: [text, tags, link characters, section, hint]. ``sections`` holds the parent of each section.
+    """Collects lines: [text, tags, link characters, section, hint, parts]. ``sections`` holds the parent of each section.
+
+    Parts are the pieces of a line's text with the hint that each stands in; an inline element that goes leaves its line whole.
 
     A hint is an element that its class or id tells to drop, and is settled only when the page is known: ``hints`` holds
     of each the hint around it and whether an article or main begins in it. Hint 0 is the page.
@@ -70,15 +80,16 @@ class Lines(HTMLParser):
         self.sections = [-1]
         self.names = [""]
         self.lines: list[list] = []
-        self.parts: list[str] = []
+        self.parts: list[tuple[int, str]] = []
         self.tags = 0
         self.linked = 0
+        self.count: Counter[str] = Counter()  # of open elements by name
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
+        text = one_line(part for _, part in self.parts)
         if text:
             section, hint = self.open[-1][2:] if self.open else (0, 0)
-            self.lines.append([text, self.tags, self.linked, section, hint])
+            self.lines.append([text, self.tags, self.linked, section, hint, self.parts])
             self.tags, self.linked = 0, 0
         self.parts = []
 
@@ -86,7 +97,7 @@ class Lines(HTMLParser):
         if tag in NEVER:
             return True
         if tag == "header":
-            return not any(x[0] in ("article", "main") for x in self.open)
+            return not (self.count["article"] or self.count["main"])
         if tag in KEPT:
             return False
         for name, value in attrs:
@@ -98,7 +109,7 @@ class Lines(HTMLParser):
         return False
 
     def hinted(self, tag: str, attrs: list) -> bool:
-        return tag not in KEPT and tag != "header" and any(name in ("class", "id") and HINT.search(value or "") for name, value in attrs)
+        return tag not in KEPT and tag != "header" and tag not in HEADINGS and any(name in ("class", "id") and HINT.search(value or "") for name, value in attrs)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag == "body":
@@ -107,7 +118,7 @@ class Lines(HTMLParser):
             self.pop_to(len(self.open) - 1)
         self.tags += 1
         if tag == "br":
-            self.parts.append(" ")
+            self.parts.append((self.open[-1][3] if self.open else 0, " "))
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -123,17 +134,15 @@ class Lines(HTMLParser):
         if tag in ("article", "main") and not drop and not self.dropped:
             self.hints[hint][1] = True
         if hints:
-            self.flush()
             self.hints.append([hint, False])
             hint = len(self.hints) - 1
         if tag in SECTIONS:
             self.sections.append(section)
             self.names.append(tag)
             section = len(self.sections) - 1
-        if drop and not self.dropped:
-            self.flush()
         self.dropped += drop
         self.links += tag == "a"
+        self.count[tag] += 1
         self.open.append([tag, drop, section, hint])
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -142,6 +151,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def close_head(self) -> None:
+        if not self.count["head"]:
+            return
         for k, x in enumerate(self.open):
             if x[0] == "head":
                 self.pop_to(k)
@@ -149,6 +160,8 @@ class Lines(HTMLParser):
 
     def close_until(self, tag: str, walls) -> None:
         """Ends the innermost open ``tag``, if no element of ``walls`` is open within it."""
+        if not self.count[tag]:
+            return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
                 self.pop_to(k)
@@ -158,15 +171,18 @@ class Lines(HTMLParser):
 
     def pop_to(self, k: int) -> None:
         while len(self.open) > k:
-            tag, drop, _, hint = self.open[-1]
-            if tag in BLOCKS or drop or hint != (self.open[-2][3] if len(self.open) > 1 else 0):
+            tag, drop, _, _ = self.open[-1]
+            if tag in BLOCKS:
                 self.flush()
             self.open.pop()
+            self.count[tag] -= 1
             self.dropped -= drop
             self.links -= tag == "a"
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if not self.count[tag]:
+            return
         inline = tag not in BLOCKS and tag not in NEVER
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
@@ -180,7 +196,7 @@ class Lines(HTMLParser):
         if self.open and self.open[-1][0] == "head" and data.strip():
             self.pop_to(len(self.open) - 1)
         if not self.dropped:
-            self.parts.append(data)
+            self.parts.append((self.open[-1][3] if self.open else 0, data))
             if self.links:
                 self.linked += len(data.strip())
 
@@ -229,7 +245,11 @@ def settled_lines(page: Lines) -> list[list]:
     around = [x[0] for x in page.hints]
     articles = below(around, np.array([x[1] for x in page.hints], float))
     sizes, _, seeds = seeds_of(page.lines)
-    mass = below(around, np.bincount([x[4] for x in page.lines], sizes * seeds, len(around)))
+    mass = np.zeros(len(around))
+    for size, x in zip(sizes * seeds, page.lines):
+        for hint, part in x[5]:
+            mass[hint] += size * len(part) / max(1, sum(len(p) for _, p in x[5]))
+    mass = below(around, mass)
     dropped = np.zeros(len(around), bool)
     # An article or main outside of hints is the content, whatever the others hold (comments are articles too).
     outside = page.hints[0][1]
@@ -242,7 +262,9 @@ def settled_lines(page: Lines) -> list[list]:
     lines, tags = [], 0
     for text, n, *rest in page.lines:
         tags += n
-        if not dropped[rest[2]]:
+        if any(dropped[hint] for hint, _ in rest[3]):
+            text = one_line(part for hint, part in rest[3] if not dropped[hint])
+        if text:
             lines.append([text, tags, *rest])
             tags = 0
     return lines
