@@ -392,7 +392,7 @@ def search_forest(spark, folder):
 def search_forest_hot(spark, folder):
     """The same search over groups above the size of one task: the trees of a key are grown once for all trials."""
     models = mf.tune(
-        events(spark, folder), ["event_type"], "value", ["user_id", "k"], num_trials=10, row_key=["event_id"], rows_per_task=400
+        events(spark, folder), ["event_type"], "value", ["user_id", "k"], num_trials=10, row_key=["event_id"], rows_per_task=1000
     )
     return depth_label(forest_listing(models, ["event_type"], mf.FOREST_SPACE))
 
@@ -400,7 +400,7 @@ def search_forest_hot(spark, folder):
 def forest_sizes(spark, folder):
     """The size of every stored forest, and of the bundle they would make."""
     space = ["event_type"]
-    models = mf.train(events(spark, folder), space, "value", ["user_id", "k"], "forest", ["event_id"], rows_per_task=400)
+    models = mf.train(events(spark, folder), space, "value", ["user_id", "k"], "forest", ["event_id"], rows_per_task=1000)
     path = f"{shared_folder(spark)}/bundle-{uuid.uuid4().hex}"
     stats = mf.bundle_stats(mf.bundle(models, space, path))
     each = spark.read.parquet(path).select("event_type", "model_size_bytes")
@@ -412,7 +412,7 @@ def train_forest_faults(spark, folder):
     """One event type has targets whose span is beyond a double; it gets a status and leaves the others alone."""
     huge = F.col("value") * F.pow(F.lit(10.0), F.lit(306.0)) * F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(-1.0)
     rows = events(spark, folder).withColumn("value", F.when(F.col("event_type") == "click", F.greatest(F.lit(-1.7e308), F.least(F.lit(1.7e308), huge * 1e6))).otherwise(F.col("value")))
-    models = mf.train(rows, ["event_type"], "value", ["user_id", "k"], "forest", ["event_id"], rows_per_task=400)
+    models = mf.train(rows, ["event_type"], "value", ["user_id", "k"], "forest", ["event_id"], rows_per_task=1000)
     return forest_listing(models, ["event_type"])
 
 
@@ -767,11 +767,11 @@ FROM lineitem GROUP BY 1""",
   coalesce(max_depth::VARCHAR, 'unlimited') AS max_depth, min_samples_split,
   min_samples_leaf, {r('sqrt(mse)', 2)} AS rmse FROM tried JOIN plan USING (k0, trial)""",
         "tune_forest": f"""{trial_errors},
-best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY sqrt(mse), trial) = 1)
+best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY round(sqrt(mse), 6), trial) = 1)
 SELECT k0 AS l_partkey, n AS num_rows, 'success' AS status, {r('sqrt(mse)', 2)} AS rmse, {r('mse', 0)} AS mse,
   {r(f'mae + {OFF_FIVES}', MAE_PLACES)} AS mae, {settings} FROM best JOIN sizes USING (k0) JOIN plan USING (k0, trial)""",
         "tuned_metrics_file": f"""{trial_errors},
-best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY sqrt(mse), trial) = 1)
+best AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY k0 ORDER BY round(sqrt(mse), 6), trial) = 1)
 SELECT k0 AS l_partkey, n AS num_rows, {r('sqrt(mse)', 2)} AS rmse, {r('mse', 0)} AS mse,
   {r(f'mae + {OFF_FIVES}', MAE_PLACES)} AS mae, {settings} FROM best JOIN sizes USING (k0) JOIN plan USING (k0, trial)""",
         "catalog_features": o.train_linear(*customers),
