@@ -1,18 +1,23 @@
-"""Substring dedup by hashes of all runs of ``min_words`` words, with original offsets.
+"""Substring dedup by digests of lines and paragraphs, and of all runs of words between them, with original offsets.
 
-Words are normalised to lower case (A-Z); white space and line ends between them do not count. Globally, the least
-doc_id that has a run of ``min_words`` words keeps it, at its first place; every other occurrence repeats it, in the same
-text from ``min_words`` words after the first. Every word that a repeated run covers is removed, so a passage that
-another document has goes from its first to its last word wherever it stands, and shorter phrases that come again by
-chance stay. Each removed word has a copy left: the same word of the keeper, or of the keeper of a run that covers it
-there.
+Units are lines (between line feeds) and paragraphs (lines between blank ones) of at least ``min_line_words`` words; shorter
+ones, such as headings and greetings, come again by chance. Words are normalised to lower case (A-Z), and white space does
+not count, so a paragraph is the same however it is broken into lines. Units are grouped by digest globally: the least
+doc_id that has a unit keeps it, at its first place, and all other occurrences go.
 
-All runs are one per word. So that only those of repeated passages are compared, a run is named by the least hash of
+A repeated passage need not begin or end with a line. So shared text is followed word by word, inside lines and across their
+ends: any ``min_words`` consecutive words are a unit as well, kept by the least doc_id that has them, and in the same text
+repeated by those from ``min_words`` words after the first. Every word that a repeated unit covers goes, hence a passage
+that another document has goes from its first to its last word wherever it stands. Each removed word has a copy left: the same
+word of the keeper, or of the keeper of a unit that covers it there.
+
+Runs are one per word. So that only those of repeated passages are compared, a run is named by the least hash of
 the half as long runs in it, which is the same wherever it stands, and texts share the names first, about one in
-``min_words`` / 4 words. A run that two texts have has a name that two texts have, so none is lost.
+``min_words`` / 4 words; the name of a line or paragraph is its digest. A unit that two texts have has a name that two texts
+have, so none is lost.
 
-Hashes have 64 bits. Texts of fewer than ``min_words`` words, null and empty ones have no runs. Rows with the same doc_id
-count as one document, and take nothing from each other. A null doc_id ranks last. Extra columns pass through.
+Hashes have 64 bits. Null and empty texts have no units. Rows with the same doc_id count as one document, and take nothing
+from each other. A null doc_id ranks last. An empty table gives an empty one. Extra columns pass through, under ``row``.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from manyfold.llm.textgrams import INVERSE, Words, as_bytes, mixed, pieces, powe
 from manyfold.sources.settled import settle
 
 MIN_WORDS = 30
+MIN_LINE_WORDS = 10
 BITS = 25
 LAST = (1 << 63) - 1
 # Not the base of the hashes of words, so that runs of one word do not hash like them.
@@ -37,12 +43,12 @@ FACTOR = 0xD6E8FEB86659FD93
 FACTOR_INVERSE = pow(FACTOR, -1, 1 << 64)
 
 NAMES = "doc_id long, names array<long>"
-RUNS = "doc_id long, text_digest long, runs array<struct<run:long,place:int,again:boolean,hot:boolean>>"
+UNITS = "doc_id long, text_digest long, units array<struct<unit:long,place:int,words:int,again:boolean,hot:boolean>>"
 SPANS = "doc_id long, text_digest long, bounds array<int>, words int"
 
 
-def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For every text, in order, its words: hashes, and first and last character."""
+def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For every text, in order, its words: hashes, first and last character, and line."""
     parts, current = [], 0
     for numbers, group, starts in pieces(texts, 0):
         words = Words(group)
@@ -53,23 +59,30 @@ def words_of(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.nd
         ahead = np.array([len(texts[k][:at].decode()) if at else 0 for k, at in zip(numbers.tolist(), starts.tolist())])
         shift = (ahead - before[words.offsets[:-1]])[words.text]
         begin, end = before[words.start] + shift, before[words.end] + shift
+        feeds = np.concatenate([[0], np.cumsum(words.bytes == 10)])
+        above = np.array([texts[k].count(b"\n", 0, at) for k, at in zip(numbers.tolist(), starts.tolist())])
+        line = feeds[words.start] + (above - feeds[words.offsets[:-1]])[words.text]
         bounds = np.searchsorted(words.text, np.arange(len(group) + 1))
         for k, a, b in zip(numbers.tolist(), bounds[:-1], bounds[1:]):
             if k != current:
                 yield tuple(np.concatenate(x) for x in zip(*parts))
                 parts, current = [], k
-            parts.append((hashes[a:b], begin[a:b], end[a:b]))
+            parts.append((hashes[a:b], begin[a:b], end[a:b], line[a:b]))
     if parts:
         yield tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def runs_of(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of so many words, and their names: the least hash of the half as long runs in each."""
+def prefix_sums(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of which a difference is the hash of a run of words, times the power for its place; and the inverse powers."""
     n = len(hashes)
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(FACTOR, n)[:-1])]), powers(FACTOR_INVERSE, n)
+
+
+def runs_of(sums: np.ndarray, inverse: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of so many words, and their names: the least hash of the half as long runs in each."""
+    n = len(sums) - 1
     if n < min_words:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * powers(FACTOR, n)[:-1])])
-    inverse = powers(FACTOR_INVERSE, n)
     half = (min_words + 1) // 2
     long, least = (mixed((sums[k:] - sums[:-k]) * inverse[: n - k + 1]) for k in (min_words, half))
     wide, size = min_words - half + 1, 1
@@ -80,63 +93,90 @@ def runs_of(hashes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]
     return long, least
 
 
-def name_rows(min_words: int):
-    """The different names of the runs of every text."""
+def lines_of(sums: np.ndarray, inverse: np.ndarray, line: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests, first words and lengths of the lines and paragraphs of at least so many words, in order of their first words.
+
+    ``line`` is the line of every word; where two words stand more than a line apart, a blank one lies between.
+    """
+    n = len(line)
+    lines, heads = (np.flatnonzero(np.diff(line, prepend=-2) >= gap) for gap in (1, 2))
+    ends, last = np.append(lines[1:], n), np.append(heads[1:], n)
+    several = ends[np.searchsorted(lines, heads)] < last
+    first, after = np.concatenate([lines, heads[several]]), np.concatenate([ends, last[several]])
+    order = np.argsort(first, kind="stable")
+    first, after = first[order], after[order]
+    enough = after - first >= least
+    first, after = first[enough], after[enough]
+    # The length is part of a digest, which so is none of a run's hashes.
+    digests = mixed(mixed((sums[after] - sums[first]) * inverse[first]) ^ (after - first).astype(np.uint64))
+    return digests, first, after - first
+
+
+def units_of(hashes: np.ndarray, line: np.ndarray, min_words: int, min_line_words: int) -> tuple[np.ndarray, ...]:
+    """Hash, name, first word, length of all units of a text, and whether the same unit stands before, without overlap."""
+    if not len(hashes):
+        return *[np.empty(0, np.uint64)] * 2, *[np.empty(0, np.int64)] * 2, np.empty(0, bool)
+    sums, inverse = prefix_sums(hashes)
+    digests, first, words = lines_of(sums, inverse, line, min_line_words)
+    runs, names = runs_of(sums, inverse, min_words)
+    unit, place = np.concatenate([digests, runs]), np.concatenate([first, np.arange(len(runs))])
+    words = np.concatenate([words, np.full(len(runs), min_words)])
+    _, once, same = np.unique(unit, return_index=True, return_inverse=True)
+    return unit, np.concatenate([digests, names]), place, words, place - place[once][same] >= words
+
+
+def name_rows(min_words: int, min_line_words: int):
+    """The different names of the units of every text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.unique(runs_of(h, min_words)[1]).view(np.int64) for h, _, _ in words_of(as_bytes(batch.column(1)))]
+            found = (units_of(h, line, min_words, min_line_words) for h, _, _, line in words_of(as_bytes(batch.column(1))))
+            lists = [np.unique(names).view(np.int64) for _, names, _, _, _ in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "names"])
 
     return rows
 
 
-def run_rows(shared, hot: np.ndarray, min_words: int):
-    """Of every text the runs that others may have too, and those that it has had before; ``hot`` are names in many texts."""
+def unit_rows(shared, hot: np.ndarray, min_words: int, min_line_words: int):
+    """Of every text the units that others may have too, and those that it has had before; ``hot`` are names in many texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("run", pa.int64()), ("place", pa.int32()), ("again", pa.bool_()), ("hot", pa.bool_())])
+        kind = pa.struct([("unit", pa.int64()), ("place", pa.int32()), ("words", pa.int32()), ("again", pa.bool_()), ("hot", pa.bool_())])
         for batch in batches:
             hit, found = [], []
-            for k, (hashes, _, _) in enumerate(words_of(as_bytes(batch.column(2)))):
-                runs, names = runs_of(hashes, min_words)
-                if not len(runs):
-                    continue
-                _, first, same = np.unique(runs, return_index=True, return_inverse=True)
-                before = np.arange(len(runs)) - first[same]
-                at = np.flatnonzero((before >= min_words) | in_bit_set(shared.value, names))
+            for k, (hashes, _, _, line) in enumerate(words_of(as_bytes(batch.column(2)))):
+                unit, names, place, words, again = units_of(hashes, line, min_words, min_line_words)
+                at = np.flatnonzero(again | in_bit_set(shared.value, names))
                 if len(at):
                     hit.append(k)
-                    found.append((runs.view(np.int64)[at], at, before[at] >= min_words, np.isin(names[at].view(np.int64), hot)))
+                    found.append((unit.view(np.int64)[at], place[at], words[at], again[at], np.isin(names[at].view(np.int64), hot)))
             take = pa.array(hit, pa.int64())
-            columns = [np.concatenate(x) for x in zip(*found)] or [*[np.empty(0, np.int64)] * 2, *[np.empty(0, bool)] * 2]
+            columns = [np.concatenate(x) for x in zip(*found)] or [*[np.empty(0, np.int64)] * 3, *[np.empty(0, bool)] * 2]
             flat = pa.StructArray.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind)], fields=list(kind))
             ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists], ["doc_id", "text_digest", "runs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists], ["doc_id", "text_digest", "units"])
 
     return rows
 
 
-def span_rows(min_words: int):
-    """The words that repeated runs cover: first and next after last of each span, one after another, and their number."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bounds, words = [], []
-            for places in batch.column(2):
-                place = np.unique(places.values.to_numpy())
-                # A span goes on while the next run begins no later than after its last word.
-                breaks = np.flatnonzero(np.diff(place) > min_words) + 1
-                first, last = place[np.append(0, breaks)], place[np.append(breaks, len(place)) - 1] + min_words
-                bounds.append(np.stack([first, last], 1).ravel())
-                words.append(int((last - first).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(bounds, pa.list_(pa.int32())), pa.array(words, pa.int32())],
-                ["doc_id", "text_digest", "bounds", "words"],
-            )
-
-    return rows
+def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words that repeated units cover: first and next after last of each span, one after another, and their number."""
+    for batch in batches:
+        bounds, words = [], []
+        for units in batch.column(2):
+            place, size = (units.values.field(c).to_numpy() for c in ("place", "words"))
+            order = np.argsort(place)
+            place, after = place[order], np.maximum.accumulate((place + size)[order])
+            # A span goes on while the next unit begins no later than after its last word.
+            breaks = np.flatnonzero(place[1:] > after[:-1]) + 1
+            first, last = place[np.append(0, breaks)], after[np.append(breaks, len(place)) - 1]
+            bounds.append(np.stack([first, last], 1).ravel())
+            words.append(int((last - first).sum()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(bounds, pa.list_(pa.int32())), pa.array(words, pa.int32())],
+            ["doc_id", "text_digest", "bounds", "words"],
+        )
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -145,40 +185,40 @@ def characters(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
     for texts, bounds in batches:
         out = [None] * len(texts)
         hit = [k for k, x in enumerate(bounds) if x is not None]
-        for k, (_, begin, end) in zip(hit, words_of([texts[k].encode() for k in hit])):
+        for k, (_, begin, end, _) in zip(hit, words_of([texts[k].encode() for k in hit])):
             first, last = np.asarray(bounds[k]).reshape(-1, 2).T
             out[k] = np.stack([begin[first], end[last - 1]], 1).ravel()
         yield pd.Series(out, dtype=object)
 
 
-def find_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def find_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """doc_id, text_digest, the bounds of the spans of words to remove, and their number, of the texts with any."""
     rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id")
     keyed, digest = with_digest(docs, text)
     thin = keyed.select(rank, F.col(digest).alias("text_digest"), F.col(text).alias("text"))
-    each = thin.select("doc_id", "text").mapInArrow(name_rows(min_words), NAMES).select(F.explode("names").alias("name"))
+    each = thin.select("doc_id", "text").mapInArrow(name_rows(min_words, min_line_words), NAMES).select(F.explode("names").alias("name"))
     names = settle(each.groupBy("name").agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > 1), "names")
     hot = np.array([r["name"] for r in hot_keys(names, ["name"], "n_").collect()], np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(bit_set(names, "name", BITS))
     key = ["doc_id", "text_digest"]
-    maybe = settle(thin.select(*key, "text").mapInArrow(run_rows(shared, hot, min_words), RUNS), "runs")
-    each = maybe.select(*key, F.explode("runs").alias("u")).select(*key, "u.*")
-    # Runs whose name few texts have meet in one shuffle; the others are counted first.
-    keeper = F.min("doc_id").over(W.partitionBy("run")).alias("keeper")
-    known = each.filter(~F.col("hot")).select(*key, "run", "place", "again").select(*key, "place", "again", keeper)
+    maybe = settle(thin.select(*key, "text").mapInArrow(unit_rows(shared, hot, min_words, min_line_words), UNITS), "units")
+    each = maybe.select(*key, F.explode("units").alias("u")).select(*key, "u.*")
+    # Units whose name few texts have meet in one shuffle; the others are counted first.
+    keeper = F.min("doc_id").over(W.partitionBy("unit")).alias("keeper")
+    known = each.filter(~F.col("hot")).select(*key, "place", "words", "again", keeper)
     if len(hot):
         many = each.filter("hot")
-        keepers = settle(many.groupBy("run").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_")), "keepers")
-        known = known.union(lookup(many, keepers, ["run"], ["keeper"], "n_", "text_digest").select(known.columns))
+        keepers = settle(many.groupBy("unit").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_")), "keepers")
+        known = known.union(lookup(many, keepers, ["unit"], ["keeper"], "n_", "text_digest").select(known.columns))
     repeated = known.filter(F.col("again") | (F.col("keeper") != F.col("doc_id")))
-    runs = repeated.groupBy(*key).agg(F.collect_list("place").alias("places"))
-    return runs.mapInArrow(span_rows(min_words), SPANS)
+    spans = repeated.groupBy(*key).agg(F.collect_list(F.struct("place", "words")).alias("units"))
+    return spans.mapInArrow(span_rows, SPANS)
 
 
-def drop_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
     """Every document under one column ``row``, its text without repeats, the removed spans, and words removed."""
     keyed, digest = with_digest(docs, text)
-    spans = find_repeats(docs, text, min_words).select(F.col("doc_id").alias("id_"), F.col("text_digest").alias("digest_"), "bounds", "words")
+    spans = find_repeats(docs, text, min_words, min_line_words).select(F.col("doc_id").alias("id_"), F.col("text_digest").alias("digest_"), "bounds", "words")
     packed = keyed.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col(digest).alias("digest"))
     both = packed.join(spans, null_safe(packed, spans, [("key", "id_"), ("digest", "digest_")]), "left")
     own = F.when(F.col("bounds").isNotNull(), F.col("text"))

@@ -221,19 +221,64 @@ def test_long_text_is_cut_into_pieces(spark):
     assert got[1] == text and len(got[2]) < 400
 
 
-def plain_repeats(texts, n=substring_dedup.MIN_WORDS):
-    """The places of the words that go: covered by a run of n words that an earlier document, or this one n words before, has."""
+def plain_units(text):
+    """Words, and first word and length of the lines and paragraphs of a text."""
+    words, blocks = [], [[]]
+    for line in text.lower().split("\n"):
+        own = line.split()
+        if own:
+            blocks[-1].append((len(words), len(own)))
+            words += own
+        else:
+            blocks.append([])
+    lines = [x for block in blocks for x in block]
+    return words, lines + [(block[0][0], sum(n for _, n in block)) for block in blocks if len(block) > 1]
+
+
+def plain_repeats(texts, n=substring_dedup.MIN_WORDS, least=substring_dedup.MIN_LINE_WORDS):
+    """The places of the words that go: covered by a line, paragraph or run of n words that an earlier document has, or this one before."""
     first, gone = {}, {}
     for doc, text in sorted(texts.items()):
-        words = text.lower().split()
+        words, units = plain_units(text)
         gone[doc] = set()
-        for k in range(len(words) - n + 1):
-            owner, place = first.setdefault(tuple(words[k : k + n]), (doc, k))
-            if owner != doc or k - place >= n:
-                gone[doc].update(range(k, k + n))
+        runs = [("run", k, n) for k in range(len(words) - n + 1)]
+        for kind, k, size in sorted([("unit", k, m) for k, m in units if m >= least]) + runs:
+            owner, place = first.setdefault((kind, *words[k : k + size]), (doc, k))
+            if owner != doc or k - place >= size:
+                gone[doc].update(range(k, k + size))
     return gone
 
 
+def test_lines_and_paragraphs_go_once(spark):
+    rng = np.random.default_rng(3)
+    prose = lambda n: " ".join(f"{x:x}" for x in rng.integers(1 << 28, 1 << 32, n).tolist())
+    paragraph, line, heading = prose(25), prose(12), prose(4)
+    texts = {k: f"{heading}\n\n{prose(40)}\n\n{paragraph}\n\n{prose(20)}" for k in range(5)}
+    words = paragraph.split()
+    texts[5] = f"{prose(20)}\n\n{' '.join(words[:9]).upper()}\n {' '.join(words[9:17])}\t\n{' '.join(words[17:])}\n\n{prose(20)}"
+    texts[6], texts[7] = f"{line}\n{prose(15)}\n{line}", f"{prose(15)}\r\n  {line}  \r\n{prose(15)}"
+    texts[8], texts[9] = f"{prose(8)} {line} {prose(8)}", line
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.row.doc_id: r for r in substring_dedup.drop_repeats(df).collect()}
+    assert {k: got[k].words_removed for k in texts} == {0: 0, 1: 25, 2: 25, 3: 25, 4: 25, 5: 25, 6: 12, 7: 12, 8: 0, 9: 12}
+    assert all(got[k].text.startswith(heading) and got[k].text == texts[k].replace(paragraph, "") for k in range(1, 5))
+    assert got[6].text.startswith(line) and got[9].text == ""
+    for k in texts:
+        cut = "".join(texts[k][x["from"] : x["to"]] + " " for x in got[k].removed)
+        assert len(cut.split()) == got[k].words_removed
+    longer = {r.row.doc_id: r.words_removed for r in substring_dedup.drop_repeats(df, min_line_words=4).collect()}
+    assert [longer[k] for k in range(1, 5)] == [29] * 4
+
+
+def test_repeats_of_odd_tables(spark):
+    same = " ".join(f"w{k}" for k in range(20))
+    rows = [(1, same, 1), (1, same, 2), (None, same, 3), (2, None, 4), (3, "\n \n", 5), (3, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, words_removed int").withColumn("text_digest", F.lit("x"))
+    got = {r.row.words_removed: (r.text, r.words_removed) for r in substring_dedup.drop_repeats(df).collect()}
+    assert got == {1: (same, 0), 2: (same, 0), 3: ("", 20), 4: (None, 0), 5: ("\n \n", 0), 6: ("", 0)}
+    assert substring_dedup.drop_repeats(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("stops", [True, False])
 def test_whole_passages_of_30_to_150_words_go(spark, stops):
     """The same passage at random places of two documents, with sentences of usual length or none; nothing else goes."""
@@ -253,7 +298,7 @@ def test_whole_passages_of_30_to_150_words_go(spark, stops):
 
 
 def test_repeats_equal_brute_force(spark):
-    """Passages of several documents that share parts of each other, repeats within a text, periods, and real texts."""
+    """Passages of several documents that share parts of each other, in lines or not, repeats within a text, periods, and real texts."""
     rng = np.random.default_rng(6)
     source = [f"s{k}" for k in range(400)]
     texts = {}
@@ -263,6 +308,8 @@ def test_repeats_equal_brute_force(spark):
             a, size = rng.integers(0, 400), rng.integers(5, 90)
             parts += source[a : a + size] + [f"x{x}" for x in rng.integers(0, 10**9, rng.integers(0, 3))]
         texts[doc] = "\n".join(parts) if doc % 2 else " ".join(parts).upper()
+        if doc % 4 == 0:
+            texts[doc] = "".join(w + ("\n \n" if int(w[1:]) % 40 == 0 else "\n" if int(w[1:]) % 12 == 0 else " ") for w in parts)
     texts[100], texts[101] = "a " * 200, "b c d " * 50
     texts |= {200 + k: f"y{k} " + " ".join(source[100:140]) + f" z{k}" for k in range(80)}
     texts |= {1000 + r.doc_id: r.text or "" for r in documents(spark).select("doc_id", "text").collect()}
