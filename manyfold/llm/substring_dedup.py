@@ -43,7 +43,10 @@ FACTOR = 0xD6E8FEB86659FD93
 FACTOR_INVERSE = pow(FACTOR, -1, 1 << 64)
 
 NAMES = "doc_id long, names array<long>"
-UNITS = "doc_id long, text_digest long, units array<struct<unit:long,place:int,words:int,again:boolean,hot:boolean>>"
+UNITS = (
+    "doc_id long, text_digest long, lines array<struct<line:long,place:int,words:int,again:boolean,hot:boolean>>, "
+    "runs array<struct<run:long,place:int,words:int,again:boolean,hot:boolean>>"
+)
 SPANS = "doc_id long, text_digest long, bounds array<int>, words int"
 
 
@@ -112,17 +115,18 @@ def lines_of(sums: np.ndarray, inverse: np.ndarray, line: np.ndarray, least: int
     return digests, first, after - first
 
 
-def units_of(hashes: np.ndarray, line: np.ndarray, min_words: int, min_line_words: int) -> tuple[np.ndarray, ...]:
-    """Hash, name, first word, length of all units of a text, and whether the same unit stands before, without overlap."""
+def units_of(hashes: np.ndarray, line: np.ndarray, min_words: int, min_line_words: int) -> list[tuple[np.ndarray, ...]]:
+    """Hash, name, first word, length and whether the same stands before, without overlap: of all lines and of all runs of a text."""
     if not len(hashes):
-        return *[np.empty(0, np.uint64)] * 2, *[np.empty(0, np.int64)] * 2, np.empty(0, bool)
+        return []
     sums, inverse = prefix_sums(hashes)
     digests, first, words = lines_of(sums, inverse, line, min_line_words)
     runs, names = runs_of(sums, inverse, min_words)
-    unit, place = np.concatenate([digests, runs]), np.concatenate([first, np.arange(len(runs))])
-    words = np.concatenate([words, np.full(len(runs), min_words)])
-    _, once, same = np.unique(unit, return_index=True, return_inverse=True)
-    return unit, np.concatenate([digests, names]), place, words, place - place[once][same] >= words
+    out = []
+    for unit, name, place, size in ((digests, digests, first, words), (runs, names, np.arange(len(runs)), np.full(len(runs), min_words))):
+        _, once, same = np.unique(unit, return_index=True, return_inverse=True)
+        out.append((unit, name, place, size, place - place[once][same] >= size))
+    return out
 
 
 def name_rows(min_words: int, min_line_words: int):
@@ -131,52 +135,76 @@ def name_rows(min_words: int, min_line_words: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = (units_of(h, line, min_words, min_line_words) for h, _, _, line in words_of(as_bytes(batch.column(1))))
-            lists = [np.unique(names).view(np.int64) for _, names, _, _, _ in found]
+            lists = [np.unique(np.concatenate([u[1] for u in units])).view(np.int64) if units else [] for units in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "names"])
 
     return rows
 
 
+def structs(found: list[tuple[np.ndarray, ...]], unit: str) -> pa.ListArray:
+    """Lists of structs of a name for the unit, place, words, again and hot, one list for each tuple of arrays."""
+    kind = [(unit, pa.int64()), ("place", pa.int32()), ("words", pa.int32()), ("again", pa.bool_()), ("hot", pa.bool_())]
+    columns = [pa.concat_arrays([pa.array(x).cast(t) for x in xs] or [pa.array([], t)]) for xs, (_, t) in zip(list(zip(*found)) or [()] * 5, kind)]
+    ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, fields=list(pa.struct(kind))))
+
+
 def unit_rows(shared, hot: np.ndarray, min_words: int, min_line_words: int):
     """Of every text the units that others may have too, and those that it has had before; ``hot`` are names in many texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.struct([("unit", pa.int64()), ("place", pa.int32()), ("words", pa.int32()), ("again", pa.bool_()), ("hot", pa.bool_())])
         for batch in batches:
-            hit, found = [], []
+            hit, found = [], ([], [])
             for k, (hashes, _, _, line) in enumerate(words_of(as_bytes(batch.column(2)))):
-                unit, names, place, words, again = units_of(hashes, line, min_words, min_line_words)
-                at = np.flatnonzero(again | in_bit_set(shared.value, names))
-                if len(at):
+                some = []
+                for unit, names, place, words, again in units_of(hashes, line, min_words, min_line_words):
+                    at = np.flatnonzero(again | in_bit_set(shared.value, names) & in_bit_set(shared.value, names >> np.uint64(32)))
+                    some.append((unit.view(np.int64)[at], place[at], words[at], again[at], np.isin(names[at].view(np.int64), hot)))
+                if sum(len(x[0]) for x in some):
                     hit.append(k)
-                    found.append((unit.view(np.int64)[at], place[at], words[at], again[at], np.isin(names[at].view(np.int64), hot)))
+                    for lists, x in zip(found, some):
+                        lists.append(x)
             take = pa.array(hit, pa.int64())
-            columns = [np.concatenate(x) for x in zip(*found)] or [*[np.empty(0, np.int64)] * 3, *[np.empty(0, bool)] * 2]
-            flat = pa.StructArray.from_arrays([pa.array(c).cast(f.type) for c, f in zip(columns, kind)], fields=list(kind))
-            ends = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), lists], ["doc_id", "text_digest", "units"])
+            columns = [batch.column(0).take(take), batch.column(1).take(take), structs(found[0], "line"), structs(found[1], "run")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_digest", "lines", "runs"])
 
     return rows
 
 
-def span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def span_rows(min_words: int):
     """The words that repeated units cover: first and next after last of each span, one after another, and their number."""
-    for batch in batches:
-        bounds, words = [], []
-        for units in batch.column(2):
-            place, size = (units.values.field(c).to_numpy() for c in ("place", "words"))
-            order = np.argsort(place)
-            place, after = place[order], np.maximum.accumulate((place + size)[order])
-            # A span goes on while the next unit begins no later than after its last word.
-            breaks = np.flatnonzero(place[1:] > after[:-1]) + 1
-            first, last = place[np.append(0, breaks)], after[np.append(breaks, len(place)) - 1]
-            bounds.append(np.stack([first, last], 1).ravel())
-            words.append(int((last - first).sum()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(bounds, pa.list_(pa.int32())), pa.array(words, pa.int32())],
-            ["doc_id", "text_digest", "bounds", "words"],
-        )
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, words = [], []
+            for runs, lines in zip(batch.column(2), batch.column(3)):
+                place, after = runs.values.to_numpy(), lines.values.field("words").to_numpy()
+                first = lines.values.field("place").to_numpy()
+                place, after = np.concatenate([place, first]), np.concatenate([place + min_words, first + after])
+                order = np.argsort(place)
+                place, after = place[order], np.maximum.accumulate(after[order])
+                # A span goes on while the next unit begins no later than after its last word.
+                breaks = np.flatnonzero(place[1:] > after[:-1]) + 1
+                first, last = place[np.append(0, breaks)], after[np.append(breaks, len(place)) - 1]
+                bounds.append(np.stack([first, last], 1).ravel())
+                words.append(int((last - first).sum()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(bounds, pa.list_(pa.int32())), pa.array(words, pa.int32())],
+                ["doc_id", "text_digest", "bounds", "words"],
+            )
+
+    return rows
+
+
+def repeated(each: DataFrame, unit: str, some_hot: bool) -> DataFrame:
+    """The rows whose unit an earlier document has, or the same text before. Rows of hot units are counted before they meet."""
+    columns = ["doc_id", "text_digest", "place", "words", "again", "keeper"]
+    known = each.filter(~F.col("hot")).select(*columns[:-1], F.min("doc_id").over(W.partitionBy(unit)).alias("keeper"))
+    many = each.filter("hot")
+    if some_hot and not many.isEmpty():
+        keepers = settle(many.groupBy(unit).agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_")), "keepers")
+        known = known.union(lookup(many, keepers, [unit], ["keeper"], "n_", "text_digest").select(columns))
+    return known.filter(F.col("again") | (F.col("keeper") != F.col("doc_id")))
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
@@ -199,20 +227,15 @@ def find_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS
     each = thin.select("doc_id", "text").mapInArrow(name_rows(min_words, min_line_words), NAMES).select(F.explode("names").alias("name"))
     names = settle(each.groupBy("name").agg(F.count(F.lit(1)).alias("n_")).filter(F.col("n_") > 1), "names")
     hot = np.array([r["name"] for r in hot_keys(names, ["name"], "n_").collect()], np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(bit_set(names, "name", BITS))
+    probes = names.select(F.explode(F.array("name", F.shiftright("name", 32))).alias("probe"))
+    shared = docs.sparkSession.sparkContext.broadcast(bit_set(probes, "probe", BITS))
+    maybe = settle(thin.mapInArrow(unit_rows(shared, hot, min_words, min_line_words), UNITS), "units")
     key = ["doc_id", "text_digest"]
-    maybe = settle(thin.select(*key, "text").mapInArrow(unit_rows(shared, hot, min_words, min_line_words), UNITS), "units")
-    each = maybe.select(*key, F.explode("units").alias("u")).select(*key, "u.*")
-    # Units whose name few texts have meet in one shuffle; the others are counted first.
-    keeper = F.min("doc_id").over(W.partitionBy("unit")).alias("keeper")
-    known = each.filter(~F.col("hot")).select(*key, "place", "words", "again", keeper)
-    if len(hot):
-        many = each.filter("hot")
-        keepers = settle(many.groupBy("unit").agg(F.min("doc_id").alias("keeper"), F.count(F.lit(1)).alias("n_")), "keepers")
-        known = known.union(lookup(many, keepers, ["unit"], ["keeper"], "n_", "text_digest").select(known.columns))
-    repeated = known.filter(F.col("again") | (F.col("keeper") != F.col("doc_id")))
-    spans = repeated.groupBy(*key).agg(F.collect_list(F.struct("place", "words")).alias("units"))
-    return spans.mapInArrow(span_rows, SPANS)
+    lines, runs = (maybe.select(*key, F.explode(c).alias("u")).select(*key, "u.*") for c in ("lines", "runs"))
+    lines = repeated(lines, "line", len(hot) > 0).select(*key, F.struct("place", "words").alias("line"), F.lit(None).cast("int").alias("run"))
+    runs = repeated(runs, "run", len(hot) > 0).select(*key, F.lit(None).alias("line"), F.col("place").alias("run"))
+    both = lines.union(runs).groupBy(*key).agg(F.collect_list("run").alias("runs"), F.collect_list("line").alias("lines"))
+    return both.mapInArrow(span_rows(min_words), SPANS)
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, min_line_words: int = MIN_LINE_WORDS) -> DataFrame:
