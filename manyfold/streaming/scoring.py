@@ -28,21 +28,23 @@ def write_scores(
     estimator: str = "linear",
     on_unknown: str = "null",
     once: bool = False,
+    salt_hot: bool = False,
     **options,
 ) -> StreamingQuery:
     """Score a stream into Parquet. A linear stream is one query plan; a forest stream scores batch by batch.
 
-    A forest batch overwrites its own folder, so a batch that is repeated after a failure counts once.
+    ``salt_hot`` scores a linear stream by batches too, and finds the hot keys of each to spread their rows over tasks.
+    A batch overwrites its own folder, so a batch that is repeated after a failure counts once.
     """
     stored = settle(models, "stream-models")  # models that are not a table yet are trained once, not with every batch
-    if estimator != "forest":
+    if estimator != "forest" and not salt_hot:
         scored = score_stream(stream, stored, keys, on_unknown, **options)
         writer = scored.writeStream.format("parquet").option("path", path).outputMode("append")
     else:
         def write(batch: DataFrame, number: int) -> None:
             batch.persist()  # scoring looks at the keys before it scores, and a source may be read only once
             try:
-                answers = score(batch, stored, keys, "forest", on_unknown, **options)
+                answers = score(batch, stored, keys, estimator, on_unknown, salt_hot=salt_hot, **options)
                 answers.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={number}")
             finally:
                 batch.unpersist()

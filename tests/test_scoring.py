@@ -168,3 +168,53 @@ def test_contracts_hold_without_a_look_at_the_prediction(spark, synth, models, e
     gap = synth.withColumn("feat_1", F.when(F.col("row_id") > 2, F.col("feat_1")))
     empty = mf.score(gap, made, ["sku_id"], estimator, fill=None).filter("prediction is null")
     assert empty.count() == gap.filter("feat_1 is null").count() > 0
+
+
+def skewed(spark, synth):
+    """One key in nine of ten rows, a null key and one without a model among the others."""
+    some = synth.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("sku_id") == "SKU_003", 45).otherwise(1))))
+    key = F.when((F.col("row_id") == 3) & (F.col("sku_id") == "SKU_001"), F.lit(None)).when((F.col("row_id") == 4) & (F.col("sku_id") == "SKU_002"), "new")
+    return some.withColumn("sku_id", F.coalesce(key, F.when(~((F.col("row_id") == 3) & (F.col("sku_id") == "SKU_001")), F.col("sku_id"))))
+
+
+@pytest.fixture
+def by_shuffle(spark):
+    changed = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    for k, v in changed.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_hot_keys_are_salted(spark, synth, models, by_shuffle):
+    rows = skewed(spark, synth)
+    plain = mf.score(rows, models["linear"], ["sku_id"], "linear", "null")
+    salted = mf.score(rows, models["linear"], ["sku_id"], "linear", "null", salt_hot=True)
+    assert salted.columns == plain.columns and salted.count() == rows.count()
+    assert salted.exceptAll(plain).isEmpty() and plain.exceptAll(salted).isEmpty()
+    with pytest.raises(Exception, match="no successful model"):
+        mf.score(rows, models["linear"], ["sku_id"], "linear", salt_hot=True).collect()
+    sizes = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    assert sizes(plain)[-1] > 0.9 * rows.count()
+    assert len(sizes(salted)) == 8 and sizes(salted)[-1] <= 2 * sizes(salted)[4]
+
+
+def test_zeros_of_both_signs_and_nan_are_salted_alike(spark, by_shuffle):
+    schema = "k double, i long, x double, y double"
+    train = [(k, i, float(i % 7), 2.0 * (i % 7) + b) for b, k in ((1, 0.0), (5, float("nan"))) for i in range(40)]
+    made = mf.train(spark.createDataFrame(train, schema), ["k"], "y", ["x"], "linear", ["i"])
+    rows = spark.createDataFrame([(k, i, 1.0, None) for k in (0.0, -0.0, float("nan")) for i in range(50)], schema)
+    got = mf.score(rows, made, ["k"], "linear", salt_hot=True).groupBy(F.round("prediction", 6).alias("p")).count().collect()
+    assert {(r.p, r["count"]) for r in got} == {(3.0, 100), (7.0, 50)}
+
+
+def test_a_stream_with_a_hot_key(spark, synth, models, tmp_path):
+    rows = skewed(spark, synth)
+    rows.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    mf.write_scores(stream, models["linear"], ["sku_id"], str(tmp_path / "out"), str(tmp_path / "log"), once=True, salt_hot=True).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
+    want = mf.score(rows, models["linear"], ["sku_id"], "linear", "null")
+    assert got.count() == want.count() and want.exceptAll(got.select(want.columns)).isEmpty()
