@@ -11,7 +11,8 @@ the items' hashes) can produce a candidate, so only those segments are looked at
 
 Words are runs of letters, marks and digits, in lower case. Null and empty texts hold nothing. An item of fewer than
 five words is one shingle, all of it, and is looked up among the runs of so many words. Equal items are searched once, under the least item_id; items without
-an item_id take no part. Rows are named by doc_id and text, so repeated or null ids do not mix texts.
+an item_id take no part. Rows are named by doc_id and text, so repeated or null ids do not mix texts. Without documents or
+items nothing is found. Other columns play no part in the search and pass through the decontaminated table.
 """
 
 from __future__ import annotations

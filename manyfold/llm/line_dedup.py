@@ -5,7 +5,7 @@ that site and is dropped there. A page counts once for a line however often it h
 white space around them; blank lines are never dropped. Lines are told apart by 64-bit hashes within a site.
 
 A null site is a site of its own. A null text stays null, an empty one empty. Repeated rows are pages of their own.
-Extra columns pass through.
+Extra columns pass through, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations

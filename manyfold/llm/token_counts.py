@@ -11,7 +11,8 @@ No piece has the mark after another character, none has a line feed, and none go
 letters (all looked up in the vocabulary), so a text falls apart there without any change of result; parts that come
 again are looked up.
 
-Null and empty texts have no tokens. Every row is counted, repeated ones too.
+Null and empty texts have no tokens. Every row is counted, repeated ones too. An empty table gives no row, and other columns
+play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -696,3 +696,36 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         before = now
     mixed = corpus_pipeline.mix(spark, docs, SMALL).collect()
     assert sum(r.mix_words for r in mixed) == pytest.approx(1.5 * sum(len(t.split()) for t in before.values()), abs=25)
+
+
+CLASHES = "text_digest fp node root n_ salt_ heavy_ light_ found_ name names line hash score lang_pred held_out tokens n_tokens item_id host rule verdict dist id vec q removed row".split()
+
+
+def plain_rows(df):
+    return sorted(map(str, df.collect()))
+
+
+@pytest.mark.parametrize("which", ["language", "lines", "urls", "tokens", "prints", "leaks", "near"])
+def test_clashing_names_and_empty_tables(spark, which):
+    """Columns named like the operators' own play no part, and an empty table gives an empty one."""
+    prose = lambda k: " ".join(f"word{(k * 7 + j) % 60}" for j in range(40))
+    texts = [(k % 9 if k % 10 else None, prose(k % 7) if k % 6 else None, "s", "ab"[k % 2]) for k in range(30)]
+    docs = spark.createDataFrame([*texts, (50, "", None, None), (51, prose(3) * 300, "s", "a")], "doc_id long, text string, source string, lang string")
+    items = spark.createDataFrame([(1, prose(3)), (2, None)], "item_id long, text string")
+    pages = spark.createDataFrame([(k, f"http://h{k % 3}.net/x" if k % 4 else None, f"<a href='http://h{k}.org/'>x</a>") for k in range(12)], "page_id long, url string, html string")
+    vectors = spark.createDataFrame([(k, [float(k), 1.0, float(k % 5)]) for k in range(150)], "vec_id long, embedding array<float>")
+    rules = spark.createDataFrame(queries.RULES, "rule string, verdict string")
+    path = queries.vocabulary_path()
+    frame, run = {
+        "language": (docs, lambda d: language_id.identify(d, path).select("doc_id", "lang_pred", "score")),
+        "lines": (docs, lambda d: line_dedup.drop_site_lines(d, min_pages=2).select("row.doc_id", "text", "n_lines", "n_dropped")),
+        "urls": (pages, lambda d: url_filter.filter_urls(d, rules).select("page_id", "host", "path", "rule", "verdict")),
+        "tokens": (docs, lambda d: token_counts.count_tokens(d, path).select("doc_id", "n_tokens")),
+        "prints": (docs, lambda d: simhash_dedup.near_duplicates(d).select("doc_id", "fp", "component_id")),
+        "leaks": (docs, lambda d: decontaminate.find_leaks(d, items).select("doc_id", "item_id", "containment")),
+        "near": (vectors, lambda d: neighbours.neighbours(d, F.col("vec_id") % 50 == 0)),
+    }[which]
+    clashing = frame.select("*", *[F.lit(7).alias(c) for c in CLASHES if c not in frame.columns])
+    want = plain_rows(run(frame))
+    assert want and plain_rows(run(clashing)) == want
+    assert run(clashing.limit(0)).collect() == []
