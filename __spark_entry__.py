@@ -389,6 +389,13 @@ def search_forest(spark, folder):
     return depth_label(forest_listing(models, ["l_partkey"], mf.FOREST_SPACE))
 
 
+def search_forest_guided(spark, folder):
+    """The whole space with five guided trials after ten drawn ones, for every customer."""
+    rows, features = orders(spark, folder), ["order_day", "priority"]
+    models = mf.tune(rows, ["o_custkey"], "o_totalprice", features, num_trials=15, search="tpe", row_key=["o_orderkey"])
+    return depth_label(forest_listing(models, ["o_custkey"], mf.FOREST_SPACE))
+
+
 def search_forest_hot(spark, folder):
     """The same search over groups above the size of one task: the trees of a key are grown once for all trials."""
     models = mf.tune(
@@ -567,7 +574,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         score_linear, evaluate_scores, score_unknown_null, unknown_keys, score_small_batch, trial_plan, ridge_trials,
         best_trial, tune_ridge, train_ridge, tune_ridge_hot, input_example, preview, key_label, conform, synth_rows, train_synth, train_forest,
         train_forest_small_groups, train_forest_hot, score_forest, score_forest_hot, forest_trials, tune_forest, guided_proposals,
-        search_forest, search_forest_hot, forest_sizes, train_forest_faults, catalog_features, tuned_metrics_file,
+        search_forest, search_forest_guided, search_forest_hot, forest_sizes, train_forest_faults, catalog_features, tuned_metrics_file,
         tune_forest_guided,
         score_stream, bundle_scores, metrics_file, score_checked, train_inferred, score_forest_stream, published_scores,
         recorded_run, bundle_size,

@@ -32,9 +32,10 @@ def prepare_features(df: DataFrame, features: list[str], fill: float | None = 0.
     return df.withColumns({c: filled(F.col(c), fill) for c in features})
 
 
-def key_label(keys: list[str]) -> Column:
-    """The key as text, for display and messages only."""
-    return F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("None")) for k in keys])
+def key_label(keys: list) -> Column:
+    """The key, given by names or as columns, as text, for messages and for draws."""
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    return F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("None")) for c in columns])
 
 
 def check_numeric(df: DataFrame, columns: list[str]) -> None:

@@ -1,12 +1,19 @@
-"""Proposals of a tree-structured Parzen search, as expressions over the trials seen so far.
+"""Proposals of a tree-structured Parzen search, from the trials of a key seen so far.
 
 The trials of a key are parted into a good share and the rest. Each parameter has one density over the
 good values and one over the others; candidates are drawn from the first, and the one with the largest
 ratio of the two is proposed.
+
+The rule comes twice: as expressions over a table of trials, and as :class:`Search` for a task that holds a
+whole group and goes on from trial to trial without another job. Both draw the same numbers.
 """
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 from manyfold.functions.draws import Choice, normal, uniform
@@ -58,5 +65,71 @@ def density(param, value: Column, seen: Column) -> Column:
     return share / (F.size(seen) + F.lit(1.0))
 
 
+def good_trials(trial: int) -> int:
+    """How many of the trials before this one make the good share."""
+    return min(GOOD_CAP, -(-trial // int(1 / GOOD_SHARE)))
+
+
 def decoded(param, code: Column) -> Column:
     return param.value_at(code.cast("int")) if isinstance(param, Choice) else code.cast(param.kind)
+
+
+def _number(seed: int, *parts) -> float:
+    digest = hashlib.md5("|".join(str(x) for x in (seed, *parts)).encode()).hexdigest()
+    return int(digest[:13], 16) / float(1 << 52)
+
+
+@dataclass(frozen=True)
+class Search:
+    """The trials of single groups: ``space`` by name, and the numbers of the trials to propose."""
+
+    space: dict
+    rounds: range
+
+    def code(self, name: str, value) -> float:
+        """The position on the parameter's axis; a missing value is that of ``None``."""
+        param = self.space[name]
+        if isinstance(param, Choice):
+            return float(param.values.index(None if np.isnan(value) else value))
+        return float(value)
+
+    def _candidates(self, param, good: np.ndarray, seed: int, label: str, trial: int, name: str) -> np.ndarray:
+        out = np.empty(CANDIDATES)
+        for k in range(CANDIDATES):
+            parts = (seed, label, trial, name, k)
+            pick = int(_number(*parts, "pick") * (len(good) + 1.0))
+            if pick >= len(good):
+                low = 0 if isinstance(param, Choice) else param.low
+                out[k] = low + np.floor(_number(*parts, "any") * _width(param))
+            elif isinstance(param, Choice):
+                out[k] = good[pick]
+            else:
+                radius = np.sqrt(-2.0 * np.log(1.0 - _number(*parts, "step", "r")))
+                step = radius * np.cos(6.283185307179586 * _number(*parts, "step", "a"))
+                near = good[pick] + _width(param) / min(100.0, len(good) + 1.0) * step
+                # Halves are rounded away from zero.
+                out[k] = np.clip(np.copysign(np.floor(np.abs(near) + 0.5), near), param.low, param.high)
+        return out
+
+    def _density(self, param, at: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        total = np.full(len(at), 1.0 / _width(param))
+        if isinstance(param, Choice):
+            total = (at[:, None] == seen).sum(axis=1) + total
+        else:
+            h = _width(param) / min(100.0, len(seen) + 1.0)
+            for s in seen:
+                total = total + np.exp(-(at - s) * (at - s) / (2.0 * h * h)) / (h * 2.5066282746310002)
+        return total / (len(seen) + 1.0)
+
+    def propose(self, tried: dict[str, np.ndarray], errors: np.ndarray, label: str, trial: int, seed: int) -> dict:
+        """The next trial of a group, from the coded values and the errors of its trials, in order of trial."""
+        order = np.argsort(errors, kind="stable")  # a missing error is NaN and comes last
+        good, rest = np.split(order, [good_trials(trial)])
+        chosen = {}
+        for name, param in self.space.items():
+            g, r = np.sort(tried[name][good]), np.sort(tried[name][rest])
+            at = self._candidates(param, g, seed, label, trial, name)
+            best = at[np.argmax(self._density(param, at, g) / self._density(param, at, r))]
+            value = param.values[int(best)] if isinstance(param, Choice) else int(best)
+            chosen[name] = np.nan if value is None else value
+        return chosen

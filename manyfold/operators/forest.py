@@ -17,11 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from manyfold.functions import trees
+from manyfold.functions import guided, trees
 from manyfold.functions.keys import KeyCode
 from manyfold.operators.split import BUCKET, HELD, ORDER, SplitRows, bucket_by_key
 from manyfold.schema import ERROR, HYPERPARAMETERS, SUCCESS, TOO_SMALL
 
+# What a plan calls its key when more trials are to be drawn from it.
+LABEL = "_label"
+
 # Pairs of a row and a tree that are grown together in one task; bounds the memory of a bucket job.
 PAIRS_AT_ONCE = 1_000_000
 
@@ -149,6 +152,37 @@ class BucketFit:
                 models[entries] = self._packed(grown, owner)
         return mse, mae, models
 
+    def search(self, plan: pd.DataFrame, search: guided.Search):
+        """The planned trials, then round after round the one that each group's history proposes.
+
+        Gives the best trial of every group, the first of equals, and its fit; a missing error loses.
+        """
+        label = plan.drop_duplicates("group").set_index("group")[LABEL]
+        tried = plan.assign(rmse=np.sqrt(self.run(plan, False)[0]))
+        codes = {n: [search.code(n, v) for v in plan[n]] for n in search.space}
+        seen = [{n: [] for n in (*search.space, "rmse")} for _ in range(self.groups)]
+
+        def remember(part, coded):
+            for k, (g, error) in enumerate(zip(part["group"], part["rmse"])):
+                seen[g]["rmse"].append(error)
+                for n in search.space:
+                    seen[g][n].append(coded[n][k])
+
+        remember(tried, codes)
+        for trial in search.rounds:
+            drawn = []
+            for g in label.index:
+                past = {n: np.array(v) for n, v in seen[g].items()}
+                drawn.append({"group": g, "trial": trial, **search.propose(past, past["rmse"], label[g], trial, self.seed)})
+            part = pd.DataFrame(drawn)
+            part["max_depth"] = part["max_depth"].astype(float)
+            part["rmse"] = np.sqrt(self.run(part, False)[0])
+            remember(part, {n: [search.code(n, v) for v in part[n]] for n in search.space})
+            tried = pd.concat([tried, part], ignore_index=True)
+        best = tried.sort_values(["group", "rmse", "trial"], na_position="last").drop_duplicates("group")
+        best = best.reset_index(drop=True)
+        return best, self.run(best, True)
+
     def _vote(self, nodes, value, roots, span, case, row, owner, sizes, depth, split, total, votes):
         """Add the predictions of the trees in ``span``, tree after tree, to the totals of the cases."""
         trials_differ = len(np.unique(owner)) < len(owner)
@@ -208,8 +242,11 @@ def _doubles(table: pa.Table, name: str) -> np.ndarray:
     return column.to_numpy(dtype=float, na_value=np.nan)
 
 
-def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, keep_models, schema):
-    """Fit every group of a bucket; what fails is halved and run again, until a group that cannot be fitted is alone."""
+def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, keep_models, schema, search=None):
+    """Fit every group of a bucket; what fails is halved and run again, until a group that cannot be fitted is alone.
+
+    With a search the plan has the first trials of each group, and the result only the best of all.
+    """
     group, first = _rows_of(table, names)
     x = np.array([_doubles(table, f"x{i}") for i in range(p)])
     y, order_hash = _doubles(table, "y"), table.column(ORDER).to_numpy()
@@ -226,6 +263,9 @@ def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, keep_model
         numbered = keys.to_pandas().assign(group=np.arange(len(count)))
         plan = plan_table.to_pandas().merge(numbered, on=names).drop(columns=names)
         plan = plan.sort_values(["group", "trial"]).reset_index(drop=True)
+    trials = plan
+    if search is not None:
+        plan = plan.drop_duplicates("group").reset_index(drop=True)
     mse, mae = np.full(len(plan), np.nan), np.full(len(plan), np.nan)
     models = np.full(len(plan), None, object)
 
@@ -237,9 +277,14 @@ def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, keep_model
             renumber[group[rows]], x[:, rows], y[rows], order_hash[rows], held[rows], seed, len(chosen)
         )
         entries = np.flatnonzero(renumber[plan["group"]] >= 0)
-        part = plan.iloc[entries].reset_index(drop=True)
+        part = trials[renumber[trials["group"]] >= 0].reset_index(drop=True)
         part["group"] = renumber[part["group"]]
-        mse[entries], mae[entries], models[entries] = work.run(part, keep_models)
+        if search is None:
+            mse[entries], mae[entries], models[entries] = work.run(part, keep_models)
+            return
+        best, (mse[entries], mae[entries], models[entries]) = work.search(part, search)
+        for column in ("trial", *HYPERPARAMETERS):
+            plan.loc[entries, column] = best[column].to_numpy()
 
     def attempt(chosen):
         try:
@@ -273,8 +318,8 @@ def fit_bucket(table, plan_table, names, p, settings, min_rows, seed, keep_model
     return pa.table([columns[f.name].cast(f.type) for f in target], schema=target)
 
 
-def fit_buckets(split: SplitRows, p, settings, plan, min_rows, seed, keep_models) -> DataFrame:
-    """Run the bucket job over the cold groups, with constant settings or with a plan per key and trial."""
+def fit_buckets(split: SplitRows, p, settings, plan, min_rows, seed, keep_models, search=None) -> DataFrame:
+    """Run the bucket job over the cold groups, with constant settings, a plan per key and trial, or a search."""
     names, schema = split.code.names, result_schema(split.code)
     constants = asdict(settings) if settings else None
 
@@ -284,7 +329,7 @@ def fit_buckets(split: SplitRows, p, settings, plan, min_rows, seed, keep_models
     def planned(table: pa.Table, trials: pa.Table) -> pa.Table:
         if not len(table):
             return pa.table({f.name: pa.array([], f.type) for f in to_arrow_schema(schema)})
-        return fit_bucket(table, trials, names, p, None, min_rows, seed, keep_models, schema)
+        return fit_bucket(table, trials, names, p, None, min_rows, seed, keep_models, schema, search)
 
     rows = split.cold.groupBy(BUCKET)
     if plan is None:

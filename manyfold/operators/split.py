@@ -42,11 +42,6 @@ class SplitRows:
     def rows(self) -> DataFrame:
         return self.cold if self.hot is None else self.cold.unionByName(self.hot, allowMissingColumns=True)
 
-    def settled(self) -> SplitRows:
-        """The same split, written once; for searches that read it in every round."""
-        hot = None if self.hot is None else settle(self.hot, "split")
-        return replace(self, cold=settle(self.cold, "split"), hot=hot)
-
 
 def feature_slots(features: list[str]) -> list[str]:
     return [f"x{i}" for i in range(len(features))]

@@ -13,7 +13,7 @@ from tests.conftest import SMALL
 QUERIES = registered.queries()
 SQL = registered.oracle_sql()
 # Beyond SQL: a search that depends on its own earlier rounds, searches too large for it (test_tuning.py), and text operators that tests/llm compares with plain code.
-NO_SQL = {"tune_forest_guided", "search_forest", "search_forest_hot"}
+NO_SQL = {"tune_forest_guided", "search_forest", "search_forest_guided", "search_forest_hot"}
 if registered.text_queries:
     NO_SQL |= {"pipeline", *(set(registered.text_queries.QUERIES) - set(registered.text_queries.SQL))}
 

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import manyfold as mf
-from manyfold.operators.forest_tune import guided_plan
+from manyfold.functions import guided
 from manyfold.functions.keys import KeyCode
+from manyfold.operators.forest_tune import guided_plan
 from tests.conftest import FEATURES, ROW_KEY
 
 SPACE = {
@@ -136,6 +137,55 @@ def test_guided_proposals_follow_the_good_trials(spark):
     assert plan.agg(F.avg("n_estimators")).first()[0] < 0.5 * history.agg(F.avg("n_estimators")).first()[0]
 
 
+def test_proposals_in_a_task_are_those_of_the_table(spark):
+    """The rule for one key, and the expressions over all keys: equal proposals, missing errors and ties included."""
+    space = {**SPACE, "n_estimators": mf.IntRange(50, 300)}
+    keys = spark.range(30).select(F.format_string("k%d", "id").alias("k"))
+    code = KeyCode(keys.schema, ["k"])
+    error = F.when(F.col("trial") % 7 != 3, F.round(F.abs(F.col("n_estimators") - 120) / 40.0))
+    history = mf.trial_plan(keys, ["k"], space, 33).withColumn("rmse", error)
+    past = history.orderBy("k", "trial").toPandas()
+    for trial in (10, 21, 33):
+        search = guided.Search(space, range(0))
+        so_far = history.filter(F.col("trial") < trial)
+        table = {r._k0: r for r in guided_plan(so_far.select(*code.coded(), "trial", *space, "rmse"), code, space, trial, 42).collect()}
+        assert len(table) == 30
+        for key, rows in past[past["trial"] < trial].groupby("k"):
+            tried = {n: rows[n].map(lambda v, n=n: search.code(n, v)).to_numpy() for n in space}
+            chosen = search.propose(tried, rows["rmse"].to_numpy(float), key, trial, 42)
+            assert {n: None if v != v else v for n, v in chosen.items()} == {n: table[key][n] for n in space}
+
+
+def test_guided_search_is_the_sequential_one_in_one_job(spark, synth):
+    """Trial after trial over the whole table gives the same winners; the search itself needs no job per trial."""
+    df = synth.filter("sku_id < 'SKU_003'")
+    keys = df.select("sku_id").distinct()
+    code = KeyCode(keys.schema, ["sku_id"])
+    history = mf.evaluate_trials(df, ["sku_id"], "sales", FEATURES, SPACE, 10, "forest", row_key=ROW_KEY)
+    history = history.select(*code.coded(), "trial", *SPACE, "rmse").collect()
+    schema = "_k0 string, _kn int, trial long, " + ", ".join(f"{p} long" for p in SPACE) + ", rmse double"
+    for trial in (10, 11, 12):
+        for r in guided_plan(spark.createDataFrame(history, schema), code, SPACE, trial, 42).collect():
+            alone = mf.train(
+                df.filter(F.col("sku_id") == r._k0), ["sku_id"], "sales", FEATURES, "forest", ROW_KEY, **{p: r[p] for p in SPACE}
+            ).first()
+            history.append((r._k0, r._kn, trial, *(r[p] for p in SPACE), alone.rmse))
+    best = mf.best_trial(spark.createDataFrame(history, schema), ["_k0"]).collect()
+
+    def search(num_trials):
+        spark.sparkContext.setJobGroup(f"trials-{num_trials}", "")
+        try:
+            models = mf.tune(df, ["sku_id"], "sales", FEATURES, SPACE, num_trials, search="tpe", row_key=ROW_KEY).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return models, len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"trials-{num_trials}"))
+
+    few, jobs = search(13)
+    assert {(r.sku_id, *(r[p] for p in SPACE)) for r in few} == {(r._k0, *(r[p] for p in SPACE)) for r in best}
+    assert {r.sku_id: r.rmse for r in few} == pytest.approx({r._k0: r.rmse for r in best}, rel=1e-12)
+    assert search(16)[1] == jobs
+
+
 @pytest.mark.parametrize("rows_per_task", [1000, 30])
 def test_many_features(spark, synth, monkeypatch, rows_per_task):
     """Streamed sums give the models that one aggregate per pair of features gives."""
