@@ -10,9 +10,10 @@ Document signatures are evaluated lazily: only bins whose least hash could be an
 the items' hashes) can produce a candidate, so only those segments are looked at, and only candidates are shuffled.
 
 Words are runs of letters, marks and digits, in lower case. Null and empty texts hold nothing. An item of fewer than
-five words is one shingle, all of it, and is looked up among the runs of so many words. Equal items are searched once, under the least item_id; items without
-an item_id take no part. Rows are named by doc_id and text, so repeated or null ids do not mix texts. Without documents or
-items nothing is found. Other columns play no part in the search and pass through the decontaminated table.
+five words is one shingle, all of it, and is looked up among the runs of so many words. Items of equal text are searched
+once, under the least item_id, and every item_id of a text that is found is named; items without an item_id take no part.
+Rows are named by doc_id and text, so repeated or null ids do not mix texts. Without documents or items nothing is found.
+Other columns play no part in the search and pass through the decontaminated table.
 """
 
 from __future__ import annotations
@@ -131,19 +132,30 @@ def document_rows(key_bits, shingle_bits, classes: list[int]):
     return rows
 
 
+def item_ids(benchmark: DataFrame) -> DataFrame:
+    """item_id and text of the items that take part."""
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").dropna()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, text_digest, item_id and containment of every pair at or above the threshold.
+    """doc_id, text_digest, item_id and containment of every pair at or above the threshold, all items of equal text named.
 
     Containment is the share of the item's distinct five-word shingles that the document holds.
     """
+    named = item_ids(benchmark).distinct()
+    first = settle(named.groupBy("text").agg(F.min("item_id").alias("first_item"), F.count(F.lit(1)).alias("n_")), "first-items")
+    others = lookup(named, first, ["text"], ["first_item"], "n_", "item_id").filter(F.col("first_item") != F.col("item_id"))
+    others = settle(others.select(F.col("first_item").alias("item_id"), F.col("item_id").alias("other_item")), "equal-items")
+    found = settle(leaks_of_texts(docs, benchmark, threshold), "leaks")
+    hot = hot_keys(found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_")), ["item_id"], "n_")
+    more = spread_join(found, others, ["item_id"], "text_digest", hot)
+    return found.unionByName(more.select("doc_id", "text_digest", F.col("other_item").alias("item_id"), "containment"))
+
+
+def leaks_of_texts(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFrame:
+    """The pairs of ``find_leaks`` with the least item_id of each item's text alone."""
     spark = docs.sparkSession
-    items = (
-        benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-        .dropna()
-        .groupBy("text")
-        .agg(F.min("item_id").alias("item_id"))
-        .select("item_id", "text")
-    )
+    items = item_ids(benchmark).groupBy("text").agg(F.min("item_id").alias("item_id")).select("item_id", "text")
     items = settle(items.mapInArrow(item_rows, ITEM_SCHEMA), "items")
     keys = settle(items.select("item_id", "size_class", F.explode("keys").alias("key")), "keys")
     shingle_hashes = items.select(F.explode("shingles").alias("shingle")).mapInArrow(text_hashes, "hash long")
@@ -182,7 +194,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8)
     """The documents, with all their columns, that hold no benchmark item. Repeated rows stay repeated."""
     columns = docs.columns
     keyed, digest = with_digest(docs, "text")
-    leaks = find_leaks(docs, benchmark, threshold).select(F.col("doc_id").alias("leak_doc"), F.col("text_digest").alias("leak_digest"))
+    leaks = leaks_of_texts(docs, benchmark, threshold).select(F.col("doc_id").alias("leak_doc"), F.col("text_digest").alias("leak_digest"))
     leaks = leaks.distinct()
     agree = null_safe(keyed, leaks, [("doc_id", "leak_doc"), (digest, "leak_digest")])
     return keyed.join(leaks, agree, "left_anti").select(*columns)

@@ -162,19 +162,20 @@ def test_leaks_equal_brute_force(spark):
         (5001, "before " * 3000 + items[0][1].upper() + " after" * 3000),
         (5006, "one two three four five"),
     ]
-    items += [(904, docs[3][1].split()[5]), (905, " ".join(docs[4][1].split()[2:6])), (906, "never said"), (907, "...")]
-    items += [(900, items[0][1]), (901, None), (902, "four words are few"), (903, "One, two; three - four: five!"), (None, items[1][1] + " z")]
+    items += [(904, docs[3][1].split()[5]), (905, " ".join(docs[4][1].split()[2:6])), (906, "never said"), (907, "..."), (908, docs[3][1].split()[5])]
+    items += [(900, items[0][1]), (900, items[0][1]), (901, None), (902, "four words are few"), (903, "One, two; three - four: five!"), (None, items[1][1] + " z")]
     got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     want = set()
     for item, text in items:
         size = min(5, len(plain_words(text)))
         own = shingles(text, size) if size else set()
-        if own and item not in (None, 900):
+        if own and item is not None:
             for doc, t in docs:
                 if len(own & shingles(t, size)) / len(own) >= 0.8:
                     want.add((doc, item))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
-    assert len(want) > 3
+    assert len(want) > 3 and {900, 904, 908} < {item for _, item in want}
+    assert got.count() == got.distinct().count()
 
 
 def test_decontaminated_documents(spark):
