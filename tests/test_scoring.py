@@ -1,12 +1,14 @@
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as registered
 import manyfold as mf
 from manyfold.functions import trees
-from tests.conftest import FEATURES, ROW_KEY
+from tests.conftest import FEATURES, ROW_KEY, SMALL
 
 
 @pytest.fixture(scope="module")
@@ -218,3 +220,32 @@ def test_a_stream_with_a_hot_key(spark, synth, models, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
     want = mf.score(rows, models["linear"], ["sku_id"], "linear", "null")
     assert got.count() == want.count() and want.exceptAll(got.select(want.columns)).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["score_linear", "evaluate_scores", "score_checked", "score_forest", "score_small_batch"])
+def test_a_part_too_small_for_a_model_does_not_stop_a_query(spark, tmp_path, name):
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").filter("l_partkey <= 4")
+    example = mf.input_example(lines, registered.PRICE, registered.LINE_KEY, 5).select("l_partkey").first().l_partkey
+    few = lines.filter(F.col("l_partkey") == example).orderBy(*registered.LINE_KEY).limit(4)
+    lines.filter(F.col("l_partkey") != example).unionByName(few).write.parquet(f"{tmp_path}/lineitem.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    result = registered.queries()[name](spark, str(tmp_path))
+    got = result.collect()
+    answer = duck.execute(registered.oracle_sql()[name])
+    columns = [d[0] for d in answer.description]
+    want = answer.fetchall()
+    assert want and sorted(map(repr, (tuple(r[c] for c in columns) for r in got))) == sorted(map(repr, want))
+
+
+@pytest.mark.parametrize("estimator", ["linear", "forest"])
+def test_unseen_keys_stop_a_job_that_small_ones_do_not(spark, synth, estimator):
+    few = synth.filter((F.col("sku_id") != "SKU_002") | (F.col("row_id") < 5))
+    made = mf.train(few, ["sku_id"], "sales", FEATURES, estimator, ROW_KEY, n_estimators=3).persist()
+    scored = mf.score(few, made, ["sku_id"], estimator, "unseen")
+    assert scored.count() == few.count()
+    assert {r.sku_id for r in scored.filter("prediction is null").collect()} == {"SKU_002"}
+    assert scored.filter("prediction is null").count() == 5
+    new = few.withColumn("sku_id", F.when(F.col("row_id") == 4, "new").otherwise(F.col("sku_id")))
+    with pytest.raises(Exception, match="model"):
+        mf.score(new, made, ["sku_id"], estimator, "unseen").collect()
