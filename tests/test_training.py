@@ -276,3 +276,20 @@ def test_every_forest_has_all_its_trees(spark):
     hot = by_key(mf.train(df, ["k"], "y", ["x"], "forest", ["i"], rows_per_task=1, **settings))
     assert {len(trees.unpack(m.model_bytes)[3]) for m in cold.values()} == {12}
     assert {k: bytes(m.model_bytes) for k, m in cold.items()} == {k: bytes(m.model_bytes) for k, m in hot.items()}
+
+
+def test_a_larger_group_has_no_more_levels(spark, monkeypatch):
+    """On noise the best cut takes few rows off, so a level per cut down to ``rows_per_task`` rows had no end."""
+    from manyfold.operators import forest_wide
+    from manyfold.operators.forest import ForestSettings
+
+    levels = []
+    whole = forest_wide.apply_cuts
+    monkeypatch.setattr(forest_wide, "apply_cuts", lambda *args: (levels.append(1), whole(*args)))
+    noise = F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double")
+    rows = spark.range(6000).select(F.lit("a").alias("k"), "id", noise.alias("y"), (F.col("id") % 997).cast("double").alias("x"))
+    split = mf.operators.split.split_rows(rows, ["k"], "y", ["x"], ["id"], rows_per_task=20, bucketed=True)
+    fit = forest_wide.WideFit(split, 1, ForestSettings(n_estimators=4), None, 10, 42, 20)
+    tops = fit.rounds[0][0].value
+    assert (tops.local == 2400).all() and (tops.nodes["state"] == forest_wide.LOCAL).sum() >= 4
+    assert len(levels) <= 12
