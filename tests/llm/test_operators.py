@@ -378,6 +378,15 @@ def test_number_signs_are_no_letters_and_every_label_is_learned(spark):
     assert language_id.identify(df.limit(0), VOCABULARY, rounds=1).collect() == []
 
 
+def test_every_labelled_text_teaches(spark):
+    """One text among a thousand has the letter that tells; by its hash it was in no sample of 400."""
+    ids = spark.range(1000, 2000).withColumnRenamed("id", "doc_id").filter(~language_id.held_out())
+    last = ids.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30)) > 0.9 * (1 << 30)).first().doc_id
+    rows = [(k, "a", "l0") for k in range(1000)] + [(k, "q " * 20 if k == last else "b b b b", "l1") for k in range(1000, 2000)]
+    df = spark.createDataFrame([*rows, (5000, "q", None)], "doc_id long, text string, lang string")
+    assert language_id.identify(df, VOCABULARY).filter("doc_id = 5000").first().lang_pred == "l1"
+
+
 def test_without_labels_nothing_is_rejected(spark):
     df = spark.createDataFrame([(k, "some text", None) for k in range(50)], "doc_id long, text string, lang string")
     assert language_id.keep_known_languages(df, VOCABULARY).count() == 50
