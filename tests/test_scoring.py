@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,3 +250,23 @@ def test_unseen_keys_stop_a_job_that_small_ones_do_not(spark, synth, estimator):
     new = few.withColumn("sku_id", F.when(F.col("row_id") == 4, "new").otherwise(F.col("sku_id")))
     with pytest.raises(Exception, match="model"):
         mf.score(new, made, ["sku_id"], estimator, "unseen").collect()
+
+
+def test_a_model_is_copied_to_few_shares_and_read_in_pieces(spark, synth, models, monkeypatch):
+    """The copies of a hot key's model depend on the cores, not on how small ``rows_per_task`` is."""
+    from manyfold.operators import forest_score
+
+    copies, whole = [], forest_score.replicated
+    monkeypatch.setattr(forest_score, "replicated", lambda told, parts: copies.append(whole(told, parts).select("_salt").distinct().count()) or whole(told, parts))
+    rows = spark.range(40).crossJoin(synth).drop("id", "sales")
+    want = mf.score(rows, models["forest"], ["sku_id"])
+    got = mf.score(rows, models["forest"], ["sku_id"], rows_per_task=5)
+    assert copies[0] <= 2 * spark.sparkContext.defaultParallelism
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 40 * synth.count()
+    schema = models["forest"].select("model_bytes").withColumn("piece", F.lit(0)).schema
+    monkeypatch.setattr(forest_score, "PIECE_NODES", 40)
+    body = models["forest"].first().model_bytes
+    parts = list(forest_score.model_pieces("model_bytes", "piece", schema)([pa.RecordBatch.from_pydict({"model_bytes": [bytes(body)]})]))
+    forests = [trees.unpack(p.column(0)[0].as_py()) for p in parts]
+    assert len(parts) > 1 and sum(len(f[3]) for f in forests) == 8
+    assert np.array_equal(np.concatenate([f[1] for f in forests]), trees.unpack(bytes(body))[1])
