@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -293,3 +294,23 @@ def test_a_larger_group_has_no_more_levels(spark, monkeypatch):
     tops = fit.rounds[0][0].value
     assert (tops.local == 2400).all() and (tops.nodes["state"] == forest_wide.LOCAL).sum() >= 4
     assert len(levels) <= 12
+
+
+def test_a_bucket_keeps_little_beside_its_forests():
+    """What is kept of a grown tree until it is packed is four numbers of 32 bits and one of 64 per node."""
+    from manyfold.operators.forest import BucketFit
+
+    kept = []
+
+    class Watched(BucketFit):
+        def _packed(self, grown, owner):
+            kept.extend([[a.itemsize for a in part[-5:]] for part in grown])
+            return super()._packed(grown, owner)
+
+    rng, n = np.random.default_rng(3), 4000
+    group = np.repeat(np.arange(200), 20)
+    work = Watched(group, rng.random((2, n)), rng.random(n), rng.integers(0, 1 << 60, n), np.tile(np.arange(20) < 4, 200), 42, 200)
+    plan = pd.DataFrame({"group": np.arange(200), "trial": 0, "n_estimators": 60, "max_depth": np.nan, "min_samples_split": 2, "min_samples_leaf": 1})
+    models = work.run(plan, True)[2]
+    assert len(kept) > 1 and {sum(sizes) for sizes in kept} == {24}
+    assert all(len(trees.unpack(m)[3]) == 60 for m in models)
