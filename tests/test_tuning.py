@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 import manyfold as mf
 from manyfold.functions import guided
@@ -236,3 +238,88 @@ def test_whole_searches_against_single_trainings(spark, name):
         best = min(errors, key=errors.get)
         assert errors[best] == pytest.approx(won.rmse, abs=0.006)
         assert errors[won[key], won.n_estimators, won.max_depth, won.min_samples_split, won.min_samples_leaf] == pytest.approx(errors[best], rel=1e-12)
+
+
+def test_a_search_grows_no_tree_twice(monkeypatch):
+    """Trials, guided rounds and the winner read one set of trees; the result is that of growing them each time."""
+    from manyfold.functions import guided
+    from manyfold.operators import forest
+
+    rng, groups = np.random.default_rng(4), 12
+    group = np.repeat(np.arange(groups), 30)
+    x = rng.integers(0, 9, (2, len(group))).astype(float)
+    y, order_hash = rng.random(len(group)), rng.integers(0, 1 << 60, len(group))
+    held = np.tile(np.arange(30) < 6, groups)
+    plan = pd.DataFrame(
+        {
+            "group": np.repeat(np.arange(groups), 10),
+            "trial": np.tile(np.arange(10), groups),
+            "n_estimators": rng.integers(3, 20, 10 * groups),
+            "max_depth": rng.choice([2.0, 4.0, np.nan], 10 * groups),
+            "min_samples_split": rng.choice([2, 6], 10 * groups),
+            "min_samples_leaf": rng.choice([1, 3], 10 * groups),
+            forest.LABEL: np.repeat([f"k{g}" for g in range(groups)], 10),
+        }
+    )
+    space = {
+        "n_estimators": mf.IntRange(3, 20),
+        "max_depth": mf.Choice(2, 4, None),
+        "min_samples_split": mf.Choice(2, 6),
+        "min_samples_leaf": mf.Choice(1, 3),
+    }
+    grown = []
+    whole = forest.trees.grow
+    monkeypatch.setattr(forest.trees, "grow", lambda unit, *rest: (grown.append(len(np.unique(unit))), whole(unit, *rest))[1])
+    for rounds in (range(0), range(10, 14)):
+        search, told = guided.Search(space, rounds), []
+        for keep in (True, False):
+            grown.clear()
+            work = forest.BucketFit(group, x, y, order_hash, held, 42, groups)
+            if keep:
+                work.keep(len(rounds) > 0)
+            best, (mse, mae, models) = work.search(plan, search)
+            told.append((best.to_dict("list"), list(mse), list(mae), list(models)))
+            if keep:
+                assert sum(grown) <= 2 * 20 * groups
+        np.testing.assert_equal(*told)
+    assert sum(grown) > 2 * 20 * groups
+
+
+def test_a_bucket_keeps_the_trees_of_its_search(monkeypatch):
+    """Also a bucket of more groups than fit together is searched without growing a tree twice."""
+    import pyarrow as pa
+
+    from manyfold.functions import guided
+    from manyfold.operators import forest
+    from manyfold.operators.tune import FOREST_SPACE
+
+    rng, groups = np.random.default_rng(5), 40
+    group = np.repeat(np.arange(groups), 20)
+    table = pa.table(
+        {
+            "k": group, "x0": rng.random(len(group)), "y": rng.random(len(group)),
+            forest.ORDER: rng.integers(0, 1 << 60, len(group)), forest.HELD: np.tile(np.arange(20) < 4, groups),
+        }
+    )
+    plan = pa.table(
+        {
+            "k": np.repeat(np.arange(groups), 2), "trial": np.tile([0, 1], groups), "n_estimators": np.tile([60, 50], groups),
+            "max_depth": np.tile([5.0, 10.0], groups), "min_samples_split": np.tile([2, 5], groups),
+            "min_samples_leaf": np.tile([1, 1], groups), forest.LABEL: np.repeat([f"k{g}" for g in range(groups)], 2),
+        }
+    )
+    grown = []
+    whole = forest.trees.grow
+    monkeypatch.setattr(forest.trees, "grow", lambda unit, *rest: (grown.append(len(np.unique(unit))), whole(unit, *rest))[1])
+
+    class Code:
+        names = ["k"]
+
+        def fields(self):
+            return [T.StructField("k", T.LongType())]
+
+    out = forest.fit_bucket(
+        table, plan, ["k"], 1, None, 10, 42, True, forest.result_schema(Code()), guided.Search(FOREST_SPACE, range(0))
+    )
+    assert out.column("status").to_pylist() == ["success"] * groups
+    assert len(grown) > 1 and sum(grown) == 60 * groups
