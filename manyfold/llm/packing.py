@@ -55,42 +55,41 @@ class Words:
     def written(self, letter: str) -> str:
         return "".join(text for text, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(letter))
 
-    def encode(self, words: list[str]) -> list[bytes]:
-        tokenize, letters, out, rest = self.tokenizer.model.tokenize, self.letters, [], []
+    def encode(self, words: list[str], plain: bool) -> list[bytes]:
+        """Ids of every word; plain ones are lower-case words of plain letters."""
+        if not plain:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        tokenize, letters, ids, ends = self.tokenizer.model.tokenize, self.letters, array("I"), [0]
         for word in words:
-            if not word.isalpha() or word != word.lower():
-                rest.append(len(out))
-                out.append(b"")
-            elif word.isascii():
-                out.append(array("I", [t.id for t in tokenize(word)]).tobytes())
-            elif max(word) < chr(LETTERS):
-                out.append(array("I", [t.id for t in tokenize(word.translate(letters))]).tobytes())
-            else:
-                rest.append(len(out))
-                out.append(b"")
-        for at, encoding in zip(rest, self.tokenizer.encode_batch_fast([words[k] for k in rest], add_special_tokens=False)):
-            out[at] = array("I", encoding.ids).tobytes()
-        return out
-
-    @staticmethod
-    def parted(word: str) -> tuple[str, str]:
-        """A lower-case word of plain letters and the stops after it, or the whole word as it is."""
-        stem = word.rstrip(STOPS)
-        if stem.isalpha() and (stem.isascii() or max(stem) < chr(LETTERS) and DOTTED not in stem):
-            return stem.lower(), word[len(stem) :]
-        return word, ""
+            ids.extend([t.id for t in tokenize(word if word.isascii() else word.translate(letters))])
+            ends.append(len(ids))
+        whole, size = ids.tobytes(), ids.itemsize
+        return [whole[size * a : size * b] for a, b in zip(ends, ends[1:])]
 
     def learn(self, words: list[str]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self.known]
+        """A word of plain letters with stops after it has the ids of its lower-case letters, then those of the stops."""
+        new = set(words).difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             self.bare.clear()
-            new = list(dict.fromkeys(words))
-        parts = list(map(self.parted, new))
-        bare = [x for x in dict.fromkeys(chain.from_iterable(parts)) if x not in self.bare]
-        self.bare.update(zip(bare, self.encode(bare)))
-        for word, (stem, stops) in zip(new, parts):
-            self.known[word] = self.bare[stem] + self.bare[stops]
+            new = set(words)
+        bare, parts, plain, rest = self.bare, [], set(), {""}
+        for word in new:
+            stem = word.rstrip(STOPS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < chr(LETTERS) and DOTTED not in stem):
+                low, stops = stem.lower(), word[len(stem) :]
+                plain.add(low)
+            else:
+                low, stops = word, ""
+                rest.add(word)
+            if stops:
+                rest.add(stops)
+            parts.append((word, low, stops))
+        for some, kind in ((plain, True), (rest, False)):
+            lacking = list(some.difference(bare))
+            if lacking:
+                bare.update(zip(lacking, self.encode(lacking, kind)))
+        self.known.update([(word, bare[low] + bare[stops] if stops else bare[low]) for word, low, stops in parts])
 
     def ids(self, text: str) -> np.ndarray:
         words = text.replace("\n", " ").split(" ")

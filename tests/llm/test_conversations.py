@@ -101,6 +101,24 @@ def test_a_full_cache_is_emptied(monkeypatch):
         assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_go_to_the_model_alone():
+    """Only words with other signs go through the whole tokenizer; none does when all that is new is letters."""
+    words = packing.Words(queries.tokenizer_path())
+    whole, calls = words.tokenizer, []
+
+    class Watched:
+        model = whole.model
+
+        def encode_batch_fast(self, some, **settings):
+            calls.append(sorted(some))
+            return whole.encode_batch_fast(some, **settings)
+
+    words.tokenizer = Watched()
+    for text in ("plain words", "Plain wörds, again.", "more plain words", "don't 12 WORDS."):
+        assert words.ids(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert calls == [[""], [",", "."], ["12", "don't"]]
+
+
 @pytest.mark.parametrize("sizes", ["mixed", "halves", "equal", "large"])
 def test_packing_in_many_buckets(spark, sizes):
     draw = np.random.default_rng(3)
