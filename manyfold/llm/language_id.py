@@ -22,9 +22,11 @@ Deviations shrink with the root of the letters, up to ``LETTERS`` of them; beyon
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import groupby
+from functools import lru_cache
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,7 @@ from manyfold.sources.settled import settle
 
 RUN = re.compile(r"[^\W\d_]+")
 STRETCH = 32
+MORE = "-"
 UNKNOWN = 1e-8
 SMOOTHING = 0.05
 ROUNDS = 3
@@ -59,17 +62,30 @@ def letter_runs(text: str) -> Iterator[str]:
             yield from ("".join(part) for is_letter, part in groupby(run, str.isalpha) if is_letter)
 
 
-def words_of(text: str | None) -> list[str]:
+def keys_of(text: str | None) -> list[str]:
+    """Short names of the words of a text: a run without its space mark; what goes on with a run has MORE in front."""
+    if not text:
+        return []
+    text = text.lower()
+    runs = RUN.findall(text)
+    # Nearly every text has only runs of letters, shorter than a stretch.
+    if "".join(runs).isalpha() and max(map(len, runs)) < STRETCH:
+        return runs
     out = []
-    for run in letter_runs(text.lower()) if text else ():
-        if len(run) < STRETCH:
-            out.append(SPACE_MARK + run)
-        else:
-            marked = SPACE_MARK + run
-            out.extend(marked[k : k + STRETCH] for k in range(0, len(marked), STRETCH))
+    for run in letter_runs(text):
+        out.append(run[: STRETCH - 1])
+        out.extend(MORE + run[k : k + STRETCH] for k in range(STRETCH - 1, len(run), STRETCH))
     return out
 
 
+def word_of(key: str) -> str:
+    return key[1:] if key[0] == MORE else SPACE_MARK + key
+
+
+def words_of(text: str | None) -> list[str]:
+    return list(map(word_of, keys_of(text)))
+
+
 class Sums:
     """Forward and backward sums over the segmentations of words under probabilities ``p[piece, language]``."""
 
@@ -130,7 +146,7 @@ def learn(languages: list[str], rows: DataFrame, path: str, rounds: int = ROUNDS
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, words in seen.items():
-                columns = [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())]
+                columns = [pa.array([lang] * len(words), pa.string()), pa.array(list(map(word_of, words)), pa.string()), pa.array(list(words.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
             seen.clear()
 
@@ -139,7 +155,7 @@ def learn(languages: list[str], rows: DataFrame, path: str, rounds: int = ROUNDS
             langs = batch.column(0).to_pylist()
             for first, last in groups(texts):
                 for lang, text in zip(langs[first:last], texts[first:last]):
-                    seen.setdefault(lang, Counter()).update(words_of(text))
+                    seen.setdefault(lang, Counter()).update(keys_of(text))
                 if sum(map(len, seen.values())) >= COUNTED:
                     yield from out()
         yield from out()
@@ -176,37 +192,62 @@ def learn(languages: list[str], rows: DataFrame, path: str, rounds: int = ROUNDS
     return p
 
 
+class Known:
+    """The log probabilities of words under every language, as far as a worker has met them."""
+
+    def __init__(self, languages: int):
+        self.place: dict[str, int] = {}
+        self.logs = np.empty((min(CACHE, KNOWN // max(1, languages)), languages))
+
+
+@lru_cache(maxsize=1)
+def known_words(model: str, languages: int) -> Known:
+    """What a worker knows under a model; it stays for the worker's next task, until another model is asked for."""
+    return Known(languages)
+
+
 def predictor(spark: SparkSession, languages: list[str], p: np.ndarray, path: str):
     """A function of a text column that gives a struct of lang_pred, score, fit (null for ``und``) and letters."""
-    model = spark.sparkContext.broadcast(p)
+    model, name = spark.sparkContext.broadcast(p), uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double, fit double, letters long")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        known: dict[str, int] = {}
-        logs = np.empty((min(CACHE, KNOWN // max(1, len(languages))), len(languages)))
+        store = known_words(name, len(languages))
+        known = store.place
         for batch in batches:
             texts = batch.tolist()
             best, sure, fit, letters = [], [], [], []
             for first, last in groups(texts):
-                words = [words_of(t) if languages else [] for t in texts[first:last]]
-                new = list(set().union(*words).difference(known))
-                if len(known) + len(new) > len(logs):
+                words = [keys_of(t) if languages else [] for t in texts[first:last]]
+                every = list(chain.from_iterable(words))
+                numbers = list(map(known.get, every))
+                lacking = [k for k, number in enumerate(numbers) if number is None]
+                new = list({every[k] for k in lacking})
+                if len(known) + len(new) > len(store.logs):
                     known.clear()
-                    new = list(set().union(*words))
-                    if len(new) > len(logs):
-                        logs = np.empty((len(new), len(languages)))
+                    lacking, new = range(len(every)), list(set(every))
+                    if len(new) > len(store.logs):
+                        store.logs = np.empty((len(new), len(languages)))
+                logs = store.logs
                 for at in range(0, len(new), 20_000):
                     some = new[at : at + 20_000]
-                    logs[len(known) : len(known) + len(some)] = Sums(path, some, model.value).logs()
+                    logs[len(known) : len(known) + len(some)] = Sums(path, list(map(word_of, some)), model.value).logs()
                     known.update(zip(some, range(len(known), len(known) + len(some))))
+                for k in lacking:
+                    numbers[k] = known[every[k]]
+                places, end = np.array(numbers, np.int64), 0
                 for own in words:
-                    letters.append(sum(map(len, own)))
+                    end += len(own)
+                    sizes = list(map(len, own))
+                    # A space mark for every run, and none for what goes on with one, after a key of full length.
+                    more = sum(key[0] == MORE for key in own) if max(sizes, default=0) >= STRETCH - 1 else 0
+                    letters.append(sum(sizes) + len(own) - 2 * more)
                     if not own:
                         fit.append(np.nan)
                         best.append("und")
                         sure.append(0.0)
                         continue
-                    total = logs[np.fromiter(map(known.__getitem__, own), np.int64, len(own))].sum(axis=0)
+                    total = logs[places[end - len(own) : end]].sum(axis=0)
                     top = int(np.argmax(total))
                     best.append(languages[top])
                     fit.append(float(total[top]) / letters[-1])

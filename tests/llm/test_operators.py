@@ -6,6 +6,7 @@ import collections
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -378,6 +379,20 @@ def test_number_signs_are_no_letters_and_every_label_is_learned(spark):
     assert language_id.identify(df.limit(0), VOCABULARY, rounds=1).collect() == []
 
 
+def test_a_worker_learns_a_word_once(spark, monkeypatch):
+    """A worker keeps the words of its tasks while the model is the same; long runs count the letters of their stretches."""
+    p = np.full((len(language_id.vocabulary(VOCABULARY)[0]), 2), 1e-5) * [1.0, 2.0]
+    judge = language_id.predictor(spark, ["a", "b"], p, VOCABULARY).func
+    learned, whole = [], language_id.Sums
+    monkeypatch.setattr(language_id, "Sums", lambda path, words, p: (learned.extend(words), whole(path, words, p))[1])
+    texts = pd.Series(["one two", "x" * 70 + " two", None, "12"])
+    first, again = (pd.concat(judge(iter([texts]))) for _ in range(2))
+    assert first.equals(again) and sorted(learned) == sorted(["▁one", "▁two", "▁" + "x" * 31, "x" * 32, "x" * 7])
+    assert first["letters"].tolist() == [8, 75, 0, 0] and first["lang_pred"].tolist() == ["b", "b", "und", "und"]
+    other = language_id.predictor(spark, ["a", "b"], p[:, ::-1], VOCABULARY).func
+    assert pd.concat(other(iter([texts])))["lang_pred"].tolist() == ["a", "a", "und", "und"] and len(learned) == 10
+
+
 def test_every_labelled_text_teaches(spark):
     """One text among a thousand has the letter that tells; by its hash it was in no sample of 400."""
     ids = spark.range(1000, 2000).withColumnRenamed("id", "doc_id").filter(~language_id.held_out())
