@@ -270,3 +270,38 @@ def test_a_model_is_copied_to_few_shares_and_read_in_pieces(spark, synth, models
     forests = [trees.unpack(p.column(0)[0].as_py()) for p in parts]
     assert len(parts) > 1 and sum(len(f[3]) for f in forests) == 8
     assert np.array_equal(np.concatenate([f[1] for f in forests]), trees.unpack(bytes(body))[1])
+
+
+def test_shares_of_a_hot_key_have_one_model_between_them(spark, monkeypatch):
+    """A share had a whole copy of a model that grows with the rows, as the number of shares does."""
+    from manyfold.operators import forest_score
+
+    copied, whole = [], forest_score.replicated
+
+    def watched(told, shares):
+        copies = whole(told, shares)
+        copied.append(copies.agg(F.sum(F.length("model_bytes"))).first()[0])
+        return copies
+
+    monkeypatch.setattr(forest_score, "replicated", watched)
+    noise = F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double")
+    rows = spark.range(4000).select(F.lit("a").alias("k"), "id", noise.alias("y"), (F.col("id") % 1999).cast("double").alias("u"), F.pmod(F.hash("id"), F.lit(50)).cast("double").alias("v"))
+    models = mf.train(rows, ["k"], "y", ["u", "v"], "forest", ["id"], n_estimators=6).persist()
+    asked = rows.withColumn("u", F.when(F.col("id") % 997 != 0, F.col("u")).when(F.col("id") % 2 == 0, F.lit(float("nan")))).drop("y")
+    for fill in (0.0, None):
+        want = mf.score(asked, models, ["k"], fill=fill)
+        got = mf.score(asked, models, ["k"], fill=fill, rows_per_task=500)
+        assert got.count() == 4000 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    size = len(models.first().model_bytes)
+    assert len(copied) == 2 and max(copied) < 1.5 * size
+
+
+def test_equal_rows_and_one_value_make_whole_shares(spark):
+    """Features that tell no rows apart leave the content to deal them, and each copy a leaf per tree."""
+    rows = spark.range(600).select(F.lit("a").alias("k"), "id", (F.col("id") % 7).cast("double").alias("y"), F.lit(3.0).alias("x"))
+    learned = rows.withColumn("x", F.col("id").cast("double"))
+    models = mf.train(learned, ["k"], "y", ["x"], "forest", ["id"], n_estimators=4).persist()
+    for asked in (rows.drop("y"), rows.select("k", "x")):
+        want = mf.score(asked, models, ["k"])
+        got = mf.score(asked, models, ["k"], rows_per_task=20)
+        assert got.count() == 600 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
