@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,6 +111,25 @@ def test_settled_tables_lie_in_the_shared_folder(spark, synth):
     assert kept.exceptAll(synth).count() == 0
 
 
+def test_a_settled_step_keeps_no_shuffle(spark, synth):
+    """Shuffle files of every step stayed until the driver collected its garbage."""
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    before, turned = shuffled(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    frame = synth.repartition(5, "row_id").groupBy("row_id").agg(F.max("sales").alias("top"))
+    once, again = settle(frame), settle(frame)
+    end = time.time() + 20
+    while shuffled() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == turned
+    assert once.exceptAll(again).count() == 0 and once.count() == frame.count()
+
+
 def test_schemas(spark, trained, synth):
     schema = mf.model_schema(synth.schema, ["sku_id"])
     assert [f.name for f in schema] == ["sku_id", "model_bytes", "feature_names", "rmse", "mse", "mae", "num_rows", "status"]

@@ -231,6 +231,24 @@ def test_no_row_is_repeated_per_tree(spark):
     assert forest_wide.attribute_lists(rows.filter(~F.col("_held")), 3).count() <= 3 * 8 + 8
 
 
+def test_a_grown_node_is_told_by_its_feature_and_a_number(spark):
+    """Where all trials have the same limits no more is stored, and the truth once."""
+    from manyfold.operators import forest_wide
+
+    df = mf.synth_groups(spark, 1, 600)
+    split = split_rows(df, ["sku_id"], "sales", FEATURES, ROW_KEY, rows_per_task=100, bucketed=True)
+    fit = forest_wide.WideFit(split, 3, ForestSettings(n_estimators=6), None, 10, 42, 100)
+    told, grown, _, _ = fit.rounds[0]
+    nodes = grown.filter("feature is not null")
+    assert {"threshold", "left", "depth"}.isdisjoint(grown.columns) and nodes.filter("size(feature) <> size(number)").count() == 0
+    assert nodes.filter("value is not null or count is not null").count() == 0
+    assert grown.filter("y is not null").select(F.sum(F.size("y"))).first()[0] == 120
+    assert told.value.tree[[r.unit for r in grown.filter("y is not null").select("unit").distinct().collect()]].tolist() == [0]
+    feature = np.array([0, 1, -1, 2, -1, -1, 0, -1, -1])
+    assert forest_wide.left_of(feature).tolist() == [1, 3, -1, 5, -1, -1, 7, -1, -1]
+    assert forest_wide.depth_of(feature, 4).tolist() == [4, 5, 5, 6, 6, 7, 7, 8, 8]
+
+
 def test_a_group_that_cannot_be_fitted_stands_alone(spark):
     rows = [(k, i, float(i % 7), float((i * 13) % 11)) for k in "abcdefg" for i in range(40)]
     rows += [("x", i, float(i % 7), (-1.0) ** i * 1.7e308) for i in range(40)]
