@@ -305,3 +305,19 @@ def test_equal_rows_and_one_value_make_whole_shares(spark):
         want = mf.score(asked, models, ["k"])
         got = mf.score(asked, models, ["k"], rows_per_task=20)
         assert got.count() == 600 and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_a_copy_of_a_model_ends_its_rows_in_the_same_leaves():
+    from manyfold.operators.forest_score import shipped, unshipped, within
+
+    # Two trees over two features: the first splits on both, the second is one leaf.
+    feature, left, roots = np.array([0, -1, 1, -1, -1, -1]), np.array([1, -1, 3, -1, -1, -1]), np.array([0, 5])
+    number = np.array([2.0, 10.0, 0.5, 20.0, 30.0, 7.0])
+    for low, high in (([0, 0], [5, 1]), ([3, 0], [5, 0.2]), ([0, 0], [2, 1]), ([4, 1], [4, 1])):
+        x = np.array([np.linspace(a, b, 9) for a, b in zip(low, high)])
+        ours = unshipped(shipped(*within(feature, number, left, roots, np.array(low), np.array(high)), 2))
+        for tree in range(2):
+            rows = np.arange(9)
+            want = number[trees.walk(feature, number, left, np.full(9, roots[tree]), rows, x)]
+            assert (ours[1][trees.walk(*ours[:3], np.full(9, ours[3][tree]), rows, x)] == want).all()
+    assert len(ours[0]) == 2 and ours[1].tolist() == [30.0, 7.0]
