@@ -332,3 +332,52 @@ def test_a_bucket_keeps_little_beside_its_forests():
     models = work.run(plan, True)[2]
     assert len(kept) > 1 and {sum(sizes) for sizes in kept} == {24}
     assert all(len(trees.unpack(m)[3]) == 60 for m in models)
+
+
+def test_a_large_forest_is_made_in_pieces(spark, monkeypatch):
+    """A task packed the whole forest of a key, in one cell that grows with the rows of the key."""
+    from manyfold.operators import forest_wide
+    from manyfold.sources.pieces import PIECE, pieces_of
+
+    rows = [(k, i, float((i * 37) % 101), float((i * 53) % 97)) for k in "abc" for i in range(200)]
+    rows += [("few", i, 1.0, 1.0) for i in range(3)] + [("lost", i, float(i), None) for i in range(80)]
+    df = frame(spark, rows)
+    settings = dict(n_estimators=6, row_key=["i"])
+    cold = mf.train(df, ["k"], "y", ["x"], "forest", **settings)
+    monkeypatch.setattr(forest_wide, "PIECE_ROWS", 450)
+    hot = mf.train(df, ["k"], "y", ["x"], "forest", rows_per_task=50, **settings)
+    assert pieces_of(cold) is None
+    pieces = pieces_of(hot).pieces.collect()
+    assert sorted((r.k, r[PIECE]) for r in pieces) == [(k, n) for k in "abc" for n in (0, 2, 4)]
+    assert {len(trees.unpack(r.model_bytes)[3]) for r in pieces} == {2}
+    cell, whole = by_key(cold), by_key(hot)
+    assert {k: (m.status, m.model_bytes, m.feature_names, m.num_rows) for k, m in whole.items()} == {
+        k: (m.status, m.model_bytes, m.feature_names, m.num_rows) for k, m in cell.items()
+    }
+    listing = hot.select("k", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "packed_forest" not in listing and "forest(" in listing and "joined" not in listing and "joined" in hot._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.undo()
+    assert {r[PIECE] for r in pieces_of(mf.train(df, ["k"], "y", ["x"], "forest", rows_per_task=50, **settings)).pieces.collect()} == {0}
+
+
+def test_pieces_of_a_search_are_those_of_the_winner(spark, monkeypatch):
+    from manyfold.operators import forest_wide
+    from manyfold.sources.pieces import pieces_of
+
+    monkeypatch.setattr(forest_wide, "PIECE_ROWS", 300)
+    df = frame(spark, [(k, i, float((i * 37) % 101), float((i * 53) % 97)) for k in "ab" for i in range(150)])
+    space = {"n_estimators": mf.IntRange(3, 9), "max_depth": mf.Choice(3, None), "min_samples_split": mf.Choice(2, 5), "min_samples_leaf": mf.Choice(1, 2)}
+    made = [mf.tune(df, ["k"], "y", ["x"], space, 4, "forest", row_key=["i"], rows_per_task=n) for n in (1000, 50)]
+    cold, hot = map(by_key, made)
+    assert {k: (bytes(m.model_bytes), m.n_estimators) for k, m in cold.items()} == {k: (bytes(m.model_bytes), m.n_estimators) for k, m in hot.items()}
+    sizes = [len(trees.unpack(r.model_bytes)[3]) for r in pieces_of(made[1]).pieces.collect()]
+    assert max(sizes) <= 2 and sum(sizes) == sum(m.n_estimators for m in hot.values())
+
+
+def test_forests_are_joined_tree_after_tree():
+    one = trees.pack(np.array([0, -1, -1]), np.array([0.5, 1.0, 2.0]), np.array([1, -1, -1]), [0])
+    leaf = trees.pack(np.array([-1]), np.array([7.0]), np.array([-1]), [0])
+    feature, number, left, roots = trees.unpack(trees.join([one, leaf, one]))
+    assert feature.tolist() == [0, -1, -1, -1, 0, -1, -1] and roots.tolist() == [0, 3, 4]
+    assert left.tolist() == [1, -1, -1, -1, 5, -1, -1] and number.tolist() == [0.5, 1.0, 2.0, 7.0, 0.5, 1.0, 2.0]
+    assert bytes(trees.join([one])) == one
