@@ -62,6 +62,35 @@ def test_bundle(spark, space, synth, trained):
     assert mf.bundle_stats(kept.limit(0)).first().size_bytes == 0
 
 
+def test_a_bundle_keeps_large_forests_in_pieces(spark, space, synth, monkeypatch):
+    """A bundle wrote the forest of a large group as one cell; now the cell is made only for who reads it."""
+    from manyfold.operators import forest_wide
+
+    monkeypatch.setattr(forest_wide, "PIECE_ROWS", 160)
+    few = spark.createDataFrame([("few", i, 1.0, 1.0, 1.0, 1.0) for i in range(3)], synth.schema)
+    null = synth.filter("sku_id = 'SKU_001'").withColumn("sku_id", F.lit(None).cast("string"))
+    some = synth.filter("sku_id <> 'SKU_002' or row_id < 30").unionByName(few).unionByName(null)
+    cold, hot = (mf.train(some, ["sku_id"], "sales", FEATURES, "forest", ROW_KEY, n_estimators=6, rows_per_task=n) for n in (1000, 50))
+    path = space.artifact("pieces")
+    told = lambda bundled: {r.sku_id: tuple(r) for r in bundled.select("sku_id", F.col("model_bytes"), "feature_names", "model_size_bytes").collect()}
+    want = told(mf.bundle(cold, ["sku_id"], space.artifact("cells")))
+    kept = mf.bundle(hot, ["sku_id"], path)
+    stored = spark.read.parquet(path)
+    assert {r.sku_id for r in stored.filter("model_bytes is not null").collect()} == {"SKU_002"}
+    assert {r.sku_id: r.model_size_bytes for r in stored.collect()} == {k: v[3] for k, v in want.items()}
+    assert spark.read.parquet(f"{path}/_pieces").count() == 6 * 3
+    loaded = mf.load_bundle(spark, path)
+    assert told(kept) == told(loaded) == want and len(want) == 7
+    assert mf.bundle_stats(kept).first() == mf.bundle_stats(loaded).first() and mf.bundle_stats(kept).first().num_models == 7
+    rows = some.filter("sku_id is null or sku_id <> 'few'").drop("sales")
+    expected = mf.score(rows, cold, ["sku_id"])
+    for models in (loaded, hot):
+        got = mf.score(rows, models, ["sku_id"])
+        assert got.count() == rows.count() and got.exceptAll(expected).count() == expected.exceptAll(got).count() == 0
+    mf.bundle(cold, ["sku_id"], path)
+    assert told(mf.load_bundle(spark, path)) == want
+
+
 def test_metrics_file(spark, space, trained):
     path = space.artifact("metrics")
     mf.write_metrics(trained, ["sku_id"], path)
