@@ -321,3 +321,24 @@ def test_a_copy_of_a_model_ends_its_rows_in_the_same_leaves():
             want = number[trees.walk(feature, number, left, np.full(9, roots[tree]), rows, x)]
             assert (ours[1][trees.walk(*ours[:3], np.full(9, ours[3][tree]), rows, x)] == want).all()
     assert len(ours[0]) == 2 and ours[1].tolist() == [30.0, 7.0]
+
+
+def test_a_forest_in_pieces_is_scored_as_it_is(spark, monkeypatch):
+    """Scoring needs no cell of a large forest, wherever its rows are many or few, and knows keys without a model."""
+    from manyfold.operators import forest_wide
+    from manyfold.sources import pieces
+
+    noise = F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double")
+    rows = spark.range(600).select(F.when(F.col("id") % 3 > 0, F.lit("a")).when(F.col("id") < 540, F.lit("b")).otherwise(F.lit("c")).alias("k"), "id", noise.alias("y"), (F.col("id") % 199).cast("double").alias("x"))
+    rows = rows.withColumn("y", F.when(F.col("k") != "c", F.col("y")))
+    monkeypatch.setattr(forest_wide, "PIECE_ROWS", 400)
+    cold, hot = (mf.train(rows, ["k"], "y", ["x"], "forest", ["id"], n_estimators=5, rows_per_task=n) for n in (1000, 190))
+    monkeypatch.setattr(pieces.trees, "join", None)
+    for on_unknown, asked in (("error", rows.filter("k <> 'c'")), ("unseen", rows), ("null", rows.unionByName(rows.limit(3).withColumn("k", F.lit("new"))))):
+        asked = asked.drop("y").unionByName(asked.drop("y").filter("id < 9"))
+        want = mf.score(asked, cold, ["k"], "forest", on_unknown)
+        for size in (1_000_000, 150)[: 1 + (on_unknown == "unseen")]:
+            got = mf.score(asked, hot, ["k"], "forest", on_unknown, rows_per_task=size)
+            assert got.count() == asked.count() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    with pytest.raises(Exception, match="model"):
+        mf.score(rows.drop("y").withColumn("k", F.lit("new")), hot, ["k"], "forest", "unseen").collect()
