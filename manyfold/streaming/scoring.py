@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from manyfold.operators.score import score
-from manyfold.sources.settled import settle
+from manyfold.sources.pieces import settle_models
 
 
 def score_stream(stream: DataFrame, models: DataFrame, keys: list[str], on_unknown: str = "null", **options) -> DataFrame:
@@ -36,7 +36,7 @@ def write_scores(
     ``salt_hot`` scores a linear stream by batches too, and finds the hot keys of each to spread their rows over tasks.
     A batch overwrites its own folder, so a batch that is repeated after a failure counts once.
     """
-    stored = settle(models, "stream-models")  # models that are not a table yet are trained once, not with every batch
+    stored = settle_models(models, "stream-models")  # models that are not a table yet are trained once, not with every batch
     if estimator != "forest" and not salt_hot:
         scored = score_stream(stream, stored, keys, on_unknown, **options)
         writer = scored.writeStream.format("parquet").option("path", path).outputMode("append")

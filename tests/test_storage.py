@@ -198,6 +198,26 @@ def test_stream_equals_batch(spark, synth, tmp_path, estimator):
         mf.score_stream(rows, models, ["sku_id"])
 
 
+def test_a_stream_takes_large_forests_in_pieces(spark, synth, tmp_path, monkeypatch):
+    """The stored models of a stream had the forest of a large group as one cell."""
+    from manyfold.operators import forest_score, forest_wide
+    from manyfold.sources.pieces import PIECE
+
+    monkeypatch.setattr(forest_wide, "PIECE_ROWS", 80)
+    taken, whole = [], forest_score.route_shares
+    monkeypatch.setattr(forest_score, "route_shares", lambda rows, pieces, *a: taken.append(pieces.filter(f"{PIECE} > 0").count()) or whole(rows, pieces, *a))
+    hot = mf.train(synth, ["sku_id"], "sales", FEATURES, "forest", ROW_KEY, n_estimators=3, rows_per_task=50)
+    rows = synth.withColumn("sku_id", F.when(F.col("row_id") == 0, "new").otherwise(F.col("sku_id"))).drop("sales")
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    rows.repartition(3).write.parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    mf.write_scores(stream, hot, ["sku_id"], out, state, "forest", once=True).awaitTermination()
+    assert len(taken) == 3 and set(taken) == {12}
+    want = mf.score(rows, mf.train(synth, ["sku_id"], "sales", FEATURES, "forest", ROW_KEY, n_estimators=3), ["sku_id"], "forest", "null")
+    got = spark.read.schema(want.schema).parquet(f"{out}/*")
+    assert got.count() == 480 and want.exceptAll(got).count() == got.exceptAll(want).count() == 0
+
+
 def test_several_writers_get_a_number_each(spark, tmp_path):
     from concurrent.futures import ThreadPoolExecutor
 
