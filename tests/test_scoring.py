@@ -342,3 +342,30 @@ def test_a_forest_in_pieces_is_scored_as_it_is(spark, monkeypatch):
             assert got.count() == asked.count() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
     with pytest.raises(Exception, match="model"):
         mf.score(rows.drop("y").withColumn("k", F.lit("new")), hot, ["k"], "forest", "unseen").collect()
+
+
+def test_a_forest_travels_with_each_number_once(spark, synth, models, monkeypatch):
+    """Models were shuffled as they are stored, with 16 bytes a node."""
+    from manyfold.operators import forest_score
+    from manyfold.operators.forest_score import closed, opened
+
+    noise = F.pmod(F.xxhash64("id"), F.lit(9973)).cast("double")
+    rows = spark.range(600).select((F.col("id") % 20).alias("k"), "id", noise.alias("y"), (F.col("id") % 17).cast("double").alias("x"))
+    small = mf.train(rows, ["k"], "y", ["x"], "forest", ["id"], n_estimators=50)
+    bodies = [bytes(r.model_bytes) for r in small.collect()]
+    assert sum(len(closed(b)) for b in bodies) < sum(map(len, bodies)) / 5
+    odd = [
+        trees.pack(np.array([0, -1, -1]), np.array([0.5, -0.0, 0.0]), np.array([1, -1, -1]), [0]),
+        trees.pack(np.array([-1, 0, -1, -1]), np.array([np.nan, 1.0, np.inf, -np.inf]), np.array([-1, 2, -1, -1]), [0, 1]),
+        trees.pack(np.array([-1, -1, 0]), np.array([1.0, 2.0, 0.5]), np.array([-1, -1, 0]), [2]),
+        trees.pack(np.array([300, -1, -1]), np.array([0.5, 1.0, 2.0]), np.array([1, -1, -1]), [0]),
+        trees.pack(np.zeros(0), np.zeros(0), np.zeros(0), []),
+        trees.pack(np.full(70_000, -1), np.arange(70_000) / 7, np.full(70_000, -1), np.arange(70_000)),
+    ]
+    for data in [*bodies, *odd]:
+        assert trees.pack(*opened(closed(data))) == data
+    monkeypatch.setattr(forest_score, "LISTED_NODES", 2)
+    assert all(trees.pack(*opened(closed(data))) == data for data in [bodies[0], *odd])
+    monkeypatch.undo()
+    plan = mf.score(synth.drop("sales"), models["forest"], ["sku_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
