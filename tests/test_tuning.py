@@ -242,7 +242,6 @@ def test_whole_searches_against_single_trainings(spark, name):
 
 def test_a_search_grows_no_tree_twice(monkeypatch):
     """Trials, guided rounds and the winner read one set of trees; the result is that of growing them each time."""
-    from manyfold.functions import guided
     from manyfold.operators import forest
 
     rng, groups = np.random.default_rng(4), 12
@@ -289,7 +288,6 @@ def test_a_bucket_keeps_the_trees_of_its_search(monkeypatch):
     """Also a bucket of more groups than fit together is searched without growing a tree twice."""
     import pyarrow as pa
 
-    from manyfold.functions import guided
     from manyfold.operators import forest
     from manyfold.operators.tune import FOREST_SPACE
 
@@ -323,3 +321,27 @@ def test_a_bucket_keeps_the_trees_of_its_search(monkeypatch):
     )
     assert out.column("status").to_pylist() == ["success"] * groups
     assert len(grown) > 1 and sum(grown) == 60 * groups
+
+
+def test_a_proposal_draws_no_more_candidates_than_it_needs(monkeypatch):
+    """Of a choice, drawing ends with the first candidate that no value can beat; the proposal is that of all candidates."""
+    import hashlib
+
+
+    drawn, whole = [], guided._number
+    monkeypatch.setattr(guided, "_number", lambda *args: drawn.append(1) or whole(*args))
+    param, rng = mf.Choice(5, 10, 15, 20, None), np.random.default_rng(1)
+    search = guided.Search(mf.FOREST_SPACE, range(10, 15))
+    for key in range(60):
+        good, rest = (sorted(rng.integers(0, 5, n).tolist()) for n in (1 + key % 3, key % 13))
+        head = hashlib.md5(f"42|{key}|12|max_depth".encode())
+        share = lambda v, seen: ((np.array(seen) == v).sum() + 1.0 / 5.0) / (len(seen) + 1.0)
+        picks = [int(whole(head, f"|{k}|pick".encode()) * (len(good) + 1.0)) for k in range(24)]
+        values = [good[p] if p < len(good) else int(whole(head, f"|{k}|any".encode()) * 5.0) for k, p in enumerate(picks)]
+        want = values[int(np.argmax([share(v, good) / share(v, rest) for v in values]))]
+        assert search._best_choice(param, good, rest, head) == want
+    drawn.clear()
+    tried = {"n_estimators": rng.integers(50, 300, 12), "max_depth": rng.integers(0, 5, 12), "min_samples_split": rng.integers(0, 3, 12), "min_samples_leaf": rng.integers(0, 3, 12)}
+    for key in range(30):
+        search.propose({k: v.astype(float) for k, v in tried.items()}, rng.random(12), str(key), 12, 42)
+    assert len(drawn) < 30 * 100
